@@ -63,6 +63,7 @@ def exact_dedup(docs: DataFrame, digest_bytes: int = 16) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), normalised().alias("bytes"))
     keepers = hits.select(F.col("keep_id").alias("doc_id")).distinct()
     keeper_text = texts.join(keepers, "doc_id").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("keep_id"), F.col("bytes").alias("keeper_bytes"))
+    keeper_text = written(keeper_text, "lsm-keepers")  # so that a large group's side of the next join can be split
     own = texts.join(hits.select("doc_id").distinct(), "doc_id")
     same = (
         hits.dropDuplicates(["doc_id"]).select("doc_id", "keep_id", "digest")
