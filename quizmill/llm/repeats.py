@@ -36,8 +36,8 @@ ANCHOR = 20
 RUN = 64
 #: Bits of the anchor filter that tasks get: 32 MB at most.
 FILTER_BITS_MOST = 1 << 28
-#: Strings of one construction at most (more only where one anchor has more).
-COLLECTION = 16_000
+#: Runs of one collection at most (more only where one anchor has more); equal ones become one string.
+COLLECTION = 12_000
 _CHUNK = 1 << 18
 _FAR = np.iinfo(np.int64).max
 
@@ -209,11 +209,14 @@ def _emit_runs(parts: int, wanted):
 
 
 def collection_order(symbols: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(string, suffix length, common) of all suffixes of a collection in lexical order.
+    """(string, suffix length, common) of a collection's suffixes of LENGTH bytes or more, in lexical order.
 
     ``symbols`` holds a string per row, its bytes plus one, padded with zeros on
     the right. ``common`` marks suffixes whose first LENGTH bytes equal those of
-    the entry before. Round j inserts the suffixes of length j.
+    the entry before. Round j inserts the suffixes of length j: the transform's
+    next symbols are filled in, the last-to-first mapping gives the places of the
+    longer suffixes, and the transform is rewritten with room for them. Owners and
+    common prefixes are kept for suffixes that are long enough to matter.
     """
     m, width = symbols.shape
     flat = np.zeros((m, width + 8), np.uint8)
@@ -223,50 +226,52 @@ def collection_order(symbols: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarr
         words = words[:-step] | (words[step:] << np.uint64(8 * step))
     probes = [*range(0, LENGTH - 7, 8), LENGTH - 8]
 
-    transform, owner = np.zeros(m, np.uint8), np.arange(m, dtype=np.int32)
-    size, common = np.zeros(m, np.uint8), np.zeros(m, bool)
-    place = np.arange(m)
-
-    def begin(entries: np.ndarray) -> np.ndarray:
-        own = owner[entries]
-        return own.astype(np.int64) * (width + 8) + lengths[own] - size[entries]
-
+    transform = np.zeros(m, np.uint8)  # zero: the end of a string, or a symbol of this round
+    live, place = np.arange(m), np.arange(m)  # strings in order of their newest suffixes, and where those are
+    long = np.zeros(m, bool)
+    owner, size, common = np.zeros(0, np.int32), np.zeros(0, np.int16), np.zeros(0, bool)
     for j in range(1, int(lengths.max(initial=0)) + 1):
-        live = np.flatnonzero(lengths >= j)
-        transform[place[live]] = symbols[live, lengths[live] - j]
+        on = lengths[live] >= j
+        live, place = live[on], place[on]
+        symbol = symbols[live, lengths[live] - j]
+        transform[place] = symbol
         fresh = np.zeros(len(transform), bool)
-        fresh[place[live]] = True
-        # Last-to-first: the entries in order of their symbols, ended strings (symbol 0) left out.
-        order = np.argsort(transform, kind="stable")[np.count_nonzero(transform == 0) :]
-        new = fresh[order]
-        spots, strings = m + np.flatnonzero(new), owner[order[new]]
-        old = np.ones(m + len(order), bool)
+        fresh[place] = True
+        mapped = np.argsort(transform, kind="stable")[np.count_nonzero(transform == 0) :]
+        place = m + np.flatnonzero(fresh[mapped])
+        live = live[np.argsort(symbol, kind="stable")]
+        old = np.ones(m + len(mapped), bool)
+        old[place] = False
+        transform = _with_room(transform, old)
+        if j < LENGTH:
+            continue
+        long = _with_room(long, old) if j > LENGTH else np.zeros(len(old), bool)
+        spots = np.cumsum(long)[place] + np.arange(len(place))
+        long[place] = True
+        old = np.ones(len(owner) + len(spots), bool)
         old[spots] = False
-        for_all = []
-        for column, value in ((transform, 0), (owner, strings), (size, j), (common, False)):
-            wider = np.empty(len(old), column.dtype)
-            wider[old] = column
-            wider[spots] = value
-            for_all.append(wider)
-        transform, owner, size, common = for_all
-        place[strings] = spots
-        if j >= LENGTH:
-            near = np.concatenate([spots, spots + 1])
-            near = near[near < len(owner)]
-            near = near[(size[near] >= LENGTH) & (size[near - 1] >= LENGTH)]
-            a, b = begin(near - 1), begin(near)
-            same = np.ones(len(near), bool)
-            for k in probes:
-                same &= words[a + k] == words[b + k]
-            common[near] = same
+        owner, size, common = (_with_room(column, old) for column in (owner, size, common))
+        owner[spots], size[spots] = live, j
+        near = np.unique(np.concatenate([spots, spots + 1]))
+        near = near[(near > 0) & (near < len(owner))]
+        a, b = (owner[x].astype(np.int64) * (width + 8) + lengths[owner[x]] - size[x] for x in (near - 1, near))
+        same = np.ones(len(near), bool)
+        for k in probes:
+            same &= words[a + k] == words[b + k]
+        common[near] = same
     return owner, size, common
 
 
+def _with_room(column: np.ndarray, old: np.ndarray) -> np.ndarray:
+    """The column rewritten front to back, zeros where ``old`` is false."""
+    wider = np.zeros(len(old), column.dtype)
+    wider[old] = column
+    return wider
+
+
 def _first_documents(symbols: np.ndarray, lengths: np.ndarray, least: np.ndarray) -> np.ndarray:
     """For each string and place the smallest document that holds the 50 bytes from there on."""
     owner, size, common = collection_order(symbols, lengths)
-    long = size >= LENGTH
-    owner, size, common = owner[long], size[long].astype(np.int64), common[long]
     first = np.full((len(lengths), RUN), _FAR)
     if len(owner):
         heads = np.flatnonzero(~common)
@@ -292,7 +297,12 @@ def _repeats_of(e: np.ndarray, text: np.ndarray, begin: np.ndarray) -> tuple[np.
     index = np.concatenate([index, differs])
     least = np.full(len(index), _FAR)
     np.minimum.at(least, which, e["doc"])
-    first = _first_documents(grid[index], length[index], least)
+    # A string that is alone with its anchor meets no other; its places have its own smallest document.
+    _, group, members = np.unique(e["anchor"][index], return_inverse=True, return_counts=True)
+    met = np.flatnonzero(members[group] > 1)
+    first = np.repeat(least[:, None], RUN, axis=1)
+    first[np.arange(RUN)[None, :] >= e["count"][index][:, None]] = _FAR
+    first[met] = _first_documents(grid[index[met]], length[index[met]], least[met])
     docs, starts, ends = [], [], []
     for a in range(0, len(e), 8192):
         part = e[a : a + 8192]
@@ -307,7 +317,12 @@ def _repeats_of(e: np.ndarray, text: np.ndarray, begin: np.ndarray) -> tuple[np.
     return np.concatenate(docs), np.concatenate(starts), np.concatenate(ends)
 
 
-def _repeats_in_part(pdf: pd.DataFrame) -> pd.DataFrame:
+def _repeats_in_part(parts: int):
+    return lambda pdf: _found_in_part(pdf, parts)
+
+
+def _found_in_part(pdf: pd.DataFrame, parts: int) -> pd.DataFrame:
+    """(bucket, packed): the repeats among one part's runs as (doc, start, end), dealt out by document."""
     entries, texts = [], []
     reader = zstandard.ZstdDecompressor()
     for blob in pdf["packed"]:
@@ -334,17 +349,31 @@ def _repeats_in_part(pdf: pd.DataFrame) -> pd.DataFrame:
         b = max(int(np.searchsorted(cuts, cuts[a] + COLLECTION, side="right")) - 1, a + 1)
         found.append(_repeats_of(e[cuts[a] : cuts[b]], text, begin[cuts[a] : cuts[b]]))
         a = b
-    if not found:
-        return pd.DataFrame({"doc_id": np.zeros(0, np.int64), "packed": []})
-    doc, start, end = (np.concatenate(x) for x in zip(*found, strict=True))
-    order = np.lexsort((start, doc))
-    pairs = np.stack([start[order], end[order]], axis=1).astype(np.int32)
-    at = _cuts(doc[order])
-    return pd.DataFrame({"doc_id": doc[order][at[:-1]], "packed": [pairs[x:y].tobytes() for x, y in zip(at[:-1], at[1:], strict=True)]})
+    none = np.zeros(0, np.int64)
+    doc, start, end = (np.concatenate(x) for x in zip((none, none, none), *found, strict=True))
+    bucket = (mixed(doc.view(np.uint64), 9) % np.uint64(parts)).astype(np.int32)
+    order = np.lexsort((start, doc, bucket))
+    bucket, triples = bucket[order], np.stack([doc, start, end], axis=1)[order]
+    at = _cuts(bucket)
+    return pd.DataFrame({"bucket": bucket[at[:-1]], "packed": [triples[x:y].tobytes() for x, y in zip(at[:-1], at[1:], strict=True)]})
+
+
+def _merged(pdf: pd.DataFrame) -> pd.DataFrame:
+    """(doc_id, packed): each document's intervals, overlapping ones joined, as pairs of 32-bit numbers."""
+    triples = np.concatenate([np.frombuffer(blob, np.int64).reshape(-1, 3) for blob in pdf["packed"]])
+    doc, start, end = triples[np.lexsort((triples[:, 1], triples[:, 0]))].T
+    cuts = _cuts(doc)
+    names, blobs = doc[cuts[:-1]], []
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        upto = np.maximum.accumulate(end[a:b])
+        heads = np.flatnonzero(np.concatenate(([True], start[a + 1 : b] > upto[:-1])))
+        pairs = np.stack([start[a:b][heads], upto[np.append(heads[1:], b - a) - 1]], axis=1)
+        blobs.append(pairs.astype(np.int32).tobytes())
+    return pd.DataFrame({"doc_id": names, "packed": blobs})
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
-    """(doc_id, packed): pieces of each document's repeated byte intervals, as pairs of 32-bit numbers."""
+    """(doc_id, packed): the repeated byte intervals of each document that has any, as pairs of 32-bit numbers."""
     spark = docs.sparkSession
     rows = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -353,7 +382,8 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     pieces = [(r["part"], r["bits"], bytes(r["filled"])) for r in shared.collect()]  # at most FILTER_BITS_MOST bits, or 64 a part
     wanted = spark.sparkContext.broadcast(AnchorFilter(parts, pieces))
     runs = rows.mapInArrow(_emit_runs(parts, wanted), "part int, packed binary")
-    return runs.groupBy("part").applyInPandas(_repeats_in_part, "doc_id long, packed binary")
+    found = runs.groupBy("part").applyInPandas(_repeats_in_part(parts), "bucket int, packed binary")
+    return found.groupBy("bucket").applyInPandas(_merged, "doc_id long, packed binary")
 
 
 _CLEANED = "doc_id long, n_bytes long, spans array<struct<start:int,end:int>>, kept binary"
@@ -363,20 +393,15 @@ _SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 def _clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sizes, spans, kept = [], [], []
-        for text, pieces in zip(batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist(), strict=True):
+        for text, packed in zip(batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist(), strict=True):
             data = text or b""
             sizes.append(len(data))
-            if not pieces:
-                spans.append([])
+            pairs = np.frombuffer(packed or b"", np.int32).reshape(-1, 2)
+            spans.append([{"start": a, "end": b} for a, b in pairs.tolist()])
+            if not len(pairs):
                 kept.append(data)
                 continue
-            pairs = np.frombuffer(b"".join(pieces), np.int32).reshape(-1, 2)
-            pairs = pairs[np.argsort(pairs[:, 0], kind="stable")]
-            upto = np.maximum.accumulate(pairs[:, 1])
-            heads = np.flatnonzero(np.concatenate(([True], pairs[1:, 0] > upto[:-1])))
-            starts, ends = pairs[heads, 0], upto[np.append(heads[1:], len(upto)) - 1]
-            spans.append([{"start": int(a), "end": int(b)} for a, b in zip(starts, ends, strict=True)])
-            edges = [0, *np.stack([starts, ends], axis=1).ravel().tolist(), len(data)]
+            edges = [0, *pairs.ravel().tolist(), len(data)]
             kept.append(b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)))
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(spans, _SPANS), pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "spans", "kept"])
 
@@ -391,7 +416,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     once each, alike. Rows without doc_id keep everything and take nothing from
     others. No rows give no rows.
     """
-    pieces = written(repeated_spans(docs).groupBy("doc_id").agg(F.collect_list("packed").alias("pieces")), "repeat-spans")
+    pieces = written(repeated_spans(docs), "repeat-spans")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return rows.join(pieces, "doc_id", "left").mapInArrow(_clean, _CLEANED)
 
