@@ -105,36 +105,38 @@ def _write_archives(folder: str):
     return run
 
 
-class _Inflated(io.RawIOBase):
-    """The bytes of a gzip file (one member or many), inflated as they are read."""
+class _Inflated:
+    """The bytes of a gzip file (one member or many), inflated as they are read, a bounded piece at a time."""
 
     def __init__(self, raw):
-        self.raw_file, self.engine, self.ready = raw, zlib.decompressobj(31), b""
+        self.raw, self.engine, self.packed = raw, zlib.decompressobj(31), b""
+        self.ready, self.at = b"", 0
+
+    def _more(self) -> bool:
+        data = self.packed or self.raw.read(READ_BYTES)
+        if self.engine.eof and data:
+            self.engine = zlib.decompressobj(31)
+        if data:
+            piece = self.engine.decompress(data, 4 * READ_BYTES)
+            self.packed = self.engine.unused_data if self.engine.eof else self.engine.unconsumed_tail
+        else:
+            piece = b"" if self.engine.eof else self.engine.flush()
+        self.ready, self.at = self.ready[self.at :] + piece, 0
+        return bool(data or piece)
 
     def take(self, n: int) -> bytes:
         """The next n bytes, fewer only at the end."""
-        parts, have = [self.ready], len(self.ready)
-        while have < n:
-            data = self.engine.unused_data if self.engine.eof else b""
-            if self.engine.eof:
-                self.engine = zlib.decompressobj(31)
-            data = data or self.raw_file.read(READ_BYTES)
-            if not data:
-                break
-            parts.append(self.engine.decompress(data))
-            have += len(parts[-1])
-        whole = b"".join(parts)
-        self.ready = whole[n:]
-        return whole[:n]
+        while len(self.ready) - self.at < n and self._more():
+            pass
+        got = self.ready[self.at : self.at + n]
+        self.at += len(got)
+        return got
 
     def line(self) -> bytes:
         """Up to and with the next newline."""
-        got = self.take(4096)
-        while b"\n" not in got and (more := self.take(4096)):
-            got += more
-        cut = got.find(b"\n") + 1 or len(got)
-        self.ready = got[cut:] + self.ready
-        return got[:cut]
+        while (end := self.ready.find(b"\n", self.at)) < 0 and self._more():
+            pass
+        return self.take(end + 1 - self.at if end >= 0 else len(self.ready) - self.at)
 
 
 def records(stream: _Inflated) -> Iterator[tuple[dict[str, str], bytes, bytes]]:
