@@ -2,10 +2,11 @@
 
 Vectors are scaled to integers and assigned to the nearest of a fixed number of
 pivots. Each cell's summary is its size, its radius and its largest norm. Every query
-is solved in its own cell first, which bounds its k-th score from below; for any
+is solved in its own cell first, which bounds its k-th score from below. For any
 other cell the score is at most ``q.p + |q| * radius`` and at most
-``|q| * largest norm``, so a query is replicated only to cells that can still
-improve it. Cells are cut into blocks of bounded size on both sides, solved by
+``(|q|^2 + largest norm^2 - d^2) / 2``, where d is the least distance that the
+cell's ball and the plane halfway between its pivot and the query's allow; so a
+query is replicated only to cells that can still improve it. Cells are cut into blocks of bounded size on both sides, solved by
 matrix products, and a window merges the blocks' best rows.
 """
 
@@ -61,6 +62,9 @@ def _assign(pivots: np.ndarray):
 def _reach(pivots: np.ndarray, radius: np.ndarray, norms: np.ndarray):
     """For queries with their k-th score so far (null: none), the other cells that may hold better rows."""
 
+    square = (pivots**2).sum(axis=1)
+    between = np.sqrt(np.maximum(square[:, None] + square[None, :] - 2 * pivots @ pivots.T, 0))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, cells, vectors, least = (batch.column(k).to_pylist() for k in range(4))
@@ -68,10 +72,14 @@ def _reach(pivots: np.ndarray, radius: np.ndarray, norms: np.ndarray):
                 continue
             q = np.frombuffer(b"".join(vectors), np.int64).reshape(len(ids), -1).astype(np.float64)
             size = np.sqrt((q**2).sum(axis=1))[:, None]
-            most = np.minimum(q @ pivots.T + size * radius[None, :], size * norms[None, :])
+            product, own = q @ pivots.T, np.array(cells)
+            apart = np.maximum(size**2 + square[None, :] - 2 * product, 0)
+            plane = (apart - apart[np.arange(len(q)), own][:, None]) / np.maximum(2 * between[own], 1e-9)
+            nearest = np.maximum(np.maximum(np.sqrt(apart) - radius[None, :], plane), 0)
+            most = np.minimum(product + size * radius[None, :], (size**2 + norms[None, :] ** 2 - nearest**2) / 2)
             bar = np.array([-np.inf if x is None else x for x in least], np.float64)[:, None]
             need = (most + 1e-6 * (1 + np.abs(most)) >= bar) & (norms >= 0)[None, :]
-            need[np.arange(len(ids)), cells] = False
+            need[np.arange(len(ids)), own] = False
             row, cell = np.nonzero(need)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([ids[i] for i in row], pa.int64()), pa.array(cell.astype(np.int32)), pa.array([vectors[i] for i in row], pa.binary()), pa.array([least[i] for i in row], pa.int64())],
