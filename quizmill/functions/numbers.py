@@ -45,7 +45,8 @@ def clamped_box(x: Column, y: Column, w: Column, h: Column) -> Column:
 def raised_box(x: Column, y: Column, w: Column, h: Column) -> Column:
     """The box inside the page, its width and height raised to the least."""
     cx, cy = clamp(x, 0.0, 1.0), clamp(y, 0.0, 1.0)
-    return F.struct(cx.alias("x"), cy.alias("y"), clamp(w, LEAST_BOX, 1.0).alias("w"), clamp(h, LEAST_BOX, 1.0).alias("h"))
+    least = F.lit(LEAST_BOX)
+    return F.struct(cx.alias("x"), cy.alias("y"), F.greatest(least, F.least(1 - cx, w)).alias("w"), F.greatest(least, F.least(1 - cy, h)).alias("h"))
 
 
 def overlap(a: Column, b: Column) -> Column:

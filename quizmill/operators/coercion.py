@@ -79,3 +79,52 @@ def filled_from_raw(groups: DataFrame, raw: DataFrame) -> DataFrame:
     other = raw.select("key", name(F.col("numbers")).alias("name"), F.col("passage").alias("raw_passage")).groupBy("key", "name").agg(F.min("raw_passage").alias("raw_passage"))
     rows = groups.withColumn("name", name(F.col("numbers"))).join(other, ["key", "name"], "left")
     return rows.select("key", "numbers", T.or_default(F.col("passage"), F.col("raw_passage")).alias("passage"))
+
+
+def options_of(variant: Column) -> Column:
+    """Options of a JSON value of any shape: a labelled string, a list of strings or objects, or an object by letter."""
+    text = F.try_variant_get(variant, "$", "string")
+    listed = F.from_json(F.to_json(variant), "array<string>")
+    of_list = F.transform(listed, lambda raw, i: _option_of(raw, F.chr(i + 65)))
+    keyed = F.from_json(F.to_json(variant), "map<string,string>")
+    of_map = F.transform(F.map_entries(keyed), lambda e: _option_of(e["value"], F.upper(F.substring(e["key"], 1, 1))))
+    kind = F.schema_of_variant(variant)
+    found = F.when(kind.startswith("ARRAY"), of_list).when(kind.startswith("OBJECT"), of_map).otherwise(labelled_options(text))
+    return F.filter(found, lambda o: o.isNotNull())
+
+
+def _option_of(raw: Column, fallback: Column) -> Column:
+    """An option from a string, or from the JSON text of an object with letter and text under any of their names."""
+    v = F.try_parse_json(F.when(raw.startswith("{"), raw))
+    body = T.trim(aliased(v, "text", "optionText", "content"))
+    letter = F.upper(F.substring(T.trim(T.or_default(aliased(v, "letter", "option"), fallback)), 1, 1))
+    return F.when(raw.startswith("{"), F.when(body != "", F.struct(letter.alias("letter"), body.alias("text")))).otherwise(option(raw, fallback))
+
+
+def questions_of(variant: Column) -> Column:
+    """Questions as an array of JSON texts: from a list, one question object, or an object of objects."""
+    text = F.to_json(variant)
+    kind = F.schema_of_variant(variant)
+    is_one = F.coalesce(aliased(variant, "questionText", "text", "question"), aliased(variant, "questionNumber", "number")).isNotNull()
+    listed, keyed = F.from_json(text, "array<string>"), F.map_values(F.from_json(text, "map<string,string>"))
+    return F.when(kind.startswith("ARRAY"), listed).when(is_one, F.array(text)).when(kind.startswith("OBJECT"), keyed).otherwise(F.array().cast("array<string>"))
+
+
+def valid_regions(regions: Column) -> Column:
+    """Regions (id, text, bbox array) with an id, text, and four numbers in 0..1; text trimmed."""
+    good = F.filter(regions, lambda r: (r["id"] != "") & (T.trim(r["text"]) != "") & (F.size(r["bbox"]) == 4) & F.forall(r["bbox"], lambda n: n.isNotNull() & (n >= 0) & (n <= 1)))
+    return F.transform(good, lambda r: F.struct(r["id"].alias("id"), T.trim(r["text"]).alias("text"), r["bbox"].alias("bbox")))
+
+
+def raw_to_parsed(raw_options: Column, answer: Column) -> Column:
+    """(options, correct): four lettered options with dashes for blanks; a missing answer becomes A."""
+    four = T.padded(F.transform(raw_options, lambda o: T.or_default(o, F.lit("-"))), 4)
+    lettered = F.transform(four, lambda o, i: F.struct(F.chr(i + 65).alias("letter"), o.alias("text")))
+    return F.struct(lettered.alias("options"), F.upper(T.or_default(answer, F.lit("A"))).alias("correct"))
+
+
+def picked_part(variant: Column, part: Column) -> Column:
+    """The JSON text of the part with the number asked for, else of the only element; null otherwise."""
+    items = F.from_json(F.to_json(variant), "array<string>")
+    mine = F.filter(items, lambda raw: F.try_variant_get(F.try_parse_json(raw), "$.partNumber", "int") == part)
+    return F.coalesce(F.get(mine, 0), F.when(F.size(items) == 1, F.get(items, 0)))

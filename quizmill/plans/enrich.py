@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 
 def called(rows: DataFrame, column: str, model: Callable[[list[str]], list[str | None]], tries: int = 4) -> DataFrame:
@@ -24,3 +25,31 @@ def called(rows: DataFrame, column: str, model: Callable[[list[str]], list[str |
             yield pdf.assign(result=found, result_status=["failed" if x is None else "done" for x in found])
 
     return rows.mapInPandas(run, schema)
+
+
+def failure_kind(status: Column, message: Column) -> Column:
+    """What a failed model call means: quota, unavailable, json, network, auth, server, truncated or other."""
+    low = F.lower(F.coalesce(message, F.lit("")))
+    # Phrases of service errors.
+    phrases = {
+        "quota": ("quota", "resource_exhausted", "rate limit", "insufficient balance"),
+        "unavailable": ("unavailable", "high demand"),
+        "json": ("json", "unterminated string", "unexpected token"),
+        "network": ("terminated", "socket", "other side closed", "fetch failed", "network", "timeout", "aborted"),
+        "auth": ("invalid_api_key", "incorrect api key"),
+        "truncated": ("max_tokens", "maximum context", "output length", "truncated"),
+    }
+    codes = {"quota": status.isin(402, 429), "unavailable": status == 503, "auth": status.isin(401, 403)}
+    out = F.when(status >= 500, "server").otherwise("other")
+    for kind in reversed(phrases):
+        hit = codes.get(kind, F.lit(False))
+        for phrase in phrases[kind]:
+            hit = F.coalesce(hit, F.lit(False)) | low.contains(phrase)
+        out = F.when(hit, kind).otherwise(out)
+    return out
+
+
+def retry_delay_ms(message: Column) -> Column:
+    """Milliseconds that an error asks to wait, 120 seconds at most; null without a hint."""
+    seconds = F.coalesce(*[F.nullif(F.regexp_extract(message, p, 1), F.lit("")) for p in (r"(?i)retry in (\d+(?:\.\d+)?)\s*s", r'(?i)"retryDelay"\s*:\s*"(\d+(?:\.\d+)?)s"')])
+    return F.least(F.ceil(seconds.cast("double") * 1000), F.lit(120_000))

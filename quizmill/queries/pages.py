@@ -92,7 +92,7 @@ def clamped(t):
     return rows.select("vec_id", "b.*")
 
 
-@query("n15_raised_boxes", _BOX + "SELECT vec_id, x, y, greatest(0.02::DOUBLE, least(1.0::DOUBLE, w)) AS w, greatest(0.02::DOUBLE, least(1.0::DOUBLE, h)) AS h FROM cb")
+@query("n15_raised_boxes", _BOX + "SELECT vec_id, x, y, greatest(0.02::DOUBLE, least(1 - x, w)) AS w, greatest(0.02::DOUBLE, least(1 - y, h)) AS h FROM cb")
 def raised(t):
     return t.boxes().select("vec_id", raised_box(F.col("x"), F.col("y"), F.col("w"), F.col("h")).alias("b")).select("vec_id", "b.*")
 
