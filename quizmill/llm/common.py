@@ -39,8 +39,19 @@ def shared_dir(spark: SparkSession) -> str:
     return there
 
 
+def _run_folder(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/quizmill-{spark.sparkContext.applicationId}"
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A path of its own below this application's folder in the shared folder."""
+    return f"{_run_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def clear_written(spark: SparkSession) -> None:
+    """Deletes what this application has written to the shared folder; results not yet read are lost."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_run_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -50,6 +61,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def rows_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is in ``ids`` (column doc_id), or null; their columns as they were."""
+    null = docs.sparkSession.createDataFrame([(None,)], "doc_id long")
+    keep = ids.select("doc_id").where("doc_id is not null").distinct().unionByName(null).select(F.col("doc_id").alias("_keep"))
+    return docs.join(keep, docs["doc_id"].eqNullSafe(keep["_keep"]), "left_semi")
+
+
 def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 

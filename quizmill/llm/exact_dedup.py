@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quizmill.llm.common import SEPARATORS, new_path, table, text_or_empty, written
+from quizmill.llm.common import SEPARATORS, new_path, rows_of, table, text_or_empty, written
 
 
 def normalised(column: str = "text") -> Column:
@@ -41,7 +41,7 @@ def flush_runs(docs: DataFrame, digest_bytes: int) -> DataFrame:
 
 def compacted(runs: DataFrame) -> DataFrame:
     """Per digest: the row that stays (most code points, then smallest id) and the count."""
-    best = F.max(F.struct(F.col("points"), (-F.col("doc_id")).alias("minus_id")))
+    best = F.max(F.struct(F.col("doc_id").isNotNull().alias("named"), F.col("points"), (-F.col("doc_id")).alias("minus_id")))
     level = runs.groupBy("digest").agg(best.alias("best"), F.count("*").alias("group_size"), F.min("doc_id").alias("first_id"))
     return level.select("digest", (-F.col("best.minus_id")).alias("keep_id"), "group_size", "first_id")
 
@@ -53,7 +53,8 @@ def exact_dedup(docs: DataFrame, digest_bytes: int = 16) -> DataFrame:
     Texts are equal when they are identical without white space. Null texts count
     as empty; empty texts form one group. Repeated rows with one doc_id and one
     text count as members each and are all marked kept if their id stays. Ties
-    in length go to the smallest doc_id. No rows give no rows.
+    in length go to the smallest doc_id. Rows without doc_id stay only where no
+    row with one has their text. No rows give no rows.
     """
     runs = flush_runs(docs, digest_bytes)
     level = written(compacted(runs), "lsm-level")
@@ -72,12 +73,12 @@ def exact_dedup(docs: DataFrame, digest_bytes: int = 16) -> DataFrame:
         .select("doc_id", "digest", (F.col("bytes") == F.col("keeper_bytes")).alias("same"))
     )
     verified = written(same.groupBy("digest").agg(F.bool_and("same").alias("all_same")), "lsm-verified")
-    sure = hits.join(verified.where("all_same"), "digest").select("doc_id", "keep_id", "group_size", "text_sha256")
+    sure = hits.join(verified, "digest", "left").where("coalesce(all_same, true)").select("doc_id", "keep_id", "group_size", "text_sha256")
     out = single.unionByName(sure)
     collided = verified.where("not all_same")
     if collided.count():
         out = out.unionByName(_by_bytes(hits.join(collided.select("digest"), "digest"), texts))
-    return out.select("doc_id", "keep_id", "group_size", (F.col("doc_id") == F.col("keep_id")).alias("kept"), "text_sha256")
+    return out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
 
 def _by_bytes(hits: DataFrame, texts: DataFrame) -> DataFrame:
@@ -89,9 +90,8 @@ def _by_bytes(hits: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def kept_documents(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay, with their columns as they were."""
-    keep = exact_dedup(docs).where("kept").select(F.col("doc_id").alias("_keep")).distinct()
-    return docs.join(keep, docs["doc_id"] == keep["_keep"], "left_semi")
+    """The rows of ``docs`` that stay, with their columns as they were; rows without doc_id all stay."""
+    return rows_of(docs, exact_dedup(docs).where("kept"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

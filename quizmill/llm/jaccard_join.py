@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quizmill.llm.common import mixed, table, written
+from quizmill.llm.common import mixed, rows_of, table, written
 from quizmill.llm.components import components
 from quizmill.llm.shingles import set_tags, shingle_sets
 
@@ -283,7 +283,8 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     ``docs`` needs doc_id (unique) and text; other columns are ignored. A-Z count
     as a-z. Texts of one to four words are one shingle; null and empty texts, or
     texts of white space, have none and stay alone. Rows that repeat a doc_id
-    with the same text come out once each, alike. No rows give no rows.
+    with the same text come out once each, alike. Rows without doc_id take the
+    component of a row with their set of shingles, or none. No rows give no rows.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -297,8 +298,9 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     frequent = spark.sparkContext.broadcast(listed.astype(np.int64).view(np.uint64))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     packed = rows.select("text").mapInArrow(_emit_blocks(parts, frequent), "part int, packed binary")
+    named_nodes = nodes.where("node is not null").select(F.col("t1").alias("tag"), "n", "node")
     tagged = written(packed.groupBy("part").applyInPandas(_shared_blocks, "block long, tag long, n long"), "near-blocks")
-    met = written(tagged.join(nodes.select(F.col("t1").alias("tag"), "n", "node"), ["tag", "n"]).select("block", "node", "n"), "near-met")
+    met = written(tagged.join(named_nodes, ["tag", "n"]).select("block", "node", "n"), "near-met")
     candidates = written(met.select("node").distinct(), "near-candidates")
     links = None
     if some := candidates.count():
@@ -344,9 +346,8 @@ def _links(met: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def one_per_component(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose id names its component, with their columns as they were."""
-    keep = jaccard_components(docs).where("doc_id = component_id").select(F.col("doc_id").alias("_keep")).distinct()
-    return docs.join(keep, docs["doc_id"] == keep["_keep"], "left_semi")
+    """The rows of ``docs`` whose id names its component, with their columns as they were; rows without doc_id all stay."""
+    return rows_of(docs, jaccard_components(docs).where("doc_id = component_id"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -55,16 +55,16 @@ def draw(doc_id: Column, seed: str = SEED) -> Column:
 
 
 def with_copies(docs: DataFrame) -> DataFrame:
-    """``docs`` with _size, _source_size, _target and _copies."""
-    sized = docs.withColumn("_size", word_count())
-    rates = written(source_rates(sized.select("source", F.col("_size").alias("size"))), "mix-rates")
-    rates = rates.select(F.col("source").alias("_source"), F.col("source_size").alias("_source_size"), F.col("target").alias("_target"), F.col("rate").alias("_rate"))
+    """Each row of ``docs`` as ``row``, with doc_id, size, source_size, target and copies."""
+    sized = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), "doc_id", "source", word_count().alias("size"))
+    rates = written(source_rates(sized.select("source", "size")), "mix-rates")
+    rates = rates.select(F.col("source").alias("_source"), "source_size", "target", "rate")
     if rates.count() <= BROADCAST_SOURCES:
         rates = F.broadcast(rates)
     joined = sized.join(rates, sized["source"].eqNullSafe(rates["_source"]))
-    whole = F.floor("_rate")
-    extra = F.when(draw(F.col("doc_id")) < F.col("_rate") - whole, 1).otherwise(0)
-    return joined.withColumn("_copies", (whole + extra).cast("int")).drop("_source", "_rate")
+    whole = F.floor("rate")
+    extra = F.when(draw(F.col("doc_id")) < F.col("rate") - whole, 1).otherwise(0)
+    return joined.select("row", "doc_id", "size", "source_size", "target", (whole + extra).cast("int").alias("copies"))
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
@@ -73,9 +73,8 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     Null sources form a source of their own. Documents without words weigh
     nothing and come out by the same draw. A source of size 0 gives no rows.
     """
-    copies = with_copies(docs).where("_copies > 0")
-    copies = copies.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
-    return copies.select(*[copies[f"`{c}`"] for c in docs.columns])
+    copies = with_copies(docs).where("copies > 0")
+    return copies.select("row", F.explode(F.sequence(F.lit(1), "copies"))).select("row.*")
 
 
 def mix(docs: DataFrame) -> DataFrame:
@@ -84,9 +83,8 @@ def mix(docs: DataFrame) -> DataFrame:
     ``docs`` needs doc_id, text and source. Null texts have size 0; repeated
     rows are rows of their own with equal draws; no rows give no rows.
     """
-    return with_copies(docs.select("doc_id", "text", "source")).select(
-        "doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), (F.col("_size") * F.col("_copies")).alias("taken"),
-    )
+    rows = with_copies(docs.select("doc_id", "text", "source"))
+    return rows.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -160,7 +160,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS) ->
     ranked = usable.withColumn("_draw", F.pmod(F.xxhash64("_id", F.lit(5)), F.lit(1 << 40)))
     count = max(1, usable.count())
     some = ranked.where(F.col("_draw") < F.lit(int((1 << 40) * min(1.0, most / count)))).limit(2 * most)
-    return docs.join(F.broadcast(some), docs["doc_id"] == some["_id"]).select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "quality")
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    return texts.join(F.broadcast(some), texts["doc_id"] == some["_id"]).select("doc_id", "text", "quality")
 
 
 def fitted(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS) -> tuple[np.ndarray, float]:

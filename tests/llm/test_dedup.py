@@ -77,3 +77,11 @@ def test_exact_empty_and_repeated(spark):
     assert sorted((r.doc_id, r.keep_id, r.group_size, r.kept) for r in got) == [(1, 2, 3, False), (1, 2, 3, False), (2, 2, 3, True), (3, 3, 1, True)]
     kept = exact_dedup.kept_documents(made(spark, [(1, "a"), (2, "a"), (3, "b")]))
     assert {r.doc_id for r in kept.collect()} == {1, 3}
+
+
+def test_rows_without_id(spark):
+    rows = [(None, "a b c d e f"), (1, "a b  c d e f"), (None, "z y x w v u"), (None, "z y x w v u"), (2, None)]
+    got = exact_dedup.exact_dedup(made(spark, rows)).collect()
+    assert sorted((r.doc_id or 0, r.keep_id or 0, r.group_size, r.kept) for r in got) == [(0, 0, 2, True), (0, 0, 2, True), (0, 1, 2, False), (1, 1, 2, True), (2, 2, 1, True)]
+    assert exact_dedup.kept_documents(made(spark, rows)).count() == 5
+    assert jaccard_join.one_per_component(made(spark, rows)).count() == 5

@@ -16,7 +16,7 @@ WORD = brute.WORD
 
 def made(spark, rows):
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    return df.withColumns({"size": F.lit(1), "rate": F.lit("x"), "_size": F.lit(2), "bucket_len": F.lit(3), "top": F.lit(4), "score": F.lit(5)})
+    return df.withColumns({"size": F.lit(1), "rate": F.lit("x"), "_size": F.lit(2), "bucket_len": F.lit(3), "top": F.lit(4), "score": F.lit(5), "quality": F.lit(6), "copies": F.lit(7), "row": F.lit(8)})
 
 
 def corpus(seed: int, n: int = 300):
@@ -73,6 +73,7 @@ def test_mix_copies_follow_the_table(spark):
     assert out.columns == docs.columns
     got: dict = {}
     for r in out.collect():
+        assert (r.size, r._size, r.row) == (1, 2, 8)
         got[r.doc_id] = got.get(r.doc_id, 0) + len(WORD.findall(r.text or ""))
     assert {i: n for i, n in got.items() if n} == {i: n for i, n in want.items() if n}
     assert sorted(map(tuple, mixing.mix(docs).collect())) == sorted(map(tuple, mixing.mix(docs.repartition(7)).collect()))
