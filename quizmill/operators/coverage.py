@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quizmill.functions.numbers import part_of_number
 from quizmill.model import PART_RANGES
 
 
@@ -13,12 +14,15 @@ def parts_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(p, a, b) for p, (a, b, _) in PART_RANGES.items()], "part_number int, first int, last int")
 
 
-def missing_numbers(found: DataFrame, key: str, spark: SparkSession) -> DataFrame:
-    """(key, part_number, question_number) expected in a part but not among ``found`` (key, question_number)."""
-    expected = parts_table(spark).select("part_number", F.explode(F.sequence("first", "last")).alias("question_number"))
-    keys = found.select(key).distinct()
-    everything = keys.join(F.broadcast(expected), how="cross")  # 200 fixed numbers a key
-    return everything.join(found.select(key, "question_number").distinct(), [key, "question_number"], "left_anti")
+def missing_numbers(found: DataFrame, key: str) -> DataFrame:
+    """(key, part_number, question_number) expected in a part but not among ``found`` (key, question_number).
+
+    One aggregate: the numbers of a key become an array (200 at most), and the expected ones not in it are exploded.
+    """
+    seen = found.groupBy(key).agg(F.collect_set("question_number").alias("seen"))
+    last = max(b for _, b, _ in PART_RANGES.values())
+    rows = seen.select(key, F.explode(F.array_except(F.sequence(F.lit(1), F.lit(last)), "seen")).alias("question_number"))
+    return rows.select(key, part_of_number(F.col("question_number")).alias("part_number"), "question_number")
 
 
 def islands(numbers: DataFrame, key: str, number: str) -> DataFrame:
@@ -35,7 +39,7 @@ def islands(numbers: DataFrame, key: str, number: str) -> DataFrame:
 def parse_summary(found: DataFrame, spark: SparkSession) -> DataFrame:
     """Per part: distinct numbers found, numbers expected, and what is missing as ranges (— if nothing)."""
     parts = parts_table(spark)
-    inside = found.join(F.broadcast(parts), F.col("question_number").between(F.col("first"), F.col("last")))
+    inside = found.withColumn("part_number", part_of_number(F.col("question_number"))).where("part_number is not null")
     counts = inside.groupBy("part_number").agg(F.countDistinct("question_number").alias("parsed"))
     expected = parts.select("part_number", F.explode(F.sequence("first", "last")).alias("question_number"))
     missing = islands(expected.join(found.select("question_number").distinct(), "question_number", "left_anti"), "part_number", "question_number")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quizmill.functions import text as T
 from quizmill.model import GRAPHIC_STARTS
-from quizmill.operators import booklet, coercion
+from quizmill.operators import booklet, coercion, extraction, graphics
 from quizmill.plans import enrich, stages
 from quizmill.queries.documents import _BOOK, booklets
 from quizmill.queries.pages import _SPANS, spans
@@ -184,3 +184,51 @@ def role_names(t):
 def row_guards(t):
     n = F.count("*")
     return t.attempts().groupBy("status").agg(n.alias("n"), (n == 0).alias("is_empty"), F.count("scope_part").alias("with_part"))
+
+
+@query("g6_photo_boxes")
+def photo_boxes(t):
+    """Labels of the photo questions at heights taken from the boxes."""
+    box = t.boxes().select(F.col("vec_id").alias("doc_id"), F.explode(F.array(*[F.struct(F.lit(n).alias("n"), F.lit(p).alias("page")) for n, p in graphics.PHOTO_PAGES.items()])).alias("l"), "x", "y")
+    y = F.least(F.lit(0.45), F.col("y")) + F.when(F.col("l.n") % 2 == 0, 0.4).otherwise(0.0)
+    rows = box.select("doc_id", "l.page", F.col("l.n").alias("idx"), F.concat(F.col("l.n").cast("string"), F.lit(".")).alias("text"), F.lit(0.05).alias("x"), y.alias("y"), F.lit(0.02).alias("w"), F.lit(0.02).alias("h"))
+    return graphics.photo_boxes(rows).select("doc_id", "page", "number", "box.*")
+
+
+def booklet_spans(t):
+    """Booklets as one line per span in one column, 40 lines a page."""
+    lines = booklets(t).select(F.abs(F.xxhash64("doc_id")).alias("doc_id"), F.posexplode(T.lines(F.col("text"))).alias("idx", "text"))
+    at = F.col("idx") % 40
+    return lines.select("doc_id", F.floor(F.col("idx") / 40).cast("int").alias("page"), "idx", "text", F.lit(0.08).alias("x"), (at.cast("double") / 40).alias("y"), F.lit(0.4).alias("w"), F.lit(0.01).alias("h"))
+
+
+@query("g7_passage_boxes")
+def passage_boxes(t):
+    return graphics.passage_boxes(booklet_spans(t)).select("doc_id", "page", "first_question", "last_question", "box.*")
+
+
+@query("g8_graphic_boxes")
+def graphic_boxes(t):
+    rows = booklet_spans(t)
+    numbers = graphics.question_places(rows).select("doc_id", F.col("number").alias("first_question"), F.col("number").alias("last_question")).distinct()
+    images = rows.where("idx % 40 = 0").select("doc_id", "page", F.lit(0.1).alias("x"), F.lit(0.2).alias("y"), F.lit(0.3).alias("w"), F.lit(0.2).alias("h"))
+    return graphics.graphic_boxes(rows, images, numbers).select("doc_id", "page", "first_question", "box.*")
+
+
+@query("x8_transcripts")
+def transcripts(t):
+    """Conversations as talks of the conversation parts."""
+    said = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda s: F.concat(F.lit("M-Cn "), s["text"])), "\n")
+    talks = t.raw("conversations").groupBy("conv_id").agg(said.alias("said"))
+    first = F.when(F.col("conv_id") % 2 == 0, "32-34\n").otherwise("71-73\n")
+    sections = talks.select("conv_id", F.when(F.col("conv_id") % 2 == 0, 3).otherwise(4).alias("part_number"), F.concat(first, "said").alias("section"))
+    return extraction.transcripts(sections, "conv_id")
+
+
+@query("x10_listening_items")
+def listening_items(t):
+    blocks = booklet.question_blocks(booklets(t)).withColumn("stem", booklet.response_stem(F.col("block"), F.col("question_number"))).withColumn("options", booklet.block_options(F.col("block")))
+    answers = t.questions().select(F.concat_ws("-", F.col("test_id").cast("string"), "group_name").alias("doc_id"), "question_number", F.col("correct").alias("letter")).groupBy("doc_id", "question_number").agg(F.min("letter").alias("letter"))
+    talks = answers.where("question_number between 32 and 100").select("doc_id", F.col("question_number").alias("first_question"), F.lit("talk").alias("transcript"))
+    rows = extraction.listening_items(blocks.select("doc_id", "question_number", "stem", "options"), answers, talks)
+    return rows.withColumn("options", F.array_join("options", "|"))

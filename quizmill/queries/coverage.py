@@ -29,7 +29,7 @@ SELECT k.user_id, p.part_number, n.i::INTEGER AS question_number FROM (SELECT DI
 WHERE n.i BETWEEN p.first AND p.last AND NOT EXISTS (SELECT 1 FROM found f WHERE f.user_id = k.user_id AND f.question_number = n.i)
 """)
 def missing(t):
-    return coverage.missing_numbers(numbers(t), "user_id", t.spark)
+    return coverage.missing_numbers(numbers(t), "user_id")
 
 
 @query("a11_gap_islands", _FOUND + """,
