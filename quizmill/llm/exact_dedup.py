@@ -11,7 +11,11 @@ bytes themselves, so that the digest's width never affects the result.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import hashlib
+import uuid
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quizmill.llm.common import SEPARATORS, new_path, rows_of, table, text_or_empty, written
@@ -21,43 +25,64 @@ def normalised(column: str = "text") -> Column:
     return F.translate(text_or_empty(column), SEPARATORS, "")
 
 
-def flush_runs(docs: DataFrame, digest_bytes: int) -> DataFrame:
-    """One sorted run with a Bloom filter per task: (doc_id, digest, text_sha256, points)."""
-    runs = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
-        F.sha2(F.encode(normalised(), "utf-8"), 256).alias("text_sha256"),
-        F.char_length(text_or_empty()).cast("long").alias("points"),
-    ).withColumn("digest", F.substring("text_sha256", 1, 2 * digest_bytes))
-    path = new_path(docs.sparkSession, "lsm-runs")
-    (
-        runs.sortWithinPartitions("digest", "doc_id")
-        .write.option("compression", "zstd")
-        .option("parquet.bloom.filter.enabled#digest", "true")
-        .option("parquet.bloom.filter.max.bytes", str(1 << 18))
-        .parquet(path)
-    )
-    return docs.sparkSession.read.schema(runs.schema).parquet(path)
+class DigestIndex:
+    """Sorted digest runs and a compacted level below one folder of the shared file system.
 
+    Files are sorted by digest and carry a Bloom filter on it, so that ``find``
+    opens only row groups that may hold a digest.
+    """
 
-def compacted(runs: DataFrame) -> DataFrame:
-    """Per digest: the row that stays (most code points, then smallest id) and the count."""
-    best = F.max(F.struct(F.col("doc_id").isNotNull().alias("named"), F.col("points"), (-F.col("doc_id")).alias("minus_id")))
-    level = runs.groupBy("digest").agg(best.alias("best"), F.count("*").alias("group_size"), F.min("doc_id").alias("first_id"))
-    return level.select("digest", (-F.col("best.minus_id")).alias("keep_id"), "group_size", "first_id")
+    def __init__(self, spark: SparkSession, folder: str | None = None, digest_bytes: int = 16):
+        self.spark, self.folder, self.digest_bytes = spark, folder or new_path(spark, "lsm"), digest_bytes
+        self.waiting: list[DataFrame] = []
+        self.level: DataFrame | None = None
+
+    def _write(self, rows: DataFrame, kind: str) -> DataFrame:
+        path = f"{self.folder}/{kind}-{uuid.uuid4().hex}"
+        sorted_rows = rows.sortWithinPartitions("digest").write.option("compression", "zstd")
+        sorted_rows.option("parquet.bloom.filter.enabled#digest", "true").option("parquet.bloom.filter.max.bytes", str(1 << 18)).parquet(path)
+        return self.spark.read.schema(rows.schema).parquet(path)
+
+    def flush(self, docs: DataFrame) -> DataFrame:
+        """Writes the documents' digests, one sorted run per task: (doc_id, text_sha256, points, digest)."""
+        rows = docs.select(
+            F.col("doc_id").cast("long").alias("doc_id"),
+            F.sha2(F.encode(normalised(), "utf-8"), 256).alias("text_sha256"),
+            F.char_length(text_or_empty()).cast("long").alias("points"),
+        )
+        run = self._write(rows.withColumn("digest", F.substring("text_sha256", 1, 2 * self.digest_bytes)), "run")
+        self.waiting.append(run)
+        return run
+
+    def compact(self) -> DataFrame:
+        """Merges waiting runs into the level: per digest the row that stays, the number of rows and the smallest id."""
+        found = [r.select("digest", F.col("doc_id").alias("keep_id"), "points", F.lit(1).cast("long").alias("group_size"), F.col("doc_id").alias("first_id")) for r in self.waiting]
+        merged = reduce(DataFrame.unionByName, [*found, *([self.level] if self.level else [])])
+        best = F.max(F.struct(F.col("keep_id").isNotNull().alias("named"), F.col("points"), (-F.col("keep_id")).alias("minus_id"))).alias("best")
+        level = merged.groupBy("digest").agg(best, F.sum("group_size").alias("group_size"), F.min("first_id").alias("first_id"))
+        self.level = self._write(level.select("digest", (-F.col("best.minus_id")).alias("keep_id"), "best.points", "group_size", "first_id"), "level")
+        self.waiting = []
+        return self.level
+
+    def find(self, texts: list[str]) -> DataFrame:
+        """Rows of the level for the given texts: a lookup by pushed-down digests."""
+        digests = [hashlib.sha256(t.translate(dict.fromkeys(map(ord, SEPARATORS))).encode()).hexdigest()[: 2 * self.digest_bytes] for t in texts]
+        return (self.level or self.compact()).where(F.col("digest").isin(digests))
 
 
 def exact_dedup(docs: DataFrame, digest_bytes: int = 16) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256, one row for each row of ``docs``.
 
-    ``docs`` needs doc_id (unique, not null) and text; other columns are ignored.
+    ``docs`` needs doc_id (unique) and text; other columns are ignored.
     Texts are equal when they are identical without white space. Null texts count
     as empty; empty texts form one group. Repeated rows with one doc_id and one
     text count as members each and are all marked kept if their id stays. Ties
     in length go to the smallest doc_id. Rows without doc_id stay only where no
     row with one has their text. No rows give no rows.
     """
-    runs = flush_runs(docs, digest_bytes)
-    level = written(compacted(runs), "lsm-level")
+    index = DigestIndex(docs.sparkSession, digest_bytes=digest_bytes)
+    runs = index.flush(docs)
+    level = index.compact().select("digest", "keep_id", "group_size")
     found = written(runs.join(level, "digest"), "lsm-found")
     hits = found.where("group_size > 1")
     single = found.where("group_size = 1").select("doc_id", "keep_id", "group_size", "text_sha256")

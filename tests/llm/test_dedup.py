@@ -85,3 +85,14 @@ def test_rows_without_id(spark):
     assert sorted((r.doc_id or 0, r.keep_id or 0, r.group_size, r.kept) for r in got) == [(0, 0, 2, True), (0, 0, 2, True), (0, 1, 2, False), (1, 1, 2, True), (2, 2, 1, True)]
     assert exact_dedup.kept_documents(made(spark, rows)).count() == 5
     assert jaccard_join.one_per_component(made(spark, rows)).count() == 5
+
+
+def test_index_grows_by_runs(spark):
+    index = exact_dedup.DigestIndex(spark)
+    index.flush(made(spark, [(5, "a b"), (6, "c")]))
+    index.flush(made(spark, [(3, "ab")]))
+    assert {(r.keep_id, r.group_size, r.first_id) for r in index.compact().collect()} == {(5, 2, 3), (6, 1, 6)}
+    index.flush(made(spark, [(2, " a b "), (1, "d")]))
+    index.compact()
+    assert [(r.keep_id, r.points, r.group_size, r.first_id) for r in index.find(["ab"]).collect()] == [(2, 5, 3, 2)]
+    assert index.find(["nothing"]).count() == 0
