@@ -302,21 +302,21 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     tagged = written(packed.groupBy("part").applyInPandas(_shared_blocks, "block long, tag long, n long"), "near-blocks")
     met = written(tagged.join(named_nodes, ["tag", "n"]).select("block", "node", "n"), "near-met")
     candidates = written(met.select("node").distinct(), "near-candidates")
-    links = None
+    labels = spark.createDataFrame([], "node long, label long")
     if some := candidates.count():
         bits, filled = _candidate_filter(candidates, some)
         wanted = spark.sparkContext.broadcast(filled)
         slotted = rows.withColumn("slot", F.pmod(F.xxhash64("doc_id"), F.lit(bits)))
         schema = "node long, members binary, " + ", ".join(f"s{k} long" for k in range(SKETCH_WORDS))
         sets = written(slotted.mapInArrow(_emit_sets(bits, wanted), schema), "near-sets")
-        links = _links(met, sets)
-    labels = components(links) if links is not None else spark.createDataFrame([], "node long, label long")
+        labels = _labels(met, sets)
     named = written(nodes.join(labels, "node", "left").select("t1", "t2", "n", F.coalesce("label", "node").alias("component_id")), "near-named")
     out = own.join(named, ["t1", "t2", "n"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def _links(met: DataFrame, sets: DataFrame) -> DataFrame:
+def _labels(met: DataFrame, sets: DataFrame) -> DataFrame:
+    """(node, label) of the components, for nodes with links."""
     sketches = sets.drop("members")
     # Centre links: in every block all members against the one that meets most others.
     sizes = written(met.groupBy("block").agg((F.count("*") - 1).alias("others")), "near-sizes")
@@ -342,7 +342,8 @@ def _links(met: DataFrame, sets: DataFrame) -> DataFrame:
     pairs = across.select(F.col("one.node").alias("u"), F.col("two.node").alias("v")).distinct()
     before = tested.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
     pairs = written(pairs.join(before, ["u", "v"], "left_anti"), "near-across")
-    return written(first.unionByName(_verified(pairs, sets)), "near-links")
+    more = written(_verified(pairs, sets), "near-links")
+    return components(first.unionByName(more)) if more.count() else labels
 
 
 def one_per_component(docs: DataFrame) -> DataFrame:
