@@ -18,8 +18,10 @@ QUERIES = {
 }
 
 SQL = {
+    "op1_remove_repeats": repeats.SQL,
     "op3_exact_dedup": exact_dedup.SQL,
     "op4_voronoi_top_k": knn_join.SQL,
     "op7_mix_sources": mixing.SQL,
     "op8_warc_normaliser": warc.SQL,
+    "op9_ngram_jaccard_join": jaccard_join.SQL,
 }

@@ -426,3 +426,18 @@ def query(spark, sf_dir: str) -> DataFrame:
     return cleaned.select(
         "doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).cast("long").alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"),
     )
+
+
+SQL = """
+WITH t AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+w AS (SELECT doc_id, i, substr(h, 2 * i + 1, 100) AS s FROM (SELECT doc_id, h, unnest(range(0, n - 49)) AS i FROM t WHERE n >= 50)),
+m AS (SELECT s, min(doc_id) AS first_id FROM w GROUP BY s),
+o AS (SELECT w.doc_id, w.i, lag(w.i) OVER (PARTITION BY w.doc_id ORDER BY w.i) AS prev FROM w JOIN m USING (s) WHERE m.first_id < w.doc_id),
+k AS (SELECT doc_id, i, sum((prev IS NULL OR i - prev > 50)::INT) OVER (PARTITION BY doc_id ORDER BY i) AS span FROM o),
+p AS (SELECT doc_id, span, min(i) AS a, max(i) + 50 AS b FROM k GROUP BY doc_id, span),
+c AS (SELECT p.doc_id, p.span, p.a, p.b, substr(t.h, 2 * coalesce(lag(p.b) OVER (PARTITION BY p.doc_id ORDER BY p.span), 0) + 1, 2 * (p.a - coalesce(lag(p.b) OVER (PARTITION BY p.doc_id ORDER BY p.span), 0))) AS piece FROM p JOIN t USING (doc_id)),
+g AS (SELECT doc_id, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans, string_agg(piece, '' ORDER BY span) AS head, max(b) AS last FROM c GROUP BY doc_id)
+SELECT t.doc_id, t.n AS n_bytes, coalesce(g.n_removed, 0) AS n_removed, coalesce(g.n_spans, 0) AS n_spans,
+  sha256(CASE WHEN g.doc_id IS NULL THEN unhex(t.h) ELSE unhex(coalesce(g.head, '') || substr(t.h, 2 * g.last + 1)) END) AS kept_sha256
+FROM t LEFT JOIN g USING (doc_id)
+"""
