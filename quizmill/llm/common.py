@@ -40,7 +40,10 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def _run_folder(spark: SparkSession) -> str:
-    return f"{shared_dir(spark)}/quizmill-{spark.sparkContext.applicationId}"
+    """This application's folder, with the file system's scheme, so that tasks without Hadoop's defaults find it too."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/quizmill-{spark.sparkContext.applicationId}")
+    whole = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    return "file://" + whole.removeprefix("file:") if whole.startswith("file:/") and not whole.startswith("file://") else whole
 
 
 def new_path(spark: SparkSession, name: str) -> str:
