@@ -27,7 +27,8 @@ from quizmill.llm.common import table
 TRAIN_DOCS = 6_000
 BUCKETS = 1 << 17
 DIM = 8
-EPOCHS = 6
+#: Passes over the sample: at least so many, more for small samples to come near LEAST_STEPS, at most MOST_EPOCHS.
+EPOCHS, LEAST_STEPS, MOST_EPOCHS = 6, 20_000, 60
 RATE = 0.4
 THRESHOLD = 0.3
 REPEATED = 0
@@ -95,8 +96,9 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 7) -> tuple[np.ndarr
     for text in texts:
         found, times = np.unique(features(text), return_counts=True)
         bags.append((found, (times / max(1, times.sum())).astype(np.float32)))
-    steps, total = 0, EPOCHS * max(1, len(bags))
-    for _ in range(EPOCHS):
+    epochs = min(MOST_EPOCHS, max(EPOCHS, -(-LEAST_STEPS // max(1, len(bags)))))
+    steps, total = 0, epochs * max(1, len(bags))
+    for _ in range(epochs):
         for i in rng.permutation(len(bags)):
             rate = np.float32(RATE * (1 - steps / total))
             steps += 1
