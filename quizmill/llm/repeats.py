@@ -15,6 +15,9 @@ is one string of the collection of its anchor's part, so a construction takes at
 most 113 rounds. Anchors that one document alone holds cannot bring repeats; a
 filter of fixed maximal size, built from the anchors of all documents in a first
 pass, keeps most of them from being shuffled at all (its false hits cost time only).
+
+Anchors with more runs than a collection takes go another way, so that no task
+gets all runs of one: see ``common_spans``.
 """
 
 from __future__ import annotations
@@ -36,7 +39,7 @@ ANCHOR = 20
 RUN = 64
 #: Bits of the anchor filter that tasks get: 32 MB at most.
 FILTER_BITS_MOST = 1 << 28
-#: Runs of one collection at most (more only where one anchor has more); equal ones become one string.
+#: Runs of one collection at most; equal ones become one string. Anchors with more runs are common ones.
 COLLECTION = 12_000
 _CHUNK = 1 << 18
 _FAR = np.iinfo(np.int64).max
@@ -91,7 +94,7 @@ def _cuts(sorted_values: np.ndarray) -> np.ndarray:
 
 
 def _emit_anchors(parts: int):
-    """Per batch and part the distinct anchors: those of one document, then those of several."""
+    """Per batch and part the distinct anchors, those of one document, then those of several, and their numbers of runs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -105,24 +108,28 @@ def _emit_anchors(parts: int):
                 continue
             order = np.argsort(anchor)
             anchor, owner = anchor[order], owner[order]
-            cuts = _cuts(anchor)[:-1]
+            cuts = _cuts(anchor)
+            count = np.minimum(np.diff(cuts), 0xFFFF).astype(np.uint16)
+            cuts = cuts[:-1]
             several = np.minimum.reduceat(owner, cuts) != np.maximum.reduceat(owner, cuts)
             anchor = anchor[cuts]
             part = _part_of(anchor, parts)
             order = np.lexsort((several, part))
-            anchor, part, several = (anchor[order] >> np.uint64(16)), part[order], several[order]
+            anchor, part, several, count = (anchor[order] >> np.uint64(16)), part[order], several[order], count[order]
             at = _cuts(part)
             names, blobs = [], []
             for a, b in zip(at[:-1], at[1:], strict=True):
                 names.append(int(part[a]))
                 short = np.ascontiguousarray(anchor[a:b].view(np.uint8).reshape(-1, 8)[:, :6])
-                blobs.append(np.array([b - a, several[a:b].sum()], np.uint32).tobytes() + short.tobytes())
+                blobs.append(np.array([b - a, several[a:b].sum()], np.uint32).tobytes() + short.tobytes() + count[a:b].tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array(blobs, pa.binary())], names=["part", "packed"])
 
     return run
 
 
-def _shared_anchors(most_bits: int):
+def _shared_anchors(most_bits: int, most: int):
+    """A part's anchor filter, and its anchors with more than ``most`` runs."""
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         one, more = [], []
         for blob in pdf["packed"]:
@@ -130,25 +137,29 @@ def _shared_anchors(most_bits: int):
             wide = np.zeros((n, 8), np.uint8)
             wide[:, :6] = np.frombuffer(blob, np.uint8, 6 * n, 8).reshape(-1, 6)
             anchor = wide.view(np.uint64).ravel()
-            one.append(anchor)
+            one.append(anchor << np.uint64(16) | np.frombuffer(blob, np.uint16, n, 8 + 6 * n))
             more.append(anchor[n - several :])
-        seen = np.sort(np.concatenate(one))
+        counted = np.sort(np.concatenate(one))
+        seen = counted >> np.uint64(16)
+        cuts = _cuts(seen)[:-1]
+        common = seen[cuts][np.add.reduceat((counted & np.uint64(0xFFFF)).astype(np.int64), cuts) > most]
         shared = np.unique(np.concatenate([seen[1:][seen[1:] == seen[:-1]], *more]))
+        common = common[np.isin(common, shared)]
         bits = 64
         while bits < min(16 * len(shared), most_bits):
             bits *= 2
         flags = np.zeros(bits, np.uint8)
         flags[(mixed(shared) & np.uint64(bits - 1)).astype(np.int64)] = 1
-        return pd.DataFrame({"part": [pdf["part"].iloc[0]], "bits": [bits], "filled": [np.packbits(flags, bitorder="little").tobytes()]})
+        return pd.DataFrame({"part": [pdf["part"].iloc[0]], "bits": [bits], "filled": [np.packbits(flags, bitorder="little").tobytes()], "common": [common.tobytes()]})
 
     return run
 
 
 class AnchorFilter:
-    """One small bit set per part."""
+    """One small bit set per part, and the common anchors, which belong to no part."""
 
-    def __init__(self, parts: int, rows: list[tuple[int, int, bytes]]):
-        self.parts = parts
+    def __init__(self, parts: int, rows: list[tuple[int, int, bytes]], common: np.ndarray):
+        self.parts, self.common = parts, np.unique(common)
         self.mask, self.start, pieces, at = np.zeros(parts, np.uint64), np.zeros(parts, np.int64), [bytes(8)], 64
         for part, bits, filled in rows:
             self.mask[part], self.start[part] = bits - 1, at
@@ -158,7 +169,13 @@ class AnchorFilter:
 
     def of(self, anchor: np.ndarray, part: np.ndarray) -> np.ndarray:
         at = self.start[part] + (mixed(anchor >> np.uint64(16)) & self.mask[part]).astype(np.int64)
-        return (self.filled[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+        return ((self.filled[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1) & ~self.is_common(anchor)
+
+    def is_common(self, anchor: np.ndarray) -> np.ndarray:
+        if not len(self.common):
+            return np.zeros(len(anchor), bool)
+        short = anchor >> np.uint64(16)
+        return self.common[np.minimum(np.searchsorted(self.common, short), len(self.common) - 1)] == short
 
 
 _ENTRY = np.dtype([("doc", "<i8"), ("anchor", "<u8"), ("pos", "<i4"), ("count", "u1")])
@@ -208,6 +225,26 @@ def _emit_runs(parts: int, wanted):
     return run
 
 
+def _emit_common(wanted):
+    """(run, doc, pos): the runs of common anchors."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep = wanted.value
+        for batch in batches:
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            for row, _, offsets, raw in blocks(batch.column(1), _CHUNK):
+                starts, counts, anchor = anchor_runs(offsets, raw)
+                hit = keep.is_common(anchor)
+                starts, size = starts[hit], counts[hit] + LENGTH - 1
+                own = np.searchsorted(offsets, starts, side="right") - 1
+                ends = np.concatenate(([0], np.cumsum(size))).astype(np.int64)
+                texts = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(_gather(raw, starts, size).tobytes())])
+                columns = [texts.cast(pa.binary()), pa.array(ids[row + own], pa.int64()), pa.array(starts - offsets[own], pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, names=["run", "doc", "pos"])
+
+    return run
+
+
 def collection_order(symbols: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(string, suffix length, common) of a collection's suffixes of LENGTH bytes or more, in lexical order.
 
@@ -351,11 +388,53 @@ def _found_in_part(pdf: pd.DataFrame, parts: int) -> pd.DataFrame:
         a = b
     none = np.zeros(0, np.int64)
     doc, start, end = (np.concatenate(x) for x in zip((none, none, none), *found, strict=True))
+    bucket, packed = _dealt(doc, start, end, parts)
+    return pd.DataFrame({"bucket": bucket, "packed": packed})
+
+
+def _dealt(doc: np.ndarray, start: np.ndarray, end: np.ndarray, parts: int) -> tuple[np.ndarray, list[bytes]]:
+    """Buckets and their packed triples, dealt out by document."""
     bucket = (mixed(doc.view(np.uint64), 9) % np.uint64(parts)).astype(np.int32)
     order = np.lexsort((start, doc, bucket))
     bucket, triples = bucket[order], np.stack([doc, start, end], axis=1)[order]
     at = _cuts(bucket)
-    return pd.DataFrame({"bucket": bucket[at[:-1]], "packed": [triples[x:y].tobytes() for x, y in zip(at[:-1], at[1:], strict=True)]})
+    return bucket[at[:-1]], [triples[x:y].tobytes() for x, y in zip(at[:-1], at[1:], strict=True)]
+
+
+def _dealt_spans(parts: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bucket, packed = _dealt(*(c.to_numpy(zero_copy_only=False) for c in batch.columns), parts)
+            yield pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), pa.array(packed, pa.binary())], names=["bucket", "packed"])
+
+    return run
+
+
+def _met(rows: DataFrame, few: DataFrame, key: str, most: int) -> DataFrame:
+    """``rows`` joined with ``few``, which has a key once and the number n of its rows; keys with more than ``most`` rows are broadcast, so none fills a task."""
+    heavy = few.where(F.col("n") > most)
+    rest = rows.join(F.broadcast(heavy.select(key)), key, "left_anti")
+    return rows.join(F.broadcast(heavy), key).unionByName(rest.join(few.where(F.col("n") <= most), key))
+
+
+def common_spans(runs: DataFrame, most: int) -> DataFrame:
+    """(doc, start, end): the repeats among the runs of common anchors, with map-side aggregates and joins.
+
+    Equal runs become one text with its smallest document: in every other document
+    the whole run is a repeat. In the smallest one a 50-byte string is a repeat if
+    another text that holds it has a smaller document.
+    """
+    runs = written(runs, "common-runs")
+    texts = runs.groupBy("run").agg(F.min("doc").alias("least"), F.count("*").alias("n"))
+    texts = written(texts.withColumn("id", F.monotonically_increasing_id()), "common-texts")
+    pieces = F.transform(F.sequence(F.lit(1), F.octet_length("run") - (LENGTH - 1)), lambda i: F.substring(F.col("run"), i, F.lit(LENGTH)))
+    strings = texts.select("id", "least", F.posexplode(pieces).alias("at", "string"))
+    firsts = strings.groupBy("string").agg(F.min("least").alias("first"), F.max("least").alias("last"), F.count("*").alias("n")).where("first < last").drop("last")
+    earlier = _met(strings, written(firsts, "common-firsts"), "string", most).where("first < least").select("id", "at")
+    found = _met(runs, texts, "run", most)
+    whole = found.where("doc > least").select("doc", F.col("pos").alias("start"), (F.col("pos") + F.octet_length("run")).alias("end"))
+    own = found.where("doc = least").select("id", "doc", "pos").join(earlier, "id").select("doc", (F.col("pos") + F.col("at")).alias("start"), (F.col("pos") + F.col("at") + LENGTH).alias("end"))
+    return whole.unionByName(own)
 
 
 def _merged(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -372,17 +451,26 @@ def _merged(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"doc_id": names, "packed": blobs})
 
 
-def repeated_spans(docs: DataFrame) -> DataFrame:
-    """(doc_id, packed): the repeated byte intervals of each document that has any, as pairs of 32-bit numbers."""
+def repeated_spans(docs: DataFrame, most: int | None = None) -> DataFrame:
+    """(doc_id, packed): the repeated byte intervals of each document that has any, as pairs of 32-bit numbers.
+
+    Anchors with more than ``most`` runs (COLLECTION) are common ones.
+    """
+    most = COLLECTION if most is None else most
     spark = docs.sparkSession
     rows = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     anchors = rows.select("text").mapInArrow(_emit_anchors(parts), "part int, packed binary")
-    shared = anchors.groupBy("part").applyInPandas(_shared_anchors(max(64, FILTER_BITS_MOST // parts)), "part int, bits long, filled binary")
-    pieces = [(r["part"], r["bits"], bytes(r["filled"])) for r in shared.collect()]  # at most FILTER_BITS_MOST bits, or 64 a part
-    wanted = spark.sparkContext.broadcast(AnchorFilter(parts, pieces))
+    shared = anchors.groupBy("part").applyInPandas(_shared_anchors(max(64, FILTER_BITS_MOST // parts), most), "part int, bits long, filled binary, common binary")
+    taken = shared.collect()  # at most FILTER_BITS_MOST bits, or 64 a part; and eight bytes for every common anchor
+    pieces = [(r["part"], r["bits"], bytes(r["filled"])) for r in taken]
+    common = np.frombuffer(b"".join(bytes(r["common"]) for r in taken), np.uint64)
+    wanted = spark.sparkContext.broadcast(AnchorFilter(parts, pieces, common))
     runs = rows.mapInArrow(_emit_runs(parts, wanted), "part int, packed binary")
     found = runs.groupBy("part").applyInPandas(_repeats_in_part(parts), "bucket int, packed binary")
+    if len(common):
+        spans = common_spans(rows.mapInArrow(_emit_common(wanted), "run binary, doc long, pos long"), most)
+        found = found.unionByName(spans.mapInArrow(_dealt_spans(parts), "bucket int, packed binary"))
     return found.groupBy("bucket").applyInPandas(_merged, "doc_id long, packed binary")
 
 

@@ -1,9 +1,12 @@
 import hashlib
 import random
 import re
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from quizmill.llm import pii, repeats, secrets, warc
@@ -50,6 +53,45 @@ def test_repeats_small_collections(spark, monkeypatch):
     assert removed(repeats.remove_repeats(made(spark, rows))) == brute.repeats(rows)
 
 
+def common_rows() -> list[tuple[int, str]]:
+    """One passage in every document, copied texts, and passages that meet it at its edges in several documents."""
+    rng = random.Random(8)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 8))) for _ in range(300)]
+
+    def text(n):
+        return " ".join(rng.choice(words) for _ in range(n))
+
+    passage, tails, copied = text(40), [text(3) for _ in range(5)], text(60)
+    rows = [(i, f"{text(rng.randint(0, 30))} {rng.choice(tails)[-rng.randint(1, 12) :]}{passage}{rng.choice(tails)[: rng.randint(1, 12)]}{text(rng.randint(0, 30))}") for i in range(1, 160)]
+    return rows + [(200 + i, copied if i % 2 else copied + passage) for i in range(40)]
+
+
+def test_repeats_of_common_anchors(spark):
+    rows, most = common_rows(), 20
+    docs = made(spark, rows)
+    spans = {r.doc_id: r.packed for r in repeats.repeated_spans(docs, most).collect()}
+    assert spans == {r.doc_id: r.packed for r in repeats.repeated_spans(docs, 1 << 30).collect()}
+    raw = {i: t.encode() for i, t in rows}
+    got = {i: sum(int(x) for x in np.diff(np.frombuffer(spans.get(i, b""), np.int32).reshape(-1, 2)).ravel()) for i in raw}
+    assert got == {i: n for i, (_, n, *_) in brute.repeats(rows).items()}
+
+
+def test_no_collection_beyond_its_size(spark):
+    """The runs that go to parts' tasks are those of anchors that a collection can take."""
+    most = 20
+    ids, texts = (pa.array(x) for x in zip(*common_rows(), strict=True))
+    offered = list(repeats._emit_anchors(1)(iter([pa.RecordBatch.from_arrays([texts], names=["text"])])))
+    row = repeats._shared_anchors(1 << 20, most)(offered[0].to_pandas()).iloc[0]
+    common = np.frombuffer(row["common"], np.uint64)
+    wanted = SimpleNamespace(value=repeats.AnchorFilter(1, [(0, row["bits"], row["filled"])], common))
+    docs = [pa.RecordBatch.from_arrays([ids, texts], names=["doc_id", "text"])]
+    packed = next(repeats._emit_runs(1, wanted)(iter(docs))).column("packed")[0].as_py()
+    n, blob = int(np.frombuffer(packed, np.int64, 1)[0]), zstandard.ZstdDecompressor().decompress(packed[8:])
+    sizes = np.unique(np.frombuffer(blob, np.uint64, n, 8 * n), return_counts=True)[1]
+    assert len(common) and sizes.max() <= most
+    assert sum(b.num_rows for b in repeats._emit_common(wanted)(iter(docs))) > most * len(common)
+
+
 def test_repeats_on_documents(spark):
     docs = spark.read.parquet(f"{brute.DATA}/documents.parquet")
     rows = [(r.doc_id, r.text) for r in docs.collect()]
