@@ -104,6 +104,13 @@ def transcripts(t):
     return rows.where("size > 0")
 
 
+@query("x9_clean_all_transcripts")
+def all_transcripts(t):
+    """Every document, whatever its language; no SQL, as DuckDB's white space differs."""
+    cleaned = t.raw("documents").select("doc_id", "lang", extraction.clean_transcript(F.coalesce("text", F.lit(""))).alias("transcript"))
+    return cleaned.withColumn("size", F.char_length("transcript"))
+
+
 @query("x17_garbled_lines", """,
 li AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents), s AS (SELECT doc_id, trim(line) AS s, length(regexp_replace(line, '[^A-Za-z]', '', 'g')) AS letters FROM li)
 SELECT doc_id, count(*) FILTER (s NOT IN ('', '-') AND ((length(s) >= 3 AND letters = 0) OR regexp_matches(s, '[~^_=<>{}\\\\|¬`]') OR (regexp_matches(s, '[^A-Za-z0-9\\s]{2}') AND letters < length(s) * 0.6)

@@ -1,8 +1,13 @@
+import re
+
 from pyspark.sql import functions as F
 
+from quizmill.catalog import QUERIES
 from quizmill.functions import text as T
 from quizmill.operators import classify, coverage, extraction
 
+DATA = "/root/testdata/sf0.001"
+
 
 def docs(spark, *texts):
     return spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
@@ -34,6 +39,25 @@ def test_passages(spark):
     assert [(r.first_question, r.last_question, r.passage) for r in rows] == [(131, 134, "Dear reader, this is long enough.")]
 
 
+def cleaned(raw: str | None) -> str:
+    """The platform's rules by hand."""
+    space = "\t\n\x0b\x0c\r \xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+    s = f"[{space}]"
+    rules = [rf"PART{s}*[0-9]", rf"[0-9]{{1,3}}{s}*-{s}*[0-9]{{1,3}}\b", rf"TEST{s}+[0-9]", "GO ON TO THE NEXT PAGE", rf"[0-9]{{1,3}}{s}*[.):]{s}*[A-D]$"]
+    keep = [x for x in (line.strip(space) for line in (raw or "").split("\n")) if x and not any(re.match(r, x, re.I | re.A) for r in rules) and not re.match(r"[\x00-\x7f]*[^\x00-\x7f]{3,}", x)]
+    return re.sub(f"{s}{{2,}}", " ", "\n".join(keep)).strip(space)
+
+
+def test_all_transcripts(spark, tmp_path):
+    """Documents of every language, and of none, are cleaned and returned."""
+    texts = ["Hello.\nPART 1", "Guten Tag\u3000\u3000zusammen.\n32-34é\nТри слова\n12. b", "日本語", None, "PART\u00a02\nTEST\u20033\nfür\u00a0 alle", "1-2x\n1-2 x\n7: A\ufeff", "", "a\u3000\n\n b"]
+    rows = [(i, text, lang) for i, (text, lang) in enumerate(zip(texts, ["en", "de", "ja", "en", "fr", None, "es", None], strict=True))]
+    rows += [(100 + r.doc_id, r.text, r.lang) for r in spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text", "lang").collect()]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.transcript, r.size) for r in QUERIES["x9_clean_all_transcripts"](spark, str(tmp_path)).collect()}
+    assert got == {i: (cleaned(text), len(cleaned(text))) for i, text, _ in rows}
+
+
 def test_clean_transcript(spark):
     text = "PART 3\n32-34 x\nM-Cn Hello  there.\n\n51. A\nTEST 1\nxéééé\nBye."
     assert docs(spark, text).select(extraction.clean_transcript(F.col("text")).alias("t")).first().t == "M-Cn Hello there.\nBye."
