@@ -53,6 +53,12 @@ def by_two_keys(t):
     return listed.select("s.vec_id", (F.col("place") + 1).alias("place"))
 
 
+@query("s3_all_by_two_keys", "SELECT vec_id, x, y FROM boxes ORDER BY y, x, vec_id")
+def all_by_two_keys(t):
+    """Every box in reading order, by a range-partitioned sort."""
+    return t.boxes().select("vec_id", "x", "y").orderBy("y", "x", "vec_id")
+
+
 @query("s5_ordered_numbers", "SELECT test_id, group_name, string_agg(question_number::VARCHAR, ',' ORDER BY question_number) AS numbers FROM questions GROUP BY 1, 2")
 def ordered_numbers(t):
     rows = t.questions().groupBy("test_id", "group_name").agg(F.array_sort(F.collect_list("question_number")).alias("n"))
@@ -179,6 +185,18 @@ def results_in_order(t):
     return rows.select("job_id", F.array_join(F.transform("s", lambda s: s["word"]), ">").alias("steps"))
 
 
+@query("c4_done_in_order", """,
+s AS (SELECT user_id AS job_id, word AS step, word_id AS ordinal, CASE word_id % 4 WHEN 0 THEN 'failed' WHEN 1 THEN 'skipped' ELSE 'done' END AS status FROM words)
+SELECT job_id, string_agg(step, '>' ORDER BY ordinal) AS steps FROM s WHERE status = 'done' GROUP BY 1
+""")
+def done_in_order(t):
+    """All done steps, with the statuses of s8_last_failed_step."""
+    status = F.when(F.col("word_id") % 4 == 0, "failed").when(F.col("word_id") % 4 == 1, "skipped").otherwise("done")
+    steps = t.words().select(F.col("user_id").alias("job_id"), F.col("word").alias("step"), F.col("word_id").alias("ordinal"), status.alias("status"))
+    rows = steps.where("status = 'done'").groupBy("job_id").agg(F.array_sort(F.collect_list(F.struct("ordinal", "step"))).alias("s"))
+    return rows.select("job_id", F.array_join(F.transform("s", lambda s: s["step"]), ">").alias("steps"))
+
+
 @query("x11_blocks_found", _BOOK + " SELECT doc_id, count(DISTINCT n) AS blocks FROM bk GROUP BY 1")
 def blocks_found(t):
     from quizmill.operators.booklet import question_blocks

@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from quizmill.catalog import QUERIES
 from quizmill.operators import coercion, state
 from quizmill.plans import enrich, stages
 from quizmill.sources import files
@@ -120,3 +121,22 @@ def test_stream_equals_batch(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(map(tuple, spark.table("word_counts").collect())) == sorted(map(tuple, words.word_counts(rows).collect()))
+
+
+DATA = "/root/testdata/sf0.001"
+
+
+def test_every_box_in_order(spark):
+    boxes = spark.read.parquet(f"{DATA}/embeddings.parquet").collect()
+    want = [i for _, _, i in sorted((abs(r.embedding[1]), abs(r.embedding[0]), r.vec_id) for r in boxes)]
+    assert len(want) > 50
+    assert [r.vec_id for r in QUERIES["s3_all_by_two_keys"](spark, DATA).collect()] == want
+
+
+def test_every_done_step(spark):
+    want = {}
+    for r in sorted(spark.read.parquet(f"{DATA}/events.parquet").collect(), key=lambda r: r.event_id):
+        if r.event_id % 4 in (2, 3):
+            want.setdefault(r.user_id, []).append(r.event_type)
+    got = {r.job_id: r.steps for r in QUERIES["c4_done_in_order"](spark, DATA).collect()}
+    assert got == {k: ">".join(v) for k, v in want.items()}
