@@ -33,6 +33,14 @@ CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 LOGIN = re.compile(r"://([A-Za-z0-9._~%+-]+):([^\s/@:\"'<>]+)@([A-Za-z0-9.-]+)")
 IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Z0-9])")
+IBAN_HEAD = re.compile(r"(?=[A-Z]{2}[0-9]{2})")
+GROUP_END = re.compile(r"(?=\x20|\Z)")
+IBAN_LENGTHS = {
+    c: int(x[:2]) for x in (
+        "15NO 16BE 18DKFIFOGLNL 19MKSI 20ATBAEEKZLTLUXK 21CHHRLILV 22BGBHCRDEGBGEIEMERSVA 23AEGIILIQ 24ADCZESMDPKROSASESKTNVG 25PTST "
+        "26ISTR 27FRGRITMCMRSM 28ALAZBYCYDOGTHULBPLSV 29BREGPSQAUA 30JOKWMU 31MTSC 32LC"
+    ).split() for c in re.findall("[A-Z]{2}", x)
+}
 ACCOUNT = re.compile(r"(?:\x20?(?:number|no\.?|nr\.?|#))?\x20*[:=#]?\x20*([0-9](?:[\x20-]?[0-9]){7,16})(?![0-9])")
 SCHEME = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+.-")
 
@@ -75,13 +83,22 @@ def _login(text: str, at: int) -> tuple[int, int] | None:
     return (start, m.end()) if m and start < at else None
 
 
+def _iban_end(text: str) -> int | None:
+    """Where the IBAN that ``text`` begins with ends: behind a group, at its country's length if that passes mod 97, else the longest that does."""
+    ends, usual = [], IBAN_LENGTHS.get(text[:2])
+    for m in GROUP_END.finditer(text):
+        plain = text[: m.start()].replace(" ", "")
+        if 15 <= len(plain) <= 34 and int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1:
+            ends.append((len(plain) == usual, m.start()))
+    return max(ends)[1] if ends else None
+
+
 def _account(text: str, after: int) -> tuple[int, int] | None:
     """An account number behind a cue: a valid IBAN within 20 code points, else 8 to 17 digits."""
-    m = IBAN.search(text, after, after + 70)
-    if m and m.start() - after <= 20:
-        plain = m[0].replace(" ", "")
-        if 15 <= len(plain) <= 34 and int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1:
-            return m.span()
+    for head in IBAN_HEAD.finditer(text, after, after + 24):
+        if m := IBAN.match(text, head.start()):
+            if end := _iban_end(m[0]):
+                return m.start(), m.start() + end
     m = ACCOUNT.match(text, after)
     return m.span(1) if m else None
 

@@ -206,6 +206,18 @@ def test_pii_added_spans(spark):
     assert not any(got[i] for i in (0, 1, 2, 3, 5, 7))
 
 
+def test_pii_iban_before_other_text(spark):
+    """An IBAN ends where it does, whatever stands behind it."""
+    close, wide = "DE89370400440532013000", "DE89 3704 0044 0532 0130 00"
+    texts = {
+        f"IBAN {close} Please pay": close, f"IBAN: {wide} BIC: X": wide, f"IBAN {close} 12345 due": close, f"IBAN {wide} COBADEFF 1 A 2 B 3": wide, f"IBAN {wide}.": wide, f"iban GB82 WEST 1234 5698 7654 32 I": "GB82 WEST 1234 5698 7654 32",
+        f"IBAN NR12 {close} A": close, f"IBAN {close}9": None, f"IBAN {close[:-1]}1 Please": None, f"IBAN {'.' * 19}DE89 {' '.join(close[4:])} A": f"DE89 {' '.join(close[4:])}", "IBAN NO93 8601 1117 947 KR 10": "NO93 8601 1117 947",
+    }
+    got = {r.doc_id: [(pii.KINDS[s.kind], s.start, s.end) for s in r.spans if s.kind > 3] for r in pii.scan(made(spark, list(enumerate(texts)))).collect()}
+    for i, (text, want) in enumerate(texts.items()):
+        assert [text[a:b] for _, a, b in got[i]] == ([want] if want else []), text
+
+
 # Operator 8
 
 
