@@ -1,8 +1,8 @@
 """Operator 2, packing: optimal length buckets and token-budget batches.
 
-A global histogram of lengths (exact up to 1,024 tokens, then 512 cells per
-octave, so its size depends on the longest text only) goes to the driver, where
-dynamic programming picks the bucket boundaries that minimise padding. Inside
+A global histogram of lengths goes to the driver, where dynamic programming picks
+the bucket boundaries that minimise padding. It has a row for each length that
+occurs: at most the root of twice the corpus's tokens. Inside
 each bucket batches take as many texts, padded to the bucket's length, as the
 token budget allows. Positions come from counts per (bucket, slice) and row
 numbers within a slice, so no task ever holds a whole bucket.
@@ -11,7 +11,7 @@ numbers within a slice, so no task ever holds a whole bucket.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quizmill.llm.common import table, word_count, written
@@ -20,22 +20,14 @@ BUCKETS = 16
 TOKEN_BUDGET = 65_536
 #: Slices of a bucket; positions within a slice are numbered by one task.
 SLICES = 512
-EXACT = 1_024
-CELLS_PER_OCTAVE = 512
-
-
-def cell_top(n: Column) -> Column:
-    """Largest length of the histogram cell that holds length ``n``."""
-    octave = F.floor(F.log2(F.greatest(n, F.lit(1)).cast("double")))
-    step = F.greatest(F.lit(1), F.pow(F.lit(2.0), octave) / CELLS_PER_OCTAVE).cast("long")
-    return F.when(n <= EXACT, n).otherwise((F.ceil(n / step) * step).cast("long"))
 
 
 def best_boundaries(tops: np.ndarray, counts: np.ndarray, buckets: int) -> list[int]:
     """Bucket lengths (rising, the last is the longest) with the least padded tokens.
 
-    cost[k][j]: least sum of bucket lengths over the texts of the first j cells
-    in at most k buckets; every boundary is the top of a cell.
+    cost[k][j]: least sum of bucket lengths over the texts of the first j lengths
+    in at most k buckets. The best start of a last bucket never falls as j rises,
+    so the middle j bounds the search on either side of it.
     """
     m = len(tops)
     if not m:
@@ -45,11 +37,19 @@ def best_boundaries(tops: np.ndarray, counts: np.ndarray, buckets: int) -> list[
     came = []
     for _ in range(min(buckets, m)):
         now, back = cost.copy(), np.full(m + 1, -1)
-        for j in range(1, m + 1):
-            price = cost[:j] + (upto[j] - upto[:j]) * tops[j - 1]
-            i = int(np.argmin(price))
-            if price[i] < now[j]:
-                now[j], back[j] = price[i], i
+        todo = [(1, m, 0, m - 1)]
+        while todo:
+            a, b, low, high = todo.pop()
+            j = (a + b) // 2
+            end = min(j, high + 1)
+            price = cost[low:end] + (upto[j] - upto[low:end]) * tops[j - 1]
+            i = low + int(np.argmin(price))
+            if price[i - low] < now[j]:
+                now[j], back[j] = price[i - low], i
+            if a < j:
+                todo.append((a, j - 1, low, i))
+            if j < b:
+                todo.append((j + 1, b, i, high))
         came.append(back)
         cost = now
     ends, j = [], m
@@ -70,7 +70,7 @@ def pack(docs: DataFrame, buckets: int = BUCKETS, budget: int = TOKEN_BUDGET) ->
     """
     spark = docs.sparkSession
     sized = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), word_count().alias("n_tokens")), "pack-sizes")
-    histogram = sized.groupBy(cell_top(F.col("n_tokens")).alias("top")).count().collect()  # bounded by the cells
+    histogram = sized.groupBy(F.col("n_tokens").alias("top")).count().collect()  # a row a length
     found = sorted((r["top"], r["count"]) for r in histogram)
     ends = best_boundaries(np.array([x for x, _ in found], np.int64), np.array([n for _, n in found], np.int64), buckets)
     edges = F.array(*[F.lit(x).cast("long") for x in ends]) if ends else F.array().cast("array<long>")

@@ -115,6 +115,27 @@ def test_packing_is_optimal(spark, buckets):
         assert all(s == max(1, 1000 // max(1, b)) for s in sizes[1:])
 
 
+def test_packing_of_long_texts_is_optimal(spark):
+    """Boundaries are lengths that occur, above 1,024 tokens too."""
+    rng = random.Random(6)
+    rows = [(i, "w " * (1025 + 2 * rng.randrange(3000) + i % 2), "s") for i in range(90)]
+    got = packing.pack(made(spark, rows), buckets=4).collect()
+    lengths = [len(WORD.findall(t)) for _, t, _ in rows]
+    assert sum(r.bucket_len for r in got) == least_padding(lengths, 4)
+    assert {r.bucket_len for r in got} <= set(lengths)
+
+
+def test_boundaries_against_every_split():
+    rng = np.random.default_rng(3)
+    for _ in range(200):
+        tops = np.unique(rng.integers(0, 60, rng.integers(1, 12)))
+        counts, k = rng.integers(1, 30, len(tops)), int(rng.integers(1, 6))
+        ends = np.array(packing.best_boundaries(tops, counts, k))
+        assert len(ends) <= k and ends[-1] == tops[-1]
+        padded = int((ends[np.searchsorted(ends, tops)] * counts).sum())
+        assert padded == least_padding(np.repeat(tops, counts).tolist(), k)
+
+
 def test_packing_edges(spark):
     assert packing.pack(made(spark, [])).count() == 0
     rows = [(1, None, None), (1, None, None), (2, "w " * 3000, None), (None, "a b", None)]
