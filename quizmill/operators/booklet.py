@@ -6,10 +6,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quizmill.functions import text as T
-from quizmill.operators import layout
-from quizmill.operators.extraction import OPTION, part_slices
+from quizmill.functions.numbers import part_of_number
+from quizmill.model import GRAPHIC_STARTS, PART_RANGES
+from quizmill.operators import extraction, graphics, layout
+from quizmill.operators.extraction import OPTION, part_slices, passages
 
+# How a speaker's line opens, and options inside one.
 _SPEAKER = r"(?i)^(?:W|M)\s*[-–]?\s*[A-Za-z]{2,4}\s*"
+_INSIDE = r"(?i)\(([A-D])\)\s*([^(\n]+?)(?=\s*\([A-D]\)|$)"
 
 
 def sections(docs: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -24,15 +28,49 @@ def question_blocks(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     head = r"(?m)^[ \t]*(?=\d{1,3}[ \t]*(?:[.):]|$))"
     pieces = docs.select(key, F.posexplode(F.split("text", head)).alias("pos", "piece"))
     opening = r"^(\d{1,3})\s*(?:[.):]|\n|$)"
-    rows = pieces.where(F.col("piece").rlike(opening)).select(key, "pos", F.regexp_extract("piece", opening, 1).cast("int").alias("question_number"), F.regexp_replace("piece", opening, "").alias("block"))
+    rows = pieces.where(F.col("piece").rlike(opening)).select(key, "pos", F.regexp_extract("piece", opening, 1).try_cast("int").alias("question_number"), F.regexp_replace("piece", opening, "").alias("block"))
     return rows.groupBy(key, "question_number").agg(F.min_by("block", "pos").alias("block"))
 
 
+def blocks_to_next(docs: DataFrame, ends: list[int], keys: list[str]) -> DataFrame:
+    """(keys, question_number, block): text behind the line that opens with q, up to the next line that opens with q + 1.
+
+    The first line of q with such a line behind it counts. A number in ``ends`` runs
+    to the end of the text; any other number without its successor has no block.
+    """
+    head = r"(?m)^[ \t]*(?=\d{1,3}[ \t]*(?:[.):]|$))"
+    opening = r"^(\d{1,3})\s*(?:[.):]|\n|$)"
+    pieces = docs.select(*keys, F.split("text", head).alias("pieces"))
+    pieces = pieces.withColumn("numbers", F.transform("pieces", lambda p: F.regexp_extract(p, opening, 1).try_cast("int")))
+    rows = pieces.select(*keys, "pieces", "numbers", F.posexplode("numbers").alias("pos", "question_number")).where("question_number is not null")
+    behind = F.slice("numbers", F.col("pos") + 2, F.greatest(F.lit(1), F.size("numbers")))
+    ahead = F.array_position(behind, F.col("question_number") + 1).cast("int")
+    size = F.when(ahead > 0, ahead).when(F.col("question_number").isin(*ends), F.size("numbers") - F.col("pos"))
+    rows = rows.withColumn("size", size).where("size is not null")
+    block = F.regexp_replace(F.array_join(F.slice("pieces", F.col("pos") + 1, F.col("size")), ""), opening, "")
+    return rows.groupBy(*keys, "question_number").agg(F.min_by(block, "pos").alias("block"))
+
+
+def bounded(text: Column, starts: list[str], end: str | None) -> Column:
+    """The text from the first of several patterns that occurs up to the end pattern, 8 characters on at the earliest; all of it without a start."""
+    places = [F.regexp_instr(text, F.lit(p)) for p in starts]
+    start = F.coalesce(*[F.when(p > 0, p) for p in places])
+    tail = F.substr(text, start)
+    stop = F.regexp_instr(F.substr(tail, F.lit(9)), F.lit(end)) if end else F.lit(0)
+    return F.when(start.isNull(), text).otherwise(F.when(stop > 0, F.substr(tail, F.lit(1), stop + 7)).otherwise(tail))
+
+
+def part_section(text: Column, part: int) -> Column:
+    """A part's section of an exam text, by its header up to the next part's (part 5's header is often read as PARTS)."""
+    header = lambda n: rf"(?i)\bPART\s*{n}\b"
+    starts = [r"(?i)\bPARTS\b", r"(?:^|\n)\s*101\.\s"] if part == 5 else [header(part)]
+    return bounded(text, starts, header(part + 1) if part < 7 else None)
+
+
 def block_options(block: Column) -> Column:
     """Options of a block: option lines, else labels inside speaker lines, in order."""
     kept = F.filter(F.transform(T.lines(block), lambda line: T.strip_quotes(T.trim(line))), lambda line: line != "")
-    inside = r"(?i)\(([A-D])\)\s*([^(\n]+?)(?=\s*\([A-D]\)|$)"
-    each = F.transform(kept, lambda line: F.when(line.rlike(OPTION), F.array(T.trim(F.regexp_extract(line, OPTION, 2)))).otherwise(F.transform(F.regexp_extract_all(line, F.lit(inside), F.lit(2)), T.trim)))
+    each = F.transform(kept, lambda line: F.when(line.rlike(OPTION), F.array(T.trim(F.regexp_extract(line, OPTION, 2)))).otherwise(F.transform(F.regexp_extract_all(line, F.lit(_INSIDE), F.lit(2)), T.trim)))
     return F.filter(F.flatten(each), lambda o: o != "")
 
 
@@ -69,13 +107,57 @@ def repaired(items: DataFrame, from_layout: DataFrame, key: str = "doc_id") -> D
     return rows.select(key, "question_number", F.when(broken, F.col("l_text")).otherwise(F.col("question_text")).alias("question_text"), F.when(broken, F.col("l_options")).otherwise(F.col("options")).alias("options"))
 
 
-def layout_questions(spans: DataFrame) -> DataFrame:
-    """(doc_id, page, number, stem, options): each anchor's band as lines; stem before the first option, four options."""
-    bands = layout.band(spans, layout.anchors(spans)).groupBy("doc_id", "page", "number").agg(F.array_sort(F.collect_list(F.struct("idx", "text"))).alias("s"))
-    text = F.array_join(F.transform("s", lambda s: s["text"]), "\n")
-    rows = bands.withColumn("text", text).withColumn("options", block_options(F.col("text")))
-    stem = T.trim(F.regexp_replace(conversation_stem(F.col("text"), F.col("number")), r"^\d{1,3}\s*\.\s*", ""))
-    return rows.where(F.size("options") >= 2).select("doc_id", "page", "number", stem.alias("stem"), T.padded(F.col("options"), 4).alias("options"))
+def layout_questions(spans: DataFrame, answers: DataFrame | None = None, first: int = 1, last: int = 999, exclude: DataFrame | None = None) -> DataFrame:
+    """(doc_id, page, number, stem, options, letter): each anchor's band as lines, with two options at least.
+
+    The stem stands in front of the line with (A); one of under 8 characters gives
+    way to text behind the number on an earlier line of the page. Four options; the
+    letter comes from ``answers`` (doc_id, question_number, letter). Spans in
+    ``exclude`` boxes (doc_id, page, x, y, w, h) are left out.
+    """
+    found = layout.question_anchors(spans, first, last)
+    key = [*layout.PAGE, "number"]
+    said = layout.lines_by(layout.band(spans, found, exclude), key).groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("l"))
+    rows = said.withColumn("l", F.transform("l", lambda z: z["line"])).join(found.select(*key, F.col("y").alias("_y")), key)
+    place = F.array_position(F.transform("l", lambda line: line.rlike(r"(?i)\(A\)")), F.lit(True)).cast("int")
+    own = F.concat(F.lit(r"^\s*"), F.col("number").cast("string"), F.lit(r"\s*\.\s*"))
+    rows = rows.withColumn("place", place).where("place > 0").withColumn("own", own)
+    rows = rows.withColumn("head", T.trim(T.collapse(F.regexp_replace(F.array_join(F.slice("l", 1, F.col("place") - 1), " "), F.col("own"), F.lit("")))))
+    below = F.transform(F.slice("l", F.col("place"), F.size("l")), lambda line, i: T.trim(F.when(i == 0, F.regexp_replace(line, F.col("own"), F.lit(""))).otherwise(line)))
+    bare = r"(?i)^\(([A-D])\)\s*(.+)$"
+    options = F.filter(F.transform(below, lambda line: F.when(line.rlike(OPTION), T.trim(F.regexp_extract(line, OPTION, 2))).when(line.rlike(bare), T.trim(F.regexp_extract(line, bare, 2)))), lambda o: o.isNotNull())
+    rows = rows.withColumn("options", options).where(F.size("options") >= 2)
+    lines = layout.lines(spans).groupBy(*layout.PAGE).agg(F.array_sort(F.collect_list(F.struct((F.col("column") == "right").alias("right"), "y", "line"))).alias("_lines"))
+    inline = F.concat(F.lit(r"^.*?\b"), F.col("number").cast("string"), F.lit(r"\s*\.\s*(?=.)"))
+    earlier = F.get(F.filter("_lines", lambda z: (z["y"] < F.col("_y")) & F.rlike(z["line"], F.col("inline"))), F.lit(0))["line"]
+    rows = rows.join(lines, layout.PAGE, "left").withColumn("inline", inline).withColumn("other", T.trim(T.collapse(T.dashes_to_spaces(F.regexp_replace(earlier, F.col("inline"), F.lit(""))))))
+    stem = F.coalesce(F.when(F.length("head") < 8, F.when(F.col("other") != "", F.col("other"))), F.when(F.col("head") != "", F.col("head")), F.concat(F.lit("Question "), F.col("number").cast("string")))
+    rows = rows.select(*key, stem.alias("stem"), T.padded(F.col("options"), 4).alias("options"))
+    if answers is None:
+        return rows.withColumn("letter", F.lit(None).cast("string"))
+    return rows.join(answers.select("doc_id", F.col("question_number").alias("number"), "letter"), ["doc_id", "number"], "left").select(*key, "stem", "options", "letter")
+
+
+def listening_parts(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, part_number, first_question, question_number, stem, options, letter, transcript) of parts 1 to 4 of a listening key's text.
+
+    A part without a header of its own is read from the whole text. Photo questions
+    take the statement sets in their order; the others their block up to the next
+    number, part 2 with three options and the rest with four.
+    """
+    answers = extraction.listening_key(docs, key=key)
+    heads = sections(docs, key).where("part_number < 5")
+    ends = [PART_RANGES[p][1] for p in (2, 3, 4)]
+    blocks = blocks_to_next(heads.where("part_number > 1").select(key, "part_number", F.col("section").alias("text")), ends, [key, "part_number"])
+    every = docs.select(key, F.explode(F.sequence(F.lit(PART_RANGES[2][0]), F.lit(PART_RANGES[4][1]))).alias("question_number")).withColumn("part_number", part_of_number(F.col("question_number")))
+    rows = every.join(blocks, [key, "part_number", "question_number"], "left").withColumn("block", F.coalesce("block", F.lit("")))
+    stem = F.when(F.col("part_number") == 2, response_stem(F.col("block"), F.col("question_number"))).otherwise(conversation_stem(F.col("block"), F.col("question_number")))
+    rows = rows.select(key, "question_number", stem.alias("stem"), block_options(F.col("block")).alias("options"))
+    items = extraction.listening_items(rows, answers, extraction.transcripts(heads, key), key)
+    items = items.withColumn("first_question", F.when(F.col("part_number") == 2, F.col("question_number")).otherwise(extraction.group_start(F.col("question_number"), F.col("part_number"))))
+    photos = extraction.photo_questions(docs, key).join(answers, [key, "question_number"], "left")
+    photos = photos.select(key, F.lit(1).alias("part_number"), F.col("question_number").alias("first_question"), "question_number", F.lit("What is the best description of the photograph?").alias("stem"), "options", "letter", F.lit(None).cast("string").alias("transcript"))
+    return photos.unionByName(items.select(*photos.columns))
 
 
 def first_page(rows: DataFrame, preferred: Column) -> DataFrame:
@@ -84,6 +166,102 @@ def first_page(rows: DataFrame, preferred: Column) -> DataFrame:
     return rows.withColumn("_rn", F.row_number().over(order)).where("_rn = 1").drop("_rn")
 
 
+def _question(number: str = "number") -> Column:
+    return F.struct(F.col(number).alias("question_number"), F.col("stem").alias("question_text"), "options", "letter")
+
+
+def part5_groups(spans: DataFrame, answers: DataFrame) -> DataFrame:
+    """(doc_id, page, pages, first_question, passage, questions): part 5's questions by page, in order of their numbers."""
+    first, last, _ = PART_RANGES[5]
+    rows = layout_questions(spans, answers, first, last)
+    groups = rows.groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(_question())).alias("questions"))
+    return groups.select("doc_id", "page", F.array("page").alias("pages"), F.get("questions", F.lit(0))["question_number"].alias("first_question"), F.lit(None).cast("string").alias("passage"), "questions")
+
+
+def passage_pages(texts: DataFrame) -> DataFrame:
+    """(doc_id, first_question, last_question, page): the first page whose text has a passage's header."""
+    header = r"(?i)Questions?\s+(\d{1,3})\s*-\s*(\d{1,3})"
+    pairs = F.zip_with(F.regexp_extract_all("page_text", F.lit(header), F.lit(1)), F.regexp_extract_all("page_text", F.lit(header), F.lit(2)), lambda a, b: F.struct(a.cast("int").alias("a"), b.cast("int").alias("b")))
+    rows = texts.select("doc_id", "page", F.explode(pairs).alias("p"))
+    return rows.groupBy("doc_id", F.col("p.a").alias("first_question"), F.col("p.b").alias("last_question")).agg(F.min("page").alias("page"))
+
+
+def reading_groups(docs: DataFrame, spans: DataFrame, answers: DataFrame, part: int, chunk: tuple[int, int] | None = None) -> DataFrame:
+    """(doc_id, page, pages, first_question, passage, questions) of part 6 or 7.
+
+    A passage's questions come from the pages; its page is that of its header, else
+    of its first question, and its pages run to its last question's. In part 7,
+    runs of numbers that no passage has become groups of their own. ``chunk`` keeps
+    passages that meet it, and questions within it. ``docs`` has doc_id and text.
+    """
+    first, last, _ = PART_RANGES[part]
+    low, high = chunk or (first, last)
+    found = layout_questions(spans, answers, first, last).where(F.size(F.filter("options", lambda o: o != "-")) >= 2)
+    found = first_page(found, F.lit(True))
+    blocks = passages(docs.select("doc_id", part_section(F.col("text"), part).alias("text"))).where((F.col("last_question") >= low) & (F.col("first_question") <= high) & (F.col("first_question") <= F.col("last_question")))
+    at = found.select("doc_id", "number", "page")
+    wanted = blocks.select("doc_id", "first_question", "last_question", "passage", F.explode(F.sequence("first_question", "last_question")).alias("number"))
+    keys = ["doc_id", "first_question", "last_question", "passage"]
+    groups = wanted.join(found, ["doc_id", "number"]).groupBy(*keys).agg(F.array_sort(F.collect_list(_question())).alias("questions"))
+    heads = passage_pages(layout.page_texts(spans)).withColumnRenamed("page", "head_page")
+    groups = groups.join(heads, ["doc_id", "first_question", "last_question"], "left")
+    groups = groups.join(at.select("doc_id", F.col("number").alias("first_question"), F.col("page").alias("first_page")), ["doc_id", "first_question"], "left")
+    groups = groups.join(at.select("doc_id", F.col("number").alias("last_question"), F.col("page").alias("last_page")), ["doc_id", "last_question"], "left")
+    page = F.coalesce("head_page", "first_page")
+    pages = F.coalesce(F.sequence(F.least(page, F.col("last_page")), F.greatest(page, F.col("last_page"))), F.array_compact(F.array(F.coalesce(page, F.col("last_page")))))
+    out = groups.select("doc_id", page.alias("page"), pages.alias("pages"), "first_question", "passage", "questions")
+    if part == 7:
+        out = out.unionByName(_missing_runs(docs, groups, found, low, high))
+    if chunk:
+        out = out.withColumn("questions", F.filter("questions", lambda q: q["question_number"].between(low, high))).where(F.size("questions") > 0)
+    return out
+
+
+def _missing_runs(docs: DataFrame, groups: DataFrame, found: DataFrame, low: int, high: int) -> DataFrame:
+    """Groups of consecutive numbers that are in no passage, as far as the pages have them; a document's numbers are one array."""
+    have = groups.select("doc_id", F.transform("questions", lambda q: q["question_number"]).alias("n")).groupBy("doc_id").agg(F.flatten(F.collect_list("n")).alias("have"))
+    all_numbers = F.sequence(F.lit(low), F.lit(high))
+    rows = docs.select("doc_id").distinct().join(have, "doc_id", "left")
+    rows = rows.withColumn("missing", F.array_except(all_numbers, F.coalesce("have", F.array().cast("array<int>"))))
+    rows = rows.select("doc_id", F.posexplode("missing").alias("k", "number")).withColumn("run", F.col("number") - F.col("k"))
+    first = rows.groupBy("doc_id", "run").agg(F.min("number").alias("first_question"))
+    rows = rows.join(found, ["doc_id", "number"]).groupBy("doc_id", "run").agg(F.array_sort(F.collect_list(_question())).alias("questions")).join(first, ["doc_id", "run"])
+    at = found.select("doc_id", F.col("number").alias("first_question"), "page")
+    rows = rows.join(at, ["doc_id", "first_question"], "left")
+    return rows.select("doc_id", "page", F.array_compact(F.array("page")).alias("pages"), "first_question", F.lit(None).cast("string").alias("passage"), "questions")
+
+
+def document(docs: DataFrame, spans: DataFrame, images: DataFrame, answers: DataFrame) -> DataFrame:
+    """(doc_id, part_number, first_question, page, pages, box, passage, transcript, questions): a whole exam from its texts and pages.
+
+    ``docs`` has doc_id, key_text (the listening key) and text (the exam); ``spans``
+    and ``images`` are the exam's pages, ``answers`` its reading key. Photo questions
+    get their photo's box, listening groups their graphic's, with garbled questions
+    replaced by the page's reading; reading groups have the whole page.
+    """
+    heard = listening_parts(docs.select("doc_id", F.col("key_text").alias("text")))
+    pages = layout_questions(spans, None, 32, 100)
+    read = first_page(pages, F.lit(True)).select("doc_id", F.col("number").alias("question_number"), F.col("stem").alias("question_text"), "options")
+    talks = heard.where("part_number in (3, 4)").withColumnRenamed("stem", "question_text")
+    mended = repaired(talks.select("doc_id", "question_number", "question_text", "options"), read).withColumnRenamed("question_text", "stem")
+    mended = talks.drop("question_text", "options").join(mended, ["doc_id", "question_number"])
+    heard = heard.where("part_number < 3").unionByName(mended)
+    keys = ["doc_id", "part_number", "first_question"]
+    groups = heard.groupBy(*keys).agg(F.max("transcript").alias("transcript"), F.array_sort(F.collect_list(_question("question_number"))).alias("questions"))
+    photos = graphics.photo_boxes(spans).select("doc_id", F.col("number").alias("first_question"), F.lit(1).alias("part_number"), "page", "box")
+    starts = groups.where("part_number in (3, 4)").select(*keys).where(F.col("first_question").isin(*(n for p in (3, 4) for n in GRAPHIC_STARTS[p])))
+    shown = graphics.graphic_boxes(spans, images, starts.select("doc_id", "first_question", (F.col("first_question") + 2).alias("last_question")))
+    shown = shown.groupBy("doc_id", "first_question").agg(F.min_by(F.struct("page", "box"), "page").alias("s")).select("doc_id", "first_question", "s.page", "s.box").withColumn("part_number", F.when(F.col("first_question") < 71, 3).otherwise(4))
+    heard = groups.join(photos.unionByName(shown, allowMissingColumns=True), keys, "left")
+    heard = heard.select(*keys, "page", F.array_compact(F.array("page")).alias("pages"), "box", F.lit(None).cast("string").alias("passage"), "transcript", "questions")
+    exam = docs.select("doc_id", "text")
+    reading = [(5, part5_groups(spans, answers)), (6, reading_groups(exam, spans, answers, 6)), (7, reading_groups(exam, spans, answers, 7))]
+    for part, rows in reading:
+        whole = F.struct(*[F.lit(v).alias(k) for k, v in zip("xywh", (0.0, 0.0, 1.0, 1.0), strict=True)])
+        heard = heard.unionByName(rows.select("doc_id", F.lit(part).alias("part_number"), "first_question", "page", "pages", whole.cast(heard.schema["box"].dataType).alias("box"), "passage", F.lit(None).cast("string").alias("transcript"), "questions"))
+    return heard
+
+
 def pages_of_numbers(spans: DataFrame, numbers: DataFrame) -> DataFrame:
     """(doc_id, number, page): the first page with the number's anchor, else the first page whose text names it."""
     anchored = layout.anchors(spans).groupBy("doc_id", "number").agg(F.min("page").alias("page"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quizmill.functions.numbers import clamp, part_of_number
 from quizmill.model import REQUIRED_ROLES, REVIEW_BELOW, expected_counts
 
-# Words that tell a file's role.
+# Words that tell a file's role, and how sure each rule is.
 READING_WORDS = ("part 5", "part 6", "part 7", "incomplete sentences", "reading")
 LISTENING_WORDS = ("transcript", "part 1", "part 2", "part 3", "part 4", "listening")
 KEY_WORDS = ("answer key", "101", "200", "a b c d")
@@ -72,3 +72,40 @@ def count_mismatches(questions: DataFrame, key: str) -> DataFrame:
     expected = F.create_map(*[F.lit(x) for pair in expected_counts().items() for x in pair])
     counts = questions.withColumn("part", part_of_number(F.col("question_number"))).where("part is not null").groupBy(key, "part").agg(F.count("*").alias("found"))
     return counts.withColumn("expected", F.element_at(expected, F.col("part"))).where("found <> expected")
+
+
+# Distinct questions that an import needs, those of a full exam, and numbers that a key's reading needs.
+LEAST_QUESTIONS, FULL = 185, 200
+RULE_KEY, TEXT_KEY = 80, 50
+
+
+def structure_violations(questions: DataFrame, options: DataFrame, key: str) -> DataFrame:
+    """(key, question_number, rule) of a whole exam: the questions' own violations, and the exam's (question_number null or the missing one).
+
+    ``questions`` has part_number (of the group that it stands in), question_number
+    and question_text, ``options`` a row an option. Part 2 takes three or four
+    options, the others four or more. Under 185 distinct numbers nothing is
+    imported; with 200, none may be missing and every part must be exact.
+    """
+    counts = options.groupBy(key, "question_number").agg(F.count("*").alias("n_options"))
+    many = questions.where("part_number = 2").select(key, "question_number").distinct().join(counts, [key, "question_number"]).where("n_options > 4").select(key, "question_number", F.lit("options").alias("rule"))
+    outside = questions.where("part_number is null or part_number not between 1 and 7").select(key, "question_number", F.lit("part").alias("rule")).distinct()
+    exams = questions.groupBy(key).agg(F.collect_set("question_number").alias("seen"))
+    few = exams.where(F.size("seen") < LEAST_QUESTIONS).select(key, F.lit(None).cast("int").alias("question_number"), F.lit("too few").alias("rule"))
+    full = exams.where(F.size("seen") >= FULL)
+    missing = full.select(key, F.explode(F.array_except(F.sequence(F.lit(1), F.lit(FULL)), "seen")).alias("question_number"), F.lit("missing").alias("rule"))
+    expected = F.create_map(*[F.lit(x) for pair in expected_counts().items() for x in pair])
+    per = questions.groupBy(key, "part_number").agg(F.count("*").alias("n")).groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("part_number", "n"))).alias("found"))
+    off = full.select(key).join(per, key).select(key, F.explode(F.sequence(F.lit(1), F.lit(7))).alias("part"), "found")
+    off = off.where(F.coalesce(F.try_element_at("found", F.col("part")), F.lit(0)) != F.element_at(expected, F.col("part"))).select(key, F.lit(None).cast("int").alias("question_number"), F.concat(F.lit("part "), F.col("part").cast("string")).alias("rule"))
+    own = violations(questions, options, key)
+    out = own
+    for more in (many, outside, few, missing, off):
+        out = out.unionByName(more)
+    return out
+
+
+def key_route(found: DataFrame, key: str, rule: int = RULE_KEY, text: int = TEXT_KEY) -> DataFrame:
+    """(key, n, route): how an answer key is read, by the numbers (key, question_number) found in it: by rule, as text, or by a model."""
+    n = F.count("*")
+    return found.groupBy(key).agg(n.alias("n"), F.when(n >= rule, "rule").when(n >= text, "text").otherwise("model").alias("route"))

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quizmill.functions import text as T
+from quizmill.functions.numbers import clamped_box
+from quizmill.model import PART_RANGES
 
 OPTION_TYPE = "array<struct<letter:string,text:string>>"
 LABELLED = r"(?is)\(([A-E])\)\s*(.*?)(?=\s*\([A-E]\)|$)"
@@ -110,6 +112,79 @@ def questions_of(variant: Column) -> Column:
     return F.when(kind.startswith("ARRAY"), listed).when(is_one, F.array(text)).when(kind.startswith("OBJECT"), keyed).otherwise(F.array().cast("array<string>"))
 
 
+def box_of(numbers: Column) -> Column:
+    """A box from an array of four finite numbers, inside the page; null for anything else or a tiny box."""
+    finite = F.forall(numbers, lambda n: n.isNotNull() & ~F.isnan(n) & (F.abs(n) < F.lit(float("inf"))))
+    return F.when((F.size(numbers) == 4) & finite, clamped_box(*(F.get(numbers, F.lit(k)) for k in range(4))))
+
+
+def group_of(raw: Column) -> Column:
+    """A group from its JSON text: passage, transcript, page, pages, box and questions (JSON texts), under any of their key names.
+
+    Anything but an object is a group without questions; an object that is itself
+    a question is a group of that one.
+    """
+    v = F.try_parse_json(raw)
+    asked = questions_of(F.coalesce(F.try_variant_get(v, "$.questions", "variant"), F.parse_json(F.lit("[]"))))
+    is_one = F.coalesce(aliased(v, "questionText", "text", "question"), aliased(v, "questionNumber", "number")).isNotNull()
+    pages = F.array_distinct(F.filter(aliased(v, "sourcePages", "pages", "pageNumbers", kind="array<double>"), lambda n: n >= 1))
+    return F.struct(
+        aliased(v, "passage").alias("passage"), aliased(v, "transcript", "talk").alias("transcript"), aliased(v, "sourcePage", "page", "pageNumber", kind="double").cast("int").alias("page"),
+        F.transform(pages, lambda n: n.cast("int")).alias("pages"), box_of(aliased(v, "imageBbox", "passageBbox", "bbox", "cropBox", kind="array<double>")).alias("box"),
+        F.when((F.size(asked) > 0) | ~F.coalesce(is_one, F.lit(False)), asked).otherwise(F.array(raw)).alias("questions"),
+    )
+
+
+def with_flat_questions(groups: Column, flat: Column) -> Column:
+    """Groups that take in questions given beside them.
+
+    Without groups every question makes one; a lone empty group takes all; groups
+    that are all empty are dealt runs of ceil(n / groups); else they stay.
+    """
+    empty = F.filter(groups, lambda g: F.size(g["questions"]) == 0)
+    nothing = lambda name: F.lit(None).cast(_GROUP[name]).alias(name)
+    own = F.transform(flat, lambda q: F.struct(*(nothing(n) for n in ("passage", "transcript", "page", "pages", "box")), F.array(q).alias("questions")))
+    given = lambda g, q: F.struct(*(g[n].alias(n) for n in ("passage", "transcript", "page", "pages", "box")), q.alias("questions"))
+    lone = F.transform(groups, lambda g: F.when(F.size(g["questions"]) == 0, given(g, flat)).otherwise(given(g, g["questions"])))
+    runs = F.zip_with(groups, dealt(flat, F.greatest(F.lit(1), F.size(groups))), given)
+    return F.when(F.size(flat) == 0, groups).when(F.size(groups) == 0, own).when(F.size(empty) == 1, lone).when(F.size(empty) == F.size(groups), runs).otherwise(groups)
+
+
+_GROUP = {"passage": "string", "transcript": "string", "page": "int", "pages": "array<int>", "box": "struct<x:double,y:double,w:double,h:double>"}
+
+
+def parts(rows: DataFrame, key: str = "key") -> DataFrame:
+    """Questions of whole parts in any JSON shape: (key, part_number, group_no, passage, transcript, page, pages, box, question_number, question, options, error).
+
+    ``rows`` has the key, ``raw`` (JSON text) and ``expected`` (a part number or
+    null). Missing question numbers continue from the largest so far, from the
+    part's first on. A part that is no object, or whose number is not 1 to 7, gives
+    one row with its error; a part without questions gives none.
+    """
+    v = F.try_parse_json(F.col("raw"))
+    is_object = F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False))
+    number = F.coalesce(F.try_variant_get(v, "$.partNumber", "double"), F.col("expected").cast("double")).cast("int")
+    error = F.when(~is_object, "not an object").when(number.isNull() | ~number.between(1, 7), "part number")
+    found = F.coalesce(F.try_variant_get(v, "$.groups", "variant"), F.try_variant_get(v, "$.group", "variant"))
+    listed = F.when(F.schema_of_variant(found).startswith("ARRAY"), F.from_json(F.to_json(found), "array<string>")).when(found.isNotNull(), F.array(F.to_json(found)))
+    flat = questions_of(F.coalesce(F.try_variant_get(v, "$.questions", "variant"), F.parse_json(F.lit("[]"))))
+    out = rows.select(key, "raw", number.alias("part_number"), error.alias("error"), F.coalesce(listed, F.array().cast("array<string>")).alias("_listed"), flat.alias("_flat"))
+    out = out.withColumn("_groups", F.when(F.col("error").isNull(), with_flat_questions(F.transform("_listed", group_of), F.col("_flat"))))
+    first = F.create_map(*[F.lit(x) for p, (a, _, _) in PART_RANGES.items() for x in (p, a)])
+    given = F.flatten(F.transform("_groups", lambda g: F.transform(g["questions"], lambda q: question(F.try_parse_json(q))["question_number"])))
+    given = F.transform(given, lambda n: F.when(n >= 1, n))
+    out = out.withColumn("_numbers", with_numbers(given, F.coalesce(first[F.col("part_number")], F.lit(1))))
+    before = F.aggregate(F.slice("_groups", 1, F.col("group_no")), F.lit(0), lambda n, g: n + F.size(g["questions"]))
+    good = out.where("error is null").select(key, "part_number", "_groups", "_numbers", F.posexplode("_groups").alias("group_no", "_group")).withColumn("_before", before)
+    good = good.select(key, "part_number", "group_no", "_group", "_before", "_numbers", F.posexplode("_group.questions").alias("_pos", "_raw"))
+    value = F.try_parse_json(F.col("_raw"))
+    good = good.select(
+        key, "part_number", "group_no", *(F.col(f"_group.{n}").alias(n) for n in _GROUP), F.get("_numbers", F.col("_before") + F.col("_pos")).alias("question_number"), question(value).alias("question"),
+        options_of(F.coalesce(F.try_variant_get(value, "$.options", "variant"), F.parse_json(F.lit("[]")))).alias("options"), F.lit(None).cast("string").alias("error"),
+    )
+    return good.unionByName(out.where("error is not null").select(key, "part_number", "error"), allowMissingColumns=True)
+
+
 def valid_regions(regions: Column) -> Column:
     """Regions (id, text, bbox array) with an id, text, and four numbers in 0..1; text trimmed."""
     good = F.filter(regions, lambda r: (r["id"] != "") & (T.trim(r["text"]) != "") & (F.size(r["bbox"]) == 4) & F.forall(r["bbox"], lambda n: n.isNotNull() & (n >= 0) & (n <= 1)))

@@ -9,10 +9,17 @@ from quizmill.functions import text as T
 from quizmill.functions.numbers import clamped_box
 from quizmill.operators import layout
 
-# Pages of the photo part's questions, margins and half-page bands.
+# Pages of the photo part's questions, the photo's left edge and width, margins, half-page bands
+# (around a divider in the middle, not where labels split the page), and how far a picture is grown and cut.
 PHOTO_PAGES = {1: 2, 2: 2, 3: 3, 4: 3, 5: 4, 6: 4}
+PHOTO_LEFT, PHOTO_WIDTH, PHOTO_LOWEST = 0.08, 0.84, 0.92
+DIVIDER = 0.5
 LEFT_BAND, RIGHT_BAND = (0.05, 0.485), (0.515, 0.96)
-ABOVE_QUESTION, PAGE_TOP, MOST_HEIGHT, LEAST_IMAGE = 0.015, 0.04, 0.34, 0.03
+ABOVE_QUESTION, BELOW_CONTENT, BELOW_GROUP = 0.015, 0.008, 0.12
+PAGE_TOP, MOST_HEIGHT, LEAST_IMAGE = 0.04, 0.34, 0.03
+SAME_ROW, CUE_ABOVE, CUE_BELOW, CUE_BEHIND = 0.014, 0.05, 0.35, 0.15
+IMAGE_EDGE = (0.04, 0.03, 0.96, 0.92, 0.01)
+CUE_EDGE = (0.05, 0.04, 0.95, 0.9, 0.02)
 CUES = r"(?i)graphic|chart|table|schedule|notice|e-mail|email|form"
 
 PAGE = layout.PAGE
@@ -26,22 +33,22 @@ def photo_boxes(spans: DataFrame) -> DataFrame:
     """
     pages = F.create_map(*[F.lit(x) for pair in PHOTO_PAGES.items() for x in pair])
     number = F.regexp_extract(T.trim(F.col("text")), r"^([1-6])\.$", 1)
-    labels = spans.where(number != "").select("doc_id", "page", "idx", "y", number.cast("int").alias("number")).where(F.col("page") == pages[F.col("number")])
+    labels = spans.where(number != "").select("doc_id", "page", "idx", "y", number.try_cast("int").alias("number")).where(F.col("page") == pages[F.col("number")])
     labels = labels.groupBy("doc_id", "page", "number").agg(F.min_by("y", "idx").alias("y"))
     partner = labels.select("doc_id", "page", F.when(F.col("number") % 2 == 1, F.col("number") + 1).otherwise(F.col("number") - 1).alias("number"), F.col("y").alias("other"))
     rows = labels.join(partner, ["doc_id", "page", "number"], "left").withColumn("top", F.greatest(F.lit(PAGE_TOP), F.col("y") + 0.02))
     mirrored = F.col("y") - 0.01 - (F.col("other") + 0.02)
-    bottom = F.when(F.col("number") % 2 == 1, F.coalesce(F.col("other") - 0.01, F.lit(0.92))).otherwise(F.coalesce(F.when(mirrored > 0.02, F.col("top") + mirrored), F.lit(0.92)))
-    return rows.select("doc_id", "page", "number", clamped_box(F.lit(0.08), F.col("top"), F.lit(0.84), bottom - F.col("top")).alias("box")).where("box is not null")
+    bottom = F.when(F.col("number") % 2 == 1, F.coalesce(F.col("other") - 0.01, F.lit(PHOTO_LOWEST))).otherwise(F.coalesce(F.when(mirrored > 0.02, F.col("top") + mirrored), F.lit(PHOTO_LOWEST)))
+    return rows.select("doc_id", "page", "number", clamped_box(F.lit(PHOTO_LEFT), F.col("top"), F.lit(PHOTO_WIDTH), bottom - F.col("top")).alias("box")).where("box is not null")
 
 
 def passage_boxes(spans: DataFrame) -> DataFrame:
     """(doc_id, page, first_question, last_question, box): text between a passage's header and the options of its first question."""
     header = r"(?i)Questions?\s+(\d{1,3})\s*-\s*(\d{1,3})"
-    heads = spans.where(F.col("text").rlike(header)).select(*PAGE, F.col("idx").alias("from"), (F.col("y") + F.col("h")).alias("head"), *(F.regexp_extract("text", header, k).cast("int").alias(n) for k, n in ((1, "first_question"), (2, "last_question"))))
+    heads = spans.where(F.col("text").rlike(header)).select(*PAGE, F.col("idx").alias("from"), (F.col("y") + F.col("h")).alias("head"), *(F.regexp_extract("text", header, k).try_cast("int").alias(n) for k, n in ((1, "first_question"), (2, "last_question"))))
     heads = heads.groupBy(*PAGE, "first_question", "last_question").agg(F.max("from").alias("from"), F.max_by("head", "from").alias("head"))
     begins = r"(?i)(\d{1,3})\.\s*\(A\)"
-    starts = spans.where(F.col("text").rlike(begins)).select(*PAGE, F.col("idx").alias("to"), F.col("y").alias("stop"), F.regexp_extract("text", begins, 1).cast("int").alias("first_question"))
+    starts = spans.where(F.col("text").rlike(begins)).select(*PAGE, F.col("idx").alias("to"), F.col("y").alias("stop"), F.regexp_extract("text", begins, 1).try_cast("int").alias("first_question"))
     ends = heads.join(starts, [*PAGE, "first_question"]).where(F.col("to") > F.col("from")).groupBy(*PAGE, "first_question", "last_question").agg(F.min("to").alias("to"), F.min_by("stop", "to").alias("stop"))
     blocks = heads.join(ends, [*PAGE, "first_question", "last_question"], "left")
     english = (F.length(T.trim(F.col("text"))) >= 2) & (T.letter_count(F.col("text")) >= F.length(T.trim(F.col("text"))) * 0.4)
@@ -58,7 +65,7 @@ def question_places(spans: DataFrame) -> DataFrame:
     """(doc_id, page, number, x, y): the bare number of a question, rather one that text follows on its row, else its anchor."""
     bare = spans.withColumn("number", F.regexp_extract(T.trim(F.col("text")), r"^(\d{1,3})\.?$", 1).try_cast("int")).where("number is not null")
     row = spans.where(F.col("text").rlike(r"(?i)^\s*\.|graphic|\([A-D]\)")).select(*PAGE, F.col("x").alias("ox"), F.col("y").alias("oy"))
-    followed = bare.join(row, PAGE).where((F.col("ox") > F.col("x")) & (F.abs(F.col("oy") - F.col("y")) <= 0.014)).select(*PAGE, "idx").distinct().withColumn("followed", F.lit(1))
+    followed = bare.join(row, PAGE).where((F.col("ox") > F.col("x")) & (F.abs(F.col("oy") - F.col("y")) <= SAME_ROW)).select(*PAGE, "idx").distinct().withColumn("followed", F.lit(1))
     ranked = bare.join(followed, [*PAGE, "idx"], "left").withColumn("kind", F.when(F.col("followed") == 1, 0).otherwise(1)).select(*PAGE, "number", "x", "y", "kind")
     anchored = layout.anchors(spans).select(*PAGE, "number", "x", "y", F.lit(2).alias("kind"))
     order = Window.partitionBy(*PAGE, "number").orderBy("kind", "y", "x")
@@ -71,36 +78,62 @@ def _in_band(box: Column, left: Column, right: Column, top: Column, bottom: Colu
     return clamped_box(x, y, F.least(right, box["x"] + box["w"]) - x, F.least(bottom, box["y"] + box["h"]) - y)
 
 
+def visual_boxes(spans: DataFrame, places: DataFrame) -> DataFrame:
+    """(doc_id, page, first_question, box): text with graphic cues, money or a table of the right half around a group's questions.
+
+    ``places`` has doc_id, page, first_question, qy and, if it is known, end_y, where
+    the question behind the group (or its last one) stands.
+    """
+    cue = F.col("text").rlike(CUES) | ((F.col("x") > 0.45) & F.col("text").rlike(r"\$[\d,]+")) | ((F.col("x") > 0.5) & F.col("text").rlike(r"(?i)\$|Cost|Company"))
+    lowest = F.coalesce(F.col("end_y") + CUE_BEHIND, F.col("qy") + CUE_BELOW)
+    key = [*PAGE, "first_question"]
+    rows = places.join(spans.where(cue), PAGE).where((F.col("y") + F.col("h") >= F.col("qy") - CUE_ABOVE) & (F.col("y") <= lowest))
+    return layout.bounds(rows, key).select(*key, _grown(F.struct("x", "y", "w", "h"), CUE_EDGE).alias("box"))
+
+
+def _grown(box: Column, edge: tuple[float, float, float, float, float]) -> Column:
+    """A box grown on all sides, from a least x and y on, with a most width and height."""
+    x, y, w, h, by = edge
+    return clamped_box(F.greatest(F.lit(x), box["x"] - by), F.greatest(F.lit(y), box["y"] - by), F.least(F.lit(w), box["w"] + 2 * by), F.least(F.lit(h), box["h"] + 2 * by))
+
+
 def graphic_boxes(spans: DataFrame, images: DataFrame, groups: DataFrame) -> DataFrame:
     """(doc_id, page, first_question, box): the graphic above a group's first question.
 
-    The largest image in the column wins, then text with graphic cues, then the
-    strip of the column between earlier content and the question. ``images`` has
-    doc_id, page, x, y, w, h; ``groups`` doc_id, first_question, last_question.
+    It lies between the content above in the column (its lowest line with options
+    or a question, else a distance below the last question of the group before)
+    and the question. The largest image there wins, then text with graphic cues,
+    then the whole strip. ``images`` has doc_id, page, x, y, w, h; ``groups``
+    doc_id, first_question, last_question.
     """
     columns = layout.page_columns(spans)
-    places = question_places(spans).withColumnRenamed("number", "first_question")
-    g = groups.join(places, ["doc_id", "first_question"]).join(columns, PAGE).withColumnRenamed("x", "qx").withColumnRenamed("y", "qy")
+    places = question_places(spans)
+    g = groups.join(places.withColumnRenamed("number", "first_question"), ["doc_id", "first_question"]).join(columns, PAGE).withColumnRenamed("x", "qx").withColumnRenamed("y", "qy")
     left = F.col("qx") < F.col("split_x")
     g = g.withColumn("side", F.when(left, "left").otherwise("right")).withColumn("bottom", F.col("qy") - ABOVE_QUESTION)
     g = g.withColumn("band_l", F.when(left, LEFT_BAND[0]).otherwise(RIGHT_BAND[0])).withColumn("band_r", F.when(left, LEFT_BAND[1]).otherwise(RIGHT_BAND[1]))
     key = [*PAGE, "first_question"]
-    content = layout.lines(spans).where(F.col("line").rlike(r"\([A-D]\)|^\d{1,3}\s*\.")).select(*PAGE, F.col("column").alias("line_column"), F.col("y").alias("ly"))
-    above = g.join(content, PAGE).where(((F.col("line_column") == "single") | (F.col("line_column") == F.col("side"))) & (F.col("ly") < F.col("bottom"))).groupBy(*key).agg(F.max("ly").alias("content"))
-    g = g.join(above, key, "left")
-    g = g.withColumn("top", F.greatest(F.lit(PAGE_TOP), F.col("bottom") - MOST_HEIGHT, F.coalesce(F.col("content") + 0.02, F.lit(0.0)))).where(F.col("bottom") - F.col("top") >= 0.02)
+    content = layout.lines(spans).where(F.col("line").rlike(r"\([A-D]\)|^\d{1,3}\s*\.")).select(*PAGE, F.col("column").alias("line_column"), F.col("bottom").alias("line_bottom"))
+    above = g.join(content, PAGE).where(((F.col("line_column") == "single") | (F.col("line_column") == F.col("side"))) & (F.col("line_bottom") <= F.col("bottom"))).groupBy(*key).agg(F.max("line_bottom").alias("content"))
+    anchors = layout.anchors(spans).select(*PAGE, F.col("number"), F.col("column").alias("_column"), F.col("y").alias("_y"))
+    before = g.join(anchors.withColumn("first_question", F.col("number") + 1), key).where((F.col("_column") == "single") | (F.col("_column") == F.col("side"))).groupBy(*key).agg(F.min("_y").alias("before"))
+    behind = anchors.groupBy(*PAGE, "number").agg(F.min("_y").alias("end_y"))
+    after = g.select(*key, (F.col("last_question") + 1).alias("number")).join(behind, [*PAGE, "number"]).select(*key, F.col("end_y").alias("after_y"))
+    at_end = g.select(*key, "last_question").join(behind.withColumnRenamed("number", "last_question"), [*PAGE, "last_question"]).select(*key, F.col("end_y").alias("last_y"))
+    g = g.join(above, key, "left").join(before, key, "left").join(after, key, "left").join(at_end, key, "left").withColumn("end_y", F.coalesce("after_y", "last_y"))
+    ceiling = F.coalesce(F.col("content") + BELOW_CONTENT, F.col("before") + BELOW_GROUP, F.lit(0.0))
+    g = g.withColumn("top", F.greatest(F.lit(PAGE_TOP), F.col("bottom") - MOST_HEIGHT, ceiling)).where(F.col("bottom") - F.col("top") >= 0.02)
     area = F.col("w") * F.col("h")
     middle = F.col("x") + F.col("w") / 2
-    fits = (F.col("y") + F.col("h") <= F.col("bottom") + 0.01) & (F.col("y") >= F.col("top") - 0.01) & (area >= LEAST_IMAGE) & (F.when(F.col("side") == "left", middle < 0.5).otherwise(middle >= 0.5))
+    fits = (F.col("y") + F.col("h") <= F.col("bottom") + 0.01) & (F.col("y") >= F.col("top") - 0.01) & (area >= LEAST_IMAGE) & (F.when(F.col("side") == "left", middle < DIVIDER).otherwise(middle >= DIVIDER))
     best = g.select(*key, "side", "top", "bottom").join(images, PAGE).where(fits).groupBy(*key).agg(F.max_by(F.struct("x", "y", "w", "h"), area).alias("image"))
-    cue = F.col("text").rlike(CUES) | ((F.col("x") > 0.45) & F.col("text").rlike(r"\$[\d,]+")) | ((F.col("x") > 0.5) & F.col("text").rlike(r"(?i)\$|Cost|Company"))
-    cued = g.select(*key, "qy").join(spans.where(cue), PAGE).where((F.col("y") + F.col("h") >= F.col("qy") - 0.05) & (F.col("y") <= F.col("qy") + 0.35))
-    cued = layout.bounds(cued, key).select(*key, F.struct("x", "y", "w", "h").alias("cued"))
+    cued = visual_boxes(spans, g.select(*key, "qy", "end_y")).withColumnRenamed("box", "cued")
     rows = g.join(best, key, "left").join(cued, key, "left")
-    grown = lambda c, d: F.struct((c["x"] - d).alias("x"), (c["y"] - d).alias("y"), (c["w"] + 2 * d).alias("w"), (c["h"] + 2 * d).alias("h"))
     cut = lambda box: _in_band(box, F.col("band_l"), F.col("band_r"), F.col("top"), F.col("bottom"))
     strip = clamped_box(F.col("band_l"), F.col("top"), F.col("band_r") - F.col("band_l"), F.col("bottom") - F.col("top"))
-    box = F.coalesce(F.when(F.col("image").isNotNull(), cut(grown(F.col("image"), 0.01))), F.when(F.col("cued").isNotNull(), cut(grown(F.col("cued"), 0.02))), strip)
+    grown = _grown(F.col("image"), IMAGE_EDGE)
+    pictured = F.get(F.transform(F.array(grown), lambda b: F.coalesce(cut(b), b)), F.lit(0))  # the lambda's argument is computed once
+    box = F.coalesce(F.when(F.col("image").isNotNull(), pictured), F.when(F.col("cued").isNotNull(), cut(F.col("cued"))), strip)
     return rows.select(*key, box.alias("box")).where("box is not null")
 
 

@@ -5,10 +5,7 @@ Spans are rows (doc_id, page, idx, text, x, y, w, h) with coordinates in 0..1.
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quizmill.functions import text as T
@@ -19,7 +16,7 @@ PAGE = ["doc_id", "page"]
 
 def question_number(c):
     """The number of ``n.`` or ``n. text``; null otherwise."""
-    return F.when(T.trim(c).rlike(r"^\d{1,3}\s*\.(?:\s|$)"), F.regexp_extract(T.trim(c), r"^(\d{1,3})", 1).cast("int"))
+    return F.when(T.trim(c).rlike(r"^\d{1,3}\s*\.(?:\s|$)"), F.regexp_extract(T.trim(c), r"^(\d{1,3})", 1).try_cast("int"))
 
 
 def page_columns(spans: DataFrame) -> DataFrame:
@@ -31,7 +28,12 @@ def page_columns(spans: DataFrame) -> DataFrame:
 
 
 def with_column(spans: DataFrame) -> DataFrame:
-    rows = spans.join(page_columns(spans), PAGE)
+    """Spans with dual, split_x and the column that they stand in: single, left or right; one window over the page."""
+    page = Window.partitionBy(*PAGE)
+    x = F.when(question_number(F.col("text")).isNotNull(), F.col("x"))
+    rows = spans.withColumn("_x", x).withColumn("dual", (F.count_if(F.col("_x") < 0.5).over(page) >= 1) & (F.count_if(F.col("_x") >= 0.5).over(page) >= 1))
+    right = F.min(F.when(F.col("_x") >= 0.5, F.col("_x"))).over(page)
+    rows = rows.withColumn("split_x", F.when(F.col("dual"), F.greatest(F.lit(0.45), right - 0.02)).otherwise(0.5)).drop("_x")
     return rows.withColumn("column", F.when(~F.col("dual"), "single").when(F.col("x") < F.col("split_x"), "left").otherwise("right"))
 
 
@@ -48,60 +50,146 @@ def anchors(spans: DataFrame) -> DataFrame:
     return rows.select(*PAGE, "column", "number", "x", "y", F.lead("y").over(order).alias("next_y"))
 
 
-def near_median(found: DataFrame, reach: float = 0.05) -> DataFrame:
-    """Anchors within ``reach`` of their column's median x; a lone anchor stays."""
-    middle = found.groupBy(*PAGE, "column").agg(F.median("x").alias("mid"), F.count("*").alias("n"))
-    return found.join(middle, [*PAGE, "column"]).where((F.col("n") < 2) | (F.abs(F.col("x") - F.col("mid")) <= reach)).drop("mid", "n")
+def near_median(found: DataFrame, reach: float = 0.05, single: bool = True) -> DataFrame:
+    """Anchors within ``reach`` of their column's median x; a lone anchor stays, and without ``single`` all of a page with one column."""
+    column = Window.partitionBy(*PAGE, "column")
+    rows = found.withColumn("_mid", F.median("x").over(column)).withColumn("_n", F.count("*").over(column))
+    kept = F.lit(False) if single else F.col("column") == "single"
+    return rows.where(kept | (F.col("_n") < 2) | (F.abs(F.col("x") - F.col("_mid")) <= reach)).drop("_mid", "_n")
 
 
-def joined_line(parts: list[tuple[float, float, str]]) -> str:
-    """Text of one line from (x, w, text): tight digits, single letters and punctuation join without a space."""
-    parts = sorted(((x, w, t.strip()) for x, w, t in parts), key=lambda p: p[0])
-    line, end, before = "", 0.0, ""
-    for k, (x, w, t) in enumerate(parts):
-        if k and t:
-            tight = x - end <= 0.004
-            alone = re.fullmatch("[A-Za-z]", before) or re.fullmatch("[A-Za-z]", t)
-            digits = re.search(r"\d$", before) and re.match(r"\d", t)
-            line += t if (tight and (alone or digits)) or re.match(r"[,.;:!?)]", t) or line.endswith("(") else f" {t}"
-        elif not k:
-            line = t
-        end, before = x + w, t
-    return re.sub(r"\s+", " ", line).strip()
+def joined(parts: Column) -> Column:
+    """Text of one line from an array of (x, w, text), ordered: tight digits, single letters and punctuation join without a space. A fold."""
+    start = F.struct(F.lit("").alias("line"), F.lit(0.0).alias("end"), F.lit(None).cast("string").alias("before"))
 
+    def step(state: Column, part: Column) -> Column:
+        t = T.trim(part["text"])
+        tight = part["x"] - state["end"] <= 0.004
+        alone = state["before"].rlike("^[A-Za-z]$") | t.rlike("^[A-Za-z]$")
+        digits = state["before"].rlike(r"\d$") & t.rlike(r"^\d")
+        close = (tight & (alone | digits)) | t.rlike(r"^[,.;:!?)]") | state["line"].endswith("(")
+        line = F.when(state["before"].isNull(), t).when(t == "", state["line"]).otherwise(F.concat(state["line"], F.when(close, "").otherwise(" "), t))
+        return F.struct(line.alias("line"), (part["x"] + part["w"]).alias("end"), t.alias("before"))
 
-def lines(spans: DataFrame) -> DataFrame:
-    """(doc_id, page, column, y, x, line): spans within the tolerance of a line's first y form the line.
+    return F.aggregate(parts, start, step, lambda state: T.trim(T.collapse(state["line"])))
+
+
+def lines_by(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, line_no, y, x, bottom, line): spans within the tolerance of a line's first y form the line.
 
-    The tolerance counts from the line's head, so this is a fold, one group per page and column.
+    The tolerance counts from the line's head, so this is a fold over the spans of
+    each key in order of y, then x; rows need y, x, w, h and text.
     """
+    spans = F.array_sort(F.collect_list(F.struct("y", "x", "w", "h", F.coalesce("text", F.lit("")).alias("text"))))
+    start = F.struct(F.lit(None).cast("double").alias("head"), F.lit(-1).alias("n"), F.array().cast("array<int>").alias("of"))
+
+    def step(state: Column, span: Column) -> Column:
+        new = state["head"].isNull() | (F.abs(span["y"] - state["head"]) > LINE_TOLERANCE)
+        n = state["n"] + new.cast("int")
+        return F.struct(F.when(new, span["y"]).otherwise(state["head"]).alias("head"), n.alias("n"), F.array_append(state["of"], n).alias("of"))
+
+    folded = rows.groupBy(*keys).agg(spans.alias("spans")).withColumn("of", F.aggregate("spans", start, step, lambda state: state["of"]))
+    placed = folded.select(*keys, "spans", "of", F.explode(F.array_distinct("of")).alias("line_no"))
+    mine = F.filter(F.zip_with("spans", "of", lambda span, n: F.struct(n.alias("n"), span.alias("s"))), lambda z: z["n"] == F.col("line_no"))
+    placed = placed.select(*keys, "line_no", F.transform(mine, lambda z: z["s"]).alias("spans"))
+    parts = F.array_sort(F.transform("spans", lambda z, i: F.struct(z["x"].alias("x"), i.alias("i"), z["w"].alias("w"), z["text"].alias("text"))))
+    return placed.select(
+        *keys, "line_no", F.get("spans", 0)["y"].alias("y"), F.array_min(F.transform("spans", lambda z: z["x"])).alias("x"),
+        F.array_max(F.transform("spans", lambda z: z["y"] + z["h"])).alias("bottom"), joined(parts).alias("line"),
+    )
+
+
+def lines(spans: DataFrame) -> DataFrame:
+    """(doc_id, page, column, y, x, bottom, line): the lines of each column of each page."""
+    return lines_by(with_column(spans), [*PAGE, "column"]).drop("line_no")
+
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        head, current, out = None, [], []
-        first = pdf.iloc[0]
+def outside(spans: DataFrame, boxes: DataFrame, margin: float = 0.004) -> DataFrame:
+    """Spans whose centre is in none of the boxes (doc_id, page, x, y, w, h) of their page, grown by ``margin``."""
+    of_page = boxes.groupBy(*PAGE).agg(F.collect_list(F.struct("x", "y", "w", "h")).alias("_boxes"))
+    cx, cy = F.col("x") + F.col("w") / 2, F.col("y") + F.col("h") / 2
+    covers = lambda b: cx.between(b["x"] - margin, b["x"] + b["w"] + margin) & cy.between(b["y"] - margin, b["y"] + b["h"] + margin)
+    rows = spans.join(of_page, PAGE, "left")
+    return rows.where(F.col("_boxes").isNull() | ~F.exists("_boxes", covers)).drop("_boxes")
 
-        def close():
-            if current:
-                out.append((first["doc_id"], first["page"], first["column"], head, min(s[0] for s in current), joined_line(current)))
 
-        for s in pdf.sort_values(["y", "x"]).itertuples():
-            if head is None or abs(s.y - head) > LINE_TOLERANCE:
-                close()
-                head, current = s.y, []
-            current.append((s.x, s.w, s.text or ""))
-        close()
-        return pd.DataFrame(out, columns=["doc_id", "page", "column", "y", "x", "line"])
+def band(spans: DataFrame, found: DataFrame, exclude: DataFrame | None = None) -> DataFrame:
+    """Spans of each question: middle y from its label up to the next label of its column, without those in excluded boxes.
+
+    A page's anchors are an array that its spans meet by an equality join on the page.
+    """
+    of_page = found.groupBy(*PAGE).agg(F.collect_list(F.struct("column", "number", "y", "next_y")).alias("_anchors"))
+    s = with_column(spans)
+    s = (outside(s, exclude) if exclude is not None else s).withColumn("mid", F.col("y") + F.col("h") / 2)
+    inside = lambda a: (a["column"] == F.col("column")) & (F.col("mid") >= a["y"] - 0.008) & (a["next_y"].isNull() | (F.col("mid") < a["next_y"] + 0.008))
+    rows = s.join(of_page, PAGE).withColumn("_a", F.explode(F.filter("_anchors", inside)))
+    return rows.select(*PAGE, F.col("_a.number").alias("number"), "idx", "text", "x", "y", "w", "h")
 
-    rows = with_column(spans).select("doc_id", "page", "column", "x", "y", "w", "text")
-    return rows.groupBy("doc_id", "page", "column").applyInPandas(fold, "doc_id long, page int, column string, y double, x double, line string")
 
+def page_texts(spans: DataFrame) -> DataFrame:
+    """(doc_id, page, page_text): the spans' texts in their order, a line each."""
+    texts = F.array_sort(F.collect_list(F.struct("idx", "text")))
+    return spans.groupBy(*PAGE).agg(F.array_join(F.transform(texts, lambda t: t["text"]), "\n").alias("page_text"))
 
-def band(spans: DataFrame, found: DataFrame) -> DataFrame:
-    """Spans of each question: middle y from its label up to the next label of its column."""
-    s = with_column(spans).withColumn("mid", F.col("y") + F.col("h") / 2).select(*PAGE, "column", "idx", "text", "mid")
-    inside = (F.col("mid") >= F.col("a.y") - 0.008) & (F.col("a.next_y").isNull() | (F.col("mid") < F.col("a.next_y") + 0.008))
-    a, b = found.alias("a"), s.alias("s")
-    return a.join(b, [F.col("a.doc_id") == F.col("s.doc_id"), F.col("a.page") == F.col("s.page"), F.col("a.column") == F.col("s.column"), inside]).select("a.doc_id", "a.page", "a.number", "s.idx", "s.text")
+
+def question_anchors(spans: DataFrame, first: int = 1, last: int = 999, texts: DataFrame | None = None) -> DataFrame:
+    """(doc_id, page, column, number, x, y, next_y): one anchor for each question number of a page.
+
+    Candidates are span labels, lines that start with a label, labels of 100 and
+    more inside lines, and, for numbers that have none of these, the span that
+    holds the first words behind the number in the page's text (``texts``:
+    doc_id, page, page_text). The best counts: 2 for a bare label at its place, 4
+    for an option (A) within 0.08 below in its column, and its y; of equals the
+    first. Anchors far from their column's median x go.
+    """
+    s = with_column(spans).select(*PAGE, "idx", "text", "x", "y", "w", "h", "dual", "split_x", "column")
+    pages = s.groupBy(*PAGE).agg(F.first("dual").alias("dual"), F.first("split_x").alias("split_x"))
+    labels = s.withColumn("number", question_number(F.col("text"))).where("number is not null").select(*PAGE, "number", "x", "y", F.lit(0).alias("kind"), F.col("idx").cast("double").alias("at"))
+    rows = lines_by(s, [*PAGE, "column"])
+    starts = rows.withColumn("number", question_number(F.col("line"))).where("number is not null").select(*PAGE, "number", "x", "y", F.lit(1).alias("kind"), F.col("y").alias("at"))
+    inner = F.filter(F.transform(F.regexp_extract_all("line", F.lit(r"(?:^|\s)(\d{1,3})\s*\."), F.lit(1)), lambda n: n.cast("int")), lambda n: n >= 100)
+    inline = rows.select(*PAGE, F.explode(inner).alias("number"), "x", "y", F.lit(1).alias("kind"), F.col("y").alias("at"))
+    found = labels.unionByName(starts).unionByName(inline).where(F.col("number").between(first, last))
+    found = found.unionByName(_from_text(s, found, texts if texts is not None else page_texts(spans), first, last))
+    bare = s.where(T.trim(F.col("text")).rlike(r"^\d{1,3}\s*\.$")).groupBy(*PAGE).agg(F.collect_list(F.struct("x", "y")).alias("_bare"))
+    options = rows.where(F.col("line").rlike(r"(?i)\(A\)")).groupBy(*PAGE).agg(F.collect_list(F.struct("column", "y")).alias("_options"))
+    found = found.join(pages, PAGE).join(bare, PAGE, "left").join(options, PAGE, "left")
+    found = found.withColumn("column", F.when(~F.col("dual"), "single").when(F.col("x") < F.col("split_x"), "left").otherwise("right"))
+    is_bare = F.exists("_bare", lambda b: (b["x"] == F.col("x")) & (F.abs(b["y"] - F.col("y")) < 0.01))
+    has_options = F.exists("_options", lambda o: (o["column"] == F.col("column")) & o["y"].between(F.col("y") - 0.01, F.col("y") + 0.08))
+    score = F.when(is_bare, 2).otherwise(0) + F.when(has_options, 4).otherwise(0) + F.col("y")
+    best = found.groupBy(*PAGE, "number").agg(F.max_by(F.struct("column", "x", "y"), F.struct(score.alias("score"), (-F.col("kind")).alias("kind"), (-F.col("at")).alias("at"))).alias("a"))
+    kept = near_median(best.select(*PAGE, "a.column", "number", "a.x", "a.y"), single=False)
+    order = Window.partitionBy(*PAGE, "column").orderBy("y", "x", "number")
+    return kept.withColumn("next_y", F.lead("y").over(order))
+
+
+def _from_text(spans: DataFrame, found: DataFrame, texts: DataFrame, first: int, last: int) -> DataFrame:
+    """Candidates for numbers without an anchor: the first span with the first three words behind ``n.`` in the page's text."""
+    pattern = r"\b(\d{1,3})\.\s*([^\n]{4,120})"
+    pairs = F.zip_with(F.regexp_extract_all("page_text", F.lit(pattern), F.lit(1)), F.regexp_extract_all("page_text", F.lit(pattern), F.lit(2)), lambda n, t: F.struct(n.cast("int").alias("n"), t.alias("t")))
+    named = texts.select(*PAGE, F.posexplode(pairs).alias("pos", "p")).select(*PAGE, "pos", F.col("p.n").alias("number"), F.col("p.t").alias("said")).where(F.col("number").between(first, last))
+    named = named.groupBy(*PAGE, "number").agg(F.min_by("said", "pos").alias("said")).join(found.select(*PAGE, "number").distinct(), [*PAGE, "number"], "left_anti")
+    hint = F.substring(T.trim(T.dashes_to_spaces(F.col("said"))), 1, 30)
+    words = F.array_join(F.slice(F.split(hint, r"\s+"), 1, 3), " ")
+    named = named.select(*PAGE, "number", words.alias("words")).where(F.length("words") >= 4)
+    hits = named.join(spans.select(*PAGE, "idx", "text", "x", "y"), PAGE).where(F.col("text").contains(F.col("words")))
+    best = hits.groupBy(*PAGE, "number").agg(F.min_by(F.struct("x", "y"), "idx").alias("a"))
+    return best.select(*PAGE, "number", "a.x", "a.y", F.lit(2).alias("kind"), F.lit(0.0).alias("at"))
+
+
+def pages_of_range(anchored: DataFrame, first: int, last: int) -> DataFrame:
+    """(doc_id, page): the pages with an anchor of the range."""
+    return anchored.where(F.col("number").between(first, last)).select(*PAGE).distinct()
+
+
+def pages_of_part(texts: DataFrame, part: int) -> DataFrame:
+    """(doc_id, page): pages from a part's header on, up to the next part's header page."""
+    order = Window.partitionBy("doc_id").orderBy("page")
+    named = F.transform(F.regexp_extract_all("page_text", F.lit(r"(?i)\bPART\s*(\d)\b"), F.lit(1)), lambda n: n.cast("int"))
+    rows = texts.select(*PAGE, named.alias("named"))
+    running = F.last(F.when(F.size("named") > 0, F.get("named", F.size("named") - 1)), True).over(order)
+    return rows.withColumn("running", running).where((F.col("running") == part) | F.array_contains("named", part)).select(*PAGE)
 
 
 def word_regions(spans: DataFrame) -> DataFrame:

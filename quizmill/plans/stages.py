@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import UTC, datetime
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,25 +26,71 @@ def resumable(jobs: DataFrame) -> DataFrame:
 
 def to_redo(states: DataFrame, counts: DataFrame, expected: DataFrame) -> DataFrame:
     """Done steps whose count differs from the expected one, per job; they run again, and so does saving."""
-    off = states.where("status = 'done'").join(counts, ["job_id", "step"]).join(F.broadcast(expected), "step").where("found <> expected").select("job_id", "step")
+    off = states.where("status = 'done'").join(counts, ["job_id", "step"]).join(expected, "step").where("found <> expected").select("job_id", "step")
     return off.unionByName(off.select("job_id").distinct().withColumn("step", F.lit("save_db"))).distinct()
 
 
+EVENTS = "job_id string, step string, at timestamp, status string, message string, partial string"
+
+
+class PartialOutput(Exception):
+    """A step failed, but part of its text came; a later run may continue from it."""
+
+    def __init__(self, message: str, partial: str):
+        super().__init__(message)
+        self.partial = partial
+
+
+def record(spark: SparkSession, folder: str, job: str, step: str, status: str, message: str | None = None, partial: str | None = None) -> None:
+    """Appends one event to the log of all jobs below the folder."""
+    row = [(job, step, datetime.now(UTC), status, message, partial)]
+    spark.createDataFrame(row, EVENTS).coalesce(1).write.mode("append").parquet(f"{folder}/_events")
+
+
+def events(spark: SparkSession, folder: str) -> DataFrame:
+    """The log of all jobs; empty before the first event."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/_events")
+    there = path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+    return spark.read.schema(EVENTS).parquet(f"{folder}/_events") if there else spark.createDataFrame([], EVENTS)
+
+
+def states(spark: SparkSession, folder: str) -> DataFrame:
+    """(job_id, step, status, message, partial, at): the newest event of every step."""
+    newest = F.max_by(F.struct("status", "message", "partial", "at"), "at").alias("e")
+    return events(spark, folder).groupBy("job_id", "step").agg(newest).select("job_id", "step", "e.*")
+
+
+def chunks(name: str, step: Callable[[SparkSession, dict, tuple[int, int]], DataFrame], ranges: list[tuple[int, int]]) -> list[tuple[str, Callable[[SparkSession, dict], DataFrame]]]:
+    """A step cut into ranges, each with a checkpoint of its own, and the step itself, which unites them."""
+    each = [(f"{name}_{a}_{b}", lambda spark, results, span=(a, b): step(spark, results, span)) for a, b in ranges]
+    names = [n for n, _ in each]
+    return [*each, (name, lambda spark, results: reduce(DataFrame.unionByName, [results[n] for n in names]))]
+
+
 def run_steps(spark: SparkSession, folder: str, job: str, steps: list[tuple[str, Callable[[SparkSession, dict], DataFrame]]]) -> dict[str, str]:
     """Runs the steps in order, each result written under the job's folder; finished steps are not run again.
 
     A step counts as finished when its folder has its success marker, which the
-    writer leaves last, so that an interrupted step runs again as a whole.
+    writer leaves last, so that an interrupted step runs again as a whole. Every
+    run, skip, end and failure is an event; a failure keeps its message and what
+    text came, and is raised again.
     """
-    states, results = {}, {}
+    out, results = {}, {}
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     for name, step in steps:
         path = f"{folder}/{job}/{name}"
         marker = jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
         if marker.getFileSystem(conf).exists(marker):
-            states[name] = "skipped"
+            out[name] = "skipped"
+            record(spark, folder, job, name, "skipped")
         else:
-            step(spark, results).write.mode("overwrite").parquet(path)
-            states[name] = "done"
+            record(spark, folder, job, name, "running")
+            try:
+                step(spark, results).write.mode("overwrite").parquet(path)
+            except Exception as error:
+                record(spark, folder, job, name, "failed", str(error)[:2_000], getattr(error, "partial", None))
+                raise
+            out[name] = "done"
+            record(spark, folder, job, name, "done")
         results[name] = spark.read.parquet(path)
-    return states
+    return out

@@ -69,7 +69,7 @@ def bands(t):
 @query("l4_lines")
 def lines(t):
     """A fold per page and column."""
-    return layout.lines(spans(t))
+    return layout.lines(spans(t)).select("doc_id", "page", "column", "y", "x", "line")
 
 
 @query("l16_word_regions", _SPANS + """,

@@ -39,8 +39,9 @@ def test_anchors_stay_in_their_column(spark):
         ([(0.1, 0.1, "see ("), (0.2, 0.1, "a)")], "see (a)"),
     ],
 )
-def test_joined_line(parts, line):
-    assert layout.joined_line(parts) == line
+def test_joined_line(spark, parts, line):
+    rows = spark.createDataFrame([(sorted(parts),)], "parts array<struct<x:double,w:double,text:string>>")
+    assert rows.select(layout.joined(F.col("parts")).alias("line")).first().line == line
 
 
 def test_lines_count_from_the_head(spark):
