@@ -11,6 +11,7 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,7 +21,7 @@ SEPARATORS = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
 
 #: Text bytes that one numpy step handles at once; bounds a task's memory.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,6 +65,66 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Tables between the jobs of one operator, each deleted as soon as no job needs it any more."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.folder, self.paths = spark, new_path(spark, name), {}
+
+    def written(self, df: DataFrame, name: str) -> DataFrame:
+        """``df`` written once as Parquet and read again; a repeated name gets a number behind it."""
+        own = name if name not in self.paths else next(k for n in range(1, len(self.paths) + 2) if (k := f"{name}.{n}") not in self.paths)
+        self.paths[own] = path = f"{self.folder}/{own}"
+        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def tables(self, start: str = "") -> list[str]:
+        return [name for name in self.paths if name.startswith(start)]
+
+    def drop(self, *names: str, but: tuple[str, ...] | None = None) -> None:
+        """Deletes the tables named, or all but some; whoever reads them must be done."""
+        for name in names if but is None else [x for x in self.paths if x not in but]:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(self.paths.pop(name))
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def without_rows(docs: DataFrame, dropped: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is not in ``dropped`` (column doc_id); rows without doc_id stay.
+
+    The ids are written first, so that Spark knows their size: it sends few ids
+    to the tasks and shuffles for many.
+    """
+    ids = written(dropped.select(F.col("doc_id").cast("long").alias("_dropped")).where("_dropped is not null"), "dropped")
+    return docs.join(ids, docs["doc_id"] == ids["_dropped"], "left_anti")
+
+
+#: Bits of a filter that tasks get: 8 MB at most.
+FILTER_BITS_MOST = 1 << 26
+
+
+def filter_of(hashes: DataFrame, count: int) -> tuple[int, bytes]:
+    """(bits, filled) of a one-hash filter of bounded size over ``count`` values (the only column, long), built by partial aggregates."""
+    bits = 1 << 16
+    while bits < min(64 * count, FILTER_BITS_MOST):
+        bits *= 2
+    slots = hashes.select(F.pmod(F.col(hashes.columns[0]), F.lit(bits)).alias("slot"))
+    pieces = slots.groupBy(F.expr("bitmap_bucket_number(slot + 1)").alias("k")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(slot + 1))").alias("bits")).collect()  # a row per 4 KB
+    out = bytearray(bits // 8)
+    for r in pieces:
+        a = (r["k"] - 1) * 4096
+        out[a : a + 4096] = bytes(r["bits"])[: bits // 8 - a]
+    return bits, bytes(out)
+
+
+def in_filter(filled: np.ndarray, slot: np.ndarray) -> np.ndarray:
+    return (filled[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1
+
+
+def passes(filled):
+    """A condition on a slot column: its bit is set in the broadcast filter."""
+    return F.pandas_udf(lambda slot: pd.Series(in_filter(np.frombuffer(filled.value, np.uint8), slot.to_numpy())), "boolean")
+
+
 def rows_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose doc_id is in ``ids`` (column doc_id), or null; their columns as they were."""
     null = docs.sparkSession.createDataFrame([(None,)], "doc_id long")

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-from quizmill.llm.common import blocks, mixed
+from quizmill.llm.common import CHUNK_BYTES, blocks, mixed
 
 SHINGLE_WORDS = 5
 
@@ -19,16 +19,21 @@ _IS_SEPARATOR[[9, 10, 11, 12, 13, 32]] = True
 _CODES = mixed(np.arange(256, dtype=np.uint64), 11)
 _CODES[65:91] = _CODES[97:123]
 _PLACE = [np.uint64(pow(0xD6E8FEB86659FD93, k, 1 << 64)) for k in range(SHINGLE_WORDS)]
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def _powers_of(base: int, n: int) -> np.ndarray:
+    steps = np.full(n, base & _MASK, np.uint64)
+    steps[0] = 1
+    return np.cumprod(steps, dtype=np.uint64)
+
+
+_INVERSE = pow(_BASE, -1, 1 << 64)
+_KEPT = (_powers_of(_BASE, 1 + CHUNK_BYTES), _powers_of(_INVERSE, 1 + CHUNK_BYTES))
 
 
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) < n:
-        for k, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
-            steps = np.full(max(n, 1 << 20), base & _MASK, np.uint64)
-            steps[0] = 1
-            _powers[k] = np.cumprod(steps, dtype=np.uint64)
-    return _powers[0], _powers[1]
+    """Powers up to n; only those for a block of usual size are kept."""
+    return _KEPT if n <= len(_KEPT[0]) else (_powers_of(_BASE, n), _powers_of(_INVERSE, n))
 
 
 def word_hashes(offsets: np.ndarray, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
