@@ -125,13 +125,6 @@ def passes(filled):
     return F.pandas_udf(lambda slot: pd.Series(in_filter(np.frombuffer(filled.value, np.uint8), slot.to_numpy())), "boolean")
 
 
-def rows_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is in ``ids`` (column doc_id), or null; their columns as they were."""
-    null = docs.sparkSession.createDataFrame([(None,)], "doc_id long")
-    keep = ids.select("doc_id").where("doc_id is not null").distinct().unionByName(null).select(F.col("doc_id").alias("_keep"))
-    return docs.join(keep, docs["doc_id"].eqNullSafe(keep["_keep"]), "left_semi")
-
-
 def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 

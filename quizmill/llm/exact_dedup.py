@@ -2,11 +2,15 @@
 
 Memtables: every scan task digests its rows and flushes them as one run sorted
 by digest, a Parquet file whose footer carries a Bloom filter on the digest.
-Compaction merges the runs by digest and keeps, per digest, the smallest
-identifiers and the row that stays. A lookup of the runs in the compacted level
-gives hits, and each hit's bytes are compared with the bytes of the row that
-stays; hits whose bytes differ (a digest collision) are grouped again by the
-bytes themselves, so that the digest's width never affects the result.
+Compaction merges the runs by digest (Spark's aggregate: partial in every run,
+merged behind the shuffle) into a level, sorted and with filters again, and keeps,
+per digest, the smallest identifiers and the row that stays. A filter of bounded
+size over the level's digests with several rows meets the runs: rows that it
+excludes are alone and need no lookup; the others are looked up in the level. Hits
+have their texts read, again behind a filter, and each text is compared byte by
+byte with that of the row that stays. Where bytes differ (a digest collision) the
+rows are grouped again by the bytes themselves, so that the digest's width never
+affects the result.
 """
 
 from __future__ import annotations
@@ -18,7 +22,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quizmill.llm.common import SEPARATORS, new_path, rows_of, table, text_or_empty, written
+from quizmill.llm.common import SEPARATORS, Scratch, filter_of, new_path, passes, table, text_or_empty, without_rows
 
 
 def normalised(column: str = "text") -> Column:
@@ -43,6 +47,9 @@ class DigestIndex:
         sorted_rows.option("parquet.bloom.filter.enabled#digest", "true").option("parquet.bloom.filter.max.bytes", str(1 << 18)).parquet(path)
         return self.spark.read.schema(rows.schema).parquet(path)
 
+    def digested(self, rows: DataFrame) -> DataFrame:
+        return rows.withColumn("digest", F.substring("text_sha256", 1, 2 * self.digest_bytes))
+
     def flush(self, docs: DataFrame) -> DataFrame:
         """Writes the documents' digests, one sorted run per task: (doc_id, text_sha256, points, digest)."""
         rows = docs.select(
@@ -50,7 +57,7 @@ class DigestIndex:
             F.sha2(F.encode(normalised(), "utf-8"), 256).alias("text_sha256"),
             F.char_length(text_or_empty()).cast("long").alias("points"),
         )
-        run = self._write(rows.withColumn("digest", F.substring("text_sha256", 1, 2 * self.digest_bytes)), "run")
+        run = self._write(self.digested(rows), "run")
         self.waiting.append(run)
         return run
 
@@ -64,6 +71,18 @@ class DigestIndex:
         self.waiting = []
         return self.level
 
+    def lookup(self, run: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+        """(rows of a flushed run that are alone with their digest, the others with keep_id and group_size from the level)."""
+        level = self.level if self.level is not None else self.compact()
+        several = level.where("group_size > 1").select("digest", "keep_id", "group_size")
+        bits, filled = filter_of(several.select(F.xxhash64("digest")), several.count())
+        sent = self.spark.sparkContext.broadcast(filled)
+        asked = scratch.written(run.withColumn("maybe", passes(sent)(F.pmod(F.xxhash64("digest"), F.lit(bits)))), "asked")
+        sent.destroy()
+        found = scratch.written(asked.where("maybe").drop("maybe").join(several, "digest", "left"), "found")
+        alone = asked.where("not maybe").drop("maybe").unionByName(found.where("group_size is null").drop("keep_id", "group_size"))
+        return alone, found.where("group_size is not null")
+
     def find(self, texts: list[str]) -> DataFrame:
         """Rows of the level for the given texts: a lookup by pushed-down digests."""
         digests = [hashlib.sha256(t.translate(dict.fromkeys(map(ord, SEPARATORS))).encode()).hexdigest()[: 2 * self.digest_bytes] for t in texts]
@@ -74,49 +93,63 @@ def exact_dedup(docs: DataFrame, digest_bytes: int = 16) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256, one row for each row of ``docs``.
 
     ``docs`` needs doc_id (unique) and text; other columns are ignored.
-    Texts are equal when they are identical without white space. Null texts count
-    as empty; empty texts form one group. Repeated rows with one doc_id and one
-    text count as members each and are all marked kept if their id stays. Ties
-    in length go to the smallest doc_id. Rows without doc_id stay only where no
-    row with one has their text. No rows give no rows.
+    Texts are equal when they are identical without white space, whatever their
+    length: digests and comparisons take whole texts. Null texts count as empty;
+    empty texts form one group. Repeated rows with one doc_id and one text count
+    as members each and are all marked kept if their id stays. Ties in length go
+    to the smallest doc_id. Rows without doc_id stay only where no row with one
+    has their text. No rows give no rows.
     """
-    index = DigestIndex(docs.sparkSession, digest_bytes=digest_bytes)
-    runs = index.flush(docs)
-    level = index.compact().select("digest", "keep_id", "group_size")
-    found = written(runs.join(level, "digest"), "lsm-found")
-    hits = found.where("group_size > 1")
-    single = found.where("group_size = 1").select("doc_id", "keep_id", "group_size", "text_sha256")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), normalised().alias("bytes"))
-    keepers = hits.select(F.col("keep_id").alias("doc_id")).distinct()
-    keeper_text = texts.join(keepers, "doc_id").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("keep_id"), F.col("bytes").alias("keeper_bytes"))
-    keeper_text = written(keeper_text, "lsm-keepers")  # so that a large group's side of the next join can be split
-    own = texts.join(hits.select("doc_id").distinct(), "doc_id")
-    same = (
-        hits.dropDuplicates(["doc_id"]).select("doc_id", "keep_id", "digest")
-        .join(own, "doc_id")
-        .join(keeper_text, "keep_id")
-        .select("doc_id", "digest", (F.col("bytes") == F.col("keeper_bytes")).alias("same"))
-    )
-    verified = written(same.groupBy("digest").agg(F.bool_and("same").alias("all_same")), "lsm-verified")
-    sure = hits.join(verified, "digest", "left").where("coalesce(all_same, true)").select("doc_id", "keep_id", "group_size", "text_sha256")
-    out = single.unionByName(sure)
-    collided = verified.where("not all_same")
-    if collided.count():
-        out = out.unionByName(_by_bytes(hits.join(collided.select("digest"), "digest"), texts))
+    spark = docs.sparkSession
+    scratch = Scratch(spark, "exact")
+    index = DigestIndex(spark, digest_bytes=digest_bytes)
+    run = index.flush(docs)
+    index.compact()
+    alone, hits = index.lookup(run, scratch)
+    out = alone.select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), "text_sha256")
+    if some := hits.count():
+        differs, texts = _verified(docs, index, hits, some, scratch)
+        collided = differs.count() > 0
+        sure = hits.join(differs, "digest", "left_anti") if collided else hits
+        out = out.unionByName(sure.select("doc_id", "keep_id", "group_size", "text_sha256"))
+        if collided:
+            out = out.unionByName(_by_bytes(texts.join(differs, "digest", "left_semi")))
     return out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
 
-def _by_bytes(hits: DataFrame, texts: DataFrame) -> DataFrame:
+def _verified(docs: DataFrame, index: DigestIndex, hits: DataFrame, count: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(digest) whose texts are not all the same bytes; and (doc_id, digest, text_sha256, points, bytes) of the hits."""
+    bits, filled = filter_of(hits.select(F.xxhash64("doc_id")), count)
+    sent = index.spark.sparkContext.broadcast(filled)
+    some = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(passes(sent)(F.pmod(F.xxhash64("doc_id"), F.lit(bits))))
+    texts = some.select("doc_id", F.char_length(text_or_empty()).cast("long").alias("points"), normalised().alias("bytes"))
+    texts = index.digested(texts.withColumn("text_sha256", F.sha2(F.encode("bytes", "utf-8"), 256)))
+    texts = scratch.written(texts, "texts")
+    sent.destroy()
+    keepers = hits.where(F.col("doc_id").eqNullSafe(F.col("keep_id"))).select("digest", "doc_id").distinct()
+    keeper = texts.join(keepers, texts["digest"].eqNullSafe(keepers["digest"]) & texts["doc_id"].eqNullSafe(keepers["doc_id"]), "left_semi")
+    keeper = keeper.groupBy("digest").agg(F.min("bytes").alias("keeper_bytes"))
+    keeper = scratch.written(keeper, "keepers")  # so that a large group's side of the next join can be split
+    differs = scratch.written(texts.join(keeper, "digest").where("bytes <> keeper_bytes").select("digest"), "differs")
+    return differs.distinct(), texts
+
+
+def _by_bytes(texts: DataFrame) -> DataFrame:
     """Groups of colliding digests, by the bytes themselves."""
-    full = hits.select("doc_id", "points", "text_sha256").join(texts.dropDuplicates(["doc_id"]), "doc_id")
-    best = F.max(F.struct(F.col("points"), (-F.col("doc_id")).alias("minus_id")))
-    groups = full.groupBy("bytes").agg(best.alias("best"), F.count("*").alias("group_size"))
-    return full.join(groups, "bytes").select("doc_id", (-F.col("best.minus_id")).alias("keep_id"), "group_size", "text_sha256")
+    best = F.max(F.struct(F.col("doc_id").isNotNull().alias("named"), F.col("points"), (-F.col("doc_id")).alias("minus_id")))
+    groups = texts.groupBy("bytes").agg(best.alias("best"), F.count("*").alias("group_size"))
+    return texts.join(groups, "bytes").select("doc_id", (-F.col("best.minus_id")).alias("keep_id"), "group_size", "text_sha256")
 
 
 def kept_documents(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay, with their columns as they were; rows without doc_id all stay."""
-    return rows_of(docs, exact_dedup(docs).where("kept"))
+    """The rows of ``docs`` that stay, with their columns as they were; rows without doc_id all stay.
+
+    Cases are those of ``exact_dedup``: of empty and null texts one row stays, rows
+    that repeat a doc_id stay or go together, and columns with other names are
+    carried along. No rows give no rows.
+    """
+    ids = exact_dedup(docs).groupBy("doc_id").agg(F.bool_or("kept").alias("stays"))
+    return without_rows(docs, ids.where("not stays"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -3,7 +3,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from quizmill.llm import exact_dedup, jaccard_join
+from quizmill.llm import components, exact_dedup, jaccard_join
+from quizmill.llm.common import Scratch
 
 from . import brute
 
@@ -96,3 +97,59 @@ def test_index_grows_by_runs(spark):
     index.compact()
     assert [(r.keep_id, r.points, r.group_size, r.first_id) for r in index.find(["ab"]).collect()] == [(2, 5, 3, 2)]
     assert index.find(["nothing"]).count() == 0
+
+
+@pytest.mark.parametrize("digest_bytes", [16, 1])
+def test_no_row_is_lost_without_ids(spark, digest_bytes):
+    rng = random.Random(9)
+    rows = [(None if i % 19 == 0 else i, rng.choice("abcdefgh") * rng.randint(0, 60) + " " * (i % 3)) for i in range(950)]
+    got = exact_dedup.exact_dedup(made(spark, rows), digest_bytes).collect()
+    groups: dict = {}
+    for i, t in rows:
+        groups.setdefault(t.replace(" ", ""), []).append((i is None, -len(t), i))
+    want = sorted((i or -1, min(g, key=lambda x: x[:2] + (x[2] or 0,))[2] or -1, len(g)) for g in groups.values() for _, _, i in g)
+    assert sorted((r.doc_id or -1, r.keep_id or -1, r.group_size) for r in got) == want
+
+
+def test_exact_long_texts(spark):
+    long = "word " * 400_000
+    rows = [(1, long), (2, long + "x"), (3, long.replace(" ", "\n") + "\n"), (4, "y")]
+    got = {r.doc_id: (r.keep_id, r.group_size, r.text_sha256) for r in exact_dedup.exact_dedup(made(spark, rows)).collect()}
+    assert got == brute.exact_groups(rows)
+
+
+def long_and_template_rows() -> list[tuple[int, str]]:
+    """Sets over 5,000 shingles on both sides of the threshold; one template with own parts of a quarter; two groups that almost meet."""
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    texts = []
+    base = [word() for _ in range(6000)]
+    for changed in (0, 40, 110, 128, 134, 140, 300):
+        copy = list(base)
+        for at in rng.sample(range(0, 6000, 6), changed):
+            copy[at] = word()
+        texts.append(copy)
+    template = [word() for _ in range(120)]
+    texts += [template + [word() for _ in range(40)] for _ in range(60)]
+    one, two = [word() for _ in range(90)], [word() for _ in range(22)]
+    texts += [one + [word() for _ in range(4)] for _ in range(60)] + [one[:78] + two + [word() for _ in range(2)] for _ in range(60)]
+    return [(3 * i + 1, " ".join(t)) for i, t in enumerate(texts)]
+
+
+@pytest.mark.parametrize("least", [30, 2])
+def test_near_components_of_long_texts_and_templates(spark, monkeypatch, least):
+    monkeypatch.setattr(jaccard_join, "FREQUENT_LEAST", least)
+    monkeypatch.setattr(jaccard_join, "TILE_ROWS", 16)
+    monkeypatch.setattr(jaccard_join, "GROUP_BYTES", 1 << 14)
+    rows = long_and_template_rows()
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(made(spark, rows)).collect()}
+    assert got == brute.near_components(rows)
+
+
+@pytest.mark.parametrize("run", [200_000, 3])
+def test_components_of_chains(spark, monkeypatch, run):
+    monkeypatch.setattr(components, "RUN", run)
+    links = [(i, i + 1) for i in range(1, 60)] + [(100, 130), (130, 115)] + [(200, 200)]
+    random.Random(1).shuffle(links)
+    got = components.components(spark.createDataFrame(links, "u long, v long").repartition(5), Scratch(spark, "test"))
+    assert {(r.node, r.label) for r in got.collect()} == {(i, 1) for i in range(2, 61)} | {(115, 100), (130, 100)}
