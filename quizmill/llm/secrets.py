@@ -14,8 +14,9 @@ only when complementary parts lie within SCOPE_POINTS code points:
 from __future__ import annotations
 
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -75,10 +76,11 @@ def parts(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, i
     found += [(ID, 3, m.start(1), m.end(1)) for m in WEAK_ID.finditer(text)]
     if not any(role == ID for role, *_ in found):
         return []  # nothing to link secrets or places with
-    taken = [(a, b) for _, _, a, b in found]
+    taken = sorted((a, b) for _, _, a, b in found)
+    starts, upto = [a for a, _ in taken], list(accumulate((b for _, b in taken), max))
     for m in WEAK_SECRET.finditer(text):
-        s = m[0]
-        if any(a < m.end() and m.start() < b for a, b in taken):
+        s, before = m[0], bisect_left(starts, m.end())
+        if before and upto[before - 1] > m.start():
             continue
         if re.search("[a-z]", s) and re.search("[A-Z]", s) and re.search("[0-9]", s):
             found.append((SECRET, 4, m.start(), m.end()))
@@ -134,8 +136,10 @@ def scan(docs: DataFrame) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, spans: array of (start, kind, end), kind indexing KINDS; one row for each row.
 
     ``docs`` needs doc_id and text; other columns are ignored. Null and empty
-    texts have no spans. Repeated rows are reported alike. Spans are ordered by
-    start, then kind. No rows give no rows.
+    texts have no spans. Texts of any length are read whole, in one pass. Repeated
+    rows, and rows without doc_id, are reported alike if their texts are. Spans
+    are ordered by start, then kind; those of two kinds may overlap. No rows give
+    no rows.
     """
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_key"))
     scanned = written(keyed.mapInArrow(_scan, SCANNED), "secret-parts")
