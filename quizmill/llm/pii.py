@@ -1,10 +1,11 @@
 """Operator 10, PII: anchor expansion.
 
-An Aho-Corasick automaton finds at-signs, scheme separators and identifier cues
-in every text. From each anchor a deterministic local parser expands to the
-boundaries of an email, an address with a login, or an account number, and
-validates it. Numeric kinds (ip, card, phone) have digits themselves as their
-anchors and are parsed from those.
+An Aho-Corasick automaton finds at-signs, scheme separators, identifier cues,
+digits and plus signs in every text. From each anchor a deterministic local parser
+expands to the boundaries of an email, an address with a login, an account number,
+an ip or card number (from a digit) or a phone number (from a plus sign), and
+validates it. A kind's parser starts no earlier than its last span ended, and so
+finds what a search from left to right finds.
 
 Base kinds: email, ip, card, phone. Added kinds: login (scheme://user:word@host)
 and account (an IBAN that passes mod 97, or 8 to 17 digits behind an account cue).
@@ -28,7 +29,8 @@ KINDS = ("email", "ip", "card", "phone", "login", "account")
 CUES = ("iban", "account", "acct", "konto", "cuenta", "compte")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]+")
+DIGITS = re.compile(r"[0-9]+")
+IP = re.compile(r"[0-9]++\.[0-9]++\.[0-9]++\.[0-9]+")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 LOGIN = re.compile(r"://([A-Za-z0-9._~%+-]+):([^\s/@:\"'<>]+)@([A-Za-z0-9.-]+)")
@@ -42,16 +44,22 @@ IBAN_LENGTHS = {
     ).split() for c in re.findall("[A-Z]{2}", x)
 }
 ACCOUNT = re.compile(r"(?:\x20?(?:number|no\.?|nr\.?|#))?\x20*[:=#]?\x20*([0-9](?:[\x20-]?[0-9]){7,16})(?![0-9])")
-SCHEME = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+.-")
+LETTERS = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
+SCHEME = LETTERS | frozenset("0123456789+.-")
+
+AT, PLACE, CUE, DIGIT, PLUS = range(5)
 
 
 def automaton() -> ahocorasick.Automaton:
     auto = ahocorasick.Automaton()
-    auto.add_word("@", (0, 1))
-    auto.add_word("://", (1, 3))
+    auto.add_word("@", (AT, 1))
+    auto.add_word("://", (PLACE, 3))
+    auto.add_word("+", (PLUS, 1))
+    for digit in "0123456789":
+        auto.add_word(digit, (DIGIT, 1))
     for cue in CUES:
         for form in (cue, cue.upper(), cue.capitalize()):
-            auto.add_word(form, (2, len(form)))
+            auto.add_word(form, (CUE, len(form)))
     auto.make_automaton()
     return auto
 
@@ -76,11 +84,26 @@ def _email(text: str, at: int, floor: int) -> tuple[int, int] | None:
 
 
 def _login(text: str, at: int) -> tuple[int, int] | None:
+    """Boundaries of an address with a login around the scheme separator; a scheme starts with a letter."""
     m = LOGIN.match(text, at)
+    if not m:
+        return None
     start = at
-    while m and start and at - start < 20 and text[start - 1] in SCHEME:
+    while start and text[start - 1] in SCHEME:
         start -= 1
-    return (start, m.end()) if m and start < at else None
+    while start < at and text[start] not in LETTERS:
+        start += 1
+    return (start, m.end()) if start < at else None
+
+
+def _is_ip(found: str) -> bool:
+    parts = [p.lstrip("0") for p in found.split(".")]
+    return all(len(p) <= 3 and int(p or "0") <= 255 for p in parts)
+
+
+def _is_card(found: str) -> bool:
+    digits = found.replace(" ", "").replace("-", "")
+    return 13 <= len(digits) <= 19 and luhn(digits)
 
 
 def _iban_end(text: str) -> int | None:
@@ -105,29 +128,37 @@ def _account(text: str, after: int) -> tuple[int, int] | None:
 
 def find(text: str, auto: ahocorasick.Automaton) -> list[tuple[int, int, int]]:
     """(kind, start, end) in code points, ordered."""
-    out, floor, numbers = [], 0, set()
+    out, numbers = [], set()
+    email = ip = card = phone = 0  # where a kind's parser may start next
     for end, (kind, length) in auto.iter(text):
         start = end + 1 - length
-        if kind == 0:
-            if span := _email(text, start, floor):
+        if kind == DIGIT:
+            if start >= ip:
+                if m := IP.match(text, start):
+                    if _is_ip(m[0]):
+                        out.append((1, start, m.end()))
+                    ip = m.end()
+                else:
+                    ip = DIGITS.match(text, start).end()  # no other digit of this number does better
+            if start >= card:
+                m = CARD.match(text, start)
+                if m and _is_card(m[0]):
+                    out.append((2, start, m.end()))
+                card = m.end() if m else end + 1
+        elif kind == AT:
+            if span := _email(text, start, email):
                 out.append((0, *span))
-                floor = span[1]
-        elif kind == 1:
+                email = span[1]
+        elif kind == PLUS:
+            if start >= phone and (m := PHONE.match(text, start)):
+                if 9 <= sum("0" <= c <= "9" for c in m[0]) <= 15:
+                    out.append((3, start, m.end()))
+                phone = m.end()
+        elif kind == PLACE:
             if span := _login(text, start):
                 out.append((4, *span))
         elif span := _account(text, end + 1):
             numbers.add((5, *span))
-    for m in IP.finditer(text):
-        if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or "0") <= 255 for p in m[0].split(".")):
-            out.append((1, m.start(), m.end()))
-    for m in CARD.finditer(text):
-        digits = m[0].replace(" ", "").replace("-", "")
-        if 13 <= len(digits) <= 19 and luhn(digits):
-            out.append((2, m.start(), m.end()))
-    if "+" in text:
-        for m in PHONE.finditer(text):
-            if 9 <= sum("0" <= c <= "9" for c in m[0]) <= 15:
-                out.append((3, m.start(), m.end()))
     return sorted([*out, *numbers])
 
 
@@ -137,7 +168,7 @@ _SPAN = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end",
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     auto = automaton()
     for batch in batches:
-        spans = [[{"kind": k, "start": a, "end": b} for k, a, b in find(t, auto)] if t else [] for t in batch.column(1).to_pylist()]
+        spans = [[{"kind": k, "start": a, "end": b} for k, a, b in find(t, auto)] if (t := x.as_py()) else [] for x in batch.column(1)]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, _SPAN)], names=["doc_id", "spans"])
 
 
@@ -145,8 +176,11 @@ def scan(docs: DataFrame) -> DataFrame:
     """doc_id, spans: array of (kind, start, end), kind indexing KINDS; one row for each row of ``docs``.
 
     ``docs`` needs doc_id and text; other columns are ignored. Null and empty
-    texts have no spans. Repeated rows are reported alike. Spans are ordered by
-    kind, then start, in code points, the end exclusive. No rows give no rows.
+    texts have no spans. Texts of any length are read whole. Repeated rows, and
+    rows without doc_id, are reported alike if their texts are. Spans are ordered
+    by kind, then start, in code points, the end exclusive; those of one base kind
+    never overlap, and of two accounts with one place one counts. No rows give no
+    rows.
     """
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_scan, "doc_id long, spans array<struct<kind:int,start:int,end:int>>")
 
