@@ -71,7 +71,10 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     """``docs``, each row as often as the mix takes it; columns as they were.
 
     Null sources form a source of their own. Documents without words weigh
-    nothing and come out by the same draw. A source of size 0 gives no rows.
+    nothing and come out by the same draw; texts are counted whole, however long.
+    Repeated rows, and rows with one doc_id, draw alike; rows without doc_id draw as
+    one id. Sources that tie in size per weight are filled in order of their
+    names. A source of size 0 gives no rows, and no rows give no rows.
     """
     copies = with_copies(docs).where("copies > 0")
     return copies.select("row", F.explode(F.sequence(F.lit(1), "copies"))).select("row.*")
@@ -80,8 +83,10 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
 def mix(docs: DataFrame) -> DataFrame:
     """doc_id, size, source_size, target, taken, one row for each row of ``docs``.
 
-    ``docs`` needs doc_id, text and source. Null texts have size 0; repeated
-    rows are rows of their own with equal draws; no rows give no rows.
+    ``docs`` needs doc_id, text and source; other columns are ignored. Null and
+    empty texts have size 0, and long texts are counted whole; repeated rows are
+    rows of their own with equal draws, rows without doc_id draw as one id; ties in
+    size per weight are filled in order of the sources' names; no rows give no rows.
     """
     rows = with_copies(docs.select("doc_id", "text", "source"))
     return rows.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))

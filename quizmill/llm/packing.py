@@ -63,20 +63,23 @@ def best_boundaries(tops: np.ndarray, counts: np.ndarray, buckets: int) -> list[
 def pack(docs: DataFrame, buckets: int = BUCKETS, budget: int = TOKEN_BUDGET) -> DataFrame:
     """doc_id, n_tokens, bucket_len, batch_id, slot, one row for each row of ``docs``.
 
-    Tokens are words. Null and empty texts have 0 tokens and join the shortest
-    bucket. A text longer than the budget makes a batch of its own. Repeated
-    rows take slots of their own. batch_id is ``<bucket_len>-<number>``; order
-    within a bucket follows a hash of the id. No rows give no rows.
+    ``docs`` needs doc_id and text; other columns are ignored. Tokens are words.
+    Null and empty texts have 0 tokens and join the shortest bucket. A text longer
+    than the budget makes a batch of its own. Repeated rows take slots of their
+    own; they, and rows without doc_id, are told apart by a hash of the whole text,
+    and rows that are alike in that too may swap slots. batch_id is
+    ``<bucket_len>-<number>``; order within a bucket follows a hash of the id and
+    the text. No rows give no rows.
     """
     spark = docs.sparkSession
-    sized = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), word_count().alias("n_tokens")), "pack-sizes")
+    place = F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), F.col("text"), F.lit(17))
+    sized = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), word_count().alias("n_tokens"), place.alias("order")), "pack-sizes")
     histogram = sized.groupBy(F.col("n_tokens").alias("top")).count().collect()  # a row a length
     found = sorted((r["top"], r["count"]) for r in histogram)
     ends = best_boundaries(np.array([x for x, _ in found], np.int64), np.array([n for _, n in found], np.int64), buckets)
     edges = F.array(*[F.lit(x).cast("long") for x in ends]) if ends else F.array().cast("array<long>")
     bucket_len = F.get(F.filter(edges, lambda x: x >= F.col("n_tokens")), 0)
-    order = F.xxhash64(F.coalesce("doc_id", F.lit(-1)), F.lit(17))
-    placed = sized.withColumn("bucket_len", bucket_len).withColumn("order", order).withColumn("slice", F.pmod("order", F.lit(SLICES)))
+    placed = sized.withColumn("bucket_len", bucket_len).withColumn("slice", F.pmod("order", F.lit(SLICES)))
     counts = placed.groupBy("bucket_len", "slice").count().collect()  # at most BUCKETS * SLICES rows
     starts, total = [], {}
     for r in sorted(counts, key=lambda r: (r["bucket_len"], r["slice"])):

@@ -223,10 +223,12 @@ def _frame(rows: list[tuple], columns: list[str]) -> pd.DataFrame:
 def write_archives(pages: DataFrame) -> DataFrame:
     """(archive): paths of monolithic archives that hold a record per row of ``pages``.
 
-    ``pages`` needs page_id, url and html; other columns are ignored. Null html
-    is an empty payload, a null url leaves the record without a target, a null
-    page_id without a page id. Repeated rows give a record each. No rows give no
-    archives.
+    ``pages`` needs page_id, url and html; other columns are ignored. Null and
+    empty html are an empty payload, a null url leaves the record without a target,
+    a null page_id without a page id. A payload of any length is one record, written
+    as it streams by. Repeated rows give a record each; of equal payloads the
+    largest page_id is the response, and rows that repeat it all are. No rows give
+    no archives.
     """
     folder = new_path(pages.sparkSession, "warc")
     return written(planned(pages).mapInArrow(_write_archives(folder), "archive string"), "warc-archives")

@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from quizmill.llm import mixing, quality
 
@@ -34,3 +36,19 @@ def test_every_stage_against_brute_force(spark):
     before, after = out["length_bucket_packing"]
     assert sorted((r.doc_id, r.n_tokens) for r in after.collect()) == sorted((i, len(brute.WORD.findall(t or ""))) for i, t in texts(before))
     assert {r.doc_id: 1 for r in corpus_pipeline.run(spark, brute.DATA).collect()} == {r.doc_id: 1 for r in after.collect()}
+
+
+def test_stages_carry_any_columns_and_no_rows(spark):
+    """Nulls, empty texts, repeated rows and columns with the operators' own names through all five stages."""
+    names = ("size", "rate", "keep_id", "digest", "component_id", "node", "label", "bytes", "row", "copies", "bucket_len", "_dropped", "held_out", "score")
+    rows = [(1, "a b c d e f g", "s"), (1, "a b c d e f g", "s"), (2, "a b c d  e f g", None), (3, None, None), (4, "", "s"), (None, "x", "s"), (5, "a b c d e f g h", "t"), (6, "w " * 50_000, "t")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").select("*", *(F.lit(k).alias(n) for k, n in enumerate(names)))
+    empty = docs.limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        docs, empty = stage(spark, docs, brute.DATA), stage(spark, empty, brute.DATA)
+        assert empty.count() == 0, name
+        if name != "length_bucket_packing":
+            assert docs.columns[:3] == ["doc_id", "text", "source"] and set(names) <= set(docs.columns), name
+            found = docs.collect()
+            assert found and all(r[n] == k for r in found for k, n in enumerate(names)), name
+    assert {r.n_tokens for r in docs.collect()} <= {0, 1, 7, 8, 50_000}

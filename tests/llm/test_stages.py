@@ -4,6 +4,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -169,13 +170,54 @@ def test_classifier_edges(spark):
     assert quality.classify(made(spark, []), labels).count() == 0
 
 
+def plain_features(text: str) -> list[int]:
+    """All buckets of a text, one feature at a time in Python's integers."""
+    mask, base = (1 << 64) - 1, 0x9E3779B97F4A7C15
+
+    def bucket(h, kind):
+        return (((h ^ (kind * 0x632BE59BD9B4E019 & mask)) * 0xBF58476D1CE4E5B9) & mask) >> 47
+
+    out = []
+    for n in quality.GRAMS:
+        for i in range(len(text) - n + 1):
+            h = 0
+            for c in text[i : i + n]:
+                h = (h * 0x100000001B3 + ord(c)) & mask
+            out.append(bucket(h, n))
+    codes = [sum((ord(c) + 1) * pow(base, k, 1 << 64) for k, c in enumerate(w)) & mask for w in WORD.findall(text)]
+    return out + [bucket(c, 0) for c in codes] + [bucket((b - a) & mask, 1) for a, b in zip(codes, codes[1:], strict=False)]
+
+
+def test_scores_against_plain_features(spark):
+    rng = np.random.default_rng(1)
+    weights = rng.normal(size=quality.BUCKETS).astype(np.float32)
+    texts = ["", " ", "a", "ab", "the the cat", "é\tü\n日本語 日本語 𝄞x", "x" * 300, *("".join(rng.choice(list("ab é\n"), rng.integers(0, 60))) for _ in range(60))]
+    got = quality.mean_weights(pa.array([None, *texts]), weights)
+    for text, mean in zip(["", *texts], got, strict=True):
+        found = plain_features(text)
+        assert sorted(quality.features(text).tolist()) == sorted(found)
+        assert math.isclose(mean, sum(float(weights[b]) for b in found) / max(1, len(found)), rel_tol=1e-6, abs_tol=1e-9)
+    doubled = {b for w in ("cat cat", "dog dog") for b in set(plain_features(w)) - set(plain_features(w.split()[0] + "  " + "zz"))}
+    assert quality._bucket(np.zeros(1, np.uint64), 1)[0] in doubled  # a word behind itself: one bucket for all words
+
+
 def test_long_texts_score_like_short_pieces(monkeypatch):
     rng = np.random.default_rng(1)
     weights = rng.normal(size=quality.BUCKETS).astype(np.float32)
-    text = " ".join("".join(rng.choice(list("abcé"), rng.integers(1, 9))) for _ in range(3000))
-    whole = quality._mean_weight(text, weights)
+    text = pa.array([" ".join("".join(rng.choice(list("abcé"), rng.integers(1, 9))) for _ in range(3000))])
+    whole = quality.mean_weights(text, weights)[0]
     monkeypatch.setattr(quality, "CHUNK", 100)
-    assert math.isclose(quality._mean_weight(text, weights), whole, rel_tol=1e-6)
+    assert math.isclose(quality.mean_weights(text, weights)[0], whole, rel_tol=1e-6)
+
+
+def test_training_takes_a_bounded_sample(spark, monkeypatch):
+    labels = spark.createDataFrame([(i, i % 2) for i in range(100)], "doc_id long, quality int")
+    docs = made(spark, [(i, "w" * (500 if i % 10 == 0 else 10), None) for i in range(100)])
+    first = sorted(r.doc_id for r in quality.training_rows(docs, labels, 20).collect())
+    assert len(first) == 20 and first == sorted(r.doc_id for r in quality.training_rows(docs.repartition(5), labels, 20).collect())
+    assert all(zlib.crc32(str(i).encode()) % 5 for i in first)
+    monkeypatch.setattr(quality, "TRAIN_BYTES", 1_000)
+    assert sum(len(r.text) for r in quality.training_rows(docs, labels).collect()) <= 1_000
 
 
 # Operator 4
@@ -194,6 +236,9 @@ def brute_top(rows, k):
 @pytest.mark.parametrize(("n", "block"), [(300, 16), (15, 1024), (0, 8)])
 def test_top_k(spark, monkeypatch, n, block):
     monkeypatch.setattr(knn_join, "BLOCK", block)
+    monkeypatch.setattr(knn_join, "QUERY_BLOCK", block)
+    monkeypatch.setattr(knn_join, "CELL_SAMPLE", block)
+    monkeypatch.setattr(knn_join, "SAMPLE", block)
     rng = np.random.default_rng(2)
     rows = [(i, [float(np.float32(x)) for x in rng.normal(size=6) * rng.choice([0.1, 1.0])]) for i in range(n)]
     rows += [(1000 + i, [0.5] * 6) for i in range(60)] if n else []
@@ -203,5 +248,34 @@ def test_top_k(spark, monkeypatch, n, block):
     assert sorted(map(tuple, got.collect())) == brute_top(rows, 20)
 
 
+def clustered(n: int, clusters: int, dim: int = 16) -> list:
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(clusters, dim))
+    x = centres[rng.integers(0, clusters, n)] + 0.02 * rng.normal(size=(n, dim))
+    return [(i, [float(np.float32(v)) for v in row]) for i, row in enumerate(x)]
+
+
+def test_top_k_of_clusters_copies_little(spark, monkeypatch):
+    """Tight clusters: many query groups, and a vector goes to few of them."""
+    monkeypatch.setattr(knn_join, "QUERY_BLOCK", 64)
+    monkeypatch.setattr(knn_join, "BLOCK", 128)
+    monkeypatch.setattr(knn_join, "COPY_COST", 1)
+    seen = []
+    before = knn_join._chosen
+    monkeypatch.setattr(knn_join, "_chosen", lambda *a: seen.append(before(*a)) or seen[-1])
+    rows = clustered(2000, 12)
+    got = knn_join.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("vec_id") % 20 == 0)
+    assert sorted(map(tuple, got.collect())) == brute_top(rows, 20)
+    x = np.floor(64 * np.array([v for _, v in rows], np.float64))
+    assert len(seen[0].queries) > 3 and seen[0].needs(x).mean() < 0.6
+
+
+@pytest.mark.parametrize("vector", [[], [3e6, -2.5], [0.25] * 3000])
+def test_top_k_odd_vectors(spark, vector):
+    rows = [(i, vector) for i in range(30)] + [(40, [1.0]), (60, [-1.0, 2.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    assert sorted(map(tuple, knn_join.top_k(df, F.col("vec_id") % 20 == 0, k=5).collect())) == brute_top(rows, 5)
+
+
 def test_words_agree():
     assert re.findall(r"[^\x20\x09-\x0D]+", "a\x0bb c d") == ["a", "b c", "d"]
