@@ -25,11 +25,11 @@ def test_anchors_of_every_kind(spark):
     rows = spans(
         spark,
         (1, "101", 0.08, 0.1, 0.02), (1, ".", 0.101, 0.1, 0.005), (1, "Adalet Farm sells", 0.13, 0.1),  # a line's start
-        (1, "see 102. inside", 0.08, 0.3), (1, "The fourth word here", 0.08, 0.4), (1, "105.", 0.55, 0.2, 0.02), *options(1, 0.55, 0.23),
+        (1, "see 102. inside", 0.08, 0.3), (1, "The fourth word here", 0.08, 0.4), (1, "105.", 0.55, 0.2, 0.02), *options(1, 0.55, 0.23), (1, "106.", 0.08, 0.6, 0.02),
     )
     texts = spark.createDataFrame([(1, 1, "103. The fourth word here and more")], "doc_id long, page int, page_text string")
     got = {r.number: (r.column, r.y) for r in layout.question_anchors(rows, 101, 130, texts).collect()}
-    assert got == {101: ("left", 0.1), 102: ("left", 0.3), 103: ("left", 0.4), 105: ("right", 0.2)}
+    assert got == {101: ("left", 0.1), 102: ("left", 0.3), 103: ("left", 0.4), 105: ("right", 0.2), 106: ("left", 0.6)}
     assert 101 not in {r.number for r in layout.question_anchors(rows, 102, 130, texts).collect()}
 
 
