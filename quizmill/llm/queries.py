@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quizmill.llm import exact_dedup, jaccard_join, knn_join, mixing, packing, pii, quality, repeats, secrets, warc
+from quizmill.llm import exact_dedup, jaccard_join, knn_join, merkle, mixing, packing, pii, quality, repeats, secrets, warc
 
 QUERIES = {
     "op1_remove_repeats": repeats.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_warc_normaliser": warc.query,
     "op9_ngram_jaccard_join": jaccard_join.query,
     "op10_pii_anchor_expansion": pii.query,
+    "op13_merkle_manifest": merkle.query,
 }
 
 SQL = {
