@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quizmill.llm import exact_dedup, jaccard_join, knn_join, merkle, mixing, packing, pii, quality, repeats, secrets, warc
+from quizmill.llm import cross_polytope, divergence, exact_dedup, jaccard_join, knn_join, merkle, mixing, packing, pii, quality, repeats, secrets, warc
 
 QUERIES = {
     "op1_remove_repeats": repeats.query,
@@ -15,6 +15,8 @@ QUERIES = {
     "op8_warc_normaliser": warc.query,
     "op9_ngram_jaccard_join": jaccard_join.query,
     "op10_pii_anchor_expansion": pii.query,
+    "op11_cross_polytope": cross_polytope.query,
+    "op12_source_divergence": divergence.query,
     "op13_merkle_manifest": merkle.query,
 }
 
@@ -25,4 +27,5 @@ SQL = {
     "op7_mix_sources": mixing.SQL,
     "op8_warc_normaliser": warc.SQL,
     "op9_ngram_jaccard_join": jaccard_join.SQL,
+    "op12_source_divergence": divergence.SQL,
 }
