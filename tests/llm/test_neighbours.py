@@ -83,8 +83,8 @@ def test_defined_cases(spark):
 
 def test_probes_come_in_order_and_reach_every_bucket():
     rng = np.random.default_rng(1)
-    x = rng.normal(size=(40, 5))
-    tables = cross_polytope.Tables(5, float(np.sqrt((x**2).sum(axis=1)).max()), 2, 3)
+    x = rng.normal(size=(40, 20))
+    tables = cross_polytope.Tables(20, float(np.sqrt((x**2).sum(axis=1)).max()), 2, 3)
     which, code = tables.probes(x[:2], tables.all_buckets())
     assert which.shape[1] == tables.all_buckets() and all(len(set(zip(w, c, strict=True))) == len(w) for w, c in zip(which.tolist(), code.tolist(), strict=True))
     few = tables.probes(x[:2], 50)
