@@ -34,9 +34,12 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
 WEAK_ID = re.compile(r"""(?:user(?:_?name|_?id)?|login|client_?id|access_?key(?:_?id)?|account_?id)["']?\x20*[:=]\x20*["']?([A-Za-z0-9@._-]{3,})""", re.ASCII | re.IGNORECASE)
 WEAK_SECRET = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}")
-ENDPOINT = re.compile(r"""[a-z][a-z0-9+]*://[A-Za-z0-9][^\s"'<>]*|(?:host|endpoint|server)["']?\x20*[:=]\x20*["']?[A-Za-z0-9][A-Za-z0-9.:-]+""", re.ASCII)
+ADDRESS = re.compile(r"""[A-Za-z0-9][^\s"'<>]*""", re.ASCII)
+HOST = re.compile(r"""(?:host|endpoint|server)["']?\x20*[:=]\x20*["']?[A-Za-z0-9][A-Za-z0-9.:-]+""", re.ASCII)
 CUES = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key", b"akia", b"user", b"login", b"client", b"access", b"account")
 
+SCHEME = frozenset("abcdefghijklmnopqrstuvwxyz0123456789+")
+
 ID, SECRET, PLACE = 0, 1, 2
 _IS_HEX = np.zeros(256, bool)
 _IS_HEX[list(b"0123456789abcdef")] = True
@@ -84,13 +87,46 @@ def parts(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, i
             continue
         if re.search("[a-z]", s) and re.search("[A-Z]", s) and re.search("[0-9]", s):
             found.append((SECRET, 4, m.start(), m.end()))
-    found += [(PLACE, 5, m.start(), m.end()) for m in ENDPOINT.finditer(text)]
+    found += [(PLACE, 5, a, b) for a, b in endpoints(text)]
     if len({role for role, *_ in found}) < 2:
         return []
     gaps = [m.start() for m in re.finditer(r"\n\x20*\n", text)]
     return [(role, kind, a, b, bisect_right(gaps, a)) for role, kind, a, b in found]
 
 
+def endpoints(text: str) -> list[tuple[int, int]]:
+    """(start, end) of URLs and host settings, leftmost first, without overlaps.
+
+    A scheme is a letter and what follows of SCHEME before "://"; every such run is
+    read once, backwards from its "://", and so is the text in between.
+    """
+    out, pos, host = [], 0, HOST.search(text)
+    url = _next_url(text, 0, 0)
+    while url or host:
+        span = host.span() if host and (not url or host.start() < url[0]) else url[:2]
+        out.append(span)
+        pos = span[1]
+        if url and url[0] < pos:
+            url = _next_url(text, pos, max(pos, url[2]))
+        if host and host.start() < pos:
+            host = HOST.search(text, pos)
+    return out
+
+
+def _next_url(text: str, pos: int, at: int) -> tuple[int, int, int] | None:
+    """(start, end, place of "://") of the first URL from ``pos`` on whose "://" is not before ``at``."""
+    while (at := text.find("://", at)) >= 0:
+        first = at
+        while first > pos and text[first - 1] in SCHEME:
+            first -= 1
+        while first < at and not text[first].islower():
+            first += 1
+        if first < at and (rest := ADDRESS.match(text, at + 3)):
+            return first, rest.end(), at
+        at += 3
+    return None
+
+
 SCANNED = "doc_id long, text_key long, n_assign long, n_access long, n_hex long, spans array<struct<start:int,kind:int,end:int>>, parts array<struct<role:int,kind:int,start:int,end:int,scope:int>>"
 _SPAN = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())]))
 _PART = pa.list_(pa.struct([(n, pa.int32()) for n in ("role", "kind", "start", "end", "scope")]))
@@ -136,7 +172,8 @@ def scan(docs: DataFrame) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, spans: array of (start, kind, end), kind indexing KINDS; one row for each row.
 
     ``docs`` needs doc_id and text; other columns are ignored. Null and empty
-    texts have no spans. Texts of any length are read whole, in one pass. Repeated
+    texts have no spans. Texts of any length are read whole, in time that grows with
+    their length whatever they hold. Repeated
     rows, and rows without doc_id, are reported alike if their texts are. Spans
     are ordered by start, then kind; those of two kinds may overlap. No rows give
     no rows.
