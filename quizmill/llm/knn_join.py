@@ -34,6 +34,8 @@ CELL_SAMPLE, SAMPLE = 1_024, 2_048
 #: Queries and vectors of a tile.
 QUERY_BLOCK, BLOCK = 4_096, 8_192
 SCALE = 64
+#: Components from here on have squares that are no finite doubles.
+LARGEST = 1e140
 #: Cost of one copied row against one product of two vectors, for the choice of groups.
 COPY_COST = 100
 
@@ -77,11 +79,35 @@ def _assign(pivots: np.ndarray, kind: np.dtype):
     return run
 
 
+def _largest(x: np.ndarray) -> np.ndarray:
+    return np.abs(x.astype(np.float64)).max(axis=1, initial=0)
+
+
 def _scores(q: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Integer inner products, exact."""
-    if q.shape[1] * float(np.abs(q.astype(np.float64)).max(initial=0)) * float(np.abs(x.astype(np.float64)).max(initial=0)) < 2**53:
+    """Integer inner products, exact; those beyond a long are the largest or the smallest long.
+
+    Rows with components so large that doubles or longs may not hold their products are multiplied apart.
+    """
+    most_q, most_x = _largest(q), _largest(x)
+    if q.shape[1] * most_q.max(initial=0) * most_x.max(initial=0) < 2**53:
         return (q.astype(np.float64) @ x.astype(np.float64).T).astype(np.int64)
-    return q.astype(np.int64) @ x.astype(np.int64).T
+    if q.shape[1] * most_q.max(initial=0) * most_x.max(initial=0) < 2**62:
+        return q.astype(np.int64) @ x.astype(np.int64).T
+    fits = (2**61 / q.shape[1]) ** 0.5
+    small_q, small_x = most_q < fits, most_x < fits
+    out = np.zeros((len(q), len(x)), np.int64)
+    if small_q.any() and small_x.any():
+        out[np.ix_(small_q, small_x)] = _scores(q[small_q], x[small_x])
+    for rows, columns in ((~small_q, np.ones(len(x), bool)), (small_q, ~small_x)):
+        if rows.any() and columns.any():
+            wide = _integers(q[rows]) @ _integers(x[columns]).T
+            out[np.ix_(rows, columns)] = np.clip(wide, np.iinfo(np.int64).min, np.iinfo(np.int64).max).astype(np.int64)
+    return out
+
+
+def _integers(x: np.ndarray) -> np.ndarray:
+    """Python's integers, of any size."""
+    return np.frompyfunc(int, 1, 1)(x)
 
 
 def _bounded(k: int, kind: np.dtype, sample_ids: np.ndarray, sample: np.ndarray):
@@ -121,13 +147,15 @@ class Groups:
         self.queries, self.radius, self.least = np.zeros(n, np.int64), np.zeros(n), np.full(n, np.inf)
         np.add.at(self.queries, group, [c[1] for c in cells])
         np.maximum.at(self.radius, group, np.sqrt(((at - centres[used][group]) ** 2).sum(axis=1)) + np.array([c[2] for c in cells]))
-        np.minimum.at(self.least, group, [-np.inf if c[3] is None else c[3] for c in cells])
+        np.minimum.at(self.least, group, [-np.inf if c[3] is None or c[3] == np.iinfo(np.int64).min else c[3] for c in cells])
         self.blocks = -(-self.queries // QUERY_BLOCK)
 
     def needs(self, x: np.ndarray) -> np.ndarray:
         """Whether a group (column) may need a vector (row)."""
-        most = x @ self.centres.T + np.sqrt((x**2).sum(axis=1))[:, None] * self.radius[None, :]
-        return most + _ROUNDING * (1 + np.abs(most)) >= self.least[None, :]
+        length = np.sqrt((x**2).sum(axis=1))[:, None]
+        most = x @ self.centres.T + length * self.radius[None, :]
+        inexact = _ROUNDING * (1 + np.abs(most)) + _ROUNDING**2 * length * np.sqrt((self.centres**2).sum(axis=1))[None, :]
+        return most + inexact >= self.least[None, :]
 
     def cost(self, x: np.ndarray) -> float:
         share = self.needs(x).mean(axis=0)
@@ -212,14 +240,14 @@ def top_k(vectors: DataFrame, is_query, k: int = 20, pivots: int | None = None)
     """
     spark = vectors.sparkSession
     scratch = Scratch(spark, "knn")
-    finite = F.forall("embedding", lambda x: x.isNotNull() & (F.abs(x) < F.lit(float("inf"))) & ~F.isnan(x))
+    finite = F.forall("embedding", lambda x: x.isNotNull() & (F.abs(x) < F.lit(LARGEST)) & ~F.isnan(x))
     valid = vectors.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull()).where(finite).select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
     largest = F.max(F.array_max(F.transform("embedding", lambda x: F.abs(x.cast("double")))))
     found = valid.agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("dim"), largest.alias("largest")).first()
     if not found["n"] or not found["dim"]:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     dim, scale = found["dim"], SCALE * (found["largest"] or 0) + 1
-    kind = np.dtype(next(t for t in ("i1", "i2", "i4", "i8") if scale < np.iinfo(t).max))
+    kind = np.dtype(next((t for t in ("i1", "i2", "i4", "i8") if scale < np.iinfo(t).max), "f8"))
     count = min(pivots or max(16, int(found["n"] ** 0.5)), max(1, PIVOT_BYTES // (8 * dim)))
     drawn = valid.orderBy(F.xxhash64("vec_id", F.lit(3)), "vec_id")
     chosen = _matrix(drawn.limit(count).select("embedding").toArrow()["embedding"], dim)  # at most PIVOT_BYTES

@@ -228,7 +228,8 @@ def brute_top(rows, k):
     out = []
     for q in good:
         if q % 20 == 0:
-            found = sorted((-sum(a * b for a, b in zip(good[q], good[i], strict=False)), i) for i in good if i != q)[:k]
+            score = {i: sum(a * b for a, b in zip(good[q], good[i], strict=False)) for i in good if i != q}
+            found = sorted((-min(max(s, -(1 << 63)), (1 << 63) - 1), i) for i, s in score.items())[:k]
             out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(found)]
     return sorted(out)
 
@@ -277,5 +278,17 @@ def test_top_k_odd_vectors(spark, vector):
     assert sorted(map(tuple, knn_join.top_k(df, F.col("vec_id") % 20 == 0, k=5).collect())) == brute_top(rows, 5)
 
 
+@pytest.mark.parametrize("pivots", [None, 4])
+def test_top_k_of_components_beyond_a_long(spark, pivots):
+    rng = np.random.default_rng(6)
+    scale = [1.0, 1.0, 1e3, 3e7, 1e9, 1e15, 1e30, 3e38]
+    rows = [(i, [float(np.float32(x)) for x in np.clip(rng.normal(size=5), -1, 1) * rng.choice(scale)]) for i in range(200)]
+    rows += [(200, [1e30] + [0.0] * 4), (220, [-1e30] + [0.0] * 4), (221, [0.0, 1.0, 0.0, 0.0, 0.0]), (240, [0.0] * 5)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    assert sorted(map(tuple, knn_join.top_k(df, F.col("vec_id") % 20 == 0, pivots=pivots).collect())) == brute_top(rows, 20)
+    doubles = spark.createDataFrame([(0, [1e300, 1.0]), (20, [2.0, 1.0]), (1, [1e100, -1e100])], "vec_id long, embedding array<double>")
+    assert [tuple(r) for r in knn_join.top_k(doubles, F.col("vec_id") % 20 == 0).collect()] == [(20, 1, 1, (1 << 63) - 1)]
+
+
 def test_words_agree():
     assert re.findall(r"[^\x20\x09-\x0D]+", "a\x0bb c d") == ["a", "b c", "d"]
