@@ -8,9 +8,7 @@ linear in the averaged vectors, scoring needs only each bucket's difference of
 logits: every task gathers those from one table and averages them per document.
 
 Features come from the text alone: every word, every pair of neighbouring words,
-and every run of 2 and 4 characters (code points), hashed into BUCKETS buckets. A
-pair is hashed by the difference of its words' codes, so that pairs of a word and
-itself share one bucket, whatever the word.
+and every run of 2 and 4 characters (code points), hashed into BUCKETS buckets.
 """
 
 from __future__ import annotations
@@ -39,6 +37,8 @@ GRAMS = (2, 4)
 CHUNK = 1 << 18
 
 _WORD_BASE = np.uint64(0x9E3779B97F4A7C15)
+#: Factor of a pair's first word.
+_PAIR = np.uint64(0xC2B2AE3D27D4EB4F)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
 
@@ -100,7 +100,12 @@ def _features(points: np.ndarray, at: np.ndarray) -> Iterator[tuple[np.ndarray,
     own = owner[starts]
     yield own, _bucket(codes, 0)
     pair = own[1:] == own[:-1]
-    yield own[1:][pair], _bucket((codes[1:] - codes[:-1])[pair], 1)
+    yield own[1:][pair], _pair_buckets(codes)[pair]
+
+
+def _pair_buckets(codes: np.ndarray) -> np.ndarray:
+    """The bucket of every word and the one behind it."""
+    return _bucket(codes[:-1] * _PAIR + codes[1:], 1)
 
 
 def features(text: str) -> np.ndarray:
@@ -177,7 +182,7 @@ def _mean_of_long(points: np.ndarray, table_of: np.ndarray) -> float:
             end = end + int(after[0]) if len(after) else len(points)
         codes, _ = _words(points[at:end], np.zeros(1, np.int64))
         chain = np.concatenate([before, codes])
-        for found in (_bucket(codes, 0), _bucket(chain[1:] - chain[:-1], 1)):
+        for found in (_bucket(codes, 0), _pair_buckets(chain)):
             total, count = total + table_of[found].sum(dtype=np.float64), count + len(found)
         before, at = chain[-1:], end
     return float(total / count) if count else 0.0
@@ -200,25 +205,28 @@ def held_out(doc_id: Column) -> Column:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS) -> DataFrame:
-    """(doc_id, text, quality): of the rows that may be learned from the first ``most`` by a hash of the id, as far as TRAIN_BYTES go."""
+    """(doc_id, text, quality): of the ids that may be learned from the first ``most`` by a hash of the id, as far as TRAIN_BYTES go.
+
+    Of several texts with one id the first in order is learned from.
+    """
     usable = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     usable = usable.select(F.col("doc_id").cast("long").alias("_id"), F.col("quality").cast("int").alias("quality"))
     usable = usable.groupBy("_id").agg(F.max("quality").alias("quality")).withColumn("_draw", F.xxhash64("_id", F.lit(5)))
     some = usable.orderBy("_draw", "_id").limit(most)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    found = texts.join(F.broadcast(some), texts["doc_id"] == some["_id"])  # at most ``most`` rows, but for repeated ids
-    upto = F.sum(F.octet_length("text").cast("long")).over(Window.orderBy("_draw", "_id", "text"))
-    return found.withColumn("_upto", upto).where(F.col("_upto") <= TRAIN_BYTES).select("doc_id", "text", "quality")
+    text = F.coalesce("text", F.lit(""))
+    # Lengths first: only the texts that fit are carried along.
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
+    known = docs.join(F.broadcast(some), F.col("doc_id") == F.col("_id"))  # at most ``most`` rows, but for repeated ids
+    sizes = known.groupBy("_draw", "_id").agg(F.max("quality").alias("_quality"), F.max(F.octet_length("text")).cast("long").alias("_bytes"))
+    fits = sizes.withColumn("_upto", F.sum("_bytes").over(Window.orderBy("_draw", "_id"))).where(F.col("_upto") <= TRAIN_BYTES)  # ``most`` rows of numbers
+    return docs.join(F.broadcast(fits), F.col("doc_id") == F.col("_id")).groupBy("doc_id").agg(F.min("text").alias("text"), F.min("_quality").alias("quality"))
 
 
 def fitted(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS) -> tuple[np.ndarray, float]:
     """The trained table and bias. Without labelled rows every score is one half."""
-    rows = training_rows(docs, labels, most).toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])
-    ids = rows["doc_id"].to_numpy()
-    first = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1]))) if len(ids) else np.zeros(0, np.int64)
-    if not len(first):
+    rows = training_rows(docs, labels, most).toArrow().sort_by("doc_id")
+    if not len(rows):
         return np.zeros(BUCKETS, np.float32), 0.0
-    rows = rows.take(pa.array(first))
     return train(rows["text"], rows["quality"].to_numpy())
 
 

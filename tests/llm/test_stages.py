@@ -185,7 +185,7 @@ def plain_features(text: str) -> list[int]:
                 h = (h * 0x100000001B3 + ord(c)) & mask
             out.append(bucket(h, n))
     codes = [sum((ord(c) + 1) * pow(base, k, 1 << 64) for k, c in enumerate(w)) & mask for w in WORD.findall(text)]
-    return out + [bucket(c, 0) for c in codes] + [bucket((b - a) & mask, 1) for a, b in zip(codes, codes[1:], strict=False)]
+    return out + [bucket(c, 0) for c in codes] + [bucket((a * 0xC2B2AE3D27D4EB4F + b) & mask, 1) for a, b in zip(codes, codes[1:], strict=False)]
 
 
 def test_scores_against_plain_features(spark):
@@ -197,8 +197,46 @@ def test_scores_against_plain_features(spark):
         found = plain_features(text)
         assert sorted(quality.features(text).tolist()) == sorted(found)
         assert math.isclose(mean, sum(float(weights[b]) for b in found) / max(1, len(found)), rel_tol=1e-6, abs_tol=1e-9)
-    doubled = {b for w in ("cat cat", "dog dog") for b in set(plain_features(w)) - set(plain_features(w.split()[0] + "  " + "zz"))}
-    assert quality._bucket(np.zeros(1, np.uint64), 1)[0] in doubled  # a word behind itself: one bucket for all words
+
+
+
+def plain_training(texts, labels, seed=7):
+    """The trained table of ``quality.train``, a feature at a time, in doubles."""
+    rng = np.random.default_rng(seed)
+    vectors = rng.uniform(-1.0 / quality.DIM, 1.0 / quality.DIM, (quality.BUCKETS, quality.DIM)).astype(np.float64)
+    output, bias = [[0.0] * quality.DIM, [0.0] * quality.DIM], [0.0, 0.0]
+    bags = []
+    for text in texts:
+        found = plain_features(text)
+        bags.append({b: found.count(b) / len(found) for b in sorted(set(found))})
+    epochs = min(quality.MOST_EPOCHS, max(quality.EPOCHS, -(-quality.LEAST_STEPS // len(bags))))
+    steps, total = 0, epochs * len(bags)
+    for _ in range(epochs):
+        for i in rng.permutation(len(bags)):
+            rate = quality.RATE * (1 - steps / total)
+            steps += 1
+            hidden = [sum(share * vectors[b][d] for b, share in bags[i].items()) for d in range(quality.DIM)]
+            logits = [sum(o * h for o, h in zip(output[c], hidden, strict=True)) + bias[c] for c in (0, 1)]
+            odds = [math.exp(x - max(logits)) for x in logits]
+            error = [odds[c] / sum(odds) - (c == labels[i]) for c in (0, 1)]
+            back = [sum(error[c] * output[c][d] for c in (0, 1)) for d in range(quality.DIM)]
+            for c in (0, 1):
+                output[c] = [o - rate * error[c] * h for o, h in zip(output[c], hidden, strict=True)]
+                bias[c] -= rate * error[c]
+            for b, share in bags[i].items():
+                for d in range(quality.DIM):
+                    vectors[b][d] -= min(1, rate * 50 * share) * back[d]
+    return vectors @ (np.array(output[1]) - np.array(output[0])), bias[1] - bias[0]
+
+
+def test_training_against_a_plain_version(monkeypatch):
+    monkeypatch.setattr(quality, "LEAST_STEPS", 200)
+    texts, labels = ["good words here", "BAD!! bad", "fine and good text", "bad bad BAD!!", "words", "!! bad !!"], [1, 0, 1, 0, 1, 0]
+    weights, bias = quality.train(pa.array(texts), np.array(labels))
+    want, want_bias = plain_training(texts, labels)
+    used = sorted({b for t in texts for b in plain_features(t)})
+    assert np.allclose(weights[used], want[used], atol=1e-3) and math.isclose(bias, want_bias, abs_tol=1e-3)
+    assert np.allclose(weights, want, atol=1e-3) and want[used].std() > 0.1
 
 
 def test_long_texts_score_like_short_pieces(monkeypatch):
