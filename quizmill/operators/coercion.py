@@ -122,15 +122,15 @@ def group_of(raw: Column) -> Column:
     """A group from its JSON text: passage, transcript, page, pages, box and questions (JSON texts), under any of their key names.
 
     Anything but an object is a group without questions; an object that is itself
-    a question is a group of that one.
+    a question is a group of that one. Page numbers beyond an int are left out.
     """
     v = F.try_parse_json(raw)
     asked = questions_of(F.coalesce(F.try_variant_get(v, "$.questions", "variant"), F.parse_json(F.lit("[]"))))
     is_one = F.coalesce(aliased(v, "questionText", "text", "question"), aliased(v, "questionNumber", "number")).isNotNull()
     pages = F.array_distinct(F.filter(aliased(v, "sourcePages", "pages", "pageNumbers", kind="array<double>"), lambda n: n >= 1))
     return F.struct(
-        aliased(v, "passage").alias("passage"), aliased(v, "transcript", "talk").alias("transcript"), aliased(v, "sourcePage", "page", "pageNumber", kind="double").cast("int").alias("page"),
-        F.transform(pages, lambda n: n.cast("int")).alias("pages"), box_of(aliased(v, "imageBbox", "passageBbox", "bbox", "cropBox", kind="array<double>")).alias("box"),
+        aliased(v, "passage").alias("passage"), aliased(v, "transcript", "talk").alias("transcript"), aliased(v, "sourcePage", "page", "pageNumber", kind="double").try_cast("int").alias("page"),
+        F.array_distinct(F.filter(F.transform(pages, lambda n: n.try_cast("int")), lambda n: n.isNotNull())).alias("pages"), box_of(aliased(v, "imageBbox", "passageBbox", "bbox", "cropBox", kind="array<double>")).alias("box"),
         F.when((F.size(asked) > 0) | ~F.coalesce(is_one, F.lit(False)), asked).otherwise(F.array(raw)).alias("questions"),
     )
 
@@ -158,12 +158,12 @@ def parts(rows: DataFrame, key: str = "key") -> DataFrame:
 
     ``rows`` has the key, ``raw`` (JSON text) and ``expected`` (a part number or
     null). Missing question numbers continue from the largest so far, from the
-    part's first on. A part that is no object, or whose number is not 1 to 7, gives
-    one row with its error; a part without questions gives none.
+    part's first on. A part that is no object, or whose number is not 1 to 7 (or beyond
+    an int), gives one row with its error; a part without questions gives none.
     """
     v = F.try_parse_json(F.col("raw"))
     is_object = F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False))
-    number = F.coalesce(F.try_variant_get(v, "$.partNumber", "double"), F.col("expected").cast("double")).cast("int")
+    number = F.coalesce(F.try_variant_get(v, "$.partNumber", "double"), F.col("expected").cast("double")).try_cast("int")
     error = F.when(~is_object, "not an object").when(number.isNull() | ~number.between(1, 7), "part number")
     found = F.coalesce(F.try_variant_get(v, "$.groups", "variant"), F.try_variant_get(v, "$.group", "variant"))
     listed = F.when(F.schema_of_variant(found).startswith("ARRAY"), F.from_json(F.to_json(found), "array<string>")).when(found.isNotNull(), F.array(F.to_json(found)))

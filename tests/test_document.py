@@ -60,12 +60,24 @@ def test_blocks_end_at_the_next_number(spark):
     assert set(got) == {7, 31} and "12 apples" in got[7] and "second" not in got[7] and "33. more" in got[31]
 
 
-def test_photo_questions_take_early_sets_third():
+def test_photo_questions_take_early_sets_third(spark):
     said = lambda k: [f"{c}. They're looking at picture {k} {c}" for c in "ABCD"]
-    text = "\n".join([*said(1), "PART1", *said(2), "51 (A)", *said(3), *said(4), "PART 2", *said(5)])
-    got = [s[0] for s in extraction.photo_questions_of(text)]
-    assert [g.split()[-2] for g in got] == ["2", "3", "1", "4"]
-    assert len(extraction.photo_questions_of("\n".join(["PART1", *said(1), "PART2"]))) == 1
+    lines = lambda *parts: "\n".join(x for part in parts for x in part)
+    texts = {
+        1: lines(said(1), ["PART1"], said(2), ["51 (A)"], said(3), said(4), ["PART 2"], said(5)),
+        2: lines(["PART1"], said(1), ["PART2"]),
+        3: lines(said(9), ["PART 1"], *(said(k) for k in range(1, 9)), ["PART 2"]),
+        4: lines(said(1), said(1), said(2)),
+        5: lines(said(1), said(2), ["PART 1"], said(1), said(3), said(3)),
+        6: lines(said(1), ["PART 1"], said(4)),
+        7: "",
+        8: None,
+    }
+    want = {1: "2 3 1 4 - -", 2: "1 - - - - -", 3: "1 2 3 4 5 6", 4: "1 1 2 - - -", 5: "3 1 2 - - -", 6: "4 1 - - - -", 7: "- - - - - -", 8: "- - - - - -"}
+    got = {}
+    for r in extraction.photo_questions(spark.createDataFrame(list(texts.items()), "doc_id int, text string")).orderBy("doc_id", "question_number").collect():
+        got.setdefault(r.doc_id, []).append(r.options[0].split()[-2] if " " in r.options[0] else r.options[0])
+    assert {k: " ".join(v) for k, v in got.items()} == want
 
 
 def test_listening_parts(spark):
@@ -171,3 +183,11 @@ def test_versions_switch_together(spark, tmp_path):
     for _ in range(2):
         assert {(r.key, r.size) for r in versions.put_objects(objects, f"file://{tmp_path}/objects").collect()} == {("a/b.txt", 1), ("c.txt", 0)}
     assert sorted(p.name for p in (tmp_path / "objects").rglob("*.txt")) == ["b.txt", "c.txt"]
+
+
+def test_parts_with_numbers_beyond_an_int_are_rows(spark):
+    raw = ['{"partNumber": 1e20}', '{"partNumber": 6, "groups": [{"pages": [1e20, 2, 2.0], "page": 1e12, "questions": [{"questionText": "q"}]}]}', '{"partNumber": -1e300}', "[]", "nonsense"]
+    rows = spark.createDataFrame([(k, r, None) for k, r in enumerate(raw)], "key int, raw string, expected int")
+    got = {r.key: r for r in coercion.parts(rows).collect()}
+    assert {k: r.error for k, r in got.items()} == {0: "part number", 1: None, 2: "part number", 3: "not an object", 4: "not an object"}
+    assert got[1].pages == [2] and got[1].page is None and got[1].question_number == 131
