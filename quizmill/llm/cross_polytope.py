@@ -7,7 +7,8 @@ more component that brings all to one length (queries get 0 there). A query
 probes buckets of all tables in order of the sum of its coordinates along their axes.
 How many is calibrated: a bounded sample of queries meets all rows exactly, and the
 number of probes is the least with which its neighbours share a probed bucket often
-enough. Queries and rows of a bucket meet in tiles of bounded size, every
+enough. The k-th best score among a sample of the rows bounds a query's result from
+below. Queries and rows of a bucket meet in tiles of bounded size, every
 candidate's product is taken on the original vectors, and a window ranks them.
 """
 
@@ -32,6 +33,8 @@ BUCKET_ROWS = 2_000
 SAMPLE, TARGET, SAMPLE_BYTES = 256, 0.96, 64 << 20
 #: Probes of a query at most with several rotations; with one, all buckets can be probed.
 PROBES = 2_048
+#: Rows, and bytes of them, in the sample that bounds a query's result from below, at most; it is a SPARED-th of all rows at most, so that many more reach the bound.
+BOUND_ROWS, BOUND_BYTES, SPARED = 8_192, 16 << 20, 16
 #: Rows and queries of a tile.
 BLOCK, QUERY_BLOCK = 8_192, 4_096
 #: Rows, queries or pairs that a numpy step handles at once.
@@ -169,8 +172,8 @@ def exact_scores(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.where(np.isnan(out), -np.inf, out)
 
 
-def best_of(query_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query_id, vec_id, score): each query's k best rows but itself, exactly."""
+def best_of(query_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int, least: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query_id, vec_id, score): each query's k best rows but itself, exactly, without those under its ``least``."""
     found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
     step = max(1, (PAIR_STEP * 16) // max(1, len(x)))
     for at in range(0, len(q) if len(x) else 0, step):
@@ -179,6 +182,7 @@ def best_of(query_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray
             rough = np.nan_to_num(part @ x.T, nan=-np.inf)
             rough[own[:, None] == ids[None, :]] = -np.inf
             bar = np.partition(rough, len(ids) - k, axis=1)[:, len(ids) - k] if len(ids) > k else np.full(len(part), -np.inf)
+            bar = bar if least is None else np.maximum(bar, least[at : at + step])
             slack = _MARGIN * np.sqrt((part**2).sum(axis=1) * (x**2).sum(axis=1).max())
             bar = np.where(np.isfinite(bar) & np.isfinite(slack), bar - slack, -np.inf)
         row, col = np.nonzero((rough >= bar[:, None]) & (own[:, None] != ids[None, :]))
@@ -193,6 +197,26 @@ def best_of(query_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray
     return tuple(np.concatenate(c) for c in zip(*found, strict=True))
 
 
+def _clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows (vec_id, embedding) that take part, with their size and length.
+
+    The length is the greatest component times a root, which no component is too large for.
+    """
+    for batch in batches:
+        batch = batch.filter(pc.and_(pc.is_valid(batch.column(0)), pc.is_valid(batch.column(1))))
+        for at in range(0, batch.num_rows, STEP):
+            part = batch.slice(at, STEP)
+            sizes = pc.list_value_length(part.column(1)).to_numpy(zero_copy_only=False).astype(np.int32)
+            x = matrix(part.column(1), max(1, int(sizes.max())))
+            top = np.abs(x).max(axis=1)
+            good = np.isfinite(top) & (top > 0)
+            scale = np.where(good, top, 1)[:, None]
+            with np.errstate(all="ignore"):
+                length = top * np.sqrt(((x / scale) ** 2).sum(axis=1))
+            rows = pa.RecordBatch.from_arrays([*part.columns, pa.array(sizes), pa.array(length)], names=["vec_id", "embedding", "size", "length"])
+            yield rows.filter(pa.array(good))
+
+
 def _vectors(batches: Iterator[pa.RecordBatch], dim: int, step: int = STEP) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """(rows, ids, vectors) of runs of rows (id, embedding)."""
     for batch in batches:
@@ -234,13 +258,20 @@ def _hashed(tables: Tables):
     return run
 
 
-def _probing(tables: Tables, probes: int):
-    """Queries with the tables and buckets that they probe."""
+def _probing(tables: Tables, probes: int, sent, k: int):
+    """Queries with the tables and buckets that they probe, and the k-th best score among a sample (ids, vectors)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, _, q in _vectors(batches, tables.dim, 50):
+        ids, x = sent.value
+        for part, own, q in _vectors(batches, tables.dim, 50):
             which, code = tables.probes(q, probes)
-            yield pa.RecordBatch.from_arrays([*part.columns, _lists(which.astype(np.int32)), _lists(code)], names=["query_id", "embedding", "tables", "buckets"])
+            least = np.full(len(own), -np.inf)
+            if len(ids) > k:
+                with np.errstate(all="ignore"):
+                    scores = np.nan_to_num(q @ x.T, nan=-np.inf)
+                scores[own[:, None] == ids[None, :]] = -np.inf
+                least = np.partition(scores, len(ids) - k, axis=1)[:, len(ids) - k]
+            yield pa.RecordBatch.from_arrays([*part.columns, _lists(which.astype(np.int32)), _lists(code), pa.array(least)], names=["query_id", "embedding", "tables", "buckets", "least"])
 
     return run
 
@@ -255,11 +286,11 @@ def _solve(dim: int, k: int):
             code, ids = rows["bucket_"].to_numpy(np.int64), rows["vec_id"].to_numpy(np.int64)
             x = _padded(rows["embedding_"], dim)
             asked, own = queries["bucket"].to_numpy(np.int64), queries["query_id"].to_numpy(np.int64)
-            q = _padded(queries["embedding"], dim)
+            q, least = _padded(queries["embedding"], dim), queries["least"].to_numpy(np.float64)
             for bucket in np.intersect1d(asked, code):
                 a, b = np.searchsorted(asked, bucket), np.searchsorted(asked, bucket, side="right")
                 c, d = np.searchsorted(code, bucket), np.searchsorted(code, bucket, side="right")
-                found.append(best_of(own[a:b], q[a:b], ids[c:d], x[c:d], k))
+                found.append(best_of(own[a:b], q[a:b], ids[c:d], x[c:d], k, least[a:b]))
         of, vec, score = (np.concatenate(c) for c in zip(*found, strict=True))
         order = np.lexsort((vec, -score, of))
         of, vec, score = of[order], vec[order], score[order]
@@ -277,7 +308,7 @@ def _padded(vectors: pd.Series, dim: int) -> np.ndarray:
 
 
 def _met(queries: DataFrame, rows: DataFrame, scratch: Scratch, dim: int, k: int) -> DataFrame:
-    """query_id, vec_id, score from the buckets that queries (query_id, t, bucket, embedding) and rows (vec_id, t, bucket, embedding) share.
+    """query_id, vec_id, score from the buckets that queries (query_id, t, bucket, embedding, least) and rows (vec_id, t, bucket, embedding) share.
 
     Buckets of one table that together have about a tile of rows form a group; one that has more than a
     tile on either side is a group of its own, in tiles of rows and of queries that all meet.
@@ -298,7 +329,7 @@ def _met(queries: DataFrame, rows: DataFrame, scratch: Scratch, dim: int, k: int
     left = queries.join(plan, key).withColumn("b", F.pmod(F.xxhash64("query_id"), "sides").cast("int")).withColumn("d", every("tiles"))
     right = rows.join(plan, key).withColumn("d", F.pmod(F.xxhash64("vec_id"), "tiles").cast("int")).withColumn("b", every("sides"))
     dealt = ["t", "g", "d", "b"]
-    left = left.select(*dealt, "query_id", "bucket", "embedding").groupBy(*dealt)
+    left = left.select(*dealt, "query_id", "bucket", "embedding", "least").groupBy(*dealt)
     right = right.select(*[F.col(c).alias(f"{c}_") for c in dealt], "vec_id", F.col("bucket").alias("bucket_"), F.col("embedding").alias("embedding_")).groupBy(*[f"{c}_" for c in dealt])
     return left.cogroup(right).applyInPandas(_solve(dim, k), "query_id long, vec_id long, score double")
 
@@ -324,14 +355,13 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, target: float = TARGET, b
     """
     spark = vectors.sparkSession
     scratch = Scratch(spark, "polytope")
-    fit = F.forall("embedding", lambda x: x.isNotNull() & (F.abs(x) < F.lit(float("inf"))) & ~F.isnan(x)) & F.exists("embedding", lambda x: x != 0)
-    valid = vectors.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull()).where(fit).select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
-    # The length as the greatest component times a root, which no component is too large for.
-    top = F.array_max(F.transform("embedding", lambda x: F.abs(x.cast("double"))))
-    length = top * F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + (x / top) * (x / top)))
-    facts = valid.agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("dim"), F.max(length).alias("longest")).first()
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
+    kind = rows.schema["embedding"].dataType.simpleString()
+    valid = scratch.written(rows.mapInArrow(_clean, f"vec_id long, embedding {kind}, size int, length double"), "vectors")
+    facts = valid.agg(F.count("*").alias("n"), F.max("size").alias("dim"), F.max("length").alias("longest")).first()
     if not facts["n"]:
         return spark.createDataFrame([], RESULT)
+    valid = valid.select("vec_id", "embedding")
     dim, count = facts["dim"], facts["n"]
     longest = min(facts["longest"] * (1 + 1e-12), np.finfo(np.float64).max)
     queries = valid.where(is_query).withColumnRenamed("vec_id", "query_id")
@@ -346,19 +376,22 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, target: float = TARGET, b
     own = {i: unpacked(g) for i, g in near.groupby("query_id")["vector"]}
     tables, probes = calibrated(dim, longest, count, sample[1], [own.get(i, np.zeros((0, dim))) for i in sample[0]], target, bucket_rows)
     # The index: every row in every table; and the queries' probes.
-    kind = valid.schema["embedding"].dataType.simpleString()
     hashed = scratch.written(valid.mapInArrow(_hashed(tables), f"vec_id long, embedding {kind}, buckets array<long>"), "hashed")
     postings = hashed.select("vec_id", F.posexplode("buckets").alias("t", "bucket"), "embedding")
-    asks = scratch.written(queries.mapInArrow(_probing(tables, probes), f"query_id long, embedding {kind}, tables array<int>, buckets array<long>"), "asks")
-    probed = asks.select("query_id", F.explode(F.arrays_zip("tables", "buckets")).alias("p"), "embedding")
-    probed = probed.select("query_id", F.col("p.tables").alias("t"), F.col("p.buckets").alias("bucket"), "embedding")
+    bound = min(BOUND_ROWS, count // SPARED, BOUND_BYTES // (8 * dim))
+    drawn = valid.orderBy(F.xxhash64("vec_id", F.lit(6)), "vec_id").limit(bound).toArrow()
+    few = spark.sparkContext.broadcast((drawn["vec_id"].to_numpy().astype(np.int64), matrix(drawn["embedding"], dim)))
+    asks = queries.mapInArrow(_probing(tables, probes, few, k), f"query_id long, embedding {kind}, tables array<int>, buckets array<long>, least double")
+    asks = scratch.written(asks, "asks")
+    probed = asks.select("query_id", F.explode(F.arrays_zip("tables", "buckets")).alias("p"), "embedding", "least")
+    probed = probed.select("query_id", F.col("p.tables").alias("t"), F.col("p.buckets").alias("bucket"), "embedding", "least")
     found = scratch.written(_ranked(_met(probed, postings, scratch, dim, k), k), "found")
     # Queries that found too few meet all rows, as one bucket.
     enough = found.groupBy("query_id").count().where(F.col("count") >= min(k, count - 1))
     short = scratch.written(queries.join(enough, "query_id", "left_anti"), "short")
     if short.count():
         whole = [F.lit(0).alias("t"), F.lit(0).cast("long").alias("bucket"), "embedding"]
-        rest = _ranked(_met(short.select("query_id", *whole), valid.select("vec_id", *whole), scratch, dim, k), k)
+        rest = _ranked(_met(short.select("query_id", *whole, F.lit(float("-inf")).alias("least")), valid.select("vec_id", *whole), scratch, dim, k), k)
         found = scratch.written(found.join(short.select("query_id"), "query_id", "left_anti").unionByName(rest), "whole")
     result = scratch.written(found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score"), "nearest")
     scratch.drop(but=("nearest",))
