@@ -31,8 +31,8 @@ TERM_RANKS = 50
 SLICE_BYTES = 4 << 20
 #: Terms in a block, and sources on a side of it, that pairs are compared on.
 BLOCK_TERMS, BLOCK_SOURCES = 2_048, 256
-#: Entries, and bytes of their terms, that a task counts before it passes them on.
-HELD, HELD_BYTES = 200_000, 16 << 20
+#: Terms that a task of the first pass counts, and the bytes they may come from, and occurrences that one of the second pass gathers, before they are passed on.
+HELD, HELD_BYTES, OCCURRENCES = 400_000, 64 << 20, 4_000_000
 #: Added to every count, and the whole that shares are parts of.
 SMOOTHING, WHOLE = 5, 1_000_000_000
 
@@ -91,21 +91,30 @@ def _automata(kept: list[tuple[str, str, int]]) -> dict[str, ahocorasick.Automat
 
 def _occurrences(sent):
     """(lang, source, number, n) of a slice's terms in the batch's rows."""
-    kinds = {"lang": pa.string(), "source": pa.string(), "number": pa.int64(), "n": pa.int64()}
+
+    def counted(groups: dict[tuple, int], found: list[np.ndarray]) -> pa.RecordBatch:
+        """Counts of found (group, number) codes."""
+        code, n = np.unique(np.concatenate(found) if found else np.zeros(0, np.int64), return_counts=True)
+        group = pa.array((code >> 32).astype(np.int32))
+        names = [pa.DictionaryArray.from_arrays(group, pa.array([key[i] for key in groups], pa.string())).cast(pa.string()) for i in (0, 1)]
+        return pa.RecordBatch.from_arrays([*names, pa.array(code & 0xFFFFFFFF), pa.array(n.astype(np.int64))], names=["lang", "source", "number", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automata = _automata(sent.value)
-        held: defaultdict[tuple, Counter] = defaultdict(Counter)
+        groups: dict[tuple, int] = {}
+        found, held = [], 0
         for batch in batches:
             for lang, source, text in _columns(batch):
                 if lang not in automata:
                     continue
                 delimited = (b" " + b" ".join(filter(None, terms(text))) + b" ").decode()
-                held[lang, source].update(number for _, number in automata[lang].iter(delimited))
-                if sum(map(len, held.values())) > HELD:
-                    yield _counts([(*key, number, n) for key, of in held.items() for number, n in of.items()], kinds)
-                    held.clear()
-        yield _counts([(*key, number, n) for key, of in held.items() for number, n in of.items()], kinds)
+                numbers = np.fromiter((number for _, number in automata[lang].iter(delimited)), np.int64)
+                found.append(numbers | (groups.setdefault((lang, source), len(groups)) << 32))
+                held += len(numbers) + 1
+                if held > OCCURRENCES:
+                    yield counted(groups, found)
+                    groups, found, held = {}, [], 0
+        yield counted(groups, found)
 
     return run
 
