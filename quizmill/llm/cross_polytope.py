@@ -7,9 +7,9 @@ more component that brings all to one length (queries get 0 there). A query
 probes buckets of all tables in order of the sum of its coordinates along their axes.
 How many is calibrated: a bounded sample of queries meets all rows exactly, and the
 number of probes is the least with which its neighbours share a probed bucket often
-enough. The k-th best score among a sample of the rows bounds a query's result from
-below. Queries and rows of a bucket meet in tiles of bounded size, every
-candidate's product is taken on the original vectors, and a window ranks them.
+enough. Queries and rows of a bucket meet in tiles of bounded size, every
+candidate's product is taken on the original vectors, and a window ranks them. The
+first table goes ahead, as its k-th best score spares the others' tiles what cannot rank.
 """
 
 from __future__ import annotations
@@ -33,8 +33,6 @@ BUCKET_ROWS = 2_000
 SAMPLE, TARGET, SAMPLE_BYTES = 256, 0.96, 64 << 20
 #: Probes of a query at most with several rotations; with one, all buckets can be probed.
 PROBES = 2_048
-#: Rows, and bytes of them, in the sample that bounds a query's result from below, at most; it is a SPARED-th of all rows at most, so that many more reach the bound.
-BOUND_ROWS, BOUND_BYTES, SPARED = 8_192, 16 << 20, 16
 #: Rows and queries of a tile.
 BLOCK, QUERY_BLOCK = 8_192, 4_096
 #: Rows, queries or pairs that a numpy step handles at once.
@@ -258,20 +256,13 @@ def _hashed(tables: Tables):
     return run
 
 
-def _probing(tables: Tables, probes: int, sent, k: int):
-    """Queries with the tables and buckets that they probe, and the k-th best score among a sample (ids, vectors)."""
+def _probing(tables: Tables, probes: int):
+    """Queries with the tables and buckets that they probe."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, x = sent.value
-        for part, own, q in _vectors(batches, tables.dim, 50):
+        for part, _, q in _vectors(batches, tables.dim, 50):
             which, code = tables.probes(q, probes)
-            least = np.full(len(own), -np.inf)
-            if len(ids) > k:
-                with np.errstate(all="ignore"):
-                    scores = np.nan_to_num(q @ x.T, nan=-np.inf)
-                scores[own[:, None] == ids[None, :]] = -np.inf
-                least = np.partition(scores, len(ids) - k, axis=1)[:, len(ids) - k]
-            yield pa.RecordBatch.from_arrays([*part.columns, _lists(which.astype(np.int32)), _lists(code), pa.array(least)], names=["query_id", "embedding", "tables", "buckets", "least"])
+            yield pa.RecordBatch.from_arrays([*part.columns, _lists(which.astype(np.int32)), _lists(code)], names=["query_id", "embedding", "tables", "buckets"])
 
     return run
 
@@ -378,20 +369,22 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, target: float = TARGET, b
     # The index: every row in every table; and the queries' probes.
     hashed = scratch.written(valid.mapInArrow(_hashed(tables), f"vec_id long, embedding {kind}, buckets array<long>"), "hashed")
     postings = hashed.select("vec_id", F.posexplode("buckets").alias("t", "bucket"), "embedding")
-    bound = min(BOUND_ROWS, count // SPARED, BOUND_BYTES // (8 * dim))
-    drawn = valid.orderBy(F.xxhash64("vec_id", F.lit(6)), "vec_id").limit(bound).toArrow()
-    few = spark.sparkContext.broadcast((drawn["vec_id"].to_numpy().astype(np.int64), matrix(drawn["embedding"], dim)))
-    asks = queries.mapInArrow(_probing(tables, probes, few, k), f"query_id long, embedding {kind}, tables array<int>, buckets array<long>, least double")
-    asks = scratch.written(asks, "asks")
-    probed = asks.select("query_id", F.explode(F.arrays_zip("tables", "buckets")).alias("p"), "embedding", "least")
-    probed = probed.select("query_id", F.col("p.tables").alias("t"), F.col("p.buckets").alias("bucket"), "embedding", "least")
-    found = scratch.written(_ranked(_met(probed, postings, scratch, dim, k), k), "found")
+    asks = scratch.written(queries.mapInArrow(_probing(tables, probes), f"query_id long, embedding {kind}, tables array<int>, buckets array<long>"), "asks")
+    probed = asks.select("query_id", F.explode(F.arrays_zip("tables", "buckets")).alias("p"), "embedding")
+    probed = probed.select("query_id", F.col("p.tables").alias("t"), F.col("p.buckets").alias("bucket"), "embedding")
+    # What the first table finds bounds the results from below: the others report only what reaches that.
+    unbound = F.lit(float("-inf"))
+    first = scratch.written(_ranked(_met(probed.where("t = 0").withColumn("least", unbound), postings.where("t = 0"), scratch, dim, k), k), "first")
+    least = scratch.written(first.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("least")).where(F.col("n") >= k).drop("n"), "least")
+    others = probed.where("t > 0").join(least, "query_id", "left").withColumn("least", F.coalesce("least", unbound))
+    more = _met(others, postings.where("t > 0"), scratch, dim, k)
+    found = scratch.written(_ranked(more.unionByName(first.select("query_id", "vec_id", "score")), k), "found")
     # Queries that found too few meet all rows, as one bucket.
     enough = found.groupBy("query_id").count().where(F.col("count") >= min(k, count - 1))
     short = scratch.written(queries.join(enough, "query_id", "left_anti"), "short")
     if short.count():
         whole = [F.lit(0).alias("t"), F.lit(0).cast("long").alias("bucket"), "embedding"]
-        rest = _ranked(_met(short.select("query_id", *whole, F.lit(float("-inf")).alias("least")), valid.select("vec_id", *whole), scratch, dim, k), k)
+        rest = _ranked(_met(short.select("query_id", *whole, unbound.alias("least")), valid.select("vec_id", *whole), scratch, dim, k), k)
         found = scratch.written(found.join(short.select("query_id"), "query_id", "left_anti").unionByName(rest), "whole")
     result = scratch.written(found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score"), "nearest")
     scratch.drop(but=("nearest",))
