@@ -10,6 +10,7 @@ from quizmill.functions.numbers import part_of_number
 from quizmill.model import GRAPHIC_STARTS, PART_RANGES
 from quizmill.operators import extraction, graphics, layout
 from quizmill.operators.extraction import OPTION, part_slices, passages
+from quizmill.plans.scratch import written
 
 # How a speaker's line opens, and options inside one.
 _SPEAKER = r"(?i)^(?:W|M)\s*[-–]?\s*[A-Za-z]{2,4}\s*"
@@ -107,35 +108,53 @@ def repaired(items: DataFrame, from_layout: DataFrame, key: str = "doc_id") -> D
     return rows.select(key, "question_number", F.when(broken, F.col("l_text")).otherwise(F.col("question_text")).alias("question_text"), F.when(broken, F.col("l_options")).otherwise(F.col("options")).alias("options"))
 
 
-def layout_questions(spans: DataFrame, answers: DataFrame | None = None, first: int = 1, last: int = 999, exclude: DataFrame | None = None) -> DataFrame:
-    """(doc_id, page, number, stem, options, letter): each anchor's band as lines, with two options at least.
+def page_questions(model: DataFrame, ranges: list[tuple[int, int]], exclude: DataFrame | None = None) -> DataFrame:
+    """(doc_id, page, of, number, stem, options): the questions of a page model (see ``layout.page_model``), without leaving a page's row.
 
-    The stem stands in front of the line with (A); one of under 8 characters gives
-    way to text behind the number on an earlier line of the page. Four options; the
-    letter comes from ``answers`` (doc_id, question_number, letter). Spans in
-    ``exclude`` boxes (doc_id, page, x, y, w, h) are left out.
+    Each anchor's band is read as lines, with two options at least. The stem stands
+    in front of the line with (A); one of under 8 characters gives way to text
+    behind the number on an earlier line of the page. Four options. ``of`` is the range
+    (see ``layout.with_anchors``). Spans in ``exclude`` boxes (doc_id, page, x, y, w, h) are left out.
     """
-    found = layout.question_anchors(spans, first, last)
-    key = [*layout.PAGE, "number"]
-    said = layout.lines_by(layout.band(spans, found, exclude), key).groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("l"))
-    rows = said.withColumn("l", F.transform("l", lambda z: z["line"])).join(found.select(*key, F.col("y").alias("_y")), key)
+    rows = layout.with_anchors(model, ranges)
+    kept = F.col("spans")
+    if exclude is not None:
+        rows = rows.join(exclude.groupBy(*layout.PAGE).agg(F.collect_list(F.struct("x", "y", "w", "h")).alias("_boxes")), layout.PAGE, "left")
+        kept = F.filter("spans", lambda s: F.col("_boxes").isNull() | ~F.exists("_boxes", lambda b: layout.covers(b, s)))
+    rows = layout.with_lines(layout.settled(rows, _spans=kept), F.transform("anchors", lambda a: F.filter("_spans", lambda s: layout.in_band(s, a))), "_said")
+    rows = rows.select(*layout.PAGE, "lines", F.explode(F.arrays_zip("anchors", "_said")).alias("q"))
+    rows = rows.select(*layout.PAGE, "lines", F.col("q.anchors.of").alias("of"), F.col("q.anchors.number").alias("number"), F.col("q.anchors.y").alias("_y"), F.transform("q._said", lambda z: z["line"]).alias("l"))
     place = F.array_position(F.transform("l", lambda line: line.rlike(r"(?i)\(A\)")), F.lit(True)).cast("int")
-    own = F.concat(F.lit(r"^\s*"), F.col("number").cast("string"), F.lit(r"\s*\.\s*"))
-    rows = rows.withColumn("place", place).where("place > 0").withColumn("own", own)
-    rows = rows.withColumn("head", T.trim(T.collapse(F.regexp_replace(F.array_join(F.slice("l", 1, F.col("place") - 1), " "), F.col("own"), F.lit("")))))
-    below = F.transform(F.slice("l", F.col("place"), F.size("l")), lambda line, i: T.trim(F.when(i == 0, F.regexp_replace(line, F.col("own"), F.lit(""))).otherwise(line)))
+    rows = rows.withColumn("place", place).where("place > 0").withColumn("digits", F.col("number").cast("string"))
+    opening = r"^\s*(\d{1,3})\s*\.\s*"
+    unnumbered = lambda text: F.when(F.regexp_extract(text, opening, 1) == F.col("digits"), F.regexp_replace(text, opening, "")).otherwise(text)
+    rows = rows.withColumn("head", T.trim(T.collapse(unnumbered(F.array_join(F.slice("l", 1, F.col("place") - 1), " ")))))
+    below = F.transform(F.slice("l", F.col("place"), F.size("l")), lambda line, i: T.trim(F.when(i == 0, unnumbered(line)).otherwise(line)))
     bare = r"(?i)^\(([A-D])\)\s*(.+)$"
     options = F.filter(F.transform(below, lambda line: F.when(line.rlike(OPTION), T.trim(F.regexp_extract(line, OPTION, 2))).when(line.rlike(bare), T.trim(F.regexp_extract(line, bare, 2)))), lambda o: o.isNotNull())
     rows = rows.withColumn("options", options).where(F.size("options") >= 2)
-    lines = layout.lines(spans).groupBy(*layout.PAGE).agg(F.array_sort(F.collect_list(F.struct((F.col("column") == "right").alias("right"), "y", "line"))).alias("_lines"))
-    inline = F.concat(F.lit(r"^.*?\b"), F.col("number").cast("string"), F.lit(r"\s*\.\s*(?=.)"))
-    earlier = F.get(F.filter("_lines", lambda z: (z["y"] < F.col("_y")) & F.rlike(z["line"], F.col("inline"))), F.lit(0))["line"]
-    rows = rows.join(lines, layout.PAGE, "left").withColumn("inline", inline).withColumn("other", T.trim(T.collapse(T.dashes_to_spaces(F.regexp_replace(earlier, F.col("inline"), F.lit(""))))))
-    stem = F.coalesce(F.when(F.length("head") < 8, F.when(F.col("other") != "", F.col("other"))), F.when(F.col("head") != "", F.col("head")), F.concat(F.lit("Question "), F.col("number").cast("string")))
-    rows = rows.select(*key, stem.alias("stem"), T.padded(F.col("options"), 4).alias("options"))
+    # Text behind the number inside an earlier line, for stems that are hardly there: left column first, then by y.
+    numbers = lambda line: F.regexp_extract_all(line, F.lit(r"\b(\d{1,3})\s*\.\s*(?=.)"), F.lit(1))
+    named = F.filter("lines", lambda z: (z["y"] < F.col("_y")) & F.array_contains(numbers(z["line"]), F.col("digits")))
+    named = F.array_sort(F.transform(named, lambda z: F.struct((z["column"] == "right").alias("right"), z["y"].alias("y"), z["line"].alias("line"))))
+    earlier = F.get(F.when(F.length("head") < 8, named), F.lit(0))["line"]
+    inline = F.concat(F.lit(r"^.*?\b"), F.col("digits"), F.lit(r"\s*\.\s*(?=.)"))
+    rows = rows.withColumn("_earlier", earlier).withColumn("_other", T.trim(T.collapse(T.dashes_to_spaces(F.when(F.col("_earlier").isNotNull(), F.regexp_replace("_earlier", inline, F.lit("")))))))
+    stem = F.coalesce(F.when(F.col("_other") != "", F.col("_other")), F.when(F.col("head") != "", F.col("head")), F.concat(F.lit("Question "), F.col("digits")))
+    return rows.select(*layout.PAGE, "of", "number", stem.alias("stem"), T.padded(F.col("options"), 4).alias("options"))
+
+
+def with_letters(questions: DataFrame, answers: DataFrame | None) -> DataFrame:
+    """Questions with the letter of ``answers`` (doc_id, question_number, letter), null without one."""
+    columns = ["doc_id", "page", "number", "stem", "options", "letter"]
     if answers is None:
-        return rows.withColumn("letter", F.lit(None).cast("string"))
-    return rows.join(answers.select("doc_id", F.col("question_number").alias("number"), "letter"), ["doc_id", "number"], "left").select(*key, "stem", "options", "letter")
+        return questions.withColumn("letter", F.lit(None).cast("string")).select(*columns)
+    return questions.join(answers.select("doc_id", F.col("question_number").alias("number"), "letter"), ["doc_id", "number"], "left").select(*columns)
+
+
+def layout_questions(spans: DataFrame, answers: DataFrame | None = None, first: int = 1, last: int = 999, exclude: DataFrame | None = None) -> DataFrame:
+    """(doc_id, page, number, stem, options, letter): the questions of ``page_questions``, with their letters."""
+    return with_letters(page_questions(layout.page_model(spans), [(first, last)], exclude), answers)
 
 
 def listening_parts(docs: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -173,7 +192,11 @@ def _question(number: str = "number") -> Column:
 def part5_groups(spans: DataFrame, answers: DataFrame) -> DataFrame:
     """(doc_id, page, pages, first_question, passage, questions): part 5's questions by page, in order of their numbers."""
     first, last, _ = PART_RANGES[5]
-    rows = layout_questions(spans, answers, first, last)
+    return by_page(layout_questions(spans, answers, first, last))
+
+
+def by_page(rows: DataFrame) -> DataFrame:
+    """Groups of questions (see ``layout_questions``), one for each page."""
     groups = rows.groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(_question())).alias("questions"))
     return groups.select("doc_id", "page", F.array("page").alias("pages"), F.get("questions", F.lit(0))["question_number"].alias("first_question"), F.lit(None).cast("string").alias("passage"), "questions")
 
@@ -195,15 +218,21 @@ def reading_groups(docs: DataFrame, spans: DataFrame, answers: DataFrame, part:
     passages that meet it, and questions within it. ``docs`` has doc_id and text.
     """
     first, last, _ = PART_RANGES[part]
+    return groups_of(docs, layout.page_texts(spans), layout_questions(spans, answers, first, last), part, chunk)
+
+
+def groups_of(docs: DataFrame, texts: DataFrame, questions: DataFrame, part: int, chunk: tuple[int, int] | None = None) -> DataFrame:
+    """``reading_groups`` from questions already read (see ``layout_questions``) and texts of pages (doc_id, page, page_text)."""
+    first, last, _ = PART_RANGES[part]
     low, high = chunk or (first, last)
-    found = layout_questions(spans, answers, first, last).where(F.size(F.filter("options", lambda o: o != "-")) >= 2)
+    found = questions.where(F.size(F.filter("options", lambda o: o != "-")) >= 2)
     found = first_page(found, F.lit(True))
     blocks = passages(docs.select("doc_id", part_section(F.col("text"), part).alias("text"))).where((F.col("last_question") >= low) & (F.col("first_question") <= high) & (F.col("first_question") <= F.col("last_question")))
     at = found.select("doc_id", "number", "page")
     wanted = blocks.select("doc_id", "first_question", "last_question", "passage", F.explode(F.sequence("first_question", "last_question")).alias("number"))
     keys = ["doc_id", "first_question", "last_question", "passage"]
     groups = wanted.join(found, ["doc_id", "number"]).groupBy(*keys).agg(F.array_sort(F.collect_list(_question())).alias("questions"))
-    heads = passage_pages(layout.page_texts(spans)).withColumnRenamed("page", "head_page")
+    heads = passage_pages(texts).withColumnRenamed("page", "head_page")
     groups = groups.join(heads, ["doc_id", "first_question", "last_question"], "left")
     groups = groups.join(at.select("doc_id", F.col("number").alias("first_question"), F.col("page").alias("first_page")), ["doc_id", "first_question"], "left")
     groups = groups.join(at.select("doc_id", F.col("number").alias("last_question"), F.col("page").alias("last_page")), ["doc_id", "last_question"], "left")
@@ -237,11 +266,15 @@ def document(docs: DataFrame, spans: DataFrame, images: DataFrame, answers: Data
     ``docs`` has doc_id, key_text (the listening key) and text (the exam); ``spans``
     and ``images`` are the exam's pages, ``answers`` its reading key. Photo questions
     get their photo's box, listening groups their graphic's, with garbled questions
-    replaced by the page's reading; reading groups have the whole page.
+    replaced by the page's reading; reading groups have the whole page. Pages are
+    modelled, and their lines folded, once for all parts; both results are written to
+    the session's shared folder.
     """
     heard = listening_parts(docs.select("doc_id", F.col("key_text").alias("text")))
-    pages = layout_questions(spans, None, 32, 100)
-    read = first_page(pages, F.lit(True)).select("doc_id", F.col("number").alias("question_number"), F.col("stem").alias("question_text"), "options")
+    model = written(layout.page_model(spans), "pages")
+    ranges = [(PART_RANGES[3][0], PART_RANGES[4][1]), *(PART_RANGES[p][:2] for p in (5, 6, 7))]
+    found = written(page_questions(model, ranges), "questions")
+    read = first_page(found.where("of = 0"), F.lit(True)).select("doc_id", F.col("number").alias("question_number"), F.col("stem").alias("question_text"), "options")
     talks = heard.where("part_number in (3, 4)").withColumnRenamed("stem", "question_text")
     mended = repaired(talks.select("doc_id", "question_number", "question_text", "options"), read).withColumnRenamed("question_text", "stem")
     mended = talks.drop("question_text", "options").join(mended, ["doc_id", "question_number"])
@@ -250,12 +283,14 @@ def document(docs: DataFrame, spans: DataFrame, images: DataFrame, answers: Data
     groups = heard.groupBy(*keys).agg(F.max("transcript").alias("transcript"), F.array_sort(F.collect_list(_question("question_number"))).alias("questions"))
     photos = graphics.photo_boxes(spans).select("doc_id", F.col("number").alias("first_question"), F.lit(1).alias("part_number"), "page", "box")
     starts = groups.where("part_number in (3, 4)").select(*keys).where(F.col("first_question").isin(*(n for p in (3, 4) for n in GRAPHIC_STARTS[p])))
-    shown = graphics.graphic_boxes(spans, images, starts.select("doc_id", "first_question", (F.col("first_question") + 2).alias("last_question")))
+    shown = graphics.graphic_boxes(spans, images, starts.select("doc_id", "first_question", (F.col("first_question") + 2).alias("last_question")), layout.model_lines(model))
     shown = shown.groupBy("doc_id", "first_question").agg(F.min_by(F.struct("page", "box"), "page").alias("s")).select("doc_id", "first_question", "s.page", "s.box").withColumn("part_number", F.when(F.col("first_question") < 71, 3).otherwise(4))
     heard = groups.join(photos.unionByName(shown, allowMissingColumns=True), keys, "left")
     heard = heard.select(*keys, "page", F.array_compact(F.array("page")).alias("pages"), "box", F.lit(None).cast("string").alias("passage"), "transcript", "questions")
     exam = docs.select("doc_id", "text")
-    reading = [(5, part5_groups(spans, answers)), (6, reading_groups(exam, spans, answers, 6)), (7, reading_groups(exam, spans, answers, 7))]
+    texts = model.select(*layout.PAGE, "page_text")
+    of = lambda part: with_letters(found.where(F.col("of") == part - 4), answers)
+    reading = [(5, by_page(of(5))), (6, groups_of(exam, texts, of(6), 6)), (7, groups_of(exam, texts, of(7), 7))]
     for part, rows in reading:
         whole = F.struct(*[F.lit(v).alias(k) for k, v in zip("xywh", (0.0, 0.0, 1.0, 1.0), strict=True)])
         heard = heard.unionByName(rows.select("doc_id", F.lit(part).alias("part_number"), "first_question", "page", "pages", whole.cast(heard.schema["box"].dataType).alias("box"), "passage", F.lit(None).cast("string").alias("transcript"), "questions"))

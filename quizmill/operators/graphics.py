@@ -97,14 +97,14 @@ def _grown(box: Column, edge: tuple[float, float, float, float, float]) -> Colum
     return clamped_box(F.greatest(F.lit(x), box["x"] - by), F.greatest(F.lit(y), box["y"] - by), F.least(F.lit(w), box["w"] + 2 * by), F.least(F.lit(h), box["h"] + 2 * by))
 
 
-def graphic_boxes(spans: DataFrame, images: DataFrame, groups: DataFrame) -> DataFrame:
+def graphic_boxes(spans: DataFrame, images: DataFrame, groups: DataFrame, lines: DataFrame | None = None) -> DataFrame:
     """(doc_id, page, first_question, box): the graphic above a group's first question.
 
     It lies between the content above in the column (its lowest line with options
     or a question, else a distance below the last question of the group before)
     and the question. The largest image there wins, then text with graphic cues,
     then the whole strip. ``images`` has doc_id, page, x, y, w, h; ``groups``
-    doc_id, first_question, last_question.
+    doc_id, first_question, last_question; ``lines`` the pages' lines, if they are known.
     """
     columns = layout.page_columns(spans)
     places = question_places(spans)
@@ -113,7 +113,7 @@ def graphic_boxes(spans: DataFrame, images: DataFrame, groups: DataFrame) -> Dat
     g = g.withColumn("side", F.when(left, "left").otherwise("right")).withColumn("bottom", F.col("qy") - ABOVE_QUESTION)
     g = g.withColumn("band_l", F.when(left, LEFT_BAND[0]).otherwise(RIGHT_BAND[0])).withColumn("band_r", F.when(left, LEFT_BAND[1]).otherwise(RIGHT_BAND[1]))
     key = [*PAGE, "first_question"]
-    content = layout.lines(spans).where(F.col("line").rlike(r"\([A-D]\)|^\d{1,3}\s*\.")).select(*PAGE, F.col("column").alias("line_column"), F.col("bottom").alias("line_bottom"))
+    content = (layout.lines(spans) if lines is None else lines).where(F.col("line").rlike(r"\([A-D]\)|^\d{1,3}\s*\.")).select(*PAGE, F.col("column").alias("line_column"), F.col("bottom").alias("line_bottom"))
     above = g.join(content, PAGE).where(((F.col("line_column") == "single") | (F.col("line_column") == F.col("side"))) & (F.col("line_bottom") <= F.col("bottom"))).groupBy(*key).agg(F.max("line_bottom").alias("content"))
     anchors = layout.anchors(spans).select(*PAGE, F.col("number"), F.col("column").alias("_column"), F.col("y").alias("_y"))
     before = g.join(anchors.withColumn("first_question", F.col("number") + 1), key).where((F.col("_column") == "single") | (F.col("_column") == F.col("side"))).groupBy(*key).agg(F.min("_y").alias("before"))

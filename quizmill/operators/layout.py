@@ -107,10 +107,15 @@ def lines(spans: DataFrame) -> DataFrame:
 def outside(spans: DataFrame, boxes: DataFrame, margin: float = 0.004) -> DataFrame:
     """Spans whose centre is in none of the boxes (doc_id, page, x, y, w, h) of their page, grown by ``margin``."""
     of_page = boxes.groupBy(*PAGE).agg(F.collect_list(F.struct("x", "y", "w", "h")).alias("_boxes"))
-    cx, cy = F.col("x") + F.col("w") / 2, F.col("y") + F.col("h") / 2
-    covers = lambda b: cx.between(b["x"] - margin, b["x"] + b["w"] + margin) & cy.between(b["y"] - margin, b["y"] + b["h"] + margin)
+    span = F.struct("x", "y", "w", "h")
     rows = spans.join(of_page, PAGE, "left")
-    return rows.where(F.col("_boxes").isNull() | ~F.exists("_boxes", covers)).drop("_boxes")
+    return rows.where(F.col("_boxes").isNull() | ~F.exists("_boxes", lambda b: covers(b, span, margin))).drop("_boxes")
+
+
+def covers(box: Column, span: Column, margin: float = 0.004) -> Column:
+    """Whether a span's centre is in a box grown by ``margin``."""
+    cx, cy = span["x"] + span["w"] / 2, span["y"] + span["h"] / 2
+    return cx.between(box["x"] - margin, box["x"] + box["w"] + margin) & cy.between(box["y"] - margin, box["y"] + box["h"] + margin)
 
 
 def band(spans: DataFrame, found: DataFrame, exclude: DataFrame | None = None) -> DataFrame:
@@ -132,50 +137,138 @@ def page_texts(spans: DataFrame) -> DataFrame:
     return spans.groupBy(*PAGE).agg(F.array_join(F.transform(texts, lambda t: t["text"]), "\n").alias("page_text"))
 
 
-def question_anchors(spans: DataFrame, first: int = 1, last: int = 999, texts: DataFrame | None = None) -> DataFrame:
-    """(doc_id, page, column, number, x, y, next_y): one anchor for each question number of a page.
-
-    Candidates are span labels, lines that start with a label, labels of 100 and
-    more inside lines, and, for numbers that have none of these, the span that
-    holds the first words behind the number in the page's text (``texts``:
-    doc_id, page, page_text). The best counts: 2 for a bare label at its place, 4
-    for an option (A) within 0.08 below in its column, and its y; of equals the
-    first. Anchors far from their column's median x go.
+def with_lines(rows: DataFrame, source: Column, into: str) -> DataFrame:
+    """``rows`` with the lines (y, x, bottom, line) of several arrays of spans: an array of arrays, as ``source`` is.
+
+    The same lines as ``lines_by`` has, without leaving the row: each array is folded once.
     """
-    s = with_column(spans).select(*PAGE, "idx", "text", "x", "y", "w", "h", "dual", "split_x", "column")
-    pages = s.groupBy(*PAGE).agg(F.first("dual").alias("dual"), F.first("split_x").alias("split_x"))
-    labels = s.withColumn("number", question_number(F.col("text"))).where("number is not null").select(*PAGE, "number", "x", "y", F.lit(0).alias("kind"), F.col("idx").cast("double").alias("at"))
-    rows = lines_by(s, [*PAGE, "column"])
-    starts = rows.withColumn("number", question_number(F.col("line"))).where("number is not null").select(*PAGE, "number", "x", "y", F.lit(1).alias("kind"), F.col("y").alias("at"))
-    inner = F.filter(F.transform(F.regexp_extract_all("line", F.lit(r"(?:^|\s)(\d{1,3})\s*\."), F.lit(1)), lambda n: n.cast("int")), lambda n: n >= 100)
-    inline = rows.select(*PAGE, F.explode(inner).alias("number"), "x", "y", F.lit(1).alias("kind"), F.col("y").alias("at"))
-    found = labels.unionByName(starts).unionByName(inline).where(F.col("number").between(first, last))
-    found = found.unionByName(_from_text(s, found, texts if texts is not None else page_texts(spans), first, last))
-    bare = s.where(T.trim(F.col("text")).rlike(r"^\d{1,3}\s*\.$")).groupBy(*PAGE).agg(F.collect_list(F.struct("x", "y")).alias("_bare"))
-    options = rows.where(F.col("line").rlike(r"(?i)\(A\)")).groupBy(*PAGE).agg(F.collect_list(F.struct("column", "y")).alias("_options"))
-    found = found.join(pages, PAGE).join(bare, PAGE, "left").join(options, PAGE, "left")
-    found = found.withColumn("column", F.when(~F.col("dual"), "single").when(F.col("x") < F.col("split_x"), "left").otherwise("right"))
-    is_bare = F.exists("_bare", lambda b: (b["x"] == F.col("x")) & (F.abs(b["y"] - F.col("y")) < 0.01))
-    has_options = F.exists("_options", lambda o: (o["column"] == F.col("column")) & o["y"].between(F.col("y") - 0.01, F.col("y") + 0.08))
-    score = F.when(is_bare, 2).otherwise(0) + F.when(has_options, 4).otherwise(0) + F.col("y")
-    best = found.groupBy(*PAGE, "number").agg(F.max_by(F.struct("column", "x", "y"), F.struct(score.alias("score"), (-F.col("kind")).alias("kind"), (-F.col("at")).alias("at"))).alias("a"))
-    kept = near_median(best.select(*PAGE, "a.column", "number", "a.x", "a.y"), single=False)
-    order = Window.partitionBy(*PAGE, "column").orderBy("y", "x", "number")
-    return kept.withColumn("next_y", F.lead("y").over(order))
-
-
-def _from_text(spans: DataFrame, found: DataFrame, texts: DataFrame, first: int, last: int) -> DataFrame:
-    """Candidates for numbers without an anchor: the first span with the first three words behind ``n.`` in the page's text."""
+    start = F.struct(F.lit(None).cast("double").alias("head"), F.lit(-1).alias("n"), F.array().cast("array<int>").alias("of"))
+
+    def step(state: Column, span: Column) -> Column:
+        new = state["head"].isNull() | (F.abs(span["y"] - state["head"]) > LINE_TOLERANCE)
+        n = state["n"] + new.cast("int")
+        return F.struct(F.when(new, span["y"]).otherwise(state["head"]).alias("head"), n.alias("n"), F.array_append(state["of"], n).alias("of"))
+
+    def line(group: Column) -> Column:
+        parts = F.array_sort(F.transform(group, lambda z, i: F.struct(z["x"].alias("x"), i.alias("i"), z["w"].alias("w"), z["text"].alias("text"))))
+        return F.struct(F.get(group, F.lit(0))["y"].alias("y"), F.array_min(F.transform(group, lambda z: z["x"])).alias("x"), F.array_max(F.transform(group, lambda z: z["y"] + z["h"])).alias("bottom"), joined(parts).alias("line"))
+
+    sorted_spans = F.transform(source, lambda spans: F.array_sort(F.transform(spans, lambda z: F.struct(*(z[n].alias(n) for n in "yxwh"), F.coalesce(z["text"], F.lit("")).alias("text")))))
+    out = settled(rows, _sorted=sorted_spans)
+    out = settled(out, _of=F.transform("_sorted", lambda spans: F.aggregate(spans, start, step, lambda state: state["of"])))
+    members = lambda spans, of: F.transform(F.array_distinct(of), lambda n: F.transform(F.filter(F.arrays_zip(spans.alias("s"), of.alias("n")), lambda z: z["n"] == n), lambda z: z["s"]))
+    out = settled(out, _groups=F.zip_with("_sorted", "_of", members))
+    return settled(out, **{into: F.transform("_groups", lambda groups: F.transform(groups, line))}).drop("_sorted", "_of", "_groups")
+
+
+def settled(rows: DataFrame, **columns: Column) -> DataFrame:
+    """``rows`` with columns that are computed once a row, also where a function of array elements reads them.
+
+    A plain column would be merged into such a function and computed for every element.
+    """
+    return rows.select(*[c for c in rows.columns if c not in columns], F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
+def page_model(spans: DataFrame) -> DataFrame:
+    """(doc_id, page, dual, split_x, spans, lines, page_text): a row per page, built in one shuffle.
+
+    ``spans`` is an array in the page's order with each span's number (if it is a
+    question label) and column; ``lines`` has each column's lines (column, y, x, bottom, line).
+    """
+    row = F.struct("idx", "text", "x", "y", "w", "h", question_number(F.col("text")).alias("number"))
+    pages = spans.select(*PAGE, row.alias("s")).groupBy(*PAGE).agg(F.array_sort(F.collect_list("s")).alias("s"))
+    label_x = F.transform(F.filter("s", lambda z: z["number"].isNotNull()), lambda z: z["x"])
+    pages = pages.withColumn("_left", F.exists(label_x, lambda x: x < 0.5)).withColumn("_right", F.array_min(F.filter(label_x, lambda x: x >= 0.5)))
+    dual = F.col("_left") & F.col("_right").isNotNull()
+    pages = settled(pages, dual=dual, split_x=F.when(dual, F.greatest(F.lit(0.45), F.col("_right") - 0.02)).otherwise(0.5))
+    pages = settled(pages, spans=F.transform("s", lambda z: z.withField("column", _column_at(z["x"]))))
+    sides = F.array(F.filter("spans", lambda z: z["column"] != "right"), F.filter("spans", lambda z: z["column"] == "right"))
+    pages = with_lines(pages, sides, "_lines")
+    named = lambda side, column: F.transform(F.get("_lines", F.lit(side)), lambda z: F.struct(column.alias("column"), *(z[n].alias(n) for n in ("y", "x", "bottom", "line"))))
+    lines = F.concat(named(0, F.when(F.col("dual"), "left").otherwise("single")), named(1, F.lit("right")))
+    return settled(pages.select(*PAGE, "dual", "split_x", "spans", "_lines"), lines=lines, page_text=F.array_join(F.transform("spans", lambda z: z["text"]), "\n")).drop("_lines")
+
+
+def _column_at(x: Column) -> Column:
+    return F.when(~F.col("dual"), "single").when(x < F.col("split_x"), "left").otherwise("right")
+
+
+def model_lines(model: DataFrame) -> DataFrame:
+    """(doc_id, page, column, y, x, bottom, line) of a page model: the rows of ``lines``."""
+    return model.select(*PAGE, F.explode("lines").alias("l")).select(*PAGE, "l.*")
+
+
+def with_anchors(model: DataFrame, ranges: list[tuple[int, int]]) -> DataFrame:
+    """A page model with ``anchors``: (of, column, number, x, y, next_y), one for each question number of a page.
+
+    ``ranges`` of numbers, which ``of`` counts from 0, do not see each other: every
+    range has its own medians and next questions. Candidates are span labels, lines
+    that start with a label, labels of 100 and more inside lines, and, for numbers
+    that have none of these, the span that holds the first words behind the number in
+    the page's text. The best counts: 2 for a bare label at its place, 4 for an
+    option (A) within 0.08 below in its column, and its y; of equals the first.
+    Anchors far from their column's median x go.
+    """
+
+    def of(number: Column) -> Column:
+        out = F.lit(None).cast("int")
+        for k, (first, last) in enumerate(ranges):
+            out = F.when(number.between(first, last) & out.isNull(), k).otherwise(out)
+        return out
+
+    def candidate(number: Column, x: Column, y: Column, kind: int, at: Column) -> Column:
+        return F.struct(number.alias("number"), x.alias("x"), y.alias("y"), F.lit(kind).alias("kind"), at.cast("double").alias("at"))
+
+    known = lambda z: z["number"].isNotNull() & of(z["number"]).isNotNull()
+    labels = F.transform(F.filter("spans", lambda z: z["number"].isNotNull()), lambda z: candidate(z["number"], z["x"], z["y"], 0, z["idx"]))
+    starts = F.transform("lines", lambda z: candidate(question_number(z["line"]), z["x"], z["y"], 1, z["y"]))
+    inner = lambda z: F.filter(F.transform(F.regexp_extract_all(z["line"], F.lit(r"(?:^|\s)(\d{1,3})\s*\."), F.lit(1)), lambda n: n.cast("int")), lambda n: n >= 100)
+    inline = F.flatten(F.transform("lines", lambda z: F.transform(inner(z), lambda n: candidate(n, z["x"], z["y"], 1, z["y"]))))
+    rows = settled(model, _found=F.filter(F.concat(labels, starts, inline), known))
+    # Numbers without an anchor: the first span with the first three words behind ``n.`` in the page's text.
     pattern = r"\b(\d{1,3})\.\s*([^\n]{4,120})"
-    pairs = F.zip_with(F.regexp_extract_all("page_text", F.lit(pattern), F.lit(1)), F.regexp_extract_all("page_text", F.lit(pattern), F.lit(2)), lambda n, t: F.struct(n.cast("int").alias("n"), t.alias("t")))
-    named = texts.select(*PAGE, F.posexplode(pairs).alias("pos", "p")).select(*PAGE, "pos", F.col("p.n").alias("number"), F.col("p.t").alias("said")).where(F.col("number").between(first, last))
-    named = named.groupBy(*PAGE, "number").agg(F.min_by("said", "pos").alias("said")).join(found.select(*PAGE, "number").distinct(), [*PAGE, "number"], "left_anti")
-    hint = F.substring(T.trim(T.dashes_to_spaces(F.col("said"))), 1, 30)
-    words = F.array_join(F.slice(F.split(hint, r"\s+"), 1, 3), " ")
-    named = named.select(*PAGE, "number", words.alias("words")).where(F.length("words") >= 4)
-    hits = named.join(spans.select(*PAGE, "idx", "text", "x", "y"), PAGE).where(F.col("text").contains(F.col("words")))
-    best = hits.groupBy(*PAGE, "number").agg(F.min_by(F.struct("x", "y"), "idx").alias("a"))
-    return best.select(*PAGE, "number", "a.x", "a.y", F.lit(2).alias("kind"), F.lit(0.0).alias("at"))
+    named = F.zip_with(F.regexp_extract_all("page_text", F.lit(pattern), F.lit(1)), F.regexp_extract_all("page_text", F.lit(pattern), F.lit(2)), lambda n, t: F.struct(n.cast("int").alias("number"), t.alias("said")))
+    rows = settled(rows, _named=F.filter(named, known), _have=F.transform("_found", lambda z: z["number"]))
+    rows = settled(rows, _order=F.transform("_named", lambda z: z["number"]))
+    first = F.filter("_named", lambda z, i: (F.array_position("_order", z["number"]) == i + 1) & ~F.array_contains("_have", z["number"]))
+    hint = lambda said: F.array_join(F.slice(F.split(F.substring(T.trim(T.dashes_to_spaces(said)), 1, 30), r"\s+"), 1, 3), " ")
+    rows = rows.withColumn("_named", F.filter(F.transform(first, lambda z: F.struct(z["number"].alias("number"), hint(z["said"]).alias("words"))), lambda z: F.length(z["words"]) >= 4))
+    said = F.transform("_named", lambda z: F.struct(z["number"].alias("number"), F.get(F.filter("spans", lambda s: s["text"].contains(z["words"])), F.lit(0)).alias("s")))
+    said = F.transform(F.filter(said, lambda z: z["s"].isNotNull()), lambda z: candidate(z["number"], z["s"]["x"], z["s"]["y"], 2, F.lit(0.0)))
+    rows = settled(rows, _bare=F.filter("spans", lambda z: T.trim(z["text"]).rlike(r"^\d{1,3}\s*\.$")), _options=F.filter("lines", lambda z: z["line"].rlike(r"(?i)\(A\)")))
+    is_bare = lambda z: F.exists("_bare", lambda b: (b["x"] == z["x"]) & (F.abs(b["y"] - z["y"]) < 0.01))
+    has_options = lambda z: F.exists("_options", lambda o: (o["column"] == _column_at(z["x"])) & o["y"].between(z["y"] - 0.01, z["y"] + 0.08))
+    score = lambda z: F.when(is_bare(z), 2).otherwise(0) + F.when(has_options(z), 4).otherwise(0) + z["y"]
+    ranked = F.transform(F.concat("_found", said), lambda z: F.struct(z["number"].alias("number"), (-score(z)).alias("score"), z["kind"].alias("kind"), z["at"].alias("at"), _column_at(z["x"]).alias("column"), z["x"].alias("x"), z["y"].alias("y")))
+    rows = settled(rows, _ranked=F.array_sort(ranked))
+    best = F.filter("_ranked", lambda z, i: (i == 0) | (F.get("_ranked", i - 1)["number"] != z["number"]))
+    rows = settled(rows, _best=F.transform(best, lambda z: F.struct(of(z["number"]).alias("of"), *(z[n].alias(n) for n in ("column", "y", "x", "number")))))
+    alike = lambda z: F.array_sort(F.transform(F.filter("_best", lambda o: (o["of"] == z["of"]) & (o["column"] == z["column"])), lambda o: o["x"]))
+    rows = settled(rows, _best=F.transform("_best", lambda z: z.withField("xs", alike(z))))
+    middle = lambda xs: (F.get(xs, F.floor((F.size(xs) - 1) / 2).cast("int")) + F.get(xs, F.floor(F.size(xs) / 2).cast("int"))) / 2
+    near = F.filter("_best", lambda z: (z["column"] == "single") | (F.size(z["xs"]) < 2) | (F.abs(z["x"] - middle(z["xs"])) <= 0.05))
+    rows = settled(rows, _kept=F.array_sort(F.transform(near, lambda z: z.dropFields("xs"))))
+    behind = lambda z, i: F.get("_kept", i + 1)
+    next_y = lambda z, i: F.when((behind(z, i)["of"] == z["of"]) & (behind(z, i)["column"] == z["column"]), behind(z, i)["y"])
+    return settled(rows.select(*model.columns, "_kept"), anchors=F.transform("_kept", lambda z, i: z.withField("next_y", next_y(z, i)))).drop("_kept")
+
+
+def question_anchors(spans: DataFrame, first: int = 1, last: int = 999, texts: DataFrame | None = None) -> DataFrame:
+    """(doc_id, page, column, number, x, y, next_y): the anchors of ``with_anchors``, a row each.
+
+    ``texts`` (doc_id, page, page_text) are the pages' texts, if they are not those of the spans.
+    """
+    model = page_model(spans)
+    if texts is not None:
+        model = model.drop("page_text").join(texts.select(*PAGE, "page_text"), PAGE, "left")
+    found = with_anchors(model, [(first, last)])
+    return found.select(*PAGE, F.explode("anchors").alias("a")).select(*PAGE, *(F.col(f"a.{n}").alias(n) for n in ("column", "number", "x", "y", "next_y")))
+
+
+def in_band(span: Column, anchor: Column) -> Column:
+    """Whether a span's middle lies between an anchor and the next of its column."""
+    middle = span["y"] + span["h"] / 2
+    return (span["column"] == anchor["column"]) & (middle >= anchor["y"] - 0.008) & (anchor["next_y"].isNull() | (middle < anchor["next_y"] + 0.008))
 
 
 def pages_of_range(anchored: DataFrame, first: int, last: int) -> DataFrame:

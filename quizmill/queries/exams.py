@@ -77,13 +77,34 @@ def listening_parts(t):
     return rows.select("doc_id", "part_number", "first_question", "question_number", "stem", F.array_join("options", "|").alias("options"), "letter", F.md5("transcript").alias("transcript"))
 
 
-@query("l15_reading_groups")
-def reading_groups(t):
-    """Booklets set as one line per span: part 7's groups from passages and pages."""
+def set_booklets(t):
+    """(texts, spans, key): booklets set as one line per span, 40 lines a page, and their reading keys."""
     texts = booklets(t).select(F.abs(F.xxhash64("doc_id")).alias("doc_id"), "text")
     lines = texts.select("doc_id", F.posexplode(T.lines(F.col("text"))).alias("idx", "text"))
     at = F.col("idx") % 40
     rows = lines.select("doc_id", F.floor(F.col("idx") / 40).cast("int").alias("page"), "idx", "text", F.lit(0.08).alias("x"), (at.cast("double") / 40).alias("y"), F.lit(0.4).alias("w"), F.lit(0.01).alias("h"))
     key = t.questions().select(F.abs(F.xxhash64(F.concat_ws("-", F.col("test_id").cast("string"), "group_name"))).alias("doc_id"), "question_number", F.col("correct").alias("letter"))
-    groups = booklet.reading_groups(texts, rows, key.groupBy("doc_id", "question_number").agg(F.min("letter").alias("letter")), 7)
+    return texts, rows, key.groupBy("doc_id", "question_number").agg(F.min("letter").alias("letter"))
+
+
+@query("l15_reading_groups")
+def reading_groups(t):
+    """Part 7's groups from passages and pages."""
+    groups = booklet.reading_groups(*set_booklets(t), 7)
     return groups.select("doc_id", "page", "first_question", F.size("questions").alias("n"), F.length("passage").alias("size"))
+
+
+@query("l15_document")
+def document(t):
+    """Whole exams: every part's groups from a booklet's text as listening key and exam, and from its pages."""
+    texts, rows, key = set_booklets(t)
+    images = rows.where("idx % 40 = 20").select("doc_id", "page", "x", "y", "w", F.lit(0.1).alias("h"))
+    groups = booklet.document(texts.withColumn("key_text", F.col("text")), rows, images, key)
+    return groups.select("doc_id", "part_number", "first_question", "page", F.size("questions").alias("n"), F.md5(F.to_json("questions")).alias("questions"))
+
+
+@query("l13_questions_by_page")
+def questions_by_page(t):
+    """Part 5's questions by page, through the operator."""
+    _, rows, key = set_booklets(t)
+    return booklet.part5_groups(rows, key).select("doc_id", "page", "first_question", F.size("questions").alias("n"))

@@ -191,3 +191,26 @@ def test_parts_with_numbers_beyond_an_int_are_rows(spark):
     got = {r.key: r for r in coercion.parts(rows).collect()}
     assert {k: r.error for k, r in got.items()} == {0: "part number", 1: None, 2: "part number", 3: "not an object", 4: "not an object"}
     assert got[1].pages == [2] and got[1].page is None and got[1].question_number == 131
+
+
+def test_a_document_with_all_questions(spark):
+    """Four questions a page: every part has its questions once, with stem, options and letter; lines are folded for all parts at once."""
+    page, exam = [], ["PART 5", "PART 6"]
+    for n in range(32, 201):
+        at, y = (n - 32) // 4 + 2, 0.05 + 0.22 * ((n - 32) % 4)
+        page += [(at, f"{n}. What is the answer to number {n}?", 0.08, y), *((at, f"({c}) choice {c} of {n}", 0.08, y + 0.03 * (k + 1)) for k, c in enumerate("ABCD"))]
+        exam += [f"Questions {n}-{n + 3} refer to the following notice.", f"A notice for number {n} that is long enough to count"] if 131 <= n <= 143 and (n - 131) % 4 == 0 else ["PART 7"] if n == 147 else []
+        exam.append(f"{n}. What is the answer to number {n}?")
+    rows = spans(spark, *page)
+    key = spark.createDataFrame([(1, n, "ABCD"[n % 4]) for n in range(101, 201)], "doc_id long, question_number int, letter string")
+    docs = spark.createDataFrame([(1, "\n".join(exam), "PART 1\nPART 2\n7. W-Am Where?\n(A) here\n8. x")], "doc_id long, text string, key_text string")
+    whole = booklet.document(docs, rows, spark.createDataFrame([], IMAGES), key).collect()
+    found = {p: sorted(q.question_number for r in whole if r.part_number == p for q in r.questions) for p in range(1, 8)}
+    assert found == {p: list(range(a, b + 1)) for p, (a, b, _) in PART_RANGES.items()}
+    for r in whole:
+        for q in r.questions:
+            if q.question_number > 100:
+                assert (q.question_text, q.options[3], q.letter) == (f"What is the answer to number {q.question_number}?", f"choice D of {q.question_number}", "ABCD"[q.question_number % 4])
+                assert r.part_number == 7 or (q.question_number - 32) // 4 + 2 in r.pages
+    six = sorted((r.first_question, r.passage) for r in whole if r.part_number == 6)
+    assert [f for f, _ in six] == [131, 135, 139, 143] and all(f"A notice for number {f}" in p for f, p in six)
