@@ -73,3 +73,35 @@ def remapped(region: Column, crop: Column) -> Column:
         F.greatest(least, F.least(1 - F.greatest(zero, x), w)).alias("w"), F.greatest(least, F.least(1 - F.greatest(zero, y), h)).alias("h"),
     )
     return F.when(inside, box)
+
+
+def normalised_box(x0: Column, y0: Column, x1: Column, y1: Column, width: Column, height: Column) -> Column:
+    """A box in parts of its page from corners in the page's units, inside 0..1; all zero for a page without size."""
+    empty = (width <= 0) | (height <= 0)
+    part = lambda a, whole: F.when(empty, 0.0).otherwise(clamp(a / whole, 0.0, 1.0))
+    return F.struct(part(x0, width).alias("x"), part(y0, height).alias("y"), part(x1 - x0, width).alias("w"), part(y1 - y0, height).alias("h"))
+
+
+def united(a: Column, b: Column) -> Column:
+    """The smallest box around two boxes."""
+    x, y = F.least(a["x"], b["x"]), F.least(a["y"], b["y"])
+    return F.struct(x.alias("x"), y.alias("y"), (F.greatest(a["x"] + a["w"], b["x"] + b["w"]) - x).alias("w"), (F.greatest(a["y"] + a["h"], b["y"] + b["h"]) - y).alias("h"))
+
+
+def centre_x(box: Column) -> Column:
+    return box["x"] + box["w"] / 2
+
+
+def in_column(box: Column, side: Column, split: Column) -> Column:
+    """Whether a box's centre is in a column (left, right, or single: everywhere)."""
+    return F.when(side == "left", centre_x(box) < split).when(side == "right", centre_x(box) >= split).otherwise(True)
+
+
+def time_or_null(text: Column) -> Column:
+    """A time from its text; null for no text and for text that is none."""
+    return F.try_to_timestamp(F.nullif(F.trim(text), F.lit("")))
+
+
+def millis(at: Column) -> Column:
+    """Milliseconds since 1970 of a time."""
+    return F.unix_millis(at)

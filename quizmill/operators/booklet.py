@@ -321,3 +321,22 @@ def asset_plan(groups: DataFrame) -> DataFrame:
     needed = groups.where("part_number <> 5 and page is not null")
     crop = F.when((F.col("part_number") >= 6) | F.col("box").isNull(), F.lit(None)).otherwise(F.to_json("box"))
     return needed.withColumn("crop", crop).groupBy("doc_id", "page", "crop").agg(F.array_sort(F.collect_list(F.concat_ws("-", F.col("part_number").cast("string"), F.col("group_no").cast("string")))).alias("groups"))
+
+
+def graphic_listing(tests: DataFrame, parts: DataFrame, questions: DataFrame, groups: DataFrame) -> DataFrame:
+    """(test_id, part_number, question_number, image): listening questions that ask to look at a graphic, in order of their numbers.
+
+    ``parts`` has part_id, test_id and part_number, ``questions`` part_id, group_id, question_number and
+    question_text, ``groups`` group_id and image; a question may have no group. Tests are few and reach the tasks
+    as a broadcast if Spark finds them small.
+    """
+    heard = parts.where(F.col("part_number").isin(3, 4)).join(tests.select("test_id"), "test_id")
+    asked = questions.where(F.col("question_text").rlike("(?i)look at the graphic"))
+    rows = asked.join(heard, "part_id").join(groups.select("group_id", "image"), "group_id", "left")
+    return rows.select("test_id", "part_number", "question_number", "image").orderBy("test_id", "question_number")
+
+
+def numbers_between(rows: DataFrame, keys: list[str], number: str) -> DataFrame:
+    """(keys, number): every number from the least to the largest of each key."""
+    ends = rows.groupBy(*keys).agg(F.min(number).alias("_a"), F.max(number).alias("_b"))
+    return ends.select(*keys, F.explode(F.sequence("_a", "_b")).alias(number))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quizmill.functions import text as T
-from quizmill.model import LINE_TOLERANCE
+from quizmill.model import LINE_TOLERANCE, PART_RANGES
 
 PAGE = ["doc_id", "page"]
 
@@ -276,13 +276,31 @@ def pages_of_range(anchored: DataFrame, first: int, last: int) -> DataFrame:
     return anchored.where(F.col("number").between(first, last)).select(*PAGE).distinct()
 
 
-def pages_of_part(texts: DataFrame, part: int) -> DataFrame:
-    """(doc_id, page): pages from a part's header on, up to the next part's header page."""
-    order = Window.partitionBy("doc_id").orderBy("page")
-    named = F.transform(F.regexp_extract_all("page_text", F.lit(r"(?i)\bPART\s*(\d)\b"), F.lit(1)), lambda n: n.cast("int"))
-    rows = texts.select(*PAGE, named.alias("named"))
-    running = F.last(F.when(F.size("named") > 0, F.get("named", F.size("named") - 1)), True).over(order)
-    return rows.withColumn("running", running).where((F.col("running") == part) | F.array_contains("named", part)).select(*PAGE)
+def pages_of_part(model: DataFrame, part: int) -> DataFrame:
+    """(doc_id, page): pages of a page model from a part's header on, up to the next part's header on a later page.
+
+    A document without the header has the pages with an anchor of the part's questions.
+    """
+    first, last, _ = PART_RANGES[part]
+    named = lambda n: F.col("page_text").rlike(rf"(?i)\bPART\s*{n}\b")
+    of_doc = Window.partitionBy("doc_id")
+    rows = with_anchors(model, [(first, last)]).select(*PAGE, named(part).alias("_here"), named(part + 1).alias("_next"), (F.size("anchors") > 0).alias("_asked"))
+    rows = rows.withColumn("_start", F.min(F.when(F.col("_here"), F.col("page"))).over(of_doc))
+    stop = F.min(F.when(F.col("_next") & (F.col("page") > F.col("_start")), F.col("page"))).over(of_doc) if part < 7 else F.lit(None).cast("int")
+    rows = rows.withColumn("_stop", stop)
+    inside = (F.col("page") >= F.col("_start")) & (F.col("_stop").isNull() | (F.col("page") < F.col("_stop")))
+    return rows.where(F.when(F.col("_start").isNull(), F.col("_asked")).otherwise(inside)).select(*PAGE)
+
+
+def section_texts(model: DataFrame, part: int, chunk: tuple[int, int] | None = None) -> DataFrame:
+    """(doc_id, text): a part's pages as text in reading order, a blank line between pages; from a passage's header on, if ``chunk`` names one that is there."""
+    order = F.array_sort(F.transform("spans", lambda z: F.struct((z["column"] == "right").alias("right"), z["y"].alias("y"), z["x"].alias("x"), z["idx"].alias("idx"), z["text"].alias("text"))))
+    pages = model.join(pages_of_part(model, part), PAGE, "left_semi").select(*PAGE, F.array_join(F.transform(order, lambda z: z["text"]), " ").alias("said"))
+    rows = pages.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", "said"))), lambda z: z["said"]), "\n\n").alias("text"))
+    if chunk:
+        at = F.regexp_instr("text", F.lit(rf"(?i)Questions?\s+{chunk[0]}\s*-\s*{chunk[1]}\s+refer"))
+        rows = rows.withColumn("text", F.when(at > 0, F.substr("text", at)).otherwise(F.col("text")))
+    return rows
 
 
 def word_regions(spans: DataFrame) -> DataFrame:

@@ -21,8 +21,12 @@ def folder(spark: SparkSession) -> str:
     return there.rstrip("/")
 
 
+def new_name() -> str:
+    return uuid.uuid4().hex
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once as Parquet and read again: later readers share the work, and a lost executor costs its own tasks only."""
-    path = f"{folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = f"{folder(df.sparkSession)}/{name}-{new_name()}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

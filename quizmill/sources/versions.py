@@ -1,16 +1,28 @@
-"""Several tables that change together: a version is written whole, then one pointer is switched."""
+"""Several tables that change together: new tables are written whole, then one pointer is switched.
+
+A version lists where each of its tables lies, so that a table left out costs nothing.
+"""
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-POINTER = "CURRENT"
+POINTER, TABLES = "CURRENT", "TABLES"
+
+
+class Moved(Exception):
+    """Another writer has switched since the version that this one builds on."""
+
+
+class GuardFailed(Exception):
+    """A condition on the rows written does not hold."""
 
 
 def _file_system(spark: SparkSession, path: str):
@@ -18,6 +30,24 @@ def _file_system(spark: SparkSession, path: str):
     return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
+def _put(spark: SparkSession, path: str, text: str) -> None:
+    at, system = _file_system(spark, path)
+    out = system.create(at)
+    out.write(bytearray(text.encode()))
+    out.close()
+
+
+def _rename(spark: SparkSession, old: str, new: str, over: bool) -> None:
+    """A move that appears whole; without ``over`` it fails if the target is there."""
+    at, _ = _file_system(spark, old)
+    to, _ = _file_system(spark, new)
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    context = hadoop.FileContext.getFileContext(to.toUri(), spark._jsc.hadoopConfiguration())
+    options = spark.sparkContext._gateway.new_array(hadoop.Options.Rename, 1)
+    options[0] = hadoop.Options.Rename.OVERWRITE if over else hadoop.Options.Rename.NONE
+    context.rename(context.makeQualified(at), context.makeQualified(to), options)
+
+
 def current(spark: SparkSession, folder: str) -> str | None:
     """The folder of the version that readers see; null before the first."""
     at, system = _file_system(spark, f"{folder}/{POINTER}")
@@ -26,37 +56,60 @@ def current(spark: SparkSession, folder: str) -> str | None:
     return f"{folder}/{spark.read.text(f'{folder}/{POINTER}').first()[0]}"
 
 
-def write_version(spark: SparkSession, folder: str, tables: dict[str, DataFrame]) -> str:
-    """Writes all tables as a new version and switches to it; tables left out are carried over by reading the version before.
+def tables_of(spark: SparkSession, version: str | None) -> dict[str, str]:
+    """A version's tables and where they lie; none before the first version."""
+    return json.loads(spark.read.text(f"{version}/{TABLES}").first()[0]) if version else {}
+
+
+def write_version(spark: SparkSession, folder: str, tables: dict[str, DataFrame], guards: dict[str, dict[str, Column]] | None = None, base: str | None = None) -> str:
+    """Writes the tables given and switches to a version with them; the others stay where they lie.
 
-    The pointer is renamed over the old one, so that readers see the old version or
-    the new one and never a part of it.
+    ``guards`` has conditions over a table's rows (boolean aggregates, by name), taken while
+    it is written; if one does not hold, the version before stays, and GuardFailed names it.
+    The version builds on ``base`` (the current one, by default); if another writer has
+    switched since, Moved is raised and nothing changes. Readers see the old version or the
+    new one and never a part of it.
     """
-    name, before = f"v-{uuid.uuid4().hex}", current(spark, folder)
-    kept = {}
-    if before:
-        at, system = _file_system(spark, before)
-        kept = {s.getPath().getName(): spark.read.parquet(s.getPath().toString()) for s in system.listStatus(at) if s.isDirectory()}
-    for table, rows in {**kept, **tables}.items():
-        rows.write.parquet(f"{folder}/{name}/{table}")
-    fresh, system = _file_system(spark, f"{folder}/.{POINTER}-{name}")
-    out = system.create(fresh)
-    out.write(bytearray(name.encode()))
-    out.close()
-    at, _ = _file_system(spark, f"{folder}/{POINTER}")
-    context = spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(at.toUri(), spark._jsc.hadoopConfiguration())
-    options = spark.sparkContext._gateway.new_array(spark._jvm.org.apache.hadoop.fs.Options.Rename, 1)
-    options[0] = spark._jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
-    context.rename(context.makeQualified(fresh), context.makeQualified(at), options)
+    name, before = f"v-{uuid.uuid4().hex}", base or current(spark, folder)
+    seen, places = {}, tables_of(spark, before)
+    for table, rows in tables.items():
+        if guards and table in guards:
+            seen[table] = Observation(f"{table}-{name}")
+            rows = rows.observe(seen[table], *[condition.alias(k) for k, condition in guards[table].items()])
+        places[table] = f"{folder}/{name}/{table}"
+        rows.write.parquet(places[table])
+    failed = [f"{table}: {k}" for table, observed in seen.items() for k, holds in observed.get.items() if not holds]
+    if failed:
+        _remove(spark, f"{folder}/{name}")
+        raise GuardFailed("; ".join(failed))
+    _put(spark, f"{folder}/{name}/{TABLES}", json.dumps(places))
+    # One version may follow another: the first writer to claim that place wins.
+    was = before.rpartition("/")[2] if before else "none"
+    _put(spark, f"{folder}/.claim-{name}", name)
+    try:
+        if current(spark, folder) != before:
+            raise Moved(f"{folder} is no longer at {was}")
+        _rename(spark, f"{folder}/.claim-{name}", f"{folder}/AFTER-{was}", False)
+    except Exception as error:
+        _remove(spark, f"{folder}/{name}")
+        _remove(spark, f"{folder}/.claim-{name}")
+        raise error if isinstance(error, Moved) else Moved(f"another version follows {was} in {folder}") from error
+    _put(spark, f"{folder}/.{POINTER}-{name}", name)
+    _rename(spark, f"{folder}/.{POINTER}-{name}", f"{folder}/{POINTER}", True)
     return f"{folder}/{name}"
 
 
+def _remove(spark: SparkSession, path: str) -> None:
+    at, system = _file_system(spark, path)
+    system.delete(at, True)
+
+
 def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
     """A table of the current version."""
     version = current(spark, folder)
     if version is None:
         raise ValueError(f"no version below {folder}")
-    return spark.read.parquet(f"{version}/{table}")
+    return spark.read.parquet(tables_of(spark, version)[table])
 
 
 def put_objects(objects: DataFrame, folder: str) -> DataFrame:

@@ -214,3 +214,58 @@ def test_a_document_with_all_questions(spark):
                 assert r.part_number == 7 or (q.question_number - 32) // 4 + 2 in r.pages
     six = sorted((r.first_question, r.passage) for r in whole if r.part_number == 6)
     assert [f for f, _ in six] == [131, 135, 139, 143] and all(f"A notice for number {f}" in p for f, p in six)
+
+
+def test_two_writers_and_tables_left_out(spark, tmp_path):
+    folder = f"file://{tmp_path}/tables"
+    one, two = spark.range(3), spark.range(5)
+    first = versions.write_version(spark, folder, {"a": one, "b": two})
+    second = versions.write_version(spark, folder, {"a": two})
+    assert [p.name for p in (tmp_path / "tables" / second.rpartition("/")[2]).iterdir() if p.is_dir()] == ["a"]  # b is not written again
+    assert versions.read(spark, folder, "a").count() == 5 and versions.read(spark, folder, "b").count() == 5
+    with pytest.raises(versions.Moved):
+        versions.write_version(spark, folder, {"a": one}, base=first)
+    assert versions.current(spark, folder) == second and versions.read(spark, folder, "a").count() == 5
+    assert {p.name for p in (tmp_path / "tables").iterdir() if p.name.startswith("v-")} == {first.rpartition("/")[2], second.rpartition("/")[2]}
+
+
+def test_a_guard_that_fails_leaves_the_version_before(spark, tmp_path):
+    folder, reads = f"file://{tmp_path}/guarded", tmp_path / "reads"
+    reads.mkdir()
+
+    def counted(frames):
+        (reads / str(len(list(reads.iterdir())))).touch()
+        yield from frames
+
+    some = {"some": F.count(F.lit(1)) > 0}
+    versions.write_version(spark, folder, {"a": spark.range(3)}, {"a": some})
+    rows = spark.range(4).coalesce(1).mapInPandas(counted, "id long")
+    with pytest.raises(versions.GuardFailed, match="a: no three"):
+        versions.write_version(spark, folder, {"a": rows, "b": spark.range(1)}, {"a": {**some, "no three": F.count_if(F.col("id") == 3) == 0}})
+    assert len(list(reads.iterdir())) == 1  # the guard costs no scan of its own
+    assert versions.read(spark, folder, "a").count() == 3 and "b" not in versions.tables_of(spark, versions.current(spark, folder))
+    with pytest.raises(versions.GuardFailed, match="a: some"):
+        versions.write_version(spark, folder, {"a": spark.range(0)}, {"a": some})
+
+
+def test_a_row_step_goes_on_with_what_came(spark, tmp_path):
+    folder, calls = f"file://{tmp_path}/job", tmp_path / "calls"
+    calls.mkdir()
+
+    def work(row, partial):
+        with open(calls / str(row["k"]), "a") as out:
+            out.write("x")
+        if row["k"] == 2 and partial is None:
+            raise stages.PartialOutput("cut", "half")
+        if row["k"] == 3 and len((calls / "3").read_text()) < 3:
+            raise ValueError("not yet")
+        return {"text": f"{partial or ''}{row['k']}"}
+
+    step = stages.RowStep(lambda s, results: s.range(4).withColumnRenamed("id", "k").repartition(4), "k", work, "text string")
+    for left in (2, 1):
+        with pytest.raises(stages.RowsFailed, match=f"{left} rows failed"):
+            stages.run_steps(spark, folder, "j", [("parse", step)])
+    assert stages.run_steps(spark, folder, "j", [("parse", step)]) == {"parse": "done"}
+    assert {r.k: r.text for r in spark.read.parquet(f"{folder}/j/parse").collect()} == {0: "0", 1: "1", 2: "half2", 3: "3"}
+    assert {p.name: len(p.read_text()) for p in calls.iterdir()} == {"0": 1, "1": 1, "2": 2, "3": 3}
+    assert stages.states(spark, folder).first().status == "done"
