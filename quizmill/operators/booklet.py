@@ -41,15 +41,22 @@ def blocks_to_next(docs: DataFrame, ends: list[int], keys: list[str]) -> DataFra
     """
     head = r"(?m)^[ \t]*(?=\d{1,3}[ \t]*(?:[.):]|$))"
     opening = r"^(\d{1,3})\s*(?:[.):]|\n|$)"
-    pieces = docs.select(*keys, F.split("text", head).alias("pieces"))
-    pieces = pieces.withColumn("numbers", F.transform("pieces", lambda p: F.regexp_extract(p, opening, 1).try_cast("int")))
-    rows = pieces.select(*keys, "pieces", "numbers", F.posexplode("numbers").alias("pos", "question_number")).where("question_number is not null")
-    behind = F.slice("numbers", F.col("pos") + 2, F.greatest(F.lit(1), F.size("numbers")))
-    ahead = F.array_position(behind, F.col("question_number") + 1).cast("int")
-    size = F.when(ahead > 0, ahead).when(F.col("question_number").isin(*ends), F.size("numbers") - F.col("pos"))
-    rows = rows.withColumn("size", size).where("size is not null")
-    block = F.regexp_replace(F.array_join(F.slice("pieces", F.col("pos") + 1, F.col("size")), ""), opening, "")
-    return rows.groupBy(*keys, "question_number").agg(F.min_by(block, "pos").alias("block"))
+    pieces = layout.settled(docs.select(*keys, "text"), pieces=F.split("text", head)).drop("text")
+    pieces = layout.settled(pieces, numbers=F.transform("pieces", lambda p: F.regexp_extract(p, opening, 1).try_cast("int")))
+    count = F.size("numbers")
+
+    def sized(number: Column, i: Column) -> Column:
+        """(number, place, pieces up to the one that opens with the next number)."""
+        ahead = F.array_position(F.slice("numbers", i + 2, F.greatest(F.lit(1), count)), number + 1).cast("int")
+        return F.struct(number.alias("number"), i.alias("at"), F.when(ahead > 0, ahead).when(number.isin(*ends), count - i).alias("size"))
+
+    # A text's blocks are found and joined on its own row: the text is never copied to its lines.
+    spans = F.array_sort(F.filter(F.transform("numbers", sized), lambda z: z["size"].isNotNull() & z["number"].isNotNull()))
+    pieces = layout.settled(pieces, _spans=spans)
+    firsts = F.filter("_spans", lambda z, i: (i == 0) | (F.get("_spans", i - 1)["number"] != z["number"]))
+    block = lambda z: F.regexp_replace(F.array_join(F.slice("pieces", z["at"] + 1, z["size"]), ""), opening, "")
+    blocks = F.transform(firsts, lambda z: F.struct(z["number"].alias("question_number"), block(z).alias("block")))
+    return pieces.select(*keys, F.inline(blocks))
 
 
 def bounded(text: Column, starts: list[str], end: str | None) -> Column:

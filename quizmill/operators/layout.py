@@ -169,24 +169,41 @@ def settled(rows: DataFrame, **columns: Column) -> DataFrame:
     return rows.select(*[c for c in rows.columns if c not in columns], F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
 
 
-def page_model(spans: DataFrame) -> DataFrame:
-    """(doc_id, page, dual, split_x, spans, lines, page_text): a row per page, built in one shuffle.
-
-    ``spans`` is an array in the page's order with each span's number (if it is a
-    question label) and column; ``lines`` has each column's lines (column, y, x, bottom, line).
-    """
+def _paged(spans: DataFrame) -> DataFrame:
+    """(doc_id, page, dual, split_x, spans): a page's spans in its order, each with its number and column; one shuffle."""
     row = F.struct("idx", "text", "x", "y", "w", "h", question_number(F.col("text")).alias("number"))
     pages = spans.select(*PAGE, row.alias("s")).groupBy(*PAGE).agg(F.array_sort(F.collect_list("s")).alias("s"))
     label_x = F.transform(F.filter("s", lambda z: z["number"].isNotNull()), lambda z: z["x"])
     pages = pages.withColumn("_left", F.exists(label_x, lambda x: x < 0.5)).withColumn("_right", F.array_min(F.filter(label_x, lambda x: x >= 0.5)))
     dual = F.col("_left") & F.col("_right").isNotNull()
     pages = settled(pages, dual=dual, split_x=F.when(dual, F.greatest(F.lit(0.45), F.col("_right") - 0.02)).otherwise(0.5))
-    pages = settled(pages, spans=F.transform("s", lambda z: z.withField("column", _column_at(z["x"]))))
+    return settled(pages, spans=F.transform("s", lambda z: z.withField("column", _column_at(z["x"])))).select(*PAGE, "dual", "split_x", "spans")
+
+
+def page_model(spans: DataFrame) -> DataFrame:
+    """(doc_id, page, dual, split_x, spans, lines, page_text): a row per page, built in one shuffle.
+
+    ``spans`` is an array in the page's order with each span's number (if it is a
+    question label) and column; ``lines`` has each column's lines (column, y, x, bottom, line).
+    """
+    pages = _paged(spans)
     sides = F.array(F.filter("spans", lambda z: z["column"] != "right"), F.filter("spans", lambda z: z["column"] == "right"))
     pages = with_lines(pages, sides, "_lines")
     named = lambda side, column: F.transform(F.get("_lines", F.lit(side)), lambda z: F.struct(column.alias("column"), *(z[n].alias(n) for n in ("y", "x", "bottom", "line"))))
     lines = F.concat(named(0, F.when(F.col("dual"), "left").otherwise("single")), named(1, F.lit("right")))
-    return settled(pages.select(*PAGE, "dual", "split_x", "spans", "_lines"), lines=lines, page_text=F.array_join(F.transform("spans", lambda z: z["text"]), "\n")).drop("_lines")
+    return settled(pages, lines=lines, page_text=F.array_join(F.transform("spans", lambda z: z["text"]), "\n")).drop("_lines")
+
+
+def label_bands(spans: DataFrame) -> DataFrame:
+    """(doc_id, page, number, idx, text, x, y, w, h): ``band`` of ``anchors``, on a page's row, so that spans are shuffled once and nothing is joined."""
+    pages = _paged(spans)
+    labels = F.transform(F.filter("spans", lambda z: z["number"].isNotNull()), lambda z: F.struct(*(z[n].alias(n) for n in ("column", "y", "x", "idx", "number"))))
+    pages = settled(pages, _labels=F.array_sort(labels))
+    behind = lambda i: F.get("_labels", i + 1)
+    anchors = F.transform("_labels", lambda z, i: z.withField("next_y", F.when(behind(i)["column"] == z["column"], behind(i)["y"])))
+    rows = pages.select(*PAGE, "spans", F.explode(anchors).alias("a"))
+    rows = rows.select(*PAGE, F.col("a.number").alias("number"), F.explode(F.filter("spans", lambda s: in_band(s, F.col("a")))).alias("s"))
+    return rows.select(*PAGE, "number", *(F.col(f"s.{n}").alias(n) for n in ("idx", "text", "x", "y", "w", "h")))
 
 
 def _column_at(x: Column) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from quizmill.functions import text as T
 from quizmill.operators import booklet, classify, coercion, layout
 from quizmill.queries.coverage import PARTS
-from quizmill.queries.documents import booklets
+from quizmill.queries.documents import _BOOK, booklets
 from quizmill.queries.pages import spans
 from quizmill.registry import query
 
@@ -60,7 +60,16 @@ def key_routes(t):
     return classify.key_route(t.questions().select("group_name", "question_number"), "group_name")
 
 
-@query("x11_blocks_to_next")
+@query("x11_blocks_to_next", _BOOK + """,
+tl AS (SELECT *, 'Part ' || part_number || chr(10) || 'Questions ' || n || '-' || n || ' refer to the following notice.' || chr(10) || passage || ' ' || question_text AS head,
+  question_text || chr(10) || '(A) ' || group_name || chr(10) || 'B) ' || correct || chr(10) || 'GO ON TO THE NEXT PAGE' AS said FROM bk),
+tn AS (SELECT *, lead(head) OVER (PARTITION BY doc_id ORDER BY pos) AS next_head FROM tl),
+pc AS (SELECT doc_id, pos, n, of, said || CASE WHEN next_head IS NULL THEN '' ELSE chr(10) || next_head || chr(10) END AS tail FROM tn),
+en AS (SELECT a.doc_id, a.n, a.pos, coalesce(min(b.pos), CASE WHEN a.n IN (100, 200) THEN any_value(a.of) + 1 END) AS stop FROM pc a LEFT JOIN pc b ON b.doc_id = a.doc_id AND b.n = a.n + 1 AND b.pos > a.pos GROUP BY a.doc_id, a.n, a.pos),
+ch AS (SELECT doc_id, n, min(pos) AS pos, arg_min(stop, pos) AS stop FROM en WHERE stop IS NOT NULL GROUP BY 1, 2)
+SELECT ch.doc_id, ch.n::INTEGER AS question_number, md5(string_agg(CASE WHEN pc.pos = ch.pos THEN ' ' ELSE pc.n || '. ' END || pc.tail, '' ORDER BY pc.pos)) AS block
+FROM ch JOIN pc ON pc.doc_id = ch.doc_id AND pc.pos >= ch.pos AND pc.pos < ch.stop GROUP BY 1, 2
+""")
 def blocks_to_next(t):
     rows = booklet.blocks_to_next(booklets(t), [100, 200], ["doc_id"])
     return rows.select("doc_id", "question_number", F.md5("block").alias("block"))

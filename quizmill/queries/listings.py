@@ -9,7 +9,7 @@ from quizmill.operators import booklet, layout
 from quizmill.plans import scratch, stages
 from quizmill.queries.pages import _SPANS, spans
 from quizmill.registry import query
-from quizmill.sources import versions
+from quizmill.sources import objects, versions
 
 
 @query("j13_job_view", """,
@@ -152,3 +152,14 @@ def rows_that_go_on(t):
     except stages.RowsFailed:
         stages.run_steps(t.spark, folder, "job", [("parse", step)])
     return t.spark.read.parquet(f"{folder}/job/parse")
+
+
+@query("io3_objects", "SELECT 'tests/' || test_id || '/' || replace(group_name, '#', '-') || '.txt' AS key, sum(length(question_text) + 1)::BIGINT - 1 AS size FROM questions GROUP BY 1")
+def objects_by_key(t):
+    """A file of texts for each group of a test, written all or none, and listed."""
+    folder = f"{scratch.folder(t.spark)}/objects-{scratch.new_name()}"
+    key = F.concat(F.lit("tests/"), F.col("test_id").cast("string"), F.lit("/"), F.translate("group_name", "#", "-"), F.lit(".txt"))
+    texts = t.questions().groupBy(key.alias("key")).agg(F.array_join(F.array_sort(F.collect_list("question_text")), "\n").alias("content"))
+    objects.put(texts, folder)
+    found = t.spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    return found.select(F.regexp_extract("path", r"(tests/.*)$", 1).alias("key"), F.col("length").alias("size"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from quizmill.model import PART_RANGES
 from quizmill.operators import booklet, classify, coercion, extraction, layout
 from quizmill.plans import enrich, stages
-from quizmill.sources import versions
+from quizmill.sources import objects, versions
 
 SPANS = "doc_id long, page int, idx int, text string, x double, y double, w double, h double"
 IMAGES = "doc_id long, page int, x double, y double, w double, h double"
@@ -269,3 +269,25 @@ def test_a_row_step_goes_on_with_what_came(spark, tmp_path):
     assert {r.k: r.text for r in spark.read.parquet(f"{folder}/j/parse").collect()} == {0: "0", 1: "1", 2: "half2", 3: "3"}
     assert {p.name: len(p.read_text()) for p in calls.iterdir()} == {"0": 1, "1": 1, "2": 2, "3": 3}
     assert stages.states(spark, folder).first().status == "done"
+
+
+def test_objects_appear_all_or_none(spark, tmp_path):
+    folder = f"file://{tmp_path}/objects"
+    here = lambda: {str(p.relative_to(tmp_path / "objects")): p.read_bytes() for p in (tmp_path / "objects").rglob("*") if p.is_file() and ".staging" not in str(p)}
+    rows = spark.createDataFrame([("a/b.txt", b"one"), ("c.txt", None), ("d", b"\x00\xff")], "key string, content binary")
+    objects.put(rows, folder)
+    assert here() == {"a/b.txt": b"one", "c.txt": b"", "d": b"\x00\xff"}
+
+    def failing(frames):
+        for pdf in frames:
+            if (pdf["key"] == "bad").any():
+                raise ValueError("lost")
+            yield pdf
+
+    more = spark.createDataFrame([("a/b.txt", b"two"), ("bad", b"x"), ("e", b"y")], "key string, content binary").repartition(3, "key")
+    for broken in (more.mapInPandas(failing, "key string, content binary"), spark.createDataFrame([("../f", b"x"), ("g", b"y")], "key string, content binary")):
+        with pytest.raises(Exception, match="lost|no key"):
+            objects.put(broken, folder)
+        assert here() == {"a/b.txt": b"one", "c.txt": b"", "d": b"\x00\xff"}
+    objects.put(more.where("key <> 'bad'"), folder)
+    assert here() == {"a/b.txt": b"two", "c.txt": b"", "d": b"\x00\xff", "e": b"y"}
