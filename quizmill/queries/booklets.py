@@ -186,7 +186,13 @@ def row_guards(t):
     return t.attempts().groupBy("status").agg(n.alias("n"), (n == 0).alias("is_empty"), F.count("scope_part").alias("with_part"))
 
 
-@query("g6_photo_boxes")
+@query("g6_photo_boxes", f""",
+pn AS (SELECT vec_id AS doc_id, n::INTEGER AS number, CASE {" ".join(f"WHEN n = {n} THEN {p}" for n, p in graphics.PHOTO_PAGES.items())} END::INTEGER AS page, least(0.45::DOUBLE, y) + 0.0::DOUBLE AS odd, least(0.45::DOUBLE, y) + 0.4::DOUBLE AS even FROM boxes CROSS JOIN range(1, 7) r(n)),
+pt AS (SELECT *, CASE WHEN number % 2 = 1 THEN greatest(0.04::DOUBLE, odd + 0.02::DOUBLE) ELSE greatest(0.04::DOUBLE, even + 0.02::DOUBLE) END AS top FROM pn),
+pb AS (SELECT *, CASE WHEN number % 2 = 1 THEN even - 0.01::DOUBLE ELSE top + (even - 0.01::DOUBLE - (odd + 0.02::DOUBLE)) END - top AS high FROM pt),
+px AS (SELECT doc_id, page, number, 0.08::DOUBLE AS x, greatest(0.0::DOUBLE, least(1.0::DOUBLE, top)) AS y, 0.84::DOUBLE AS w, high FROM pb)
+SELECT doc_id, page, number, x, y, w, greatest(0.0::DOUBLE, least(1 - y, high)) AS h FROM px WHERE greatest(0.0::DOUBLE, least(1 - y, high)) >= 0.02
+""")
 def photo_boxes(t):
     """Labels of the photo questions at heights taken from the boxes."""
     box = t.boxes().select(F.col("vec_id").alias("doc_id"), F.explode(F.array(*[F.struct(F.lit(n).alias("n"), F.lit(p).alias("page")) for n, p in graphics.PHOTO_PAGES.items()])).alias("l"), "x", "y")

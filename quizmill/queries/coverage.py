@@ -112,7 +112,12 @@ def role_merge(t):
     return classify.merged(rule, model, "question_id")
 
 
-@query("w3_sequential_numbers")
+@query("w3_sequential_numbers", """,
+sq AS (SELECT group_name, question_id, CASE WHEN size % 3 > 0 THEN question_number END AS n FROM questions),
+sc AS (SELECT *, sum((n IS NULL)::INT) OVER (PARTITION BY group_name ORDER BY question_id) AS c FROM sq),
+sv AS (SELECT *, coalesce(n, c - 1 + greatest(1, coalesce(max(CASE WHEN n IS NOT NULL THEN n + 1 - c END) OVER (PARTITION BY group_name ORDER BY question_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 1)))::BIGINT AS v FROM sc)
+SELECT group_name, string_agg(v::VARCHAR, ',' ORDER BY question_id) AS numbers FROM sv GROUP BY 1
+""")
 def sequential(t):
     ordered = F.array_sort(F.collect_list(F.struct("question_id", F.when(F.col("size") % 3 > 0, F.col("question_number")).alias("n"))))
     rows = t.questions().groupBy("group_name").agg(F.transform(ordered, lambda s: s["n"]).alias("given"))

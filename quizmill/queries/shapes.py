@@ -88,7 +88,11 @@ def questions(t):
     return t.questions().select("question_id", coercion.question(F.parse_json(a)).alias("q")).select("question_id", "q.*")
 
 
-@query("n9_dealt_groups")
+@query("n9_dealt_groups", """,
+rn AS (SELECT group_name, question_id, row_number() OVER (PARTITION BY group_name ORDER BY question_id) AS r, greatest(1, ceil(count(*) OVER (PARTITION BY group_name) / 4.0))::BIGINT AS size FROM questions),
+gk AS (SELECT DISTINCT group_name, k.k FROM questions CROSS JOIN range(0, 4) k(k))
+SELECT gk.group_name, gk.k::INTEGER AS part, coalesce(string_agg(rn.question_id::VARCHAR, ',' ORDER BY rn.r), '') AS ids FROM gk LEFT JOIN rn ON rn.group_name = gk.group_name AND rn.r > gk.k * rn.size AND rn.r <= (gk.k + 1) * rn.size GROUP BY 1, 2
+""")
 def dealt(t):
     ids = F.array_sort(F.collect_list("question_id"))
     rows = t.questions().groupBy("group_name").agg(ids.alias("ids")).select("group_name", F.posexplode(coercion.dealt(F.col("ids"), F.lit(4))).alias("part", "ids"))
