@@ -274,10 +274,10 @@ def document(docs: DataFrame, spans: DataFrame, images: DataFrame, answers: Data
     and ``images`` are the exam's pages, ``answers`` its reading key. Photo questions
     get their photo's box, listening groups their graphic's, with garbled questions
     replaced by the page's reading; reading groups have the whole page. Pages are
-    modelled, and their lines folded, once for all parts; both results are written to
-    the session's shared folder.
+    modelled, and their lines folded, once for all parts; what several parts read is
+    written to the session's shared folder.
     """
-    heard = listening_parts(docs.select("doc_id", F.col("key_text").alias("text")))
+    heard = written(listening_parts(docs.select("doc_id", F.col("key_text").alias("text"))), "heard")
     model = written(layout.page_model(spans), "pages")
     ranges = [(PART_RANGES[3][0], PART_RANGES[4][1]), *(PART_RANGES[p][:2] for p in (5, 6, 7))]
     found = written(page_questions(model, ranges), "questions")
@@ -287,7 +287,7 @@ def document(docs: DataFrame, spans: DataFrame, images: DataFrame, answers: Data
     mended = talks.drop("question_text", "options").join(mended, ["doc_id", "question_number"])
     heard = heard.where("part_number < 3").unionByName(mended)
     keys = ["doc_id", "part_number", "first_question"]
-    groups = heard.groupBy(*keys).agg(F.max("transcript").alias("transcript"), F.array_sort(F.collect_list(_question("question_number"))).alias("questions"))
+    groups = written(heard.groupBy(*keys).agg(F.max("transcript").alias("transcript"), F.array_sort(F.collect_list(_question("question_number"))).alias("questions")), "groups")
     photos = graphics.photo_boxes(spans).select("doc_id", F.col("number").alias("first_question"), F.lit(1).alias("part_number"), "page", "box")
     starts = groups.where("part_number in (3, 4)").select(*keys).where(F.col("first_question").isin(*(n for p in (3, 4) for n in GRAPHIC_STARTS[p])))
     shown = graphics.graphic_boxes(spans, images, starts.select("doc_id", "first_question", (F.col("first_question") + 2).alias("last_question")), layout.model_lines(model))
