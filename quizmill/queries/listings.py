@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quizmill.functions import numbers
 from quizmill.operators import booklet, layout
-from quizmill.plans import scratch, stages
+from quizmill.plans import imports, scratch, stages
 from quizmill.queries.pages import _SPANS, spans
 from quizmill.registry import query
 from quizmill.sources import objects, versions
@@ -163,3 +163,24 @@ def objects_by_key(t):
     objects.put(texts, folder)
     found = t.spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
     return found.select(F.regexp_extract("path", r"(tests/.*)$", 1).alias("key"), F.col("length").alias("size"))
+
+
+@query("m15_files_and_questions", """,
+up AS (SELECT question_id // 20 AS test_id, count(DISTINCT CASE WHEN size % 5 < 4 THEN size % 5 END) AS files, count(*) AS total, count(*) FILTER (part_number <= 4) AS heard FROM questions GROUP BY 1)
+SELECT test_id, CASE WHEN files >= 3 THEN 'DONE' ELSE 'REFUSED' END AS status, files, CASE WHEN files >= 3 THEN total END::BIGINT AS total_questions, CASE WHEN files >= 3 THEN files ELSE 0 END::BIGINT AS kept_files,
+  CASE WHEN files >= 3 THEN total WHEN test_id % 2 = 0 THEN 1 ELSE 0 END::BIGINT AS questions FROM up
+""")
+def files_and_questions(t):
+    """Tests of 20 questions, with a file for most of them; every other test has one question already."""
+    folder = f"{scratch.folder(t.spark)}/imports-{scratch.new_name()}"
+    q = t.questions().select(F.floor(F.col("question_id") / 20).alias("test_id"), "part_number", "question_id", F.col("question_number"), "size")
+    fields = F.get(F.array(*[F.lit(f) for f in (*imports.FIELDS, "other")]), (F.col("size") % 5).cast("int"))
+    uploads = q.select("test_id", fields.alias("field"), F.col("question_id").alias("place"), F.concat(F.lit("f"), F.col("question_id").cast("string"), F.lit(".PDF")).alias("name"))
+    parsed = q.drop("size")
+    old = parsed.where("test_id % 2 = 0").groupBy("test_id").agg(F.min("part_number").alias("part_number"), F.min("question_id").alias("question_id"), F.min("question_number").alias("question_number"))
+    versions.write_version(t.spark, folder, {"questions": old})
+    jobs = imports.direct_import(t.spark, folder, uploads, parsed)
+    files = versions.read(t.spark, folder, "files").groupBy("test_id").agg(F.count("*").alias("kept_files"))
+    questions = versions.read(t.spark, folder, "questions").groupBy("test_id").agg(F.count("*").alias("questions"))
+    rows = jobs.join(files, "test_id", "left").join(questions, "test_id", "left").na.fill(0, ["kept_files", "questions"])
+    return rows.select("test_id", "status", "files", "total_questions", "kept_files", "questions")

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from quizmill.model import PART_RANGES
 from quizmill.operators import booklet, classify, coercion, extraction, layout
-from quizmill.plans import enrich, stages
+from quizmill.plans import enrich, imports, stages
 from quizmill.sources import objects, versions
 
 SPANS = "doc_id long, page int, idx int, text string, x double, y double, w double, h double"
@@ -291,3 +291,19 @@ def test_objects_appear_all_or_none(spark, tmp_path):
         assert here() == {"a/b.txt": b"one", "c.txt": b"", "d": b"\x00\xff"}
     objects.put(more.where("key <> 'bad'"), folder)
     assert here() == {"a/b.txt": b"two", "c.txt": b"", "d": b"\x00\xff", "e": b"y"}
+
+
+def test_direct_import_takes_whole_tests_only(spark, tmp_path):
+    folder = f"file://{tmp_path}/imports"
+    uploads = [(1, f, k, f"{f}.PDF") for k, f in enumerate(("examPdf", "keyLcPdf", "keyRcImage", "extra", "examPdf"))] + [(2, "examPdf", 0, "a"), (3, "other", 0, "b.png")]
+    uploads = spark.createDataFrame(uploads, "test_id long, field string, place int, name string")
+    parsed = spark.createDataFrame([(1, 5, 101), (1, 5, 102), (1, 6, 131), (2, 5, 101)], "test_id long, part_number int, question_number int")
+    versions.write_version(spark, folder, {"questions": spark.createDataFrame([(1, 5, 199), (2, 5, 198)], parsed.schema)})
+    got = {r.test_id: r for r in imports.direct_import(spark, folder, uploads, parsed).collect()}
+    assert {k: (r.status, r.files, r.total_questions, r.parts) for k, r in got.items()} == {1: ("DONE", 3, 3, {5: 2, 6: 1}), 2: ("REFUSED", 1, None, None), 3: ("REFUSED", 0, None, None)}
+    assert sorted((r.test_id, r.question_number) for r in versions.read(spark, folder, "questions").collect()) == [(1, 101), (1, 102), (1, 131), (2, 198)]
+    assert {r.key for r in versions.read(spark, folder, "files").collect()} == {"exams/toeic/1/exam.pdf", "answers/toeic/1/key-lc.pdf", "images/toeic/1/key-rc.pdf"}
+    before = versions.current(spark, folder)
+    with pytest.raises(versions.GuardFailed):
+        imports.direct_import(spark, folder, uploads, parsed.withColumn("question_number", F.lit(None).cast("int")))
+    assert versions.current(spark, folder) == before
