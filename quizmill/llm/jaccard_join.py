@@ -40,10 +40,12 @@ from quizmill.llm.common import Scratch, filter_of, in_filter, mixed, table, wit
 from quizmill.llm.components import components
 from quizmill.llm.shingles import set_tags, shingle_sets
 
-#: Shingles seen more often than this are frequent.
+#: Shingles that more documents than this have are frequent.
 FREQUENT_LEAST = 30
-#: The list of frequent shingles that tasks get: 6 MB at most (the most frequent come first).
-FREQUENT_MOST = 500_000
+#: The list of frequent shingles that tasks get: 12 MB at most (the most frequent come first).
+FREQUENT_MOST = 1_000_000
+#: Buckets that one task counts: 32 MB of counters at most.
+SLICE_BITS = 22
 #: Words of 64 bits in the smallest dense sketch.
 SKETCH_WORDS = 8
 #: Shingles per part of the block shuffle; members and bytes of a tile's side.
@@ -52,7 +54,7 @@ TILE_ROWS, TILE_BYTES = 1_000, 8 << 20
 #: Bytes of a group of small blocks.
 GROUP_BYTES = 1 << 20
 
-_COUNT_AT = 1_000_000
+_COUNT_AT = 2_000_000
 _EMIT_AT = 1_000_000
 _SETS_AT = 8 << 20
 #: Slots of a set's keys: blocks of the lower band (0) and of the upper one (1), single bits, and single bits for probing alone.
@@ -72,52 +74,101 @@ EDGES = _band_edges()
 
 
 def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per document its set's identity and size; per run of documents the shingles seen three times or more (n = -1)."""
-    waiting: list[np.ndarray] = []
-    held = 0
-
-    def counted() -> pa.RecordBatch:
-        seen = np.sort(np.concatenate(waiting)) if waiting else np.zeros(0, np.uint64)
-        at = np.flatnonzero(np.concatenate(([True], seen[1:] != seen[:-1]))) if len(seen) else np.zeros(0, np.int64)
-        times = np.diff(np.append(at, len(seen)))
-        keep = times >= 3
-        k = int(keep.sum())
-        return _rows(np.zeros(k, np.int64), seen[at][keep].view(np.int64), times[keep].astype(np.int64), np.full(k, -1, np.int64))
-
+    """Per document its set's identity and size."""
     for batch in batches:
         ids = batch.column(0)
         one, two, size = (np.zeros(len(ids), np.int64) for _ in range(3))
         for i, found in shingle_sets(batch.column(1)):
             tags = set_tags(found)
             one[i], two[i], size[i] = tags[0].view(np.int64), tags[1].view(np.int64), len(found)
-            waiting.append(found)
-            held += len(found)
-            if held > _COUNT_AT:
-                yield counted()
-                waiting, held = [], 0
         yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pa.array(one), pa.array(two), pa.array(size)], names=["doc_id", "t1", "t2", "n"])
-    yield counted()
 
 
-def _rows(doc: np.ndarray, t1: np.ndarray, t2: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(x) for x in (doc, t1, t2, n)], names=["doc_id", "t1", "t2", "n"])
+def _bucket_counts(bits: int, slice_bits: int):
+    """Per run of documents and slice of the buckets one row: the buckets seen, as steps, and how many documents of the run saw each.
+
+    A shingle's bucket is its first ``bits`` bits, a slice has 2 ** slice_bits buckets.
+    Steps and counts are small numbers, of which compression leaves about a byte.
+    """
+    schema = pa.schema([("slice", pa.int64()), ("first", pa.int64()), ("seen", pa.int64()), ("packed", pa.binary())])
+
+    def counted(waiting: list[np.ndarray]) -> pa.RecordBatch:
+        bucket = np.sort(np.concatenate(waiting) >> np.uint64(64 - bits)).view(np.int64)
+        at = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
+        times = np.diff(np.append(at, len(bucket)))
+        bucket = bucket[at]
+        part = bucket >> slice_bits
+        cuts = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1], [True])))
+        blobs = []
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            both = np.stack([np.diff(bucket[a:b], prepend=bucket[a]), times[a:b]]).astype("<u4")
+            blobs.append(pa.compress(np.ascontiguousarray(both.view(np.uint8).reshape(-1, 4).T).tobytes(), codec="zstd", asbytes=True))
+        heads = cuts[:-1]
+        return pa.RecordBatch.from_arrays([pa.array(part[heads]), pa.array(bucket[heads]), pa.array(np.diff(cuts)), pa.array(blobs, pa.binary())], schema=schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting, held = [], 0
+        for batch in batches:
+            for _, found in shingle_sets(batch.column(0)):
+                if len(found):
+                    waiting.append(found)
+                    held += len(found)
+                if held > _COUNT_AT:
+                    yield counted(waiting)
+                    waiting, held = [], 0
+        if waiting:
+            yield counted(waiting)
+
+    return run
+
+
+def _often(slice_bits: int, least: int):
+    """(bucket, times) of a slice's buckets that more than ``least`` documents saw."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        start = int(pdf["slice"].iloc[0]) << slice_bits
+        total = np.zeros(1 << slice_bits, np.int64)
+        for first, seen, blob in zip(pdf["first"].tolist(), pdf["seen"].tolist(), pdf["packed"], strict=True):
+            planes = np.frombuffer(pa.decompress(blob, 8 * seen, codec="zstd"), np.uint8).reshape(4, 2 * seen)
+            both = np.ascontiguousarray(planes.T).view("<u4").ravel()
+            total[first - start + np.cumsum(both[:seen], dtype=np.int64)] += both[seen:]
+        often = np.flatnonzero(total > least)
+        return pd.DataFrame({"bucket": start + often, "times": total[often]})
+
+    return run
+
+
+def _frequent(texts: DataFrame, shingles: int) -> tuple[int, np.ndarray, np.ndarray]:
+    """(bits, buckets, times): the buckets of shingles that more than FREQUENT_LEAST documents have, FREQUENT_MOST at most.
+
+    All shingles of all documents are counted, in a bucket for every two to four of
+    them, however the documents are dealt to tasks.
+    """
+    spark = texts.sparkSession
+    bits = min(40, max(20, (shingles // 4).bit_length()))
+    slice_bits = max(0, min(SLICE_BITS, bits - int(spark.conf.get("spark.sql.shuffle.partitions")).bit_length()))
+    counts = texts.mapInArrow(_bucket_counts(bits, slice_bits), "slice long, first long, seen long, packed binary")
+    often = counts.groupBy("slice").applyInPandas(_often(slice_bits, FREQUENT_LEAST), "bucket long, times long")
+    listed = often.orderBy(F.desc("times"), "bucket").limit(FREQUENT_MOST).toPandas()
+    return bits, listed["bucket"].to_numpy(np.uint64), listed["times"].clip(upper=(1 << 32) - 1).to_numpy(np.uint32)
 
 
 class Frequent:
-    """How often listed shingles were seen; 0 for all others."""
+    """How many documents have the listed shingles, by bucket; 0 for all others."""
 
-    def __init__(self, values: np.ndarray, times: np.ndarray):
-        order = np.argsort(values)
-        self.values, self.times = values[order], times[order].astype(np.uint32)
+    def __init__(self, bits: int, buckets: np.ndarray, times: np.ndarray):
+        order = np.argsort(buckets)
+        self.values, self.times, self.shift = buckets[order], times[order], np.uint64(64 - bits)
         self.maybe = np.zeros(1 << 20, bool)
-        self.maybe[(self.values >> np.uint64(44)).astype(np.int64)] = True
+        self.maybe[(self.values >> np.uint64(bits - 20)).astype(np.int64)] = True
 
     def of(self, found: np.ndarray) -> np.ndarray:
         out = np.zeros(len(found), np.uint32)
         at = np.flatnonzero(self.maybe[(found >> np.uint64(44)).astype(np.int64)])
         if len(at):
-            near = np.minimum(np.searchsorted(self.values, found[at]), len(self.values) - 1)
-            out[at] = np.where(self.values[near] == found[at], self.times[near], 0)
+            bucket = found[at] >> self.shift
+            near = np.minimum(np.searchsorted(self.values, bucket), len(self.values) - 1)
+            out[at] = np.where(self.values[near] == bucket, self.times[near], 0)
         return out
 
 
@@ -510,13 +561,10 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     scratch = Scratch(spark, "near")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     profile = scratch.written(rows.mapInArrow(_profile, "doc_id long, t1 long, t2 long, n long"), "profile")
-    own = profile.where("n >= 0")
-    nodes = scratch.written(own.where("n > 0").groupBy("t1", "t2", "n").agg(F.min("doc_id").alias("node")), "nodes")
-    seen = profile.where("n < 0").groupBy("t1").agg(F.sum("t2").alias("times")).where(F.col("times") > FREQUENT_LEAST)
-    listed = seen.orderBy(F.desc("times"), "t1").limit(FREQUENT_MOST).toPandas()
-    frequent = spark.sparkContext.broadcast((listed["t1"].to_numpy(np.int64).view(np.uint64), listed["times"].clip(upper=(1 << 32) - 1).to_numpy(np.int64)))
-    shingles = own.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    parts = min(1 << 24, max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(shingles) // PART_SHINGLES))
+    nodes = scratch.written(profile.where("n > 0").groupBy("t1", "t2", "n").agg(F.min("doc_id").alias("node")), "nodes")
+    shingles = int(profile.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
+    frequent = spark.sparkContext.broadcast(_frequent(rows.select("text"), shingles))
+    parts = min(1 << 24, max(int(spark.conf.get("spark.sql.shuffle.partitions")), shingles // PART_SHINGLES))
     packed = rows.select("text").mapInArrow(_emit_blocks(parts, frequent), "part int, packed binary")
     shared = packed.groupBy("part").applyInPandas(_shared_blocks, "block long, tag long, slot int, need long, copies long, others long")
     tagged = scratch.written(shared, "blocks")
@@ -536,7 +584,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
         labels = _labels(met, sets, scratch)
     named = scratch.written(nodes.join(labels, "node", "left").select("t1", "t2", "n", F.coalesce("label", "node").alias("component_id")), "named")
     scratch.drop(but=("profile", "named"))
-    out = own.join(named, ["t1", "t2", "n"], "left")
+    out = profile.join(named, ["t1", "t2", "n"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
