@@ -84,27 +84,28 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pa.array(one), pa.array(two), pa.array(size)], names=["doc_id", "t1", "t2", "n"])
 
 
-def _bucket_counts(bits: int, slice_bits: int):
-    """Per run of documents and slice of the buckets one row: the buckets seen, as steps, and how many documents of the run saw each.
+def _bucket_counts_of(sets: list[np.ndarray], bits: int, slice_bits: int) -> pa.RecordBatch:
+    """A row per slice of the buckets: the buckets with shingles of the sets, as steps, and how many shingles each has.
 
     A shingle's bucket is its first ``bits`` bits, a slice has 2 ** slice_bits buckets.
     Steps and counts are small numbers, of which compression leaves about a byte.
     """
-    schema = pa.schema([("slice", pa.int64()), ("first", pa.int64()), ("seen", pa.int64()), ("packed", pa.binary())])
-
-    def counted(waiting: list[np.ndarray]) -> pa.RecordBatch:
-        bucket = np.sort(np.concatenate(waiting) >> np.uint64(64 - bits)).view(np.int64)
-        at = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
-        times = np.diff(np.append(at, len(bucket)))
-        bucket = bucket[at]
-        part = bucket >> slice_bits
-        cuts = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1], [True])))
-        blobs = []
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            both = np.stack([np.diff(bucket[a:b], prepend=bucket[a]), times[a:b]]).astype("<u4")
-            blobs.append(pa.compress(np.ascontiguousarray(both.view(np.uint8).reshape(-1, 4).T).tobytes(), codec="zstd", asbytes=True))
-        heads = cuts[:-1]
-        return pa.RecordBatch.from_arrays([pa.array(part[heads]), pa.array(bucket[heads]), pa.array(np.diff(cuts)), pa.array(blobs, pa.binary())], schema=schema)
+    bucket = np.sort(np.concatenate(sets) >> np.uint64(64 - bits)).view(np.int64)
+    at = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
+    times = np.diff(np.append(at, len(bucket)))
+    bucket = bucket[at]
+    part = bucket >> slice_bits
+    cuts = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1], [True])))
+    blobs = []
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        both = np.stack([np.diff(bucket[a:b], prepend=bucket[a]), times[a:b]]).astype("<u4")
+        blobs.append(pa.compress(np.ascontiguousarray(both.view(np.uint8).reshape(-1, 4).T).tobytes(), codec="zstd", asbytes=True))
+    heads = cuts[:-1]
+    return pa.RecordBatch.from_arrays([pa.array(part[heads]), pa.array(bucket[heads]), pa.array(np.diff(cuts)), pa.array(blobs, pa.binary())], names=["slice", "first", "seen", "packed"])
+
+
+def _bucket_counts(bits: int, slice_bits: int):
+    """The rows of ``_bucket_counts_of`` for runs of documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting, held = [], 0
@@ -114,16 +115,16 @@ def _bucket_counts(bits: int, slice_bits: int):
                     waiting.append(found)
                     held += len(found)
                 if held > _COUNT_AT:
-                    yield counted(waiting)
+                    yield _bucket_counts_of(waiting, bits, slice_bits)
                     waiting, held = [], 0
         if waiting:
-            yield counted(waiting)
+            yield _bucket_counts_of(waiting, bits, slice_bits)
 
     return run
 
 
 def _often(slice_bits: int, least: int):
-    """(bucket, times) of a slice's buckets that more than ``least`` documents saw."""
+    """(bucket, times) of a slice's buckets with more than ``least`` shingles, each counted once a document."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         start = int(pdf["slice"].iloc[0]) << slice_bits

@@ -1,5 +1,9 @@
 import random
+from collections import Counter
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -153,3 +157,26 @@ def test_components_of_chains(spark, monkeypatch, run):
     random.Random(1).shuffle(links)
     got = components.components(spark.createDataFrame(links, "u long, v long").repartition(5), Scratch(spark, "test"))
     assert {(r.node, r.label) for r in got.collect()} == {(i, 1) for i in range(2, 61)} | {(115, 100), (130, 100)}
+
+
+def test_frequent_shingles_are_counted_over_all_documents(spark):
+    """A passage in 40 documents, each in a task of its own and so once in every run, is listed; one in 30 is not."""
+    passage, rarer = (" ".join(f"{kind}{i}" for i in range(12)) for kind in "pr")
+    rows = [(i, f"{passage} {rarer if i < 30 else ''} " + " ".join(f"own{i}x{k}" for k in range(30))) for i in range(40)] + [(100, None), (101, ""), (102, "two words")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(len(rows), "doc_id")
+    listed = jaccard_join.Frequent(*jaccard_join._frequent(docs.select("text"), 40 * 50))
+    (_, common), (_, less), (_, own) = jaccard_join.shingle_sets(pa.array([passage, rarer, " ".join(f"own3x{k}" for k in range(30))]))
+    assert listed.of(common).tolist() == [40] * 8
+    assert not listed.of(less).any() and not listed.of(own).any()
+
+
+def test_counts_of_buckets_agree_with_a_plain_count():
+    rng = np.random.default_rng(5)
+    sets = [np.unique(rng.integers(0, 1 << 64, 400, np.uint64) & np.uint64(0xFFF0000000000FFF)) for _ in range(60)]
+    plain = Counter(int(x >> np.uint64(44)) for s in sets for x in s)
+    rows = [jaccard_join._bucket_counts_of(sets[k : k + 7], 20, 8).to_pandas() for k in range(0, 60, 7)]
+    got = {}
+    for _, pdf in pd.concat(rows).groupby("slice"):
+        found = jaccard_join._often(8, 2)(pdf)
+        got |= dict(zip(found["bucket"].tolist(), found["times"].tolist(), strict=True))
+    assert got == {k: n for k, n in plain.items() if n > 2}
