@@ -94,13 +94,13 @@ def photo_sets(t):
 
 
 @query("x9_clean_transcripts", """,
-li AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM documents WHERE lang = 'en'),
+li AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM documents),
 ke AS (SELECT doc_id, k, regexp_replace(regexp_replace(line, '^[\\s\\p{Z}]+', ''), '[\\s\\p{Z}]+$', '') AS line FROM li)
 SELECT doc_id, length(trim(regexp_replace(string_agg(line, chr(10) ORDER BY k), '\\s{2,}', ' ', 'g'))) AS size FROM ke
 WHERE line <> '' AND NOT regexp_matches(line, '(?i)^PART\\s*[0-9]|^\\s*[0-9]{1,3}\\s*-\\s*[0-9]{1,3}\\b|^TEST\\s+[0-9]|^GO ON TO THE NEXT PAGE|^\\s*[0-9]{1,3}\\s*[.):]\\s*[A-D]\\s*$') AND NOT regexp_matches(line, '^[\\x00-\\x7F]*[^\\x00-\\x7F]{3,}') GROUP BY 1
 """)
 def transcripts(t):
-    rows = t.raw("documents").where("lang = 'en'").select("doc_id", F.char_length(extraction.clean_transcript(F.col("text"))).alias("size"))
+    rows = t.raw("documents").select("doc_id", F.char_length(extraction.clean_transcript(F.col("text"))).alias("size"))
     return rows.where("size > 0")
 
 

@@ -106,11 +106,11 @@ def part_seven(t):
 
 
 @query("j17_filled_groups", """,
-g AS (SELECT group_name || '|' || part_number AS key, string_agg(question_number::VARCHAR, ',' ORDER BY question_number) AS numbers, min(passage) AS raw FROM questions WHERE size < 12 GROUP BY 1)
+g AS (SELECT group_name || '|' || part_number AS key, string_agg(question_number::VARCHAR, ',' ORDER BY question_number) AS numbers, min(passage) AS raw FROM questions GROUP BY 1)
 SELECT key, numbers, CASE WHEN length(key) % 2 = 0 THEN 'given' ELSE raw END AS passage FROM g
 """)
 def filled(t):
-    g = t.questions().where("size < 12").groupBy(F.concat_ws("|", "group_name", F.col("part_number").cast("string")).alias("key")).agg(F.sort_array(F.collect_list("question_number"), False).alias("numbers"), F.min("passage").alias("raw"))
+    g = t.questions().groupBy(F.concat_ws("|", "group_name", F.col("part_number").cast("string")).alias("key")).agg(F.sort_array(F.collect_list("question_number"), False).alias("numbers"), F.min("passage").alias("raw"))
     groups = g.select("key", "numbers", F.when(F.length("key") % 2 == 0, "given").otherwise(" ").alias("passage"))
     raw = g.select("key", F.reverse("numbers").alias("numbers"), F.col("raw").alias("passage"))
     rows = coercion.filled_from_raw(groups, raw)
