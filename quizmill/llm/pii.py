@@ -187,5 +187,9 @@ def scan(docs: DataFrame) -> DataFrame:
 
 def query(spark, sf_dir: str) -> DataFrame:
     found = scan(table(spark, sf_dir, "documents")).withColumn("base", F.filter("spans", lambda s: s["kind"] < 4))
-    counts = [F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{KINDS[k]}") for k in range(4)]
+
+    def count(kind: int):
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{KINDS[kind]}")  # a second parameter would be the index
+
+    counts = [count(kind) for kind in range(4)]
     return found.select("doc_id", *counts, F.sha2(joined("base", KINDS), 256).alias("base_sha256"), joined("spans", KINDS).alias("spans"))

@@ -268,6 +268,15 @@ def test_pii_base_spans(spark):
         assert got[i] == ",".join(plain_spans(t, BASE_PII, "kind")), (t or "")[:200]
 
 
+def test_pii_query_counts_every_kind(spark, tmp_path):
+    rows = [*enumerate(PII_TEXTS), (90, "+1 555 010 9999 and +1 555 010 9998, then a@b.cc"), (91, "10.0.0.1 10.0.0.2 4111 1111 1111 1111")]
+    made(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    for r in pii.query(spark, str(tmp_path)).collect():
+        plain = plain_spans(dict(rows)[r.doc_id], BASE_PII, "kind")
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(s.startswith(f"{kind}:") for s in plain) for kind in pii.KINDS[:4]], r
+        assert r.base_sha256 == hashlib.sha256(",".join(plain).encode()).hexdigest()
+
+
 def test_pii_added_spans(spark):
     rows = [(i, t) for i, t in enumerate(PII_TEXTS)]
     got = {r.doc_id: [(pii.KINDS[s.kind], PII_TEXTS[r.doc_id][s.start : s.end]) for s in r.spans if s.kind > 3] for r in pii.scan(made(spark, rows)).collect()}
