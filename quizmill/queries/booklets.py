@@ -154,7 +154,7 @@ def steps_to_redo(t):
 
 @query("io13_mime_types", "SELECT page_id, CASE WHEN lower(url) LIKE '%.pdf' THEN 'application/pdf' WHEN lower(url) LIKE '%.mp3' THEN 'audio/mpeg' WHEN lower(url) LIKE '%.png' THEN 'image/png' WHEN lower(url) LIKE '%.txt' THEN 'text/plain' WHEN lower(url) LIKE '%.jpg' OR lower(url) LIKE '%.jpeg' THEN 'image/jpeg' ELSE 'application/octet-stream' END AS mime, base64(encode(url)) AS packed FROM pages")
 def mime_types(t):
-    return t.raw("pages").select("page_id", files.mime_type(F.col("url")).alias("mime"), F.base64(F.encode("url", "utf-8")).alias("packed"))
+    return t.raw("pages").select("page_id", files.mime_type(F.col("url")).alias("mime"), files.as_base64(F.encode("url", "utf-8")).alias("packed"))
 
 
 @query("io21_json_rows", """SELECT word_id, '{"user_id":' || user_id || ',"word":"' || word || '"}' AS json FROM words""")

@@ -25,7 +25,8 @@ def mime_type(name: Column) -> Column:
 
 
 def as_base64(content: Column) -> Column:
-    return F.base64(content)
+    """Base64 in one line; Spark breaks it behind every 76 characters."""
+    return F.replace(F.base64(content), F.lit("\r\n"), F.lit(""))
 
 
 def texts(documents: DataFrame, extract: Callable[[bytes], list[str]]) -> DataFrame:

@@ -1,3 +1,5 @@
+import base64
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -140,3 +142,11 @@ def test_every_done_step(spark):
             want.setdefault(r.user_id, []).append(r.event_type)
     got = {r.job_id: r.steps for r in QUERIES["c4_done_in_order"](spark, DATA).collect()}
     assert got == {k: ">".join(v) for k, v in want.items()}
+
+
+def test_base64_is_one_line_whatever_its_length(spark, tmp_path):
+    urls = ["http://a/b.pdf", "https://" + "long/" * 40 + "x.PNG", None]
+    spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = {r.page_id: (r.mime, r.packed) for r in QUERIES["io13_mime_types"](spark, str(tmp_path)).collect()}
+    types = ("application/pdf", "image/png", "application/octet-stream")
+    assert got == {k: (types[k], url and base64.b64encode(url.encode()).decode()) for k, url in enumerate(urls)}
