@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 from quizmill.functions import text as T
 from quizmill.functions.numbers import clamped_box
 from quizmill.model import PART_RANGES
+from quizmill.operators.layout import settled
 
 OPTION_TYPE = "array<struct<letter:string,text:string>>"
 LABELLED = r"(?is)\(([A-E])\)\s*(.*?)(?=\s*\([A-E]\)|$)"
@@ -52,15 +56,36 @@ def question(variant: Column) -> Column:
     return F.struct(number.alias("question_number"), T.or_default(text, F.concat(F.lit("Question "), F.coalesce(number.cast("string"), F.lit("?")))).alias("question_text"), answer.alias("correct"))
 
 
+@F.arrow_udf(ArrayType(ArrayType(IntegerType())))
+def _numbered(groups: pa.Array, first: pa.Array) -> pa.Array:
+    """Every missing number raises the next one by one: less the missing ones before it, the next one is a running maximum."""
+    unknown, rows = -(1 << 62), []
+    for lists, opens in zip(groups, first, strict=True):
+        if not lists.is_valid or lists.values.null_count:
+            rows.append(None)
+            continue
+        flat = lists.values.flatten()
+        missing = flat.is_null().to_numpy(zero_copy_only=False)
+        n = flat.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        before = np.cumsum(missing) - missing
+        opened = opens.as_py() if opens.is_valid else unknown
+        reached = np.maximum.accumulate(np.concatenate([[opened], np.where(missing, unknown, n + 1 - before)]))[:-1]
+        filled = np.where(missing, before + reached, n).tolist()
+        for k in np.flatnonzero(missing & (reached == unknown)).tolist():
+            filled[k] = None
+        ends = np.cumsum([len(x) for x in lists.values]).tolist()
+        rows.append([filled[i:j] for i, j in zip([0, *ends], ends, strict=False)])
+    return pa.array(rows, pa.list_(pa.list_(pa.int32())))
+
+
 def with_numbers(numbers: Column, first: Column) -> Column:
-    """Missing numbers (null) continue from the largest so far; ``first`` opens. A fold over the array."""
-    start = F.struct(F.array().cast("array<int>").alias("out"), first.cast("int").alias("next"))
+    """Missing numbers (null) continue from the largest so far; ``first`` opens. Its time grows as the array's length."""
+    return F.get(_numbered(F.array(numbers), first), F.lit(0))
 
-    def step(state: Column, n: Column) -> Column:
-        now = F.coalesce(n, state["next"])
-        return F.struct(F.array_append(state["out"], now).alias("out"), F.when(n.isNull(), state["next"] + 1).otherwise(F.greatest(state["next"], n + 1)).alias("next"))
 
-    return F.aggregate(numbers, start, step, lambda s: s["out"])
+def with_numbers_of_groups(numbers: Column, first: Column) -> Column:
+    """``with_numbers`` over an array of arrays, from each into the next."""
+    return _numbered(numbers, first)
 
 
 def dealt(items: Column, groups: Column) -> Column:
@@ -118,13 +143,12 @@ def box_of(numbers: Column) -> Column:
     return F.when((F.size(numbers) == 4) & finite, clamped_box(*(F.get(numbers, F.lit(k)) for k in range(4))))
 
 
-def group_of(raw: Column) -> Column:
-    """A group from its JSON text: passage, transcript, page, pages, box and questions (JSON texts), under any of their key names.
+def group_of(raw: Column, v: Column) -> Column:
+    """A group from its JSON text and the same as a variant: passage, transcript, page, pages, box and questions (JSON texts), under any of their key names.
 
     Anything but an object is a group without questions; an object that is itself
     a question is a group of that one. Page numbers beyond an int are left out.
     """
-    v = F.try_parse_json(raw)
     asked = questions_of(F.coalesce(F.try_variant_get(v, "$.questions", "variant"), F.parse_json(F.lit("[]"))))
     is_one = F.coalesce(aliased(v, "questionText", "text", "question"), aliased(v, "questionNumber", "number")).isNotNull()
     pages = F.array_distinct(F.filter(aliased(v, "sourcePages", "pages", "pageNumbers", kind="array<double>"), lambda n: n >= 1))
@@ -168,18 +192,22 @@ def parts(rows: DataFrame, key: str = "key") -> DataFrame:
     found = F.coalesce(F.try_variant_get(v, "$.groups", "variant"), F.try_variant_get(v, "$.group", "variant"))
     listed = F.when(F.schema_of_variant(found).startswith("ARRAY"), F.from_json(F.to_json(found), "array<string>")).when(found.isNotNull(), F.array(F.to_json(found)))
     flat = questions_of(F.coalesce(F.try_variant_get(v, "$.questions", "variant"), F.parse_json(F.lit("[]"))))
-    out = rows.select(key, "raw", number.alias("part_number"), error.alias("error"), F.coalesce(listed, F.array().cast("array<string>")).alias("_listed"), flat.alias("_flat"))
-    out = out.withColumn("_groups", F.when(F.col("error").isNull(), with_flat_questions(F.transform("_listed", group_of), F.col("_flat"))))
+    out = rows.select(key, number.alias("part_number"), error.alias("error"), F.coalesce(listed, F.array().cast("array<string>")).alias("_listed"), flat.alias("_flat"))
+    good = out.where("error is null").drop("error")
+    good = settled(good, _listed=F.transform("_listed", lambda raw: F.struct(raw.alias("raw"), F.try_parse_json(raw).alias("v"))), _flat=F.col("_flat"))
+    good = settled(good, _listed=F.transform("_listed", lambda z: group_of(z["raw"], z["v"])))
+    good = settled(good, _groups=with_flat_questions(F.col("_listed"), F.col("_flat"))).drop("_listed", "_flat")
     first = F.create_map(*[F.lit(x) for p, (a, _, _) in PART_RANGES.items() for x in (p, a)])
-    given = F.flatten(F.transform("_groups", lambda g: F.transform(g["questions"], lambda q: question(F.try_parse_json(q))["question_number"])))
-    given = F.transform(given, lambda n: F.when(n >= 1, n))
-    out = out.withColumn("_numbers", with_numbers(given, F.coalesce(first[F.col("part_number")], F.lit(1))))
-    before = F.aggregate(F.slice("_groups", 1, F.col("group_no")), F.lit(0), lambda n, g: n + F.size(g["questions"]))
-    good = out.where("error is null").select(key, "part_number", "_groups", "_numbers", F.posexplode("_groups").alias("group_no", "_group")).withColumn("_before", before)
-    good = good.select(key, "part_number", "group_no", "_group", "_before", "_numbers", F.posexplode("_group.questions").alias("_pos", "_raw"))
+    numbers = F.transform("_groups", lambda g: F.transform(F.transform(g["questions"], lambda q: question(F.try_parse_json(q))["question_number"]), lambda n: F.when(n >= 1, n)))
+    good = good.withColumn("_numbers", with_numbers_of_groups(numbers, F.coalesce(first[F.col("part_number")], F.lit(1))))
+    # Each group takes its own numbers along: a part's arrays are copied to none of its rows.
+    asked = lambda g, n: F.zip_with(g["questions"], n, lambda q, k: F.struct(q.alias("raw"), k.alias("number")))
+    each = F.zip_with("_groups", "_numbers", lambda g, n: F.struct(*(g[name].alias(name) for name in _GROUP), asked(g, n).alias("asked")))
+    good = good.select(key, "part_number", F.posexplode(each).alias("group_no", "_group"))
+    good = good.select(key, "part_number", "group_no", *(F.col(f"_group.{n}").alias(n) for n in _GROUP), F.explode("_group.asked").alias("_q")).withColumn("_raw", F.col("_q.raw"))
     value = F.try_parse_json(F.col("_raw"))
     good = good.select(
-        key, "part_number", "group_no", *(F.col(f"_group.{n}").alias(n) for n in _GROUP), F.get("_numbers", F.col("_before") + F.col("_pos")).alias("question_number"), question(value).alias("question"),
+        key, "part_number", "group_no", *_GROUP, F.col("_q.number").alias("question_number"), question(value).alias("question"),
         options_of(F.coalesce(F.try_variant_get(value, "$.options", "variant"), F.parse_json(F.lit("[]")))).alias("options"), F.lit(None).cast("string").alias("error"),
     )
     return good.unionByName(out.where("error is not null").select(key, "part_number", "error"), allowMissingColumns=True)

@@ -150,3 +150,29 @@ def test_base64_is_one_line_whatever_its_length(spark, tmp_path):
     got = {r.page_id: (r.mime, r.packed) for r in QUERIES["io13_mime_types"](spark, str(tmp_path)).collect()}
     types = ("application/pdf", "image/png", "application/octet-stream")
     assert got == {k: (types[k], url and base64.b64encode(url.encode()).decode()) for k, url in enumerate(urls)}
+
+
+def test_numbers_of_a_long_part_take_time_as_its_length(spark):
+    """A fold that appends copies its array for every element: 300,000 numbers would take hours."""
+    numbers = F.transform(F.sequence(F.lit(0), F.lit(299_999)), lambda i: F.when(i % 3 == 0, i * 2))
+    given = [i * 2 if i % 3 == 0 else None for i in range(300_000)]
+    want, after = [], 101
+    for n in given:
+        want.append(after if n is None else n)
+        after = after + 1 if n is None else max(after, n + 1)
+    assert one(spark, coercion.with_numbers(numbers, F.lit(101))) == want
+
+
+def test_numbers_without_a_first_and_over_groups(spark):
+    ints = lambda *xs: F.array(*[F.lit(x).cast("int") for x in xs])
+    assert one(spark, coercion.with_numbers(ints(None, 5, None), F.lit(None).cast("int"))) == [None, 5, 6]
+    assert one(spark, coercion.with_numbers(F.lit(None).cast("array<int>"), F.lit(1))) is None
+    assert one(spark, coercion.with_numbers_of_groups(F.array(ints(None, 9), F.array().cast("array<int>"), ints(None, 2, None)), F.lit(1))) == [[1, 9], [], [10, 2, 11]]
+
+
+def test_part_of_many_groups(spark):
+    """Every group's row would once hold all groups and numbers of its part."""
+    raw = '{"partNumber": 7, "groups": [' + ", ".join('{"passage": "p%d", "questions": [{"text": "a"}, {"number": %d, "text": "b"}]}' % (k, 200 + 2 * k) for k in range(4000)) + "]}"
+    rows = coercion.parts(spark.createDataFrame([(1, raw, None)], "key int, raw string, expected int"))
+    got = sorted((r.group_no, r.question_number, r.passage, r.question.question_text) for r in rows.collect())
+    assert got == sorted(x for k in range(4000) for x in ((k, 147 if k == 0 else 199 + 2 * k, f"p{k}", "a"), (k, 200 + 2 * k, f"p{k}", "b")))
