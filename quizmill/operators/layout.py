@@ -222,7 +222,7 @@ def with_anchors(model: DataFrame, ranges: list[tuple[int, int]]) -> DataFrame:
     range has its own medians and next questions. Candidates are span labels, lines
     that start with a label, labels of 100 and more inside lines, and, for numbers
     that have none of these, the span that holds the first words behind the number in
-    the page's text. The best counts: 2 for a bare label at its place, 4 for an
+    the page's text; a number inside a decimal or an address is none. The best counts: 2 for a bare label at its place, 4 for an
     option (A) within 0.08 below in its column, and its y; of equals the first.
     Anchors far from their column's median x go.
     """
@@ -239,11 +239,11 @@ def with_anchors(model: DataFrame, ranges: list[tuple[int, int]]) -> DataFrame:
     known = lambda z: z["number"].isNotNull() & of(z["number"]).isNotNull()
     labels = F.transform(F.filter("spans", lambda z: z["number"].isNotNull()), lambda z: candidate(z["number"], z["x"], z["y"], 0, z["idx"]))
     starts = F.transform("lines", lambda z: candidate(question_number(z["line"]), z["x"], z["y"], 1, z["y"]))
-    inner = lambda z: F.filter(F.transform(F.regexp_extract_all(z["line"], F.lit(r"(?:^|\s)(\d{1,3})\s*\."), F.lit(1)), lambda n: n.cast("int")), lambda n: n >= 100)
+    inner = lambda z: F.filter(F.transform(F.regexp_extract_all(z["line"], F.lit(r"(?:^|\s)(\d{1,3})\s*\.(?!\d)"), F.lit(1)), lambda n: n.cast("int")), lambda n: n >= 100)
     inline = F.flatten(F.transform("lines", lambda z: F.transform(inner(z), lambda n: candidate(n, z["x"], z["y"], 1, z["y"]))))
     rows = settled(model, _found=F.filter(F.concat(labels, starts, inline), known))
     # Numbers without an anchor: the first span with the first three words behind ``n.`` in the page's text.
-    pattern = r"\b(\d{1,3})\.\s*([^\n]{4,120})"
+    pattern = r"(?<![\d.])\b(\d{1,3})\.(?!\d)\s*([^\n]{4,120})"
     named = F.zip_with(F.regexp_extract_all("page_text", F.lit(pattern), F.lit(1)), F.regexp_extract_all("page_text", F.lit(pattern), F.lit(2)), lambda n, t: F.struct(n.cast("int").alias("number"), t.alias("said")))
     rows = settled(rows, _named=F.filter(named, known), _have=F.transform("_found", lambda z: z["number"]))
     rows = settled(rows, _order=F.transform("_named", lambda z: z["number"]))

@@ -81,3 +81,10 @@ def test_boxes(spark):
     assert (moved.x, moved.y) == (pytest.approx(0.2), pytest.approx(0.2))
     assert box(spark, remapped(at(0, 0, 0.1, 0.1), crop)) is None
     assert box(spark, half_up(F.lit(-2.5))) == -2
+
+
+@pytest.mark.parametrize("text", ["118.24.5.6", "x46.104.192.150 too", "at 129.95 euros"])
+def test_numbers_in_addresses_and_decimals_are_no_questions(spark, text):
+    rows = spans(spark, ("word", 0.08, 0.1, 0.1, 0.02), (text, 0.08, 0.2, 0.1, 0.02), ("end", 0.08, 0.3, 0.1, 0.02))
+    assert layout.question_anchors(rows, 101, 130).collect() == []
+    assert layout.pages_of_part(layout.page_model(rows), 5).collect() == []
