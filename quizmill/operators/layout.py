@@ -5,6 +5,12 @@ Spans are rows (doc_id, page, idx, text, x, y, w, h) with coordinates in 0..1.
 
 from __future__ import annotations
 
+import itertools
+import re
+import string
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,11 +18,17 @@ from quizmill.functions import text as T
 from quizmill.model import LINE_TOLERANCE, PART_RANGES
 
 PAGE = ["doc_id", "page"]
+#: Rows whose spans are Python values at once; bounds a task's memory.
+ROWS_AT_ONCE = 64
+
+
+# White space of any kind around the number counts as trimmed.
+_LABEL = r"^(?U:[\s\uFEFF]*)(\d{1,3})\s*\.(?:\s|(?U:[\s\uFEFF]*)$)"
 
 
 def question_number(c):
     """The number of ``n.`` or ``n. text``; null otherwise."""
-    return F.when(T.trim(c).rlike(r"^\d{1,3}\s*\.(?:\s|$)"), F.regexp_extract(T.trim(c), r"^(\d{1,3})", 1).try_cast("int"))
+    return F.when(c.rlike(_LABEL), F.regexp_extract(c, _LABEL, 1).cast("int"))  # a failing try_cast costs an exception for each span
 
 
 def page_columns(spans: DataFrame) -> DataFrame:
@@ -58,20 +70,77 @@ def near_median(found: DataFrame, reach: float = 0.05, single: bool = True) -> D
     return rows.where(kept | (F.col("_n") < 2) | (F.abs(F.col("x") - F.col("_mid")) <= reach)).drop("_mid", "_n")
 
 
+_SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+_SPACES = re.compile(f"[{_SPACE}]+")
+_LETTERS, _DIGITS = frozenset(string.ascii_letters), frozenset(string.digits)
+
+
+def joined_line(parts: list[tuple]) -> str:
+    """Text of one line from (x, w, text), ordered: tight digits, single letters and punctuation join without a space."""
+    line, end, before = "", 0.0, None
+    for x, w, text in parts:
+        t = (text or "").strip(_SPACE)
+        if before is None:
+            line = t
+        elif t:
+            close = t[0] in ",.;:!?)" or line.endswith("(")
+            if not close and before and x is not None and end is not None and x - end <= 0.004:
+                close = before in _LETTERS or (before[-1] in _DIGITS and t[0] in _DIGITS)
+            if not close and t in _LETTERS and x is not None and end is not None:
+                close = x - end <= 0.004
+            line += t if close else " " + t
+        end, before = (None if x is None or w is None else x + w), t
+    return _SPACES.sub(" ", line).strip(_SPACE)
+
+
 def joined(parts: Column) -> Column:
-    """Text of one line from an array of (x, w, text), ordered: tight digits, single letters and punctuation join without a space. A fold."""
-    start = F.struct(F.lit("").alias("line"), F.lit(0.0).alias("end"), F.lit(None).cast("string").alias("before"))
+    """``joined_line`` of an array of (x, w, text)."""
+    fields = F.transform(parts, lambda z: F.struct(z["x"].alias("x"), z["w"].alias("w"), z["text"].alias("text")))
+    return F.udf(lambda rows: joined_line([(r["x"], r["w"], r["text"]) for r in rows]), "string")(fields)
+
+
+def _nulls_first(values: tuple) -> list:
+    """A sort key as Spark's: nulls first, NaN last."""
+    return [(v is not None, v == v, v if v is not None and v == v else 0) for v in values]
+
+
+def folded_lines(spans: list[tuple]) -> list[dict]:
+    """Lines (y, x, bottom, line) of spans (y, x, w, h, text): those within the tolerance of a line's first y, in order of y, then x."""
+    clean = all(v is not None and v == v for span in spans for v in span[:4])
+    out, head, group = [], None, []
+    for span in sorted(spans) if clean else sorted(spans, key=_nulls_first):
+        if head is None or span[0] is None or not abs(span[0] - head) <= LINE_TOLERANCE:
+            group = []
+            out.append(group)
+            head = span[0]
+        group.append(span)
+    return [_line(group, clean) for group in out]
+
+
+def _line(group: list[tuple], clean: bool) -> dict:
+    ordered = sorted(group, key=(lambda z: z[1]) if clean else (lambda z: _nulls_first((z[1],))))
+    xs = [z[1] for z in ordered if z[1] is not None]
+    bottoms = [z[0] + z[3] for z in group if z[0] is not None and z[3] is not None]
+    return {"y": group[0][0], "x": xs[0] if xs else None, "bottom": max(bottoms, default=None), "line": joined_line([(z[1], z[2], z[4]) for z in ordered])}
+
 
-    def step(state: Column, part: Column) -> Column:
-        t = T.trim(part["text"])
-        tight = part["x"] - state["end"] <= 0.004
-        alone = state["before"].rlike("^[A-Za-z]$") | t.rlike("^[A-Za-z]$")
-        digits = state["before"].rlike(r"\d$") & t.rlike(r"^\d")
-        close = (tight & (alone | digits)) | t.rlike(r"^[,.;:!?)]") | state["line"].endswith("(")
-        line = F.when(state["before"].isNull(), t).when(t == "", state["line"]).otherwise(F.concat(state["line"], F.when(close, "").otherwise(" "), t))
-        return F.struct(line.alias("line"), (part["x"] + part["w"]).alias("end"), t.alias("before"))
+LINE = "struct<y:double,x:double,bottom:double,line:string>"
 
-    return F.aggregate(parts, start, step, lambda state: T.trim(T.collapse(state["line"])))
+
+def _lines_of(arrays: pa.Array) -> pa.Array:
+    """The lines of arrays of arrays of spans; a slice of rows at a time becomes Python values."""
+    kind = pa.list_(pa.list_(pa.struct([("y", pa.float64()), ("x", pa.float64()), ("bottom", pa.float64()), ("line", pa.string())])))
+    done = [pa.array([], kind)]
+    for at in range(0, len(arrays), ROWS_AT_ONCE):
+        rows = arrays.slice(at, ROWS_AT_ONCE)
+        inner = rows.flatten()
+        spans = inner.flatten()
+        values = list(zip(*(spans.field(n).to_pylist() for n in ("y", "x", "w", "h", "text")), strict=True))
+        sizes = pc.fill_null(inner.value_lengths(), 0).to_pylist()
+        ends = [0, *itertools.accumulate(sizes)]
+        folded = iter([folded_lines(values[a:b]) for a, b in itertools.pairwise(ends)])
+        done.append(pa.array([None if n is None else list(itertools.islice(folded, n)) for n in rows.value_lengths().to_pylist()], kind))
+    return pa.concat_arrays(done)
 
 
 def lines_by(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -80,28 +149,14 @@ def lines_by(rows: DataFrame, keys: list[str]) -> DataFrame:
     The tolerance counts from the line's head, so this is a fold over the spans of
     each key in order of y, then x; rows need y, x, w, h and text.
     """
-    spans = F.array_sort(F.collect_list(F.struct("y", "x", "w", "h", F.coalesce("text", F.lit("")).alias("text"))))
-    start = F.struct(F.lit(None).cast("double").alias("head"), F.lit(-1).alias("n"), F.array().cast("array<int>").alias("of"))
-
-    def step(state: Column, span: Column) -> Column:
-        new = state["head"].isNull() | (F.abs(span["y"] - state["head"]) > LINE_TOLERANCE)
-        n = state["n"] + new.cast("int")
-        return F.struct(F.when(new, span["y"]).otherwise(state["head"]).alias("head"), n.alias("n"), F.array_append(state["of"], n).alias("of"))
-
-    folded = rows.groupBy(*keys).agg(spans.alias("spans")).withColumn("of", F.aggregate("spans", start, step, lambda state: state["of"]))
-    placed = folded.select(*keys, "spans", "of", F.explode(F.array_distinct("of")).alias("line_no"))
-    mine = F.filter(F.zip_with("spans", "of", lambda span, n: F.struct(n.alias("n"), span.alias("s"))), lambda z: z["n"] == F.col("line_no"))
-    placed = placed.select(*keys, "line_no", F.transform(mine, lambda z: z["s"]).alias("spans"))
-    parts = F.array_sort(F.transform("spans", lambda z, i: F.struct(z["x"].alias("x"), i.alias("i"), z["w"].alias("w"), z["text"].alias("text"))))
-    return placed.select(
-        *keys, "line_no", F.get("spans", 0)["y"].alias("y"), F.array_min(F.transform("spans", lambda z: z["x"])).alias("x"),
-        F.array_max(F.transform("spans", lambda z: z["y"] + z["h"])).alias("bottom"), joined(parts).alias("line"),
-    )
+    spans = rows.groupBy(*keys).agg(F.collect_list(F.struct("y", "x", "w", "h", "text")).alias("spans"))
+    found = with_lines(spans, F.array("spans"), "_lines")
+    return found.select(*keys, F.posexplode(F.get("_lines", F.lit(0))).alias("line_no", "l")).select(*keys, "line_no", "l.*")
 
 
 def lines(spans: DataFrame) -> DataFrame:
-    """(doc_id, page, column, y, x, bottom, line): the lines of each column of each page."""
-    return lines_by(with_column(spans), [*PAGE, "column"]).drop("line_no")
+    """(doc_id, page, column, y, x, bottom, line): the lines of each column of each page, folded on the page's row."""
+    return model_lines(_with_page_lines(_paged(spans)))
 
 
 def outside(spans: DataFrame, boxes: DataFrame, margin: float = 0.004) -> DataFrame:
@@ -140,25 +195,11 @@ def page_texts(spans: DataFrame) -> DataFrame:
 def with_lines(rows: DataFrame, source: Column, into: str) -> DataFrame:
     """``rows`` with the lines (y, x, bottom, line) of several arrays of spans: an array of arrays, as ``source`` is.
 
-    The same lines as ``lines_by`` has, without leaving the row: each array is folded once.
+    The same lines as ``lines_by`` has, without leaving the row: ``folded_lines`` goes over
+    each array once. Array functions did that several times over, for each line anew.
     """
-    start = F.struct(F.lit(None).cast("double").alias("head"), F.lit(-1).alias("n"), F.array().cast("array<int>").alias("of"))
-
-    def step(state: Column, span: Column) -> Column:
-        new = state["head"].isNull() | (F.abs(span["y"] - state["head"]) > LINE_TOLERANCE)
-        n = state["n"] + new.cast("int")
-        return F.struct(F.when(new, span["y"]).otherwise(state["head"]).alias("head"), n.alias("n"), F.array_append(state["of"], n).alias("of"))
-
-    def line(group: Column) -> Column:
-        parts = F.array_sort(F.transform(group, lambda z, i: F.struct(z["x"].alias("x"), i.alias("i"), z["w"].alias("w"), z["text"].alias("text"))))
-        return F.struct(F.get(group, F.lit(0))["y"].alias("y"), F.array_min(F.transform(group, lambda z: z["x"])).alias("x"), F.array_max(F.transform(group, lambda z: z["y"] + z["h"])).alias("bottom"), joined(parts).alias("line"))
-
-    sorted_spans = F.transform(source, lambda spans: F.array_sort(F.transform(spans, lambda z: F.struct(*(z[n].alias(n) for n in "yxwh"), F.coalesce(z["text"], F.lit("")).alias("text")))))
-    out = settled(rows, _sorted=sorted_spans)
-    out = settled(out, _of=F.transform("_sorted", lambda spans: F.aggregate(spans, start, step, lambda state: state["of"])))
-    members = lambda spans, of: F.transform(F.array_distinct(of), lambda n: F.transform(F.filter(F.arrays_zip(spans.alias("s"), of.alias("n")), lambda z: z["n"] == n), lambda z: z["s"]))
-    out = settled(out, _groups=F.zip_with("_sorted", "_of", members))
-    return settled(out, **{into: F.transform("_groups", lambda groups: F.transform(groups, line))}).drop("_sorted", "_of", "_groups")
+    fields = lambda z: F.struct(*(z[n].cast("double").alias(n) for n in "yxwh"), F.coalesce(z["text"], F.lit("")).alias("text"))
+    return settled(settled(rows, _spans_of=F.transform(source, lambda spans: F.transform(spans, fields))), **{into: F.arrow_udf(_lines_of, f"array<array<{LINE}>>")("_spans_of")}).drop("_spans_of")
 
 
 def settled(rows: DataFrame, **columns: Column) -> DataFrame:
@@ -170,28 +211,32 @@ def settled(rows: DataFrame, **columns: Column) -> DataFrame:
 
 
 def _paged(spans: DataFrame) -> DataFrame:
-    """(doc_id, page, dual, split_x, spans): a page's spans in its order, each with its number and column; one shuffle."""
+    """(doc_id, page, dual, split_x, spans): a page's spans in its order, each with its number and column."""
     row = F.struct("idx", "text", "x", "y", "w", "h", question_number(F.col("text")).alias("number"))
     pages = spans.select(*PAGE, row.alias("s")).groupBy(*PAGE).agg(F.array_sort(F.collect_list("s")).alias("s"))
     label_x = F.transform(F.filter("s", lambda z: z["number"].isNotNull()), lambda z: z["x"])
-    pages = pages.withColumn("_left", F.exists(label_x, lambda x: x < 0.5)).withColumn("_right", F.array_min(F.filter(label_x, lambda x: x >= 0.5)))
+    pages = settled(pages, _x=label_x)
+    pages = pages.withColumn("_left", F.exists("_x", lambda x: F.coalesce(x < 0.5, F.lit(False)))).withColumn("_right", F.array_min(F.filter("_x", lambda x: x >= 0.5)))
     dual = F.col("_left") & F.col("_right").isNotNull()
     pages = settled(pages, dual=dual, split_x=F.when(dual, F.greatest(F.lit(0.45), F.col("_right") - 0.02)).otherwise(0.5))
     return settled(pages, spans=F.transform("s", lambda z: z.withField("column", _column_at(z["x"])))).select(*PAGE, "dual", "split_x", "spans")
 
 
+def _with_page_lines(pages: DataFrame) -> DataFrame:
+    """``_paged`` pages with ``lines``: each column's lines (column, y, x, bottom, line)."""
+    sides = F.array(F.filter("spans", lambda z: z["column"] != "right"), F.filter("spans", lambda z: z["column"] == "right"))
+    pages = with_lines(pages, sides, "_lines")
+    named = lambda side, column: F.transform(F.get("_lines", F.lit(side)), lambda z: F.struct(column.alias("column"), *(z[n].alias(n) for n in ("y", "x", "bottom", "line"))))
+    return settled(pages, lines=F.concat(named(0, F.when(F.col("dual"), "left").otherwise("single")), named(1, F.lit("right")))).drop("_lines")
+
+
 def page_model(spans: DataFrame) -> DataFrame:
     """(doc_id, page, dual, split_x, spans, lines, page_text): a row per page, built in one shuffle.
 
     ``spans`` is an array in the page's order with each span's number (if it is a
     question label) and column; ``lines`` has each column's lines (column, y, x, bottom, line).
     """
-    pages = _paged(spans)
-    sides = F.array(F.filter("spans", lambda z: z["column"] != "right"), F.filter("spans", lambda z: z["column"] == "right"))
-    pages = with_lines(pages, sides, "_lines")
-    named = lambda side, column: F.transform(F.get("_lines", F.lit(side)), lambda z: F.struct(column.alias("column"), *(z[n].alias(n) for n in ("y", "x", "bottom", "line"))))
-    lines = F.concat(named(0, F.when(F.col("dual"), "left").otherwise("single")), named(1, F.lit("right")))
-    return settled(pages, lines=lines, page_text=F.array_join(F.transform("spans", lambda z: z["text"]), "\n")).drop("_lines")
+    return settled(_with_page_lines(_paged(spans)), page_text=F.array_join(F.transform("spans", lambda z: z["text"]), "\n"))
 
 
 def label_bands(spans: DataFrame) -> DataFrame:

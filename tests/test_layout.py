@@ -88,3 +88,18 @@ def test_numbers_in_addresses_and_decimals_are_no_questions(spark, text):
     rows = spans(spark, ("word", 0.08, 0.1, 0.1, 0.02), (text, 0.08, 0.2, 0.1, 0.02), ("end", 0.08, 0.3, 0.1, 0.02))
     assert layout.question_anchors(rows, 101, 130).collect() == []
     assert layout.pages_of_part(layout.page_model(rows), 5).collect() == []
+
+
+def test_a_long_page_takes_time_as_its_spans_do(spark):
+    """Every line was cut out of all spans of its page anew: 20,000 lines took minutes."""
+    import time
+
+    s = spark.range(20000).selectExpr("1L AS doc_id", "1 AS page", "CAST(id AS int) AS idx", "concat('w', id) AS text", "0.1D AS x", "id * 0.02D AS y", "0.1D AS w", "0.01D AS h")
+    start = time.time()
+    rows = layout.lines(s).orderBy("y").collect()
+    assert [r.line for r in rows] == [f"w{k}" for k in range(20000)] and time.time() - start < 30
+
+
+def test_lines_in_any_order_with_nulls_and_wide_spaces(spark):
+    s = spans(spark, ("b　", 0.2, 0.1, 0.01, 0.01), (" a", 0.1, 0.1, 0.01, 0.01), (None, 0.3, 0.1, 0.01, 0.01), (",", 0.4, 0.105, 0.01, 0.01), ("e  f", 0.1, 0.2, 0.01, 0.01))
+    assert [(r.line, r.x) for r in layout.lines(s).orderBy("y").collect()] == [("a b,", 0.1), ("e f", 0.1)]
