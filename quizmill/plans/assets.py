@@ -22,6 +22,8 @@ from quizmill.model import LEAST_OVERLAP, READING_PARTS
 WITH_IMAGES, WITH_WORDS = (1, 3, 4, 6, 7), (6, 7)
 #: Pages of a document that one call of a task renders; bounds what travels with its content.
 PAGES_AT_ONCE = 64
+#: Rows and bytes of images that a task hands back in one frame; bound its memory.
+ROWS_AT_ONCE, BYTES_AT_ONCE = 1000, 16 << 20
 PAGE = ["doc_id", "page"]
 GROUP = ["doc_id", "part_number", "group_no"]
 REGION = "struct<id:string,text:string,x:double,y:double,w:double,h:double>"
@@ -71,19 +73,34 @@ def rendered(requests: DataFrame, documents: DataFrame, render: Callable[[bytes,
     rows = asked.join(documents.select("doc_id", "content"), "doc_id").select("doc_id", "content", "asked")
     kind = requests.schema["doc_id"].dataType.simpleString()
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[tuple]:
         for pdf in frames:
             for doc_id, content, pages in zip(pdf["doc_id"], pdf["content"], pdf["asked"], strict=True):
-                for asked in pages:  # a frame a page: images are large
+                for asked in pages:
                     image, regions, error = None, None, None
                     try:
                         image = render(content, int(asked["page"]))
                         regions = _scanned(scan, image) if asked["scan"] else None
                     except Exception as failure:  # noqa: BLE001
                         error = f"render: {failure}"
-                    yield pd.DataFrame({"doc_id": [doc_id], "page": [int(asked["page"])], "image": [image], "regions": [regions], "error": [error]})
+                    yield doc_id, int(asked["page"]), image, regions, error
 
-    return rows.mapInPandas(run, f"doc_id {kind}, page int, image binary, regions array<{REGION}>, error string")
+    names = ["doc_id", "page", "image", "regions", "error"]
+
+    return rows.mapInPandas(lambda frames: _framed(run(frames), names), f"doc_id {kind}, page int, image binary, regions array<{REGION}>, error string")
+
+
+def _framed(rows: Iterator[tuple], names: list[str]) -> Iterator[pd.DataFrame]:
+    """Rows as frames of ROWS_AT_ONCE, or of fewer once they hold BYTES_AT_ONCE of images: a frame has a price of its own."""
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += sum(len(v) for v in row if isinstance(v, bytes))
+        if len(held) >= ROWS_AT_ONCE or size >= BYTES_AT_ONCE:
+            yield pd.DataFrame({n: [r[k] for r in held] for k, n in enumerate(names)}, dtype=object)
+            held, size = [], 0
+    if held:
+        yield pd.DataFrame({n: [r[k] for r in held] for k, n in enumerate(names)}, dtype=object)
 
 
 def _scanned(scan: Callable[[bytes], list[dict]], image: bytes) -> list[dict] | None:
@@ -99,10 +116,8 @@ def _by_page(wants: DataFrame, pages: DataFrame, kind: str, run: Callable[[tuple
     rows = wanted.join(pages, PAGE, "left").select(*PAGE, "image", "error", "wants")
 
     def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            for row in pdf.itertuples(index=False, name=None):
-                found = list(run(row))
-                yield pd.DataFrame({n: [r[k] for r in found] for k, n in enumerate(names)})
+        found = (out for pdf in frames for row in pdf.itertuples(index=False, name=None) for out in run(row))
+        return _framed(found, names)
 
     return rows.mapInPandas(each, schema)
 

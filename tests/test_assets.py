@@ -104,3 +104,12 @@ def test_a_group_shows_its_first_image_and_words(spark):
     assert got[7].image == "a" and got[7].regions[0].text == "x" and [i.key for i in got[7].images] == ["a", "b"]
     assert got[1].question_images == {2: "c"} and got[3].image == "d" and got[3].images is None
     assert assets.group_assets(images.where("false")).count() == 0
+
+
+def test_rows_share_frames_up_to_bounds():
+    """A frame for each page cost more than its work."""
+    rows = [(k, b"x") for k in range(2500)]
+    frames = list(assets._framed(iter(rows), ["k", "image"]))
+    assert [len(f) for f in frames] == [1000, 1000, 500] and [r for f in frames for r in f.itertuples(index=False, name=None)] == rows
+    large = list(assets._framed(iter([(k, bytes(assets.BYTES_AT_ONCE)) for k in range(3)]), ["k", "image"]))
+    assert [len(f) for f in large] == [1, 1, 1]
