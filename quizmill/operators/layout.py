@@ -210,9 +210,9 @@ def settled(rows: DataFrame, **columns: Column) -> DataFrame:
     return rows.select(*[c for c in rows.columns if c not in columns], F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
 
 
-def _paged(spans: DataFrame) -> DataFrame:
-    """(doc_id, page, dual, split_x, spans): a page's spans in its order, each with its number and column."""
-    row = F.struct("idx", "text", "x", "y", "w", "h", question_number(F.col("text")).alias("number"))
+def _paged(spans: DataFrame, fields: tuple[str, ...] = ("idx", "text", "x", "y", "w", "h")) -> DataFrame:
+    """(doc_id, page, dual, split_x, spans): a page's spans in its order, each with its number and column; one shuffle, of ``fields`` only (x among them)."""
+    row = F.struct(*fields, question_number(F.col("text")).alias("number"))
     pages = spans.select(*PAGE, row.alias("s")).groupBy(*PAGE).agg(F.array_sort(F.collect_list("s")).alias("s"))
     label_x = F.transform(F.filter("s", lambda z: z["number"].isNotNull()), lambda z: z["x"])
     pages = settled(pages, _x=label_x)
@@ -239,16 +239,19 @@ def page_model(spans: DataFrame) -> DataFrame:
     return settled(_with_page_lines(_paged(spans)), page_text=F.array_join(F.transform("spans", lambda z: z["text"]), "\n"))
 
 
-def label_bands(spans: DataFrame) -> DataFrame:
-    """(doc_id, page, number, idx, text, x, y, w, h): ``band`` of ``anchors``, on a page's row, so that spans are shuffled once and nothing is joined."""
-    pages = _paged(spans)
+def label_bands(spans: DataFrame, fields: tuple[str, ...] = ("idx", "text", "x", "y", "w", "h")) -> DataFrame:
+    """(doc_id, page, number, fields): ``band`` of ``anchors``, on a page's row, so that spans are shuffled once and nothing is joined.
+
+    Fields that are not asked for are not shuffled, except those that bands need.
+    """
+    pages = _paged(spans, tuple(dict.fromkeys(["idx", *fields, "x", "y", "h"])))
     labels = F.transform(F.filter("spans", lambda z: z["number"].isNotNull()), lambda z: F.struct(*(z[n].alias(n) for n in ("column", "y", "x", "idx", "number"))))
     pages = settled(pages, _labels=F.array_sort(labels))
     behind = lambda i: F.get("_labels", i + 1)
     anchors = F.transform("_labels", lambda z, i: z.withField("next_y", F.when(behind(i)["column"] == z["column"], behind(i)["y"])))
     rows = pages.select(*PAGE, "spans", F.explode(anchors).alias("a"))
     rows = rows.select(*PAGE, F.col("a.number").alias("number"), F.explode(F.filter("spans", lambda s: in_band(s, F.col("a")))).alias("s"))
-    return rows.select(*PAGE, "number", *(F.col(f"s.{n}").alias(n) for n in ("idx", "text", "x", "y", "w", "h")))
+    return rows.select(*PAGE, "number", *(F.col(f"s.{n}").alias(n) for n in fields))
 
 
 def _column_at(x: Column) -> Column:

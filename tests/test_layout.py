@@ -103,3 +103,13 @@ def test_a_long_page_takes_time_as_its_spans_do(spark):
 def test_lines_in_any_order_with_nulls_and_wide_spaces(spark):
     s = spans(spark, ("b　", 0.2, 0.1, 0.01, 0.01), (" a", 0.1, 0.1, 0.01, 0.01), (None, 0.3, 0.1, 0.01, 0.01), (",", 0.4, 0.105, 0.01, 0.01), ("e  f", 0.1, 0.2, 0.01, 0.01))
     assert [(r.line, r.x) for r in layout.lines(s).orderBy("y").collect()] == [("a b,", 0.1), ("e f", 0.1)]
+
+
+def test_bands_shuffle_what_is_asked_for(spark):
+    """Texts and widths went through the shuffle of bands that only count."""
+    s = spans(spark, ("101. a", 0.08, 0.2, 0.1, 0.02), ("102. b", 0.08, 0.5, 0.1, 0.02), ("tail", 0.1, 0.25, 0.1, 0.02))
+    rows = layout.label_bands(s, ())
+    assert rows.columns == ["doc_id", "page", "number"] and sorted(r.number for r in rows.collect()) == [101, 101, 102]
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "h, h#" in plan and "text, text#" not in plan and "w, w#" not in plan
+    assert {(r.number, r.text) for r in layout.label_bands(s).collect()} == {(101, "101. a"), (101, "tail"), (102, "102. b")}
