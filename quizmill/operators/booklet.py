@@ -216,6 +216,15 @@ def passage_pages(texts: DataFrame) -> DataFrame:
     return rows.groupBy("doc_id", F.col("p.a").alias("first_question"), F.col("p.b").alias("last_question")).agg(F.min("page").alias("page"))
 
 
+def passage_pages_of_spans(spans: DataFrame) -> DataFrame:
+    """``passage_pages`` of the texts of ``spans``; texts without a part of a header are shuffled as a mark.
+
+    A header may run over several spans: what can open or go on with one keeps its text, anything else only parts its neighbours.
+    """
+    part = F.col("text").rlike(r"(?i)question|^[\s\d-]|^$")
+    return passage_pages(layout.page_texts(spans.withColumn("text", F.when(part, F.col("text")).when(F.col("text").isNotNull(), "x"))))
+
+
 def reading_groups(docs: DataFrame, spans: DataFrame, answers: DataFrame, part: int, chunk: tuple[int, int] | None = None) -> DataFrame:
     """(doc_id, page, pages, first_question, passage, questions) of part 6 or 7.
 

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from quizmill.operators import booklet, coercion
+from quizmill.operators import booklet, coercion, layout
 from quizmill.plans import enrich
 
 SPANS = "doc_id long, page int, idx int, text string, x double, y double, w double, h double"
@@ -102,3 +102,10 @@ def test_failures(spark):
     got = rows.select(enrich.failure_kind(F.col("status"), F.col("message")).alias("k"), enrich.retry_delay_ms(F.col("message")).alias("ms")).collect()
     assert [r.k for r in got] == ["quota", "unavailable", "json", "server", "auth", "network", "other", "quota", "other"]
     assert [r.ms for r in got][-2:] == [2500, 120000]
+
+
+def test_headers_over_several_spans_need_no_other_texts(spark):
+    rows = [(1, 1, 0, "see Questions"), (1, 1, 1, "131 -"), (1, 1, 2, "134 refer"), (1, 2, 3, "Questions 131-134"), (1, 2, 4, "Questions"), (1, 2, 5, "to"), (1, 2, 6, "140-143"), (1, 3, 7, "question 140-"), (1, 3, 8, None), (1, 3, 9, "143")]
+    spans = spark.createDataFrame(rows, "doc_id long, page int, idx int, text string")
+    found = booklet.passage_pages_of_spans(spans)
+    assert {tuple(r) for r in found.collect()} == {tuple(r) for r in booklet.passage_pages(layout.page_texts(spans)).collect()} == {(1, 131, 134, 1), (1, 140, 143, 3)}
