@@ -59,7 +59,9 @@ _EMIT_AT = 1_000_000
 _SETS_AT = 8 << 20
 #: Slots of a set's keys: blocks of the lower band (0) and of the upper one (1), single bits, and single bits for probing alone.
 _BITS, _PROBES = 2, 3
-_SET = np.dtype([("tag", "u1", 5), ("slot", "u1"), ("need", "<u2"), ("times", "<u4")])
+#: Of a set's keys in a part: what their slot is (and whether another set begins here), how many it needs, how many there are.
+_SET = np.dtype([("slot", "u1"), ("need", "<u2"), ("times", "<u4")])
+_NEXT_SET = 1 << 7
 
 
 def _band_edges() -> np.ndarray:
@@ -205,29 +207,58 @@ def block_keys(found: np.ndarray, times: np.ndarray) -> list[tuple[int, int, np.
     return [x for x in out if len(x[2])]
 
 
+def wire_keys(keys: np.ndarray, need: int, parts: int) -> tuple[int, np.ndarray]:
+    """(need, keys) as they are sent: a key's part and 32 bits more, which a part's few million keys take to differ.
+
+    Keys of one set that become one count as one: of the blocks that a linked set
+    shares, no more can fall together than the set loses.
+    """
+    sent = np.unique((keys & np.uint64(0xFFFFFF)) % np.uint64(parts) << np.uint64(32) | keys >> np.uint64(32))
+    return max(1, need - (len(keys) - len(sent))), sent
+
+
 def _packed(sets: list[tuple[int, int, int]], keys: list[np.ndarray], parts: int) -> pa.RecordBatch:
-    """A row per part: the sets with a key there (a short tag, slot, need and number of keys), and the keys."""
+    """A row per part: the sets with a key there (a short tag for each, then slot, need and number of keys), and the keys.
+
+    The more parts there are, the fewer keys of a set share its entry, so entries are
+    small: a set's slots share its tag, and the other columns, which hardly vary, are compressed.
+    """
     owner = np.repeat(np.arange(len(sets), dtype=np.int32), [len(x) for x in keys])
     key = np.concatenate(keys)
-    part = ((key & np.uint64(0xFFFFFF)) % np.uint64(parts)).astype(np.int32)
+    part = (key >> np.uint64(32)).astype(np.int32)
     order = np.argsort(part, kind="stable")
-    part, owner, key = part[order], owner[order], key[order]
+    part, owner, key = part[order], owner[order], key[order].astype("<u4")
     table = np.zeros(len(sets), _SET)
-    tag, table["slot"], need = (np.array(c, np.uint64) for c in zip(*sets, strict=True))
-    table["tag"] = (tag >> np.uint64(24)).view(np.uint8).reshape(-1, 8)[:, :5]
-    table["need"] = np.minimum(need, 0xFFFF)
+    tag, slot, need = (np.array(c, np.uint64) for c in zip(*sets, strict=True))
+    short = np.ascontiguousarray((tag >> np.uint64(24)).view(np.uint8).reshape(-1, 8)[:, :5])
+    table["slot"], table["need"] = slot, np.minimum(need, 0xFFFF)
     cuts = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1], [True])))
     names, blobs = [], []
     for a, b in zip(cuts[:-1], cuts[1:], strict=True):
         heads = np.flatnonzero(np.concatenate(([True], owner[a + 1 : b] != owner[a : b - 1])))
-        mine = table[owner[a + heads]]
+        own = owner[a + heads]
+        mine, new = table[own], np.concatenate(([True], tag[own[1:]] != tag[own[:-1]]))
         mine["times"] = np.diff(np.append(heads, b - a))
-        short = np.ascontiguousarray((key[a:b] >> np.uint64(16)).view(np.uint8).reshape(-1, 8)[:, :6])
+        mine["slot"] |= new * np.uint8(_NEXT_SET)
+        planes = pa.compress(np.ascontiguousarray(mine.view(np.uint8).reshape(-1, _SET.itemsize).T).tobytes(), codec="zstd", asbytes=True)
         names.append(int(part[a]))
-        blobs.append(np.array([len(mine), b - a], np.uint32).tobytes() + mine.tobytes() + short.tobytes())
+        blobs.append(np.array([new.sum(), len(mine), len(planes)], np.uint32).tobytes() + short[own[new]].tobytes() + planes + key[a:b].tobytes())
     return pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array(blobs, pa.binary())], names=["part", "packed"])
 
 
+def _unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(tags, entries, keys) of a row of ``_packed``; a tag and an entry for each slot of a set."""
+    tags, entries, size = (int(x) for x in np.frombuffer(blob, np.uint32, 3))
+    wide = np.zeros((tags, 8), np.uint8)
+    wide[:, :5] = np.frombuffer(blob, np.uint8, 5 * tags, 12).reshape(-1, 5)
+    at = 12 + 5 * tags
+    planes = np.frombuffer(pa.decompress(blob[at : at + size], _SET.itemsize * entries, codec="zstd"), np.uint8)
+    table = np.ascontiguousarray(planes.reshape(_SET.itemsize, -1).T).view(_SET).ravel()
+    tag = wide.view(np.uint64).ravel()[np.cumsum(table["slot"] >= _NEXT_SET) - 1]
+    table["slot"] &= _NEXT_SET - 1
+    return tag, table, np.frombuffer(blob[at + size :], "<u4")
+
+
 def _emit_blocks(parts: int, frequent):
     """Per run of documents and part one packed row of block keys with the sets they belong to."""
 
@@ -243,6 +274,7 @@ def _emit_blocks(parts: int, frequent):
                     continue
                 seen.add((tag, len(found)))
                 for slot, need, own in block_keys(found, listed.of(found)):
+                    need, own = wire_keys(own, need, parts)
                     sets.append((tag, slot, need))
                     keys.append(own)
                     held += len(own)
@@ -261,24 +293,21 @@ def _shared_blocks(pdf: pd.DataFrame) -> pd.DataFrame:
     A block is named by its members, so that blocks with the same ones are one, in
     so many copies. (Should two others get one name, they are compared as one block.)
     """
-    keys, sets, at = [], [], []
+    keys, sets, tags, at, seen = [], [], [], [], 0
     for blob in pdf["packed"]:
-        docs, entries = (int(x) for x in np.frombuffer(blob, np.uint32, 2))
-        table = np.frombuffer(blob, _SET, docs, 8)
-        wide = np.zeros((entries, 8), np.uint8)
-        wide[:, :6] = np.frombuffer(blob, np.uint8, 6 * entries, 8 + docs * _SET.itemsize).reshape(-1, 6)
-        keys.append(wide.view(np.uint64).ravel())
-        at.append(np.repeat(np.arange(docs, dtype=np.int32) + sum(len(x) for x in sets), table["times"]))
+        tag, table, key = _unpacked(blob)
+        keys.append(key)
+        at.append(np.repeat(np.arange(seen, seen + len(table), dtype=np.int32), table["times"]))
         sets.append(table)
-    key, own, table = np.concatenate(keys), np.concatenate(at), np.concatenate(sets)
-    keys, at, sets = [], [], []
+        tags.append(tag)
+        seen += len(table)
+    key, own, table, tag = np.concatenate(keys), np.concatenate(at), np.concatenate(sets), np.concatenate(tags)
+    keys, at, sets, tags = [], [], [], []
     order = np.argsort(key)
     same = np.concatenate(([False], key[order[1:]] == key[order[:-1]], [False]))
     order = order[same[1:] | same[:-1]]
-    key, table = key[order], table[own[order]]
-    wide = np.zeros((len(table), 8), np.uint8)
-    wide[:, :5] = table["tag"]
-    tag, slot, need = wide.view(np.uint64).ravel(), table["slot"], table["need"]
+    key, table, tag = key[order], table[own[order]], tag[own[order]]
+    slot, need = table["slot"], table["need"]
     order = np.lexsort((slot, tag, key))
     key, tag, slot, need = key[order], tag[order], slot[order], need[order]
     new = np.ones(len(key), bool)
@@ -589,6 +618,13 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def _one_of_alike(members: DataFrame, scratch: Scratch) -> DataFrame:
+    """``members`` with blocks of the same members as one, named by these (should two others get one name, they are compared as one block)."""
+    rows = members.distinct()
+    names = scratch.written(rows.groupBy("block").agg(F.bit_xor(F.xxhash64("node", "probe")).alias("name")), "names")
+    return rows.join(names, "block").withColumn("block", F.col("name")).drop("name").distinct()
+
+
 def _labels(met: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, label) of the components, for nodes with links."""
     sketches = sets.select("node", "n", "sketch")
@@ -606,11 +642,11 @@ def _labels(met: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
     labels = components(first, scratch)
     known = scratch.written(met.join(labels, "node", "left").select("block", "node", "n", "probe", F.coalesce("label", "node").alias("label")), "labelled")
     open_blocks = scratch.written(known.groupBy("block").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("block"), "open")
-    members = scratch.written(known.join(open_blocks, "block"), "members")
+    members = scratch.written(_one_of_alike(known.join(open_blocks, "block"), scratch), "members")
     weight = F.greatest(F.lit(64 * SKETCH_WORDS // 8), F.col("n") / 4)
     sketched = _in_tiles(members, sketches.select("node", F.col("sketch").alias("data")), weight, _sketched, "block long, node long", scratch)
     near = scratch.written(sketched, "sketched")
-    left_over = scratch.written(members.join(near.distinct(), ["block", "node"]), "left-over")
+    left_over = scratch.written(_one_of_alike(members.join(near.distinct(), ["block", "node"]), scratch), "left-over")
     more = _in_tiles(left_over, sets.select("node", F.col("members").alias("data")), 8 * F.col("n"), _forest, "u long, v long", scratch)
     more = scratch.written(more.distinct(), "more")
     return components(first.unionByName(more), scratch) if more.count() else labels

@@ -180,3 +180,38 @@ def test_counts_of_buckets_agree_with_a_plain_count():
         found = jaccard_join._often(8, 2)(pdf)
         got |= dict(zip(found["bucket"].tolist(), found["times"].tolist(), strict=True))
     assert got == {k: n for k, n in plain.items() if n > 2}
+
+
+@pytest.mark.parametrize(("parts", "most"), [(12, 6.5), (2_000, 12)])
+def test_keys_of_many_parts_stay_small(parts, most):
+    """Before, every set of a part took 12 bytes besides its keys' 6, and at 2,000 parts each key has a set of its own."""
+    rng = np.random.default_rng(3)
+    sets, keys, plain = [], [], Counter()
+    for tag in rng.integers(0, 1 << 63, 300, np.uint64).tolist():
+        for slot in (0, 1):
+            need, own = jaccard_join.wire_keys(rng.integers(0, 1 << 64, 120, np.uint64), 60 + tag % 9, parts)
+            sets.append((tag, slot, need))
+            keys.append(own)
+            plain.update((k >> 32, k & 0xFFFFFFFF, tag >> 24 & 0xFFFFFFFFFF, slot, need) for k in own.tolist())
+    rows = jaccard_join._packed(sets, keys, parts)
+    assert sum(len(b) for b in rows["packed"].to_pylist()) < most * sum(len(k) for k in keys) + 60 * rows.num_rows
+    got = Counter()
+    for part, blob in zip(rows["part"].to_pylist(), rows["packed"].to_pylist(), strict=True):
+        tag, table, key = jaccard_join._unpacked(blob)
+        own = np.repeat(np.arange(len(table)), table["times"])
+        got.update(zip([part] * len(key), key.tolist(), tag[own].tolist(), table["slot"][own].tolist(), table["need"][own].tolist(), strict=True))
+    assert got == plain
+
+
+def test_keys_that_fall_together_lower_the_need():
+    keys = np.array([5 << 32 | 12, 5 << 32 | 24, 6 << 32 | 12], np.uint64)  # the first two are one in 12 parts
+    assert [(n, len(k)) for n, k in (jaccard_join.wire_keys(keys, need, 12) for need in (3, 1))] == [(2, 2), (1, 2)]
+
+
+def test_blocks_of_the_same_members_are_compared_once(spark):
+    rows = [(b, node, 10 * node, node, False) for b in range(50) for node in (1, 2, 3)] + [(60, node, 10 * node, node, node == 3) for node in (1, 2, 3)] + [(61, 1, 10, 1, False), (61, 2, 20, 2, False)]
+    members = spark.createDataFrame(rows, "block long, node long, n long, label long, probe boolean")
+    got = {}
+    for r in jaccard_join._one_of_alike(members, Scratch(spark, "test")).collect():
+        got.setdefault(r.block, []).append((r.node, r.n, r.probe))
+    assert sorted(map(sorted, got.values())) == [[(1, 10, False), (2, 20, False)], [(1, 10, False), (2, 20, False), (3, 30, False)], [(1, 10, False), (2, 20, False), (3, 30, True)]]
