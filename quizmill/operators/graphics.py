@@ -42,23 +42,51 @@ def photo_boxes(spans: DataFrame) -> DataFrame:
     return rows.select("doc_id", "page", "number", clamped_box(F.lit(PHOTO_LEFT), F.col("top"), F.lit(PHOTO_WIDTH), bottom - F.col("top")).alias("box")).where("box is not null")
 
 
+def _listed(*, by: tuple[str, ...] = ("idx", "x", "y", "w", "h"), where: Column | None = None) -> Column:
+    """The columns ``by`` of a group's rows as an array, of those that ``where`` holds for."""
+    row = F.struct(*by)
+    return F.collect_list(row if where is None else F.when(where, row))
+
+
+def _bounds_of(boxes: Column) -> Column:
+    """(x, y, x2, y2): the smallest box around an array of boxes, in one pass; null without any."""
+    none = F.lit(None).cast("double")
+    start = F.struct(*(none.alias(n) for n in ("x", "y", "x2", "y2")))
+    return F.aggregate(boxes, start, lambda b, z: F.struct(F.least(b["x"], z["x"]).alias("x"), F.least(b["y"], z["y"]).alias("y"), F.greatest(b["x2"], z["x"] + z["w"]).alias("x2"), F.greatest(b["y2"], z["y"] + z["h"]).alias("y2")))
+
+
+def _box_of(bounds: Column, name: str) -> Column:
+    """A box (x, y, w, h) of ``_bounds_of``; null if it is tiny, as in ``layout.bounds``."""
+    w, h = bounds["x2"] - bounds["x"], bounds["y2"] - bounds["y"]
+    return F.when((w >= 0.02) & (h >= 0.02), F.struct(bounds["x"].alias("x"), bounds["y"].alias("y"), w.alias("w"), h.alias("h"))).alias(name)
+
+
 def passage_boxes(spans: DataFrame) -> DataFrame:
-    """(doc_id, page, first_question, last_question, box): text between a passage's header and the options of its first question."""
-    header = r"(?i)Questions?\s+(\d{1,3})\s*-\s*(\d{1,3})"
-    heads = spans.where(F.col("text").rlike(header)).select(*PAGE, F.col("idx").alias("from"), (F.col("y") + F.col("h")).alias("head"), *(F.regexp_extract("text", header, k).try_cast("int").alias(n) for k, n in ((1, "first_question"), (2, "last_question"))))
-    heads = heads.groupBy(*PAGE, "first_question", "last_question").agg(F.max("from").alias("from"), F.max_by("head", "from").alias("head"))
-    begins = r"(?i)(\d{1,3})\.\s*\(A\)"
-    starts = spans.where(F.col("text").rlike(begins)).select(*PAGE, F.col("idx").alias("to"), F.col("y").alias("stop"), F.regexp_extract("text", begins, 1).try_cast("int").alias("first_question"))
-    ends = heads.join(starts, [*PAGE, "first_question"]).where(F.col("to") > F.col("from")).groupBy(*PAGE, "first_question", "last_question").agg(F.min("to").alias("to"), F.min_by("stop", "to").alias("stop"))
-    blocks = heads.join(ends, [*PAGE, "first_question", "last_question"], "left")
+    """(doc_id, page, first_question, last_question, box): text between a passage's header and the options of its first question.
+
+    A page's headers, first options and English spans are arrays on its row: one
+    shuffle, without texts, and nothing is joined or sent to all tasks.
+    """
+    header, begins = r"(?i)Questions?\s+(\d{1,3})\s*-\s*(\d{1,3})", r"(?i)(\d{1,3})\.\s*\(A\)"
+    number = lambda pattern, k: F.when(F.col("text").rlike(pattern), F.regexp_extract("text", pattern, k).cast("int"))
     english = (F.length(T.trim(F.col("text"))) >= 2) & (T.letter_count(F.col("text")) >= F.length(T.trim(F.col("text"))) * 0.4)
-    inside = blocks.join(spans.where(english), PAGE).where((F.col("idx") > F.col("from")) & (F.col("to").isNull() | (F.col("idx") < F.col("to"))) & (F.col("y") >= F.col("head") - 0.01))
-    keys = [*PAGE, "first_question", "last_question"]
-    found = layout.bounds(inside, keys)
-    text_box = clamped_box(F.greatest(F.lit(0.06), F.col("x") - 0.01), F.greatest(F.lit(0.0), F.col("y") - 0.005), F.least(F.lit(0.92), F.col("w") + 0.02), F.least(0.95 - F.col("y"), F.col("h") + 0.015))
+    rows = spans.select(*PAGE, "idx", "x", "y", "w", "h", number(header, 1).alias("first_question"), number(header, 2).alias("last_question"), number(begins, 1).alias("begun"), english.alias("english"), (F.col("y") + F.col("h")).alias("head"))
+    rows = rows.where("doc_id is not null and page is not null and (first_question is not null or begun is not null or english)")
+    heads = _listed(by=("first_question", "last_question", "idx", "head"), where=F.col("first_question").isNotNull())
+    starts = _listed(by=("idx", "y", "begun"), where=F.col("begun").isNotNull())
+    pages = rows.groupBy(*PAGE).agg(F.array_sort(heads).alias("heads"), F.array_sort(starts).alias("starts"), _listed(where=F.col("english")).alias("english")).where(F.size("heads") > 0)
+    behind = lambda z, i: F.get("heads", i + 1)
+    last = lambda z, i: (i == F.size("heads") - 1) | (behind(z, i)["first_question"] != z["first_question"]) | (behind(z, i)["last_question"] != z["last_question"])
+    pages = layout.settled(pages, heads=F.filter("heads", last))
+    end = lambda z: F.get(F.filter("starts", lambda s: (s["begun"] == z["first_question"]) & (s["idx"] > z["idx"])), F.lit(0))
+    pages = layout.settled(pages, heads=F.transform("heads", lambda z: z.withField("end", end(z))))
+    inside = lambda z: F.filter("english", lambda s: (s["idx"] > z["idx"]) & (z["end"]["idx"].isNull() | (s["idx"] < z["end"]["idx"])) & (s["y"] >= z["head"] - 0.01))
+    pages = layout.settled(pages, heads=F.transform("heads", lambda z: z.withField("bounds", _bounds_of(inside(z)))))
+    rows = pages.select(*PAGE, F.explode("heads").alias("z")).select(*PAGE, "z.first_question", "z.last_question", "z.head", F.col("z.end.y").alias("stop"), _box_of(F.col("z.bounds"), "b"))
+    b = F.col("b")
+    text_box = clamped_box(F.greatest(F.lit(0.06), b["x"] - 0.01), F.greatest(F.lit(0.0), b["y"] - 0.005), F.least(F.lit(0.92), b["w"] + 0.02), F.least(0.95 - b["y"], b["h"] + 0.015))
     between = F.when(F.col("stop") > F.col("head"), clamped_box(F.lit(0.08), F.col("head") + 0.005, F.lit(0.84), F.col("stop") - F.col("head") - 0.01))
-    rows = blocks.join(found, keys, "left")
-    return rows.select(*keys, F.when(F.col("x").isNotNull(), text_box).otherwise(between).alias("box")).where("box is not null")
+    return rows.select(*PAGE, "first_question", "last_question", F.when(b.isNotNull(), text_box).otherwise(between).alias("box")).where("box is not null")
 
 
 def question_places(spans: DataFrame) -> DataFrame:

@@ -28,6 +28,22 @@ def test_passage_boxes(spark):
     assert graphics.passage_boxes(bare).first().box.y == pytest.approx(0.125)
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_passage_boxes_meet_on_the_page(spark):
+    """Headers, first options and texts were four joins, of which Spark sent sides to the driver and all tasks."""
+    first = [(1, "Questions 131-134 refer to this", 0.1, 0.05, 0.5), (1, "Dear reader", 0.1, 0.1, 0.4), (1, "Questions 131-134 refer to this", 0.1, 0.2, 0.5), (1, "more text", 0.1, 0.3, 0.6), (1, "131. (A) x", 0.1, 0.4, 0.2)]
+    s = spans(spark, *first, (1, "Questions 135-136 refer", 0.1, 0.6, 0.5), (1, "last words", 0.2, 0.7, 0.3), (2, "131. (A) y", 0.1, 0.1, 0.2))
+    found = graphics.passage_boxes(s)
+    got = {r.first_question: r.box for r in found.collect()}
+    assert set(got) == {131, 135} and len(got) == found.count()
+    assert (got[131].y, got[131].y + got[131].h) == (pytest.approx(0.295), pytest.approx(0.33))  # from the last header on
+    assert (got[135].x, got[135].y) == (pytest.approx(0.19), pytest.approx(0.695))
+    assert "Join" not in plan_of(found) and "Broadcast" not in plan_of(found)
+
+
 def page(spark):
     left = [(1, "65. Look at the graphic", 0.08, 0.4, 0.2), (1, "66. What", 0.08, 0.5, 0.2), (1, "(A) a", 0.08, 0.53, 0.1), (1, "67. Who", 0.08, 0.6, 0.2)]
     right = [(1, "68. Look at the graphic", 0.55, 0.4, 0.2), (1, "69. What", 0.55, 0.5, 0.2), (1, "70. Who", 0.55, 0.6, 0.2)]
