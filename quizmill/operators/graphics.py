@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quizmill.functions import text as T
@@ -90,14 +90,21 @@ def passage_boxes(spans: DataFrame) -> DataFrame:
 
 
 def question_places(spans: DataFrame) -> DataFrame:
-    """(doc_id, page, number, x, y): the bare number of a question, rather one that text follows on its row, else its anchor."""
-    bare = spans.withColumn("number", F.regexp_extract(T.trim(F.col("text")), r"^(\d{1,3})\.?$", 1).try_cast("int")).where("number is not null")
-    row = spans.where(F.col("text").rlike(r"(?i)^\s*\.|graphic|\([A-D]\)")).select(*PAGE, F.col("x").alias("ox"), F.col("y").alias("oy"))
-    followed = bare.join(row, PAGE).where((F.col("ox") > F.col("x")) & (F.abs(F.col("oy") - F.col("y")) <= SAME_ROW)).select(*PAGE, "idx").distinct().withColumn("followed", F.lit(1))
-    ranked = bare.join(followed, [*PAGE, "idx"], "left").withColumn("kind", F.when(F.col("followed") == 1, 0).otherwise(1)).select(*PAGE, "number", "x", "y", "kind")
-    anchored = layout.anchors(spans).select(*PAGE, "number", "x", "y", F.lit(2).alias("kind"))
-    order = Window.partitionBy(*PAGE, "number").orderBy("kind", "y", "x")
-    return ranked.unionByName(anchored).withColumn("_rn", F.row_number().over(order)).where("_rn = 1").select(*PAGE, "number", "x", "y")
+    """(doc_id, page, number, x, y): the bare number of a question, rather one that text follows on its row, else its anchor.
+
+    A page's candidates are arrays on its row.
+    """
+    bare = r"^(\d{1,3})\.?$"
+    trimmed = T.trim(F.col("text"))
+    rows = spans.select(*PAGE, "x", "y", F.when(trimmed.rlike(bare), F.regexp_extract(trimmed, bare, 1).cast("int")).alias("bare"), layout.question_number(F.col("text")).alias("label"), F.col("text").rlike(r"(?i)^\s*\.|graphic|\([A-D]\)").alias("said"))
+    rows = rows.where("bare is not null or label is not null or said")
+    pages = rows.groupBy(*PAGE).agg(_listed(by=("bare", "x", "y"), where=F.col("bare").isNotNull()).alias("bare"), _listed(by=("label", "x", "y"), where=F.col("label").isNotNull()).alias("label"), _listed(by=("x", "y"), where=F.col("said")).alias("said"))
+    place = lambda number, kind, z: F.struct(number.alias("number"), kind.alias("kind"), z["y"].alias("y"), z["x"].alias("x"))
+    followed = lambda z: F.exists("said", lambda o: F.coalesce((o["x"] > z["x"]) & (F.abs(o["y"] - z["y"]) <= SAME_ROW), F.lit(False)))
+    found = F.concat(F.transform("bare", lambda z: place(z["bare"], F.when(followed(z), 0).otherwise(1), z)), F.transform("label", lambda z: place(z["label"], F.lit(2), z)))
+    pages = layout.settled(pages.where(F.size("bare") + F.size("label") > 0), found=F.array_sort(found))
+    first = F.filter("found", lambda z, i: (i == 0) | (F.get("found", i - 1)["number"] != z["number"]))
+    return pages.select(*PAGE, F.explode(first).alias("z")).select(*PAGE, "z.number", "z.x", "z.y")
 
 
 def _in_band(box: Column, left: Column, right: Column, top: Column, bottom: Column) -> Column:
@@ -106,19 +113,6 @@ def _in_band(box: Column, left: Column, right: Column, top: Column, bottom: Colu
     return clamped_box(x, y, F.least(right, box["x"] + box["w"]) - x, F.least(bottom, box["y"] + box["h"]) - y)
 
 
-def visual_boxes(spans: DataFrame, places: DataFrame) -> DataFrame:
-    """(doc_id, page, first_question, box): text with graphic cues, money or a table of the right half around a group's questions.
-
-    ``places`` has doc_id, page, first_question, qy and, if it is known, end_y, where
-    the question behind the group (or its last one) stands.
-    """
-    cue = F.col("text").rlike(CUES) | ((F.col("x") > 0.45) & F.col("text").rlike(r"\$[\d,]+")) | ((F.col("x") > 0.5) & F.col("text").rlike(r"(?i)\$|Cost|Company"))
-    lowest = F.coalesce(F.col("end_y") + CUE_BEHIND, F.col("qy") + CUE_BELOW)
-    key = [*PAGE, "first_question"]
-    rows = places.join(spans.where(cue), PAGE).where((F.col("y") + F.col("h") >= F.col("qy") - CUE_ABOVE) & (F.col("y") <= lowest))
-    return layout.bounds(rows, key).select(*key, _grown(F.struct("x", "y", "w", "h"), CUE_EDGE).alias("box"))
-
-
 def _grown(box: Column, edge: tuple[float, float, float, float, float]) -> Column:
     """A box grown on all sides, from a least x and y on, with a most width and height."""
     x, y, w, h, by = edge
@@ -134,35 +128,47 @@ def graphic_boxes(spans: DataFrame, images: DataFrame, groups: DataFrame, lines:
     then the whole strip. ``images`` has doc_id, page, x, y, w, h; ``groups``
     doc_id, first_question, last_question; ``lines`` the pages' lines, if they are known.
     """
-    columns = layout.page_columns(spans)
-    places = question_places(spans)
-    g = groups.join(places.withColumnRenamed("number", "first_question"), ["doc_id", "first_question"]).join(columns, PAGE).withColumnRenamed("x", "qx").withColumnRenamed("y", "qy")
-    left = F.col("qx") < F.col("split_x")
-    g = g.withColumn("side", F.when(left, "left").otherwise("right")).withColumn("bottom", F.col("qy") - ABOVE_QUESTION)
-    g = g.withColumn("band_l", F.when(left, LEFT_BAND[0]).otherwise(RIGHT_BAND[0])).withColumn("band_r", F.when(left, LEFT_BAND[1]).otherwise(RIGHT_BAND[1]))
-    key = [*PAGE, "first_question"]
-    content = (layout.lines(spans) if lines is None else lines).where(F.col("line").rlike(r"\([A-D]\)|^\d{1,3}\s*\.")).select(*PAGE, F.col("column").alias("line_column"), F.col("bottom").alias("line_bottom"))
-    above = g.join(content, PAGE).where(((F.col("line_column") == "single") | (F.col("line_column") == F.col("side"))) & (F.col("line_bottom") <= F.col("bottom"))).groupBy(*key).agg(F.max("line_bottom").alias("content"))
-    anchors = layout.anchors(spans).select(*PAGE, F.col("number"), F.col("column").alias("_column"), F.col("y").alias("_y"))
-    before = g.join(anchors.withColumn("first_question", F.col("number") + 1), key).where((F.col("_column") == "single") | (F.col("_column") == F.col("side"))).groupBy(*key).agg(F.min("_y").alias("before"))
-    behind = anchors.groupBy(*PAGE, "number").agg(F.min("_y").alias("end_y"))
-    after = g.select(*key, (F.col("last_question") + 1).alias("number")).join(behind, [*PAGE, "number"]).select(*key, F.col("end_y").alias("after_y"))
-    at_end = g.select(*key, "last_question").join(behind.withColumnRenamed("number", "last_question"), [*PAGE, "last_question"]).select(*key, F.col("end_y").alias("last_y"))
-    g = g.join(above, key, "left").join(before, key, "left").join(after, key, "left").join(at_end, key, "left").withColumn("end_y", F.coalesce("after_y", "last_y"))
-    ceiling = F.coalesce(F.col("content") + BELOW_CONTENT, F.col("before") + BELOW_GROUP, F.lit(0.0))
-    g = g.withColumn("top", F.greatest(F.lit(PAGE_TOP), F.col("bottom") - MOST_HEIGHT, ceiling)).where(F.col("bottom") - F.col("top") >= 0.02)
-    area = F.col("w") * F.col("h")
-    middle = F.col("x") + F.col("w") / 2
-    fits = (F.col("y") + F.col("h") <= F.col("bottom") + 0.01) & (F.col("y") >= F.col("top") - 0.01) & (area >= LEAST_IMAGE) & (F.when(F.col("side") == "left", middle < DIVIDER).otherwise(middle >= DIVIDER))
-    best = g.select(*key, "side", "top", "bottom").join(images, PAGE).where(fits).groupBy(*key).agg(F.max_by(F.struct("x", "y", "w", "h"), area).alias("image"))
-    cued = visual_boxes(spans, g.select(*key, "qy", "end_y")).withColumnRenamed("box", "cued")
-    rows = g.join(best, key, "left").join(cued, key, "left")
+    cue = F.col("text").rlike(CUES) | ((F.col("x") > 0.45) & F.col("text").rlike(r"\$[\d,]+")) | ((F.col("x") > 0.5) & F.col("text").rlike(r"(?i)\$|Cost|Company"))
+    places = question_places(spans).withColumnRenamed("number", "first_question")
+    asked = groups.join(places, ["doc_id", "first_question"]).select(*PAGE, F.struct("first_question", "last_question", F.col("x").alias("qx"), F.col("y").alias("qy")).alias("group"))
+    found = spans.select(*PAGE, F.struct("x", "y", layout.question_number(F.col("text")).alias("number")).alias("label"), F.when(cue, F.struct("x", "y", "w", "h")).alias("cue"))
+    found = found.withColumn("label", F.when(F.col("label.number").isNotNull(), F.col("label"))).where("label is not null or cue is not null")
+    content = (layout.lines(spans) if lines is None else lines).where(F.col("line").rlike(r"\([A-D]\)|^\d{1,3}\s*\.")).select(*PAGE, F.struct("column", "bottom").alias("content"))
+    rows = asked
+    for part in (found, content, images.select(*PAGE, F.struct("x", "y", "w", "h").alias("image"))):
+        rows = rows.unionByName(part, allowMissingColumns=True)
+    # All that a page has meets on its row.
+    pages = rows.groupBy(*PAGE).agg(*(F.collect_list(n).alias(f"{n}s") for n in ("group", "label", "cue", "content", "image"))).where(F.size("groups") > 0)
+    pages = layout.settled(pages, _left=F.exists("labels", lambda z: F.coalesce(z["x"] < 0.5, F.lit(False))), _right=F.array_min(F.filter(F.transform("labels", lambda z: z["x"]), lambda x: x >= 0.5)))
+    dual = F.col("_left") & F.col("_right").isNotNull()
+    pages = layout.settled(pages, dual=dual, split_x=F.when(dual, F.greatest(F.lit(0.45), F.col("_right") - 0.02)).otherwise(0.5))
+    side = lambda g: F.when(g["qx"] < F.col("split_x"), "left").otherwise("right")
+    column = lambda z: F.when(~F.col("dual"), "single").when(z["x"] < F.col("split_x"), "left").otherwise("right")
+    pages = layout.settled(pages, labels=F.transform("labels", lambda z: z.withField("column", column(z))), groups=F.transform("groups", lambda g: g.withField("side", side(g)).withField("bottom", g["qy"] - ABOVE_QUESTION)))
+    beside = lambda z, g: (z["column"] == "single") | (z["column"] == g["side"])
+    lowest = lambda g: F.array_max(F.transform(F.filter("contents", lambda z: beside(z, g) & (z["bottom"] <= g["bottom"])), lambda z: z["bottom"]))
+    highest = lambda number, fits: F.array_min(F.transform(F.filter("labels", lambda z: (z["number"] == number) & fits(z)), lambda z: z["y"]))
+    before = lambda g: highest(g["first_question"] - 1, lambda z: beside(z, g))
+    end_y = lambda g: F.coalesce(highest(g["last_question"] + 1, lambda z: F.lit(True)), highest(g["last_question"], lambda z: F.lit(True)))
+    ceiling = lambda g: F.coalesce(lowest(g) + BELOW_CONTENT, before(g) + BELOW_GROUP, F.lit(0.0))
+    top = lambda g: F.greatest(F.lit(PAGE_TOP), g["bottom"] - MOST_HEIGHT, ceiling(g))
+    pages = layout.settled(pages, groups=F.transform("groups", lambda g: g.withField("top", top(g)).withField("end_y", end_y(g))))
+    area = lambda z: z["w"] * z["h"]
+    middle = lambda z: z["x"] + z["w"] / 2
+    fits = lambda z, g: (z["y"] + z["h"] <= g["bottom"] + 0.01) & (z["y"] >= g["top"] - 0.01) & (area(z) >= LEAST_IMAGE) & F.when(g["side"] == "left", middle(z) < DIVIDER).otherwise(middle(z) >= DIVIDER)
+    best = lambda g: F.array_max(F.transform(F.filter("images", lambda z: fits(z, g)), lambda z: F.struct(area(z).alias("area"), *(z[n].alias(n) for n in "xywh"))))
+    near = lambda g: F.filter("cues", lambda z: (z["y"] + z["h"] >= g["qy"] - CUE_ABOVE) & (z["y"] <= F.coalesce(g["end_y"] + CUE_BEHIND, g["qy"] + CUE_BELOW)))
+    tall = F.filter("groups", lambda g: g["bottom"] - g["top"] >= 0.02)
+    pages = layout.settled(pages, groups=F.transform(tall, lambda g: g.withField("image", best(g)).withField("bounds", _bounds_of(near(g)))))
+    rows = pages.select(*PAGE, F.explode("groups").alias("g")).select(*PAGE, "g.first_question", "g.side", "g.top", "g.bottom", "g.image", _box_of(F.col("g.bounds"), "cue"))
+    left = F.col("side") == "left"
+    rows = rows.withColumn("band_l", F.when(left, LEFT_BAND[0]).otherwise(RIGHT_BAND[0])).withColumn("band_r", F.when(left, LEFT_BAND[1]).otherwise(RIGHT_BAND[1])).withColumn("cued", F.when(F.col("cue").isNotNull(), _grown(F.col("cue"), CUE_EDGE)))
     cut = lambda box: _in_band(box, F.col("band_l"), F.col("band_r"), F.col("top"), F.col("bottom"))
     strip = clamped_box(F.col("band_l"), F.col("top"), F.col("band_r") - F.col("band_l"), F.col("bottom") - F.col("top"))
     grown = _grown(F.col("image"), IMAGE_EDGE)
     pictured = F.get(F.transform(F.array(grown), lambda b: F.coalesce(cut(b), b)), F.lit(0))  # the lambda's argument is computed once
     box = F.coalesce(F.when(F.col("image").isNotNull(), pictured), F.when(F.col("cued").isNotNull(), cut(F.col("cued"))), strip)
-    return rows.select(*key, box.alias("box")).where("box is not null")
+    return rows.select(*PAGE, "first_question", box.alias("box")).where("box is not null")
 
 
 def resolved(given: DataFrame, found: DataFrame) -> DataFrame:

@@ -65,6 +65,15 @@ def test_graphics_strip_without_images(spark):
     assert got[65].x < 0.3 and got[65].h > 0.1 and got[65].y + got[65].h <= 0.4
 
 
+def test_graphics_meet_on_the_page(spark):
+    """Fourteen joins on the page, each with sorts in the same tasks, took a task's memory; only the groups' places are joined now."""
+    s, groups = page(spark)
+    found = graphics.graphic_boxes(s, spark.createDataFrame([], IMAGES), groups)
+    assert plan_of(found).count("Join") == 1 and "Window" not in plan_of(graphics.question_places(s))
+    rows = [(1, "12", 0.3, 0.2, 0.02), (1, "12.", 0.1, 0.3, 0.02), (1, ". What is on the graphic", 0.13, 0.305, 0.2), (1, "13. Who", 0.1, 0.4, 0.2), (1, "13. Whom", 0.1, 0.5, 0.2)]
+    assert {(r.number, r.x, r.y) for r in graphics.question_places(spans(spark, *rows)).collect()} == {(12, 0.1, 0.3), (13, 0.1, 0.4)}
+
+
 def test_resolved(spark):
     given = spark.createDataFrame([(1, 5, "own"), (1, 6, None), (1, 7, None)], "doc_id long, first_question int, box string")
     found = spark.createDataFrame([(1, 5, "f"), (1, 6, "f")], "doc_id long, first_question int, box string")
