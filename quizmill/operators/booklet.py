@@ -232,9 +232,11 @@ def reading_groups(docs: DataFrame, spans: DataFrame, answers: DataFrame, part:
     of its first question, and its pages run to its last question's. In part 7,
     runs of numbers that no passage has become groups of their own. ``chunk`` keeps
     passages that meet it, and questions within it. ``docs`` has doc_id and text.
+    The pages are read once: their questions, which several joins need, are written
+    to the session's shared folder.
     """
     first, last, _ = PART_RANGES[part]
-    return groups_of(docs, layout.page_texts(spans), layout_questions(spans, answers, first, last), part, chunk)
+    return groups_of(docs, layout.page_texts(spans), written(layout_questions(spans, answers, first, last), "questions"), part, chunk)
 
 
 def groups_of(docs: DataFrame, texts: DataFrame, questions: DataFrame, part: int, chunk: tuple[int, int] | None = None) -> DataFrame:

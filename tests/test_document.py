@@ -307,3 +307,13 @@ def test_direct_import_takes_whole_tests_only(spark, tmp_path):
     with pytest.raises(versions.GuardFailed):
         imports.direct_import(spark, folder, uploads, parsed.withColumn("question_number", F.lit(None).cast("int")))
     assert versions.current(spark, folder) == before
+
+
+def test_pages_are_read_once_for_reading_groups(spark):
+    """Every join of the questions read all pages again."""
+    rows = spans(spark, (1, "147. Why was it written", 0.08, 0.1), *options(1, 0.08, 0.12))
+    key = spark.createDataFrame([(1, 147, "D")], "doc_id long, question_number int, letter string")
+    docs = spark.createDataFrame([(1, "PART 7\nQuestions 147-148 refer to the following letter.\nDear all, this is the letter of the day\n147. y")], "doc_id long, text string")
+    groups = booklet.reading_groups(docs, rows, key, 7)
+    assert "ArrowEvalPython" not in groups._jdf.queryExecution().executedPlan().toString()
+    assert [(g.page, g.first_question, [(q.question_number, q.letter) for q in g.questions]) for g in groups.collect()] == [(1, 147, [(147, "D")])]
