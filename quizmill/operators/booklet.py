@@ -132,14 +132,15 @@ def page_questions(model: DataFrame, ranges: list[tuple[int, int]], exclude: Dat
     rows = rows.select(*layout.PAGE, "lines", F.explode(F.arrays_zip("anchors", "_said")).alias("q"))
     rows = rows.select(*layout.PAGE, "lines", F.col("q.anchors.of").alias("of"), F.col("q.anchors.number").alias("number"), F.col("q.anchors.y").alias("_y"), F.transform("q._said", lambda z: z["line"]).alias("l"))
     place = F.array_position(F.transform("l", lambda line: line.rlike(r"(?i)\(A\)")), F.lit(True)).cast("int")
-    rows = rows.withColumn("place", place).where("place > 0").withColumn("digits", F.col("number").cast("string"))
+    # Settled, as a filter is computed again below a plain column.
+    rows = layout.settled(rows, place=place, digits=F.col("number").cast("string")).where("place > 0")
     opening = r"^\s*(\d{1,3})\s*\.\s*"
     unnumbered = lambda text: F.when(F.regexp_extract(text, opening, 1) == F.col("digits"), F.regexp_replace(text, opening, "")).otherwise(text)
-    rows = rows.withColumn("head", T.trim(T.collapse(unnumbered(F.array_join(F.slice("l", 1, F.col("place") - 1), " ")))))
     below = F.transform(F.slice("l", F.col("place"), F.size("l")), lambda line, i: T.trim(F.when(i == 0, unnumbered(line)).otherwise(line)))
     bare = r"(?i)^\(([A-D])\)\s*(.+)$"
     options = F.filter(F.transform(below, lambda line: F.when(line.rlike(OPTION), T.trim(F.regexp_extract(line, OPTION, 2))).when(line.rlike(bare), T.trim(F.regexp_extract(line, bare, 2)))), lambda o: o.isNotNull())
-    rows = rows.withColumn("options", options).where(F.size("options") >= 2)
+    rows = layout.settled(rows, options=options).where(F.size("options") >= 2)
+    rows = layout.settled(rows, head=T.trim(T.collapse(unnumbered(F.array_join(F.slice("l", 1, F.col("place") - 1), " ")))))
     # Text behind the number inside an earlier line, for stems that are hardly there: left column first, then by y.
     numbers = lambda line: F.regexp_extract_all(line, F.lit(r"\b(\d{1,3})\s*\.\s*(?=.)"), F.lit(1))
     named = F.filter("lines", lambda z: (z["y"] < F.col("_y")) & F.array_contains(numbers(z["line"]), F.col("digits")))

@@ -9,6 +9,7 @@ import itertools
 import re
 import string
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
@@ -127,22 +128,77 @@ def _line(group: list[tuple], clean: bool) -> dict:
 LINE = "struct<y:double,x:double,bottom:double,line:string>"
 
 
+_LINES = pa.list_(pa.list_(pa.struct([("y", pa.float64()), ("x", pa.float64()), ("bottom", pa.float64()), ("line", pa.string())])))
+
+
 def _lines_of(arrays: pa.Array) -> pa.Array:
-    """The lines of arrays of arrays of spans; a slice of rows at a time becomes Python values."""
-    kind = pa.list_(pa.list_(pa.struct([("y", pa.float64()), ("x", pa.float64()), ("bottom", pa.float64()), ("line", pa.string())])))
-    done = [pa.array([], kind)]
+    """The lines of arrays of arrays of spans; a slice of rows at a time becomes numpy or Python values."""
+    done = [pa.array([], _LINES)]
     for at in range(0, len(arrays), ROWS_AT_ONCE):
         rows = arrays.slice(at, ROWS_AT_ONCE)
         inner = rows.flatten()
         spans = inner.flatten()
-        values = list(zip(*(spans.field(n).to_pylist() for n in ("y", "x", "w", "h", "text")), strict=True))
-        sizes = pc.fill_null(inner.value_lengths(), 0).to_pylist()
-        ends = [0, *itertools.accumulate(sizes)]
-        folded = iter([folded_lines(values[a:b]) for a, b in itertools.pairwise(ends)])
-        done.append(pa.array([None if n is None else list(itertools.islice(folded, n)) for n in rows.value_lengths().to_pylist()], kind))
+        sizes = pc.fill_null(inner.value_lengths(), 0).to_numpy(zero_copy_only=False)
+        found = _lines_by_columns(spans, sizes)
+        done.append(_lines_by_values(rows, spans, sizes) if found is None else _nested(rows, *found))
     return pa.concat_arrays(done)
 
 
+def _lines_by_values(rows: pa.Array, spans: pa.Array, sizes: np.ndarray) -> pa.Array:
+    """``folded_lines`` of each array of spans, whatever they hold."""
+    values = list(zip(*(spans.field(n).to_pylist() for n in ("y", "x", "w", "h", "text")), strict=True))
+    folded = iter([folded_lines(values[a:b]) for a, b in itertools.pairwise([0, *itertools.accumulate(sizes.tolist())])])
+    return pa.array([None if n is None else list(itertools.islice(folded, n)) for n in rows.value_lengths().to_pylist()], _LINES)
+
+
+def _lines_by_columns(spans: pa.Array, sizes: np.ndarray) -> tuple[pa.Array, np.ndarray] | None:
+    """(lines, how many each array of spans has), as ``folded_lines`` has them; only lines of several spans become Python values.
+
+    None where that takes more than finite numbers: for missing ones, and for spans in one place, which their texts order.
+    """
+    y, x, w, h = (spans.field(n).to_numpy(zero_copy_only=False) for n in ("y", "x", "w", "h"))
+    if not all(np.isfinite(v).all() for v in (y, x, w, h)) or spans.field("text").null_count:
+        return None
+    of = np.repeat(np.arange(len(sizes)), sizes)
+    order = np.lexsort((h, w, x, y, of))
+    y, x, w, h, of = (v[order] for v in (y, x, w, h, of))
+    same = of[1:] == of[:-1]
+    if (same & (y[1:] == y[:-1]) & (x[1:] == x[:-1]) & (w[1:] == w[:-1]) & (h[1:] == h[:-1])).any():
+        return None
+    # A gap beyond the tolerance begins a line in any case; between gaps it counts from the line's head.
+    begins = np.ones(len(y), bool)
+    begins[1:] = ~(same & (y[1:] - y[:-1] <= LINE_TOLERANCE))
+    starts = np.flatnonzero(begins)
+    ends = np.append(starts[1:], len(y))
+    for a, b in zip(starts, ends, strict=True) if len(starts) < len(y) else ():
+        if b - a > 1 and not y[b - 1] - y[a] <= LINE_TOLERANCE:
+            head = y[a]
+            for i in range(a + 1, b):
+                if not y[i] - head <= LINE_TOLERANCE:
+                    begins[i], head = True, y[i]
+    starts = np.flatnonzero(begins)
+    ends = np.append(starts[1:], len(y))
+    texts = spans.field("text").take(pa.array(order))
+    xs, bottoms = x[starts], y[starts] + h[starts]
+    said = pc.replace_substring_regex(pc.utf8_trim(texts.take(pa.array(starts)), _SPACE), f"[{_SPACE}]+", " ")
+    several = np.flatnonzero(ends - starts > 1)
+    if len(several):
+        said = said.to_pylist()
+        for k in several.tolist():
+            a, b = starts[k], ends[k]
+            line = _line(list(zip(*(v[a:b].tolist() for v in (y, x, w, h)), texts.slice(a, b - a).to_pylist(), strict=True)), True)
+            xs[k], bottoms[k], said[k] = line["x"], line["bottom"], line["line"]
+    columns = {"y": y[starts], "x": xs, "bottom": bottoms, "line": pa.array(said, pa.string())}
+    return pa.StructArray.from_arrays([pa.array(v) for v in columns.values()], list(columns)), np.bincount(of[starts], minlength=len(sizes))
+
+
+def _nested(rows: pa.Array, lines: pa.Array, counts: np.ndarray) -> pa.Array:
+    """Lines as arrays of arrays, in as many arrays a row as ``rows`` has; null where that is null."""
+    ends = lambda n: pa.array(np.concatenate(([0], np.cumsum(n))), pa.int32())
+    inner = pa.ListArray.from_arrays(ends(counts), lines)
+    return pa.ListArray.from_arrays(ends(pc.fill_null(rows.value_lengths(), 0).to_numpy(zero_copy_only=False)), inner, mask=rows.is_null()).cast(_LINES)
+
+
 def lines_by(rows: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, line_no, y, x, bottom, line): spans within the tolerance of a line's first y form the line.
 
@@ -213,7 +269,7 @@ def settled(rows: DataFrame, **columns: Column) -> DataFrame:
 def _paged(spans: DataFrame, fields: tuple[str, ...] = ("idx", "text", "x", "y", "w", "h")) -> DataFrame:
     """(doc_id, page, dual, split_x, spans): a page's spans in its order, each with its number and column; one shuffle, of ``fields`` only (x among them)."""
     row = F.struct(*fields, question_number(F.col("text")).alias("number"))
-    pages = spans.select(*PAGE, row.alias("s")).groupBy(*PAGE).agg(F.array_sort(F.collect_list("s")).alias("s"))
+    pages = spans.select(*PAGE, row.alias("s")).groupBy(*PAGE).agg(F.sort_array(F.collect_list("s")).alias("s"))
     label_x = F.transform(F.filter("s", lambda z: z["number"].isNotNull()), lambda z: z["x"])
     pages = settled(pages, _x=label_x)
     pages = pages.withColumn("_left", F.exists("_x", lambda x: F.coalesce(x < 0.5, F.lit(False)))).withColumn("_right", F.array_min(F.filter("_x", lambda x: x >= 0.5)))
@@ -286,36 +342,39 @@ def with_anchors(model: DataFrame, ranges: list[tuple[int, int]]) -> DataFrame:
 
     known = lambda z: z["number"].isNotNull() & of(z["number"]).isNotNull()
     labels = F.transform(F.filter("spans", lambda z: z["number"].isNotNull()), lambda z: candidate(z["number"], z["x"], z["y"], 0, z["idx"]))
-    starts = F.transform("lines", lambda z: candidate(question_number(z["line"]), z["x"], z["y"], 1, z["y"]))
+    model_columns = model.columns
+    model = settled(model, _dotted=F.filter("lines", lambda z: z["line"].contains(".")))  # only these can hold a label
+    starts = F.transform("_dotted", lambda z: candidate(question_number(z["line"]), z["x"], z["y"], 1, z["y"]))
     inner = lambda z: F.filter(F.transform(F.regexp_extract_all(z["line"], F.lit(r"(?:^|\s)(\d{1,3})\s*\.(?!\d)"), F.lit(1)), lambda n: n.cast("int")), lambda n: n >= 100)
-    inline = F.flatten(F.transform("lines", lambda z: F.transform(inner(z), lambda n: candidate(n, z["x"], z["y"], 1, z["y"]))))
+    inline = F.flatten(F.transform("_dotted", lambda z: F.transform(inner(z), lambda n: candidate(n, z["x"], z["y"], 1, z["y"]))))
     rows = settled(model, _found=F.filter(F.concat(labels, starts, inline), known))
     # Numbers without an anchor: the first span with the first three words behind ``n.`` in the page's text.
-    pattern = r"(?<![\d.])\b(\d{1,3})\.(?!\d)\s*([^\n]{4,120})"
-    named = F.zip_with(F.regexp_extract_all("page_text", F.lit(pattern), F.lit(1)), F.regexp_extract_all("page_text", F.lit(pattern), F.lit(2)), lambda n, t: F.struct(n.cast("int").alias("number"), t.alias("said")))
+    pattern = r"(\d{1,3})\.(?!\d)\s*([^\n]{4,120})"
+    found = F.regexp_extract_all("page_text", F.lit(r"(?=\d)(?<![\d.])\b" + pattern), F.lit(0))
+    named = F.transform(found, lambda m: F.struct(F.regexp_extract(m, "^" + pattern, 1).cast("int").alias("number"), m.alias("said")))
     rows = settled(rows, _named=F.filter(named, known), _have=F.transform("_found", lambda z: z["number"]))
     rows = settled(rows, _order=F.transform("_named", lambda z: z["number"]))
     first = F.filter("_named", lambda z, i: (F.array_position("_order", z["number"]) == i + 1) & ~F.array_contains("_have", z["number"]))
     hint = lambda said: F.array_join(F.slice(F.split(F.substring(T.trim(T.dashes_to_spaces(said)), 1, 30), r"\s+"), 1, 3), " ")
-    rows = rows.withColumn("_named", F.filter(F.transform(first, lambda z: F.struct(z["number"].alias("number"), hint(z["said"]).alias("words"))), lambda z: F.length(z["words"]) >= 4))
+    rows = rows.withColumn("_named", F.filter(F.transform(first, lambda z: F.struct(z["number"].alias("number"), hint(F.regexp_extract(z["said"], "^" + pattern, 2)).alias("words"))), lambda z: F.length(z["words"]) >= 4))
     said = F.transform("_named", lambda z: F.struct(z["number"].alias("number"), F.get(F.filter("spans", lambda s: s["text"].contains(z["words"])), F.lit(0)).alias("s")))
     said = F.transform(F.filter(said, lambda z: z["s"].isNotNull()), lambda z: candidate(z["number"], z["s"]["x"], z["s"]["y"], 2, F.lit(0.0)))
-    rows = settled(rows, _bare=F.filter("spans", lambda z: T.trim(z["text"]).rlike(r"^\d{1,3}\s*\.$")), _options=F.filter("lines", lambda z: z["line"].rlike(r"(?i)\(A\)")))
+    rows = settled(rows, _bare=F.filter("spans", lambda z: z["number"].isNotNull() & T.trim(z["text"]).rlike(r"^\d{1,3}\s*\.$")), _options=F.filter("lines", lambda z: z["line"].rlike(r"(?i)\(A\)")))
     is_bare = lambda z: F.exists("_bare", lambda b: (b["x"] == z["x"]) & (F.abs(b["y"] - z["y"]) < 0.01))
     has_options = lambda z: F.exists("_options", lambda o: (o["column"] == _column_at(z["x"])) & o["y"].between(z["y"] - 0.01, z["y"] + 0.08))
     score = lambda z: F.when(is_bare(z), 2).otherwise(0) + F.when(has_options(z), 4).otherwise(0) + z["y"]
     ranked = F.transform(F.concat("_found", said), lambda z: F.struct(z["number"].alias("number"), (-score(z)).alias("score"), z["kind"].alias("kind"), z["at"].alias("at"), _column_at(z["x"]).alias("column"), z["x"].alias("x"), z["y"].alias("y")))
-    rows = settled(rows, _ranked=F.array_sort(ranked))
+    rows = settled(rows, _ranked=F.sort_array(ranked))
     best = F.filter("_ranked", lambda z, i: (i == 0) | (F.get("_ranked", i - 1)["number"] != z["number"]))
     rows = settled(rows, _best=F.transform(best, lambda z: F.struct(of(z["number"]).alias("of"), *(z[n].alias(n) for n in ("column", "y", "x", "number")))))
     alike = lambda z: F.array_sort(F.transform(F.filter("_best", lambda o: (o["of"] == z["of"]) & (o["column"] == z["column"])), lambda o: o["x"]))
     rows = settled(rows, _best=F.transform("_best", lambda z: z.withField("xs", alike(z))))
     middle = lambda xs: (F.get(xs, F.floor((F.size(xs) - 1) / 2).cast("int")) + F.get(xs, F.floor(F.size(xs) / 2).cast("int"))) / 2
     near = F.filter("_best", lambda z: (z["column"] == "single") | (F.size(z["xs"]) < 2) | (F.abs(z["x"] - middle(z["xs"])) <= 0.05))
-    rows = settled(rows, _kept=F.array_sort(F.transform(near, lambda z: z.dropFields("xs"))))
+    rows = settled(rows, _kept=F.sort_array(F.transform(near, lambda z: z.dropFields("xs"))))
     behind = lambda z, i: F.get("_kept", i + 1)
     next_y = lambda z, i: F.when((behind(z, i)["of"] == z["of"]) & (behind(z, i)["column"] == z["column"]), behind(z, i)["y"])
-    return settled(rows.select(*model.columns, "_kept"), anchors=F.transform("_kept", lambda z, i: z.withField("next_y", next_y(z, i)))).drop("_kept")
+    return settled(rows.select(*model_columns, "_kept"), anchors=F.transform("_kept", lambda z, i: z.withField("next_y", next_y(z, i)))).drop("_kept")
 
 
 def question_anchors(spans: DataFrame, first: int = 1, last: int = 999, texts: DataFrame | None = None) -> DataFrame:

@@ -1,5 +1,6 @@
 """Whole pages and whole exams: anchors of every kind, question blocks, reading groups, the document."""
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -317,3 +318,29 @@ def test_pages_are_read_once_for_reading_groups(spark):
     groups = booklet.reading_groups(docs, rows, key, 7)
     assert "ArrowEvalPython" not in groups._jdf.queryExecution().executedPlan().toString()
     assert [(g.page, g.first_question, [(q.question_number, q.letter) for q in g.questions]) for g in groups.collect()] == [(1, 147, [(147, "D")])]
+
+
+def test_lines_of_plain_pages_need_no_fold_by_values(monkeypatch):
+    """Every span became a Python value; now only lines of several spans do, and pages with missing or tied places."""
+    kind = pa.list_(pa.list_(pa.struct([(n, pa.string() if n == "text" else pa.float64()) for n in ("y", "x", "w", "h", "text")])))
+    span = lambda y, x, text: {"y": y, "x": x, "w": 0.1, "h": 0.01, "text": text}
+    plain = [[[span(0.3, 0.1, " b  c\xa0"), span(0.1, 0.5, "B"), span(0.109, 0.1, "A"), span(0.118, 0.1, "C"), span(0.13, 0.1, "")], None, []], None, [], [[span(0.5, 0.1, "x"), span(0.512, 0.2, "y"), span(0.524, 0.3, "z")]]]
+    odd = [[[span(None, 0.1, "a"), span(float("nan"), 0.1, "b"), span(0.1, None, "c")]], [[span(0.1, 0.1, "e"), span(0.1, 0.1, "d")]]]
+    fold = layout.folded_lines
+    want = lambda rows: [None if row is None else [fold([tuple(s.values()) for s in spans or []]) for spans in row] for row in rows]
+    assert str(layout._lines_of(pa.array(odd + plain, kind)).to_pylist()) == str(want(odd + plain))
+    monkeypatch.setattr(layout, "folded_lines", None)
+    got = layout._lines_of(pa.array(odd + plain, kind).slice(2)).to_pylist()
+    assert got == want(plain) and [z["line"] for z in got[0][0]] == ["A B", "C", "", "b c"]
+
+
+def test_options_are_read_once_for_a_question(spark):
+    """Filters on the options' number and on the place of (A) were computed again below their columns."""
+    rows = spans(spark, (1, "101. Some stem of part five", 0.08, 0.1), *options(1, 0.08, 0.12))
+    plan = booklet.page_questions(layout.page_model(rows), [(101, 130)])._jdf.queryExecution().optimizedPlan().toString()
+    assert "Filter" in plan and not [line for line in plan.splitlines() if "Filter" in line and "[.)]" in line]
+
+
+def test_listening_keys_with_white_space_of_any_kind(spark):
+    docs = spark.createDataFrame([(1, "\u3000 7. a\xa0\r\n8 (B)\ufeff\n9) c x\nx 10. D\n11:d\u2028\n12. E")], "doc_id long, text string")
+    assert {r.question_number: r.letter for r in extraction.listening_key(docs).collect()} == {7: "A", 8: "B", 11: "D"}
