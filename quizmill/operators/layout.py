@@ -154,10 +154,10 @@ def _lines_by_values(rows: pa.Array, spans: pa.Array, sizes: np.ndarray) -> pa.A
 def _lines_by_columns(spans: pa.Array, sizes: np.ndarray) -> tuple[pa.Array, np.ndarray] | None:
     """(lines, how many each array of spans has), as ``folded_lines`` has them; only lines of several spans become Python values.
 
-    None where that takes more than finite numbers: for missing ones, and for spans in one place, which their texts order.
+    None where that takes more than finite numbers: for missing ones, for spans in one place, which their texts order, and without any.
     """
     y, x, w, h = (spans.field(n).to_numpy(zero_copy_only=False) for n in ("y", "x", "w", "h"))
-    if not all(np.isfinite(v).all() for v in (y, x, w, h)) or spans.field("text").null_count:
+    if not len(y) or not all(np.isfinite(v).all() for v in (y, x, w, h)) or spans.field("text").null_count:
         return None
     of = np.repeat(np.arange(len(sizes)), sizes)
     order = np.lexsort((h, w, x, y, of))
@@ -170,12 +170,12 @@ def _lines_by_columns(spans: pa.Array, sizes: np.ndarray) -> tuple[pa.Array, np.
     begins[1:] = ~(same & (y[1:] - y[:-1] <= LINE_TOLERANCE))
     starts = np.flatnonzero(begins)
     ends = np.append(starts[1:], len(y))
-    for a, b in zip(starts, ends, strict=True) if len(starts) < len(y) else ():
-        if b - a > 1 and not y[b - 1] - y[a] <= LINE_TOLERANCE:
-            head = y[a]
-            for i in range(a + 1, b):
-                if not y[i] - head <= LINE_TOLERANCE:
-                    begins[i], head = True, y[i]
+    long = ~(y[ends - 1] - y[starts] <= LINE_TOLERANCE)
+    for a, b in zip(starts[long].tolist(), ends[long].tolist(), strict=True):
+        head, *rest = y[a:b].tolist()
+        for i, here in enumerate(rest, a + 1):
+            if not here - head <= LINE_TOLERANCE:
+                begins[i], head = True, here
     starts = np.flatnonzero(begins)
     ends = np.append(starts[1:], len(y))
     texts = spans.field("text").take(pa.array(order))
@@ -183,10 +183,9 @@ def _lines_by_columns(spans: pa.Array, sizes: np.ndarray) -> tuple[pa.Array, np.
     said = pc.replace_substring_regex(pc.utf8_trim(texts.take(pa.array(starts)), _SPACE), f"[{_SPACE}]+", " ")
     several = np.flatnonzero(ends - starts > 1)
     if len(several):
-        said = said.to_pylist()
-        for k in several.tolist():
-            a, b = starts[k], ends[k]
-            line = _line(list(zip(*(v[a:b].tolist() for v in (y, x, w, h)), texts.slice(a, b - a).to_pylist(), strict=True)), True)
+        said, values = said.to_pylist(), list(zip(y.tolist(), x.tolist(), w.tolist(), h.tolist(), texts.to_pylist(), strict=True))
+        for k, a, b in zip(several.tolist(), starts[several].tolist(), ends[several].tolist(), strict=True):
+            line = _line(values[a:b], True)
             xs[k], bottoms[k], said[k] = line["x"], line["bottom"], line["line"]
     columns = {"y": y[starts], "x": xs, "bottom": bottoms, "line": pa.array(said, pa.string())}
     return pa.StructArray.from_arrays([pa.array(v) for v in columns.values()], list(columns)), np.bincount(of[starts], minlength=len(sizes))

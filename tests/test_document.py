@@ -329,6 +329,7 @@ def test_lines_of_plain_pages_need_no_fold_by_values(monkeypatch):
     fold = layout.folded_lines
     want = lambda rows: [None if row is None else [fold([tuple(s.values()) for s in spans or []]) for spans in row] for row in rows]
     assert str(layout._lines_of(pa.array(odd + plain, kind)).to_pylist()) == str(want(odd + plain))
+    assert layout._lines_of(pa.array([[], None, [[], None]], kind)).to_pylist() == [[], None, [[], []]]
     monkeypatch.setattr(layout, "folded_lines", None)
     got = layout._lines_of(pa.array(odd + plain, kind).slice(2)).to_pylist()
     assert got == want(plain) and [z["line"] for z in got[0][0]] == ["A B", "C", "", "b c"]
