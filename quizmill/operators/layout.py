@@ -268,13 +268,17 @@ def settled(rows: DataFrame, **columns: Column) -> DataFrame:
 def _paged(spans: DataFrame, fields: tuple[str, ...] = ("idx", "text", "x", "y", "w", "h")) -> DataFrame:
     """(doc_id, page, dual, split_x, spans): a page's spans in its order, each with its number and column; one shuffle, of ``fields`` only (x among them)."""
     row = F.struct(*fields, question_number(F.col("text")).alias("number"))
-    pages = spans.select(*PAGE, row.alias("s")).groupBy(*PAGE).agg(F.sort_array(F.collect_list("s")).alias("s"))
+    return _with_columns(spans.select(*PAGE, row.alias("s")).groupBy(*PAGE).agg(F.sort_array(F.collect_list("s")).alias("s")))
+
+
+def _with_columns(pages: DataFrame) -> DataFrame:
+    """Pages with dual, split_x and ``spans``, each with its column, in place of ``s``, spans with their numbers."""
     label_x = F.transform(F.filter("s", lambda z: z["number"].isNotNull()), lambda z: z["x"])
     pages = settled(pages, _x=label_x)
     pages = pages.withColumn("_left", F.exists("_x", lambda x: F.coalesce(x < 0.5, F.lit(False)))).withColumn("_right", F.array_min(F.filter("_x", lambda x: x >= 0.5)))
     dual = F.col("_left") & F.col("_right").isNotNull()
     pages = settled(pages, dual=dual, split_x=F.when(dual, F.greatest(F.lit(0.45), F.col("_right") - 0.02)).otherwise(0.5))
-    return settled(pages, spans=F.transform("s", lambda z: z.withField("column", _column_at(z["x"])))).select(*PAGE, "dual", "split_x", "spans")
+    return settled(pages, spans=F.transform("s", lambda z: z.withField("column", _column_at(z["x"])))).drop("s", "_x", "_left", "_right")
 
 
 def _with_page_lines(pages: DataFrame) -> DataFrame:
@@ -291,7 +295,11 @@ def page_model(spans: DataFrame) -> DataFrame:
     ``spans`` is an array in the page's order with each span's number (if it is a
     question label) and column; ``lines`` has each column's lines (column, y, x, bottom, line).
     """
-    return settled(_with_page_lines(_paged(spans)), page_text=F.array_join(F.transform("spans", lambda z: z["text"]), "\n"))
+    return _with_page_text(_with_page_lines(_paged(spans)))
+
+
+def _with_page_text(pages: DataFrame) -> DataFrame:
+    return settled(pages, page_text=F.array_join(F.transform("spans", lambda z: z["text"]), "\n"))
 
 
 def label_bands(spans: DataFrame, fields: tuple[str, ...] = ("idx", "text", "x", "y", "w", "h")) -> DataFrame:
@@ -405,21 +413,41 @@ def pages_of_part(model: DataFrame, part: int) -> DataFrame:
     A document without the header has the pages with an anchor of the part's questions.
     """
     first, last, _ = PART_RANGES[part]
+    rows = _with_bounds(with_anchors(model, [(first, last)]).select(*PAGE, "page_text", (F.size("anchors") > 0).alias("_asked")), part)
+    return rows.where(F.when(F.col("_start").isNull(), F.col("_asked")).otherwise(_in_bounds())).select(*PAGE)
+
+
+def _with_bounds(pages: DataFrame, part: int) -> DataFrame:
+    """Pages with the first page with a part's header (``_start``) and the first later one with the next part's (``_stop``), in place of page_text."""
     named = lambda n: F.col("page_text").rlike(rf"(?i)\bPART\s*{n}\b")
     of_doc = Window.partitionBy("doc_id")
-    rows = with_anchors(model, [(first, last)]).select(*PAGE, named(part).alias("_here"), named(part + 1).alias("_next"), (F.size("anchors") > 0).alias("_asked"))
+    rows = pages.withColumns({"_here": named(part), "_next": named(part + 1)}).drop("page_text")
     rows = rows.withColumn("_start", F.min(F.when(F.col("_here"), F.col("page"))).over(of_doc))
     stop = F.min(F.when(F.col("_next") & (F.col("page") > F.col("_start")), F.col("page"))).over(of_doc) if part < 7 else F.lit(None).cast("int")
-    rows = rows.withColumn("_stop", stop)
-    inside = (F.col("page") >= F.col("_start")) & (F.col("_stop").isNull() | (F.col("page") < F.col("_stop")))
-    return rows.where(F.when(F.col("_start").isNull(), F.col("_asked")).otherwise(inside)).select(*PAGE)
+    return rows.withColumn("_stop", stop).drop("_here", "_next")
 
 
-def section_texts(model: DataFrame, part: int, chunk: tuple[int, int] | None = None) -> DataFrame:
-    """(doc_id, text): a part's pages as text in reading order, a blank line between pages; from a passage's header on, if ``chunk`` names one that is there."""
-    order = F.array_sort(F.transform("spans", lambda z: F.struct((z["column"] == "right").alias("right"), z["y"].alias("y"), z["x"].alias("x"), z["idx"].alias("idx"), z["text"].alias("text"))))
-    pages = model.join(pages_of_part(model, part), PAGE, "left_semi").select(*PAGE, F.array_join(F.transform(order, lambda z: z["text"]), " ").alias("said"))
-    rows = pages.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", "said"))), lambda z: z["said"]), "\n\n").alias("text"))
+def _in_bounds() -> Column:
+    return (F.col("page") >= F.col("_start")) & (F.col("_stop").isNull() | (F.col("page") < F.col("_stop")))
+
+
+def section_texts(pages: DataFrame, part: int, chunk: tuple[int, int] | None = None, spans: Column | None = None) -> DataFrame:
+    """(doc_id, text): a part's pages as text in reading order, a blank line between pages; from a passage's header on, if ``chunk`` names one that is there.
+
+    ``pages`` has a row per page: a page model, or (doc_id, page, page_text) and whatever
+    ``spans`` needs, the column of a page's spans. That is computed for the pages from the
+    part's header on, and for all of a document without it; only the latter's are
+    searched for anchors. Nothing is joined; where pages lie by doc_id, only the texts of the part's pages are shuffled.
+    """
+    first, last, _ = PART_RANGES[part]
+    rows = _with_bounds(pages.where("doc_id IS NOT NULL AND page IS NOT NULL").drop("dual", "split_x", "lines"), part)
+    rows = rows.where(F.col("_start").isNull() | _in_bounds())
+    span = lambda z: F.struct(*(z[n].alias(n) for n in ("idx", "text", "x", "y", "w", "h")), question_number(z["text"]).alias("number"))
+    rows = _with_columns(rows.select(*PAGE, F.col("_start").isNotNull().alias("_headed"), F.sort_array(F.transform(F.col("spans") if spans is None else spans, span)).alias("s")))
+    order = F.sort_array(F.transform("spans", lambda z: F.struct((z["column"] == "right").alias("right"), z["y"].alias("y"), z["x"].alias("x"), z["idx"].alias("idx"), z["text"].alias("text"))))
+    rows = settled(rows, said=F.array_join(F.transform(order, lambda z: z["text"]), " "), spans=F.when(F.col("_headed"), F.slice("spans", 1, 0)).otherwise(F.col("spans")))
+    rows = with_anchors(_with_page_text(_with_page_lines(rows)), [(first, last)]).where(F.col("_headed") | (F.size("anchors") > 0))
+    rows = rows.groupBy("doc_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("page", "said"))), lambda z: z["said"]), "\n\n").alias("text"))
     if chunk:
         at = F.regexp_instr("text", F.lit(rf"(?i)Questions?\s+{chunk[0]}\s*-\s*{chunk[1]}\s+refer"))
         rows = rows.withColumn("text", F.when(at > 0, F.substr("text", at)).otherwise(F.col("text")))

@@ -113,3 +113,45 @@ def test_bands_shuffle_what_is_asked_for(spark):
     plan = rows._jdf.queryExecution().executedPlan().toString()
     assert "h, h#" in plan and "text, text#" not in plan and "w, w#" not in plan
     assert {(r.number, r.text) for r in layout.label_bands(s).collect()} == {(101, "101. a"), (101, "tail"), (102, "102. b")}
+
+
+WORDS = [
+    (1, 0), (2, 3), (3, 99), (4, 100), (5, 101), (6, 230), (7, 400), (8, 150), (9, 1001), (11, 221), (11, 120), (12, 7), (12, 335), (14, 200), (None, 130),
+]
+
+
+@pytest.fixture
+def odd_documents(spark, tmp_path):
+    """Documents of up to eleven pages, some ids twice or missing, with empty words, line breaks and no text at all."""
+    texts = [(d, " ".join(("", "Ünit\n", f"w{k}", "x.")[k % 7 % 4] for k in range(n))) for d, n in WORDS]
+    rows = [*texts, (20, None), (21, "  "), (22, "PART 5"), (23, "🙂 " * 100), (24, "only\nlines")]
+    spark.createDataFrame([(*r, "web") for r in rows], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    return str(tmp_path)
+
+
+def test_section_texts_of_pages_are_those_of_spans(spark, odd_documents):
+    from quizmill.catalog import QUERIES
+    from quizmill.queries.listings import headed
+    from quizmill.sources.tables import Tables
+
+    s = headed(Tables(spark, odd_documents))
+    inside = layout.pages_of_part(layout.page_model(s), 5)
+    said = layout.reading_order(s).join(inside, ["doc_id", "page"], "left_semi").groupBy("doc_id", "page").agg(F.sort_array(F.collect_list(F.struct((F.col("column") == "right").alias("r"), "y", "x", "idx", "text"))).alias("s"))
+    pages = {}
+    for r in said.orderBy("doc_id", "page").collect():
+        pages.setdefault(r.doc_id, []).append(" ".join(z.text for z in r.s))
+    want = {d: "\n\n".join(texts) for d, texts in pages.items()}
+    assert len(want) >= 15 and max(map(len, pages.values())) >= 3
+    assert dict(layout.section_texts(layout.page_model(s), 5).collect()) == want
+    hashes = spark.createDataFrame(list(want.items()), "doc_id long, text string").select("doc_id", F.md5("text"))
+    assert dict(QUERIES["x19_layout_text"](spark, odd_documents).collect()) == dict(hashes.collect())
+
+
+def test_section_texts_shuffle_texts_only(spark, odd_documents):
+    """Every span went through the shuffle with its box, once for the pages and once for the part's, which were joined."""
+    from quizmill.catalog import QUERIES
+
+    plan = QUERIES["x19_layout_text"](spark, odd_documents)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 2 and "Join" not in plan and plan.count("FileScan") == 1 and "hashpartitioning(doc_id" in plan
+    read = plan[plan.rindex("Exchange") :]
+    assert "FileScan" in read and "Generate" not in read
